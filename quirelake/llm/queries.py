@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import exact_dedup, language, packing, simhash
+from quirelake.llm import decontamination, exact_dedup, language, packing, simhash
 from quirelake.llm.common import documents
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.digest(decontamination.decontaminate(documents(spark, sf_dir, "doc_id", "text"), benchmark))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -28,6 +33,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
@@ -36,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_decontamination": decontamination.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
