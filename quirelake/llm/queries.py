@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import decontamination, exact_dedup, language, packing, simhash
+from quirelake.llm import decontamination, exact_dedup, language, packing, simhash, suffix_dedup
 from quirelake.llm.common import documents
 
 
@@ -23,6 +23,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_dedup(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_language_id": op10_language_id,
     }
