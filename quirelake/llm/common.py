@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quirelake-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str = "table") -> DataFrame:
+def written(df: DataFrame, what: str = "table", **options: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
     A lost executor then costs only the tasks it ran. The files go when the
@@ -52,7 +52,7 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

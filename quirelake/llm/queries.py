@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import decontamination, exact_dedup, language, packing, simhash, suffix_dedup
+from quirelake.llm import context_tree, decontamination, exact_dedup, language, packing, quality, simhash, suffix_dedup
 from quirelake.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(documents(spark, sf_dir, "doc_id", "text"), benchmark))
 
 
+def op3_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_documents(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -27,6 +31,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -38,9 +46,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op3_context_tree_scoring": op3_context_tree_scoring,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_quality": op7_quality,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_language_id": op10_language_id,
     }
