@@ -96,20 +96,35 @@ def tokens(text: str) -> list[bytes]:
     return own
 
 
-def gram_stream(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of all texts, each with its end, and the number of each text's."""
+def gram_stream(texts: list[str], depth: int, piece: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams of all texts, each with its end, and the text of each gram; about ``piece`` at a time."""
     pad = bytes([EDGE]) * depth
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(pad + b"".join(r + bytes([EDGE]) + pad for r in raw), dtype=np.uint8)
     n = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
-    grams = np.zeros(len(data) - depth, dtype=np.uint64)
-    for k in range(depth + 1):
-        grams = (grams << np.uint64(8)) | data[k : len(data) - depth + k]
-    keep = np.ones(len(grams), dtype=bool)
-    ends = np.cumsum(n + depth)
-    for k in range(1, depth + 1):
-        keep[ends - k] = False
-    return grams[keep], n
+    del raw
+    starts = np.cumsum(n + depth) - n
+    for lo in range(depth, len(data), piece):
+        hi = min(len(data), lo + piece)
+        grams = np.zeros(hi - lo, dtype=np.uint64)
+        for k in range(depth + 1):
+            grams <<= np.uint64(8)
+            grams |= data[lo - depth + k : hi - depth + k]
+        at = np.arange(lo, hi)
+        text = np.searchsorted(starts, at, side="right") - 1
+        keep = (text >= 0) & (at - starts[text] < n[text])
+        yield grams[keep], text[keep]
+
+
+def gram_counts(texts: list[str], depth: int, train: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of all texts and how often the training texts hold them."""
+    keys, times = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for grams, text in gram_stream(texts, depth):
+        key, of = (np.unique(grams), None) if train is None else np.unique(grams, return_inverse=True)
+        keys.append(key)
+        times.append(np.zeros(len(key)) if train is None else np.bincount(of, weights=train[text], minlength=len(key)))
+    key, of = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(of, weights=np.concatenate(times), minlength=len(key)).astype(np.int64)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -159,11 +174,7 @@ def count_blocks(made: DataFrame, depth: int, mod: int, rest: int, shards: int)
                 for text, t in zip(texts, train.tolist(), strict=True):
                     own = tokens(text)
                     seen.update(own) if t else seen.update(dict.fromkeys(own, 0))
-                stream, sizes = gram_stream(texts, depth)
-                grams = np.unique(stream)
-                known, times = np.unique(stream[np.repeat(train, sizes)], return_counts=True)
-                gn = np.zeros(len(grams), dtype=np.int64)
-                gn[np.searchsorted(grams, known)] = times
+                grams, gn = gram_counts(texts, depth, train)
                 (wk, wcut, worder, back), (gk, gcut, gorder, _) = block_keys(list(seen), grams, shards)
                 wn = np.bincount(back, weights=np.array(list(seen.values()), float), minlength=len(wk)).astype(np.int64)[worder]
                 gn = gn[gorder]
@@ -367,16 +378,18 @@ def score_documents(docs: DataFrame, depth: int = 5, mod: int = 7, rest: int = 2
         for ids, texts in zip(own["doc_ids"], own["texts"], strict=True):
             split = [tokens(t) for t in texts]
             names = list(set().union(*split))
-            stream, sizes = gram_stream(list(texts), depth)
-            (_, _, worder, place), (gk, _, _, _) = block_keys(names, np.unique(stream), shards)
+            (_, _, worder, place), (gk, _, _, _) = block_keys(names, gram_counts(texts, depth)[0], shards)
             count = np.zeros(len(worder))
             count[worder] = np.concatenate([unpacked(x, np.int64) for x in back["wv"]])
             count = count[place]
             base = dict(zip(names, (np.log10(count + 1) - scale).tolist(), strict=True))
             unknown = {w for w, k in zip(names, (count > 0).tolist(), strict=True) if not k}
             table = Table(gk, np.concatenate([unpacked(x, np.int32) for x in back["gv"]]).view(np.float32).astype(float))
-            score = np.add.reduceat(table.get(stream), np.cumsum(sizes) - sizes)
-            for d, w, s, n in zip(ids, split, score, sizes.tolist(), strict=True):
+            score = np.zeros(len(ids))
+            for grams, text in gram_stream(texts, depth):
+                score += np.bincount(text, weights=table.get(grams), minlength=len(ids))
+            for d, w, t, s in zip(ids, split, texts, score.tolist(), strict=True):
+                n = len(t.encode("utf-8", "surrogatepass")) + 1
                 lost = sum(x in unknown for x in w) if unknown else 0
                 d = None if d is None or d != d else int(d)
                 rows.append((d, crc32_text(d) % mod == rest, len(w), len(w) - lost, train_tokens, math.fsum(map(base.__getitem__, w)), s, -s * math.log2(10) / n))
