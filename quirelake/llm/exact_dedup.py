@@ -35,9 +35,10 @@ def cut_pattern(least: int = 512, most: int = 4096) -> str:
     return f"(?s).{{{least}}}.{{0,{most - least}}}?(?<={_class(5)}{_class(1)}{_class(4)})|.{{1,{most}}}"
 
 
-def normalised(docs: DataFrame) -> DataFrame:
-    """doc_id, a row id, and the text that is compared."""
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), lower_ascii(F.coalesce("text", F.lit(""))).alias("norm"))
+def normalised(docs: DataFrame, row_id: str | None = None) -> DataFrame:
+    """doc_id, a row id (a column of docs, else made here), and the text that is compared."""
+    own = F.col(row_id) if row_id else F.monotonically_increasing_id()
+    return docs.select("doc_id", own.alias("row_id"), lower_ascii(F.coalesce("text", F.lit(""))).alias("norm"))
 
 
 def chunk_store(norm: DataFrame, fingerprint: Callable[[Column], Column], pattern: str) -> DataFrame:
@@ -46,10 +47,10 @@ def chunk_store(norm: DataFrame, fingerprint: Callable[[Column], Column], patter
     return chunks.select(fingerprint(F.col("chunk")).alias("fp"), "chunk").distinct()
 
 
-def recipes(docs: DataFrame, fingerprint: Callable[[Column], Column] = F.xxhash64, pattern: str | None = None) -> DataFrame:
+def recipes(docs: DataFrame, fingerprint: Callable[[Column], Column] = F.xxhash64, pattern: str | None = None, row_id: str | None = None) -> DataFrame:
     """doc_id, row_id, recipe (ordered verified identifiers), text_sha256. A written table."""
     pattern = pattern or cut_pattern()
-    norm = normalised(docs)
+    norm = normalised(docs, row_id)
     store = chunk_store(norm, fingerprint, pattern)
     shared = written(store.groupBy("fp").agg(F.count("*").alias("texts")).where("texts > 1").select("fp"), "clashes")
     pick = ["doc_id", "row_id", F.sha2("norm", 256).alias("text_sha256")]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import context_tree, decontamination, exact_dedup, language, packing, quality, simhash, suffix_dedup
+from quirelake.llm import context_tree, decontamination, exact_dedup, language, line_dedup, packing, quality, simhash, suffix_dedup
 from quirelake.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(documents(spark, sf_dir, "doc_id", "text"), benchmark))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score_documents(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -46,6 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_line_dedup": op2_line_dedup,
         "op3_context_tree_scoring": op3_context_tree_scoring,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
@@ -57,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_decontamination": decontamination.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}

@@ -76,16 +76,16 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp, a signed long with the fingerprint's bits."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp, a signed long with the fingerprint's bits; columns of longs named in ``also`` come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [fingerprint_texts(batch.column(1)[at : at + 512].to_pylist(), words, seed) for at in range(0, batch.num_rows, 512)]
             fp = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *also).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in also))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -197,9 +197,9 @@ def links(fps: DataFrame, limit: int = 2, node_rows: int = 2048, most_nodes: int
     return asked.unionByName(held).groupBy("node", "share").applyInPandas(find, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, words: int = 3, limit: int = 2) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 3, limit: int = 2, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links) of every row."""
-    marked = written(fingerprints(docs, words), "fingerprints")
+    marked = written(fingerprints(docs, words, also=also), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     pairs = written(links(nodes.select("fp"), limit), "pairs")
     label = components(pairs).select(F.col("id").alias("fp"), "component")
