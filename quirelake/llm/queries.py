@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import context_tree, decontamination, exact_dedup, language, line_dedup, packing, quality, simhash, suffix_dedup
+from quirelake.llm import context_tree, decontamination, exact_dedup, language, line_dedup, packing, quality, quotation, simhash, suffix_dedup
 from quirelake.llm.common import documents
 
 
@@ -39,6 +39,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -56,10 +60,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_quality": op7_quality,
+        "op8_quotation_linking": op8_quotation_linking,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_decontamination": decontamination.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op8_quotation_linking": quotation.ORACLE}
