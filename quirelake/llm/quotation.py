@@ -7,7 +7,8 @@ characters than letters and digits, and hashed. A passage belongs to the first
 message of its conversation that wrote it; a message answers the earlier
 message that most of its level-1 passages come from (the latest of equals),
 one that quotes nothing answers the turn before, if there is one. Links give
-each message its thread's first turn and its depth, by doubling the links.
+each message its thread's first turn and its depth, by doubling the links that
+are not plain replies to the turn before.
 
 Rows come back in reply order (conversation, thread, turn), range partitioned,
 so a long conversation is spread; each keeps its own words only.
@@ -20,7 +21,7 @@ nothing; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import lookup, written
@@ -72,18 +73,34 @@ def reply_links(messages: DataFrame) -> DataFrame:
     return out.select(*KEY, F.coalesce("best.origin", "previous").alias("parent_turn"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
 
 
+def runs(links: DataFrame, block: int = 256) -> DataFrame:
+    """Add ``head``: the first turn of the run of replies to the turn before that a message is in, within its block of turns."""
+    opens = ~F.coalesce(F.col("parent_turn") == F.col("turn") - 1, F.lit(False)) | (F.pmod("turn", F.lit(block)) == 0)
+    own = Window.partitionBy("conv_id", F.floor(F.col("turn") / block)).orderBy("turn")
+    return links.withColumn("head", F.max(F.when(opens, F.col("turn"))).over(own))
+
+
 def threads(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Add root_turn and depth, doubling every pointer until all stand at a root."""
-    at = written(links.select(*KEY, F.coalesce("parent_turn", "turn").alias("root_turn"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth")), "pointers")
+    """Add root_turn and depth. Runs of plain replies shrink to their heads; only heads follow pointers, doubling them, until each is at a root."""
+    links = written(runs(links), "runs")
+    onto = links.select("conv_id", F.col("turn").alias("parent_turn"), F.col("head").alias("to"))
+    heads = lookup(links.where("head = turn").select(*KEY, "parent_turn"), onto, ["conv_id", "parent_turn"])
+    root = F.col("parent_turn").isNull()
+    heads = written(
+        heads.select(*KEY, F.coalesce("to", "turn").alias("root_turn"), F.when(root, 0).otherwise(1 + F.col("parent_turn") - F.col("to")).cast("long").alias("depth"), root.alias("done")), "heads"
+    )
+    done, rest = heads.where("done"), heads.where("NOT done")
     for _ in range(max_rounds):
-        onward = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("far"), F.col("depth").alias("more"))
-        step = lookup(at, onward, ["conv_id", "root_turn"])
-        moved = F.coalesce(F.col("far") != F.col("root_turn"), F.lit(False))
-        at = written(step.select(*KEY, F.coalesce("far", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), moved.alias("moved")), "pointers")
-        if at.where("moved").isEmpty():
-            return at.drop("moved").join(links, KEY)
-        at = at.drop("moved")
-    raise RuntimeError("reply links did not settle")
+        if rest.isEmpty():
+            break
+        onward = done.unionByName(rest).select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("far"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        step = lookup(rest.drop("done"), onward, ["conv_id", "root_turn"])
+        step = written(step.select(*KEY, F.col("far").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done")), "pointers")
+        done, rest = done.unionByName(step.where("done")), step.where("NOT done")
+    else:
+        raise RuntimeError("reply links did not settle")
+    found = done.select("conv_id", F.col("turn").alias("head"), "root_turn", F.col("depth").alias("above"))
+    return links.join(found, ["conv_id", "head"]).withColumn("depth", F.col("above") + F.col("turn") - F.col("head")).drop("head", "above")
 
 
 def reply_ordered(conversations: DataFrame) -> DataFrame:
