@@ -59,8 +59,16 @@ def written(df: DataFrame, what: str = "table", **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let an Arrow batch hold at most ``rows`` rows: Spark's 10,000 whole texts take hundreds of MB on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def workers_see_package(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package when it is not installed."""
+    """Let Python workers on this machine import the package when it is not installed, and take texts in small batches."""
+    bounded_batches(spark)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
