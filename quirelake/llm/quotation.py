@@ -4,7 +4,11 @@ A line's quote level is the number of '>' marks before its text. A message's own
 lines are those of level 0, without the line that announces a quote. Quoted
 lines are passages: folded to lower case, with one space for each run of other
 characters than letters and digits, and hashed. A passage belongs to the first
-message of its conversation that wrote it; a message answers the earlier
+message of its conversation that wrote it as a line. A quoted line that nobody
+wrote as one, because it was wrapped anew or quotes a part, belongs to the first
+message whose own words hold it: its words alone where they are RUN or more;
+else with those after or before it in its quote, RUN in all (or the whole quote,
+if shorter); else alone, from three words up. A message answers the earlier
 message that most of its level-1 passages come from (the latest of equals),
 one that quotes nothing answers the turn before, if there is one. Links give
 each message its thread's first turn and its depth, by doubling the links that
@@ -29,6 +33,7 @@ from quirelake.llm.common import lookup, written
 MARKS = r"^(?:[ \t]*>)+"
 ANNOUNCES = r"(?i)(wrote|writes|said|says|schrieb|a écrit|escribió)\s*:\s*$"
 KEY = ["conv_id", "turn"]
+RUN = 8
 
 
 def folded(c: Column) -> Column:
@@ -58,12 +63,63 @@ def passages(messages: DataFrame) -> DataFrame:
     return rows.select(*KEY, "level", F.xxhash64("words", F.length("words")).alias("passage"))
 
 
+def spans(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, level, passage (hash) and nth of every quoted line, with each run of words (span) that may tell its origin.
+
+    Successive lines of one level are one quote; the smallest nth counts.
+    """
+    some = messages.where(F.contains("text", F.lit(">"))).select(F.monotonically_increasing_id().alias("id"), *KEY, "lines")
+    rows = written(some.select("id", *KEY, F.posexplode("lines").alias("i", "l")).select("id", *KEY, "i", "l.level", folded(F.col("l.body")).alias("words")), "quotes")
+    own = Window.partitionBy("id").orderBy("i")
+    rows = rows.withColumn("opens", (F.col("level") != F.lag("level", 1, -1).over(own)).cast("int")).withColumn("quote", F.sum("opens").over(own))
+    rows = rows.where("level > 0 AND words <> ''").withColumn("words", F.split("words", " "))
+    before = Window.partitionBy("id", "quote").orderBy("i")
+    rows = rows.withColumn("start", F.sum(F.size("words")).over(before) - F.size("words"))
+    whole = rows.groupBy("id", "quote").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x.words)).alias("all"))
+    n, total = F.size("words"), F.size("all")
+    after = F.slice("all", F.greatest(F.lit(0), F.least("start", total - RUN)) + 1, F.lit(RUN))
+    ahead = F.slice("all", F.greatest(F.lit(0), F.col("start") + n - RUN) + 1, F.lit(RUN))
+    ways = F.when(n >= RUN, F.array("words")).otherwise(F.concat(F.array(after, ahead), F.when(n >= 3, F.array("words")).otherwise(F.expr("array()"))))
+    text = F.array_join("words", " ")
+    out = rows.join(whole, ["id", "quote"]).select(*KEY, "level", F.xxhash64(text, F.length(text)).alias("passage"), F.posexplode(ways).alias("nth", "span"))
+    return out.select(*KEY, "level", "passage", "nth", F.size("span").alias("n"), F.array_join("span", " ").alias("span"), F.array_join(F.slice("span", 1, RUN), " ").alias("head"))
+
+
+def holders(messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """conv_id, span, origin: the first turn whose own words hold each span that is asked for.
+
+    Own words are met at the spans' first RUN words; only there longer runs are made, one for each length asked.
+    """
+    widths = asked.groupBy("conv_id").agg(F.collect_set(F.least("n", F.lit(RUN))).alias("widths"))  # at most RUN numbers
+    own = lookup(messages.select(*KEY, folded(own_text(F.col("lines"))).alias("words")).where("words <> ''"), widths, ["conv_id"]).where("widths IS NOT NULL")
+    own = written(own.select(F.monotonically_increasing_id().alias("id"), *KEY, F.split("words", " ").alias("words"), "widths"), "own")
+    places = F.expr("flatten(transform(filter(widths, w -> w <= size(words)), w -> transform(sequence(0, size(words) - w), p -> struct(w, p, array_join(slice(words, p + 1, w), ' ') AS head))))")
+    places = own.select("id", *KEY, F.explode(places).alias("p")).select("id", *KEY, "p.*")
+    short = places.groupBy("conv_id", F.col("head").alias("span")).agg(F.min("turn").alias("origin"))
+    longer = asked.where(F.col("n") > RUN).groupBy("conv_id", "head").agg(F.collect_set("n").alias("lengths"))  # at most the lengths of a line
+    met = lookup(places.where(F.col("w") == RUN).drop("w"), longer, ["conv_id", "head"]).select("id", "p", F.explode("lengths").alias("n"))
+    run = met.join(own.select("id", *KEY, "words"), "id").where("p + n <= size(words)").select(*KEY, F.expr("array_join(slice(words, p + 1, n), ' ')").alias("span"))
+    return short.unionByName(run.groupBy("conv_id", "span").agg(F.min("turn").alias("origin")))
+
+
+def further_origins(messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """conv_id, turn, level, passage, held: the earlier turn whose words hold a quoted line."""
+    spans_held = holders(messages, asked).join(asked.select("conv_id", "span").distinct(), ["conv_id", "span"], "left_semi")
+    found = lookup(asked.select(*KEY, "level", "passage", "nth", "span"), written(spans_held, "held"), ["conv_id", "span"]).where("origin < turn")
+    return found.groupBy(*KEY, "level", "passage").agg(F.min(F.struct("nth", "origin")).alias("held")).select(*KEY, "level", "passage", F.col("held.origin").alias("held"))
+
+
 def reply_links(messages: DataFrame) -> DataFrame:
     """One row per (conv_id, turn): parent turn or null, quoted passages, and those linked."""
     told = written(passages(messages), "passages")
     first = told.where("level = 0").groupBy("conv_id", "passage").agg(F.min("turn").alias("origin"))
     quoted = told.where("level > 0").groupBy(*KEY, "level", "passage").agg(F.count("*").alias("n"))
     found = lookup(quoted, first, ["conv_id", "passage"]).withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    if not quoted.isEmpty():
+        found = written(found, "found")
+        lost = found.where("origin IS NULL").select(*KEY, "level", "passage")
+        asked = written(spans(messages).join(lost, [*KEY, "level", "passage"], "left_semi"), "spans")
+        found = lookup(found, written(further_origins(messages, asked), "further"), [*KEY, "level", "passage"]).withColumn("origin", F.coalesce("origin", "held"))
     votes = found.groupBy(*KEY, "origin").agg(F.sum(F.when(F.col("level") == 1, F.col("n")).otherwise(0)).alias("votes"), F.sum("n").alias("n"))
     real = F.when(F.col("origin").isNotNull() & (F.col("votes") > 0), F.struct("votes", "origin"))
     best = votes.groupBy(*KEY).agg(F.max(real).alias("best"), F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("origin").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"))

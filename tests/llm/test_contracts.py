@@ -261,6 +261,25 @@ def test_quotes_link_to_what_they_quote(spark):
     assert (got["d", 7].parent_turn, got["d", 7].n_linked) == (None, 0)
 
 
+def test_wrapped_and_partial_quotes_link(spark):
+    long = "The tide turns at nine and the harbour master wants every boat out of the inner basin before the lock is shut for the night. Bring the lamp."
+    talk = [
+        ("c", 0, "user", long + "\nAnd a rope."),
+        ("c", 1, "bot", "Noted, the boat is ready."),
+        ("c", 2, "user", "Nothing of that."),
+        ("c", 3, "bot", "> The tide turns at nine and the harbour master wants every boat out\n> of the inner basin before the lock is shut for the\n> night.\nWhy?"),
+        ("c", 4, "user", "Fine."),
+        ("c", 5, "bot", "> Bring the lamp.\nWhich?"),
+        ("c", 6, "bot", "> the harbour master wants every boat out of the inner basin before the lock\n\nDoes he?"),
+        ("c", 7, "bot", ">> shut for the night. Bring the lamp. And a\n>> rope.\n> which\nNo."),
+        ("c", 8, "bot", "> The tide turns at nine and the harbour master wants no boat at all\n> the\nNo."),
+    ]
+    rows = spark.createDataFrame(talk * 2, "conv_id string, turn long, role string, text string")
+    got = {r.turn: r for r in quotation.reply_ordered(rows).collect()}
+    assert [(got[k].parent_turn, got[k].n_quoted, got[k].n_linked) for k in (3, 5, 6, 7, 8)] == [(0, 6, 6), (0, 2, 2), (0, 2, 2), (5, 6, 6), (7, 4, 0)]
+    assert (got[3].root_turn, got[3].depth, got[7].depth) == (0, 1, 2)
+
+
 def test_threads_cross_blocks_of_turns(spark):
     rng = random.Random(4)
     parents = [None] + [k - 1 if rng.random() < 0.97 else rng.randrange(k) for k in range(1, 1500)]
