@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +34,61 @@ def inside_hidden(path: Column) -> Column:
     return path.rlike(r"(^|/)\.[^/]+/")
 
 
+def left_out(name: str, directory: bool) -> bool:
+    """Whether Spark leaves out a name for its underscore; it enters directories named like Parquet's summary files."""
+    return name.startswith("_") and "=" not in name and not (directory and name.startswith(("_metadata", "_common_metadata")))
+
+
+def underscored(spark: SparkSession, root: str) -> tuple[list[str], str | None]:
+    """Directories below root to read besides it, and a folder with copies of the files that Spark would leave out.
+
+    In the copies' folder each name on the way from root has an "n" before it.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    top = hadoop.fs.Path(root)
+    fs = top.getFileSystem(conf)
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
+    more, copies, rest = [], None, [(top, "")]
+    while rest:
+        folder, way = rest.pop()
+        entries = fs.listStatusIterator(folder)
+        while entries.hasNext():
+            entry = entries.next()
+            name = entry.getPath().getName()
+            if name.startswith("."):
+                continue
+            if entry.isDirectory():
+                rest.append((entry.getPath(), f"{way}/n{name}"))
+                if left_out(name, True):
+                    more.append(re.sub(r"([\\\[\]{}*?])", r"\\\1", entry.getPath().toString()))
+            elif left_out(name, False):
+                copies = copies or f"{shared}/quirelake-{uuid.uuid4().hex}"
+                to = hadoop.fs.Path(f"{copies}{way}/n{name}")
+                hadoop.fs.FileUtil.copy(fs, entry.getPath(), to.getFileSystem(conf), to, False, conf)
+    if copies:
+        made = hadoop.fs.Path(copies)
+        made.getFileSystem(conf).deleteOnExit(made)
+    return more, copies
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to root) and text of every file below root, line ends as they are.
 
-    Spark's listing leaves out names that start with a dot or an underscore.
+    Names that start with a dot, and what is inside such directories, are left out.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
-    base = root.rstrip("/").removeprefix("file://") + "/"
+    more, copies = underscored(spark, root)
     full = F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))")
-    return files.select(F.substring_index(full, base, -1).alias("path"), F.col("value").alias("text"))
+
+    def read(paths: list[str], base: str) -> DataFrame:
+        files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
+        base = base.rstrip("/").removeprefix("file://") + "/"
+        return files.select(F.substring_index(full, base, -1).alias("path"), F.col("value").alias("text"))
+
+    files = read([root, *more], root)
+    if copies:
+        files = files.unionByName(read([copies], copies).withColumn("path", F.regexp_replace("path", "(^|/)n", "$1")))
+    return files
 
 
 def normalize_mappings(mappings: DataFrame) -> DataFrame:

@@ -127,3 +127,12 @@ def test_context_takes_trusted_sources(spark):
         spark.createDataFrame([(1, "n.md"), (1, "r.md")], "request_id int, path string"),
     )
     assert {r.path for r in got.collect() if r.included} == {"g.md", "n.md"}
+
+
+def test_read_tree_keeps_underscored_names(spark, tmp_path):
+    made = {"chapters/one.md": "1\r\n1\r\n", "_drafts/two.md": "2", "_drafts/_old/three.md": "3", "notes/_n b+c.md": "4", "_top.md": "5", "_d[1]/_new.md": "6", "_metadata.md": "7", "_metadata_x/y.md": "10", "notes/n.md": "8", ".git/x.md": "9"}
+    for path, text in made.items():
+        (tmp_path / "root" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / path).write_bytes(text.encode())
+    want = sorted((p, t) for p, t in made.items() if not p.startswith("."))
+    assert sorted((r.path, r.text) for r in files.read_tree(spark, str(tmp_path / "root")).collect()) == want
