@@ -7,10 +7,11 @@ connected components by joins.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import weakref
 import zlib
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,27 +37,69 @@ def crc32_text(value: object) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a private one only where that is unset."""
+    """A new folder below spark.checkpoint.dir; where that is unset, a private one, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.environ.get("QUIRELAKE_TEST_DIR") or str(Path(tempfile.gettempdir()) / "checkpoints")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = str(Path(tempfile.gettempdir()) / "checkpoints")
     return f"{base.rstrip('/')}/quirelake-{uuid.uuid4().hex}"
 
 
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, what: str = "table", **options: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
-    A lost executor then costs only the tasks it ran. The files go when the
-    application ends.
+    A lost executor then costs only the tasks it ran. Shuffle files of the
+    write go with it; the table goes by ``drop``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}"
-    schema = df.schema
-    df.write.options(**options).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    schema, key = df.schema, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    where, fs = _path(spark, path)
+    fs.deleteOnExit(where)
+    table = spark.read.schema(schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables whose last reader has itself been written."""
+    for table in tables:
+        where, fs = _path(table.sparkSession, _PATHS.pop(table))
+        fs.delete(where, True)
+
+
+def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few longs a row, marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow for functions of this package, in small batches."""
+    workers_see_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import crc32_text, written
+from quirelake.llm.common import crc32_text, mapped, written
 
 EDGE = 0xFF
 END = b""
@@ -80,7 +80,7 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, doc_ids array<long>, texts array<string>")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "block long, doc_ids array<long>, texts array<string>")
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
@@ -187,7 +187,7 @@ def count_blocks(made: DataFrame, depth: int, mod: int, rest: int, shards: int)
                 kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[block] * len(cols[0]), *cols], kinds, strict=True)], names=["block", "shard", "wk", "wn", "gk", "gn"])
 
-    return made.mapInArrow(run, "block long, shard int, wk binary, wn binary, gk binary, gn binary")
+    return mapped(made, run, "block long, shard int, wk binary, wn binary, gk binary, gn binary")
 
 
 class Nodes:
@@ -287,7 +287,7 @@ def shard_totals(shards: DataFrame, depth: int) -> DataFrame:
                 cols = [np.append(node, -1), *(np.append(s[node], x) for s, x in zip(sums, (n.sum(), (n > 0).sum(), 0), strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "zeros", "ones", "children"])
 
-    each = shards.select("parts").mapInArrow(run, "node long, zeros double, ones double, children double")
+    each = mapped(shards.select("parts"), run, "node long, zeros double, ones double, children double")
     return each.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("children").alias("children"))
 
 
@@ -316,7 +316,7 @@ def shard_values(shards: DataFrame, depth: int, top: dict[str, np.ndarray]) -> D
                 cols += [pa.array([packed(w) for w in words], pa.binary()), pa.array([packed(s.view(np.int32)) for s in scores], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["block", "shard", "wv", "gv"])
 
-    return shards.select("shard", "parts").mapInArrow(run, "block long, shard int, wv binary, gv binary")
+    return mapped(shards.select("shard", "parts"), run, "block long, shard int, wv binary, gv binary")
 
 
 class Table:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import ASCII_UPPER, written
+from quirelake.llm.common import ASCII_UPPER, mapped, written
 
 #: Word characters: digits, a-z, and everything beyond ASCII.
 FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in bytes(range(256)).lower())
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, segment_words:
             yield seal(base + made, ids, sizes, parts, known)
 
     schema = "segment long, doc_ids array<long>, sizes array<int>, terms array<string>, counts array<int>, postings binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def frequencies(index: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]], slack:
             for row in range(batch.num_rows):
                 yield answer(*(batch.column(k)[row] for k in range(6)), shared.value, slack)
 
-    return index.select("segment", "doc_ids", "sizes", "terms", "counts", "postings").mapInArrow(run, FOUND)
+    return mapped(index.select("segment", "doc_ids", "sizes", "terms", "counts", "postings"), run, FOUND)
 
 
 def answer(segment, doc_ids, sizes, terms, counts, postings, plans: dict, slack: int) -> pa.RecordBatch:

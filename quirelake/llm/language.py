@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import crc32_mod
+from quirelake.llm.common import crc32_mod, mapped
 
 STRETCH = 1024
 #: Texts are parsed in groups of about this many characters.
@@ -220,7 +220,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(sure), pa.array(rate)], names=[*keep, "lang_pred", "score", "phrase_rate"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, phrase_rate double"
-    return docs.select(*fields).mapInArrow(score, schema)
+    return mapped(docs.select(*fields), score, schema)
 
 
 def identify(docs: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2) -> DataFrame:

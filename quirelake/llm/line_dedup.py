@@ -1,21 +1,29 @@
 """Line dedup by a segment-partition edit join (operator 2), DataFrame functions only.
 
-Equal lines are one entry. Two entries within ``tau`` edits share, somewhere,
-one of the tau + 1 even segments of the shorter one unchanged: every entry puts
-its segments into an index by length and segment number, and probes the index,
-for each length that may match, with the few substrings that can stand at a
+Equal lines are one entry. How many edits two lines may differ in follows the
+shorter one's length: ``STEPS`` gives one edit from 10 characters on, two from
+30, none below. Two entries within ``tau`` edits share, somewhere, one of the
+tau + 1 even segments of the shorter one unchanged: every entry puts its
+segments into an index by length and segment number, and probes the index, for
+each length that may match, with the few substrings that can stand at a
 segment's place (positions limited by the edits that the left and the right
-side may still hold). A segment shared by many entries is refined: of the two
-sides beside it one holds at most half of the edits, so its even parts are
-matched as well, and a crowded bucket falls into small ones.
+side may still hold).
+
+Entries of a segment that more than ``crowd`` entries share are keyed anew by
+nearly all of the line: of ``PARTS`` even parts at most tau are touched, so two
+entries within reach agree on everything but one pair of parts, one or two
+stretches that hold the edits. A crowded key of that kind is refined again
+within its stretches, level by level, until they are no longer than the edits
+they may hold; what meets there differs in those few characters only, so
+candidates stay close to the true links however large a group of variants is.
+Only keys and ids are shuffled; texts move for candidates alone.
 
 Candidates lose their common prefix and suffix (binary search over prefixes)
 and are verified by a banded bit-parallel edit distance: one machine word holds
 the vertical differences of the 2 tau + 1 diagonals in the band.
 
 Linked entries form classes; the first line of a class (by doc_id, then line
-number) stays. Lines of fewer than ``least`` characters are compared exactly
-only; blank lines are not compared and not returned.
+number) stays. Blank lines are not compared and not returned.
 
 Defined cases: a null text has no lines; a null doc_id is smallest; repeated
 rows are copies, of which one row's line stays; an empty table gives an empty
@@ -24,10 +32,15 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import components, lookup, written
+from quirelake.llm.common import components, drop, lookup, small, written
+
+#: Least length of a line, and the edits that are allowed from there on.
+STEPS = ((10, 1), (30, 2))
+#: Parts of a stretch that holds two edits, and of one that holds one.
+PARTS = {2: 8, 1: 4}
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -54,56 +67,135 @@ def tried(rows: DataFrame, ways: list[tuple[int, ...]], names: str, parts: int,
     return rows.where(f"length >= 0 AND place >= 1 AND place + width - 1 <= length({text})")
 
 
-KEY = "xxhash64(length, k, substring(line, place, width))"
+def bands() -> list[tuple[int, int, int]]:
+    """(edits, least length, most length) of the shorter line."""
+    tops = [least - 1 for least, _ in STEPS[1:]] + [(1 << 31) - 1]
+    return [(tau, least, top) for (least, tau), top in zip(STEPS, tops, strict=True)]
+
 
+def allowed(length: Column) -> Column:
+    """The edits that a pair may differ in, by the length of its shorter line."""
+    out = F.lit(0)
+    for least, tau in STEPS:
+        out = F.when(length >= least, tau).otherwise(out)
+    return out
 
-def index_rows(entries: DataFrame, tau: int) -> DataFrame:
-    """key, id, at, size: a segment's key, its entry, and its place there."""
-    ways = [(0, k, 0) for k in range(tau + 1)]
-    return tried(entries.select("id", "line"), ways, "shorter k move", tau + 1).selectExpr(f"{KEY} AS key", "id", "place AS at", "width AS size")
 
+def index_rows(entries: DataFrame) -> DataFrame:
+    """key, id: a segment's key and its entry."""
+    out = None
+    for tau, least, top in bands():
+        own = entries.where(F.length("line").between(least, top)).select("id", "line")
+        rows = tried(own, [(0, k, 0) for k in range(tau + 1)], "shorter k move", tau + 1)
+        rows = rows.selectExpr(f"xxhash64({tau}, length, k, substring(line, place, width)) AS key", "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-def probe_rows(entries: DataFrame, tau: int) -> DataFrame:
-    """key, id, at, size: the substrings of an entry that may equal a segment of an entry not longer.
+
+def probe_rows(entries: DataFrame) -> DataFrame:
+    """key, id: the substrings of an entry that may equal a segment of an entry not longer.
 
     The left side holds at most k edits, seen from the left, the right side
     tau - k, seen from the right; that limits how far a segment may move.
     """
-    ways = [
-        (shorter, k, move)
-        for shorter in range(tau + 1)
-        for k in range(tau + 1)
-        for move in range(max(-k, shorter - (tau - k)), min(k, shorter + (tau - k)) + 1)
-    ]
-    return tried(entries.select("id", "line"), ways, "shorter k move", tau + 1).selectExpr(f"{KEY} AS key", "id", "place AS at", "width AS size")
+    out = None
+    for tau, least, top in bands():
+        ways = [
+            (shorter, k, move)
+            for shorter in range(tau + 1)
+            for k in range(tau + 1)
+            for move in range(max(-k, shorter - (tau - k)), min(k, shorter + (tau - k)) + 1)
+        ]
+        own = entries.where(F.length("line").between(least, top + tau if top < 1 << 30 else top)).select("id", "line")
+        rows = tried(own, ways, "shorter k move", tau + 1).where(F.col("length").between(least, top))
+        rows = rows.selectExpr(f"xxhash64({tau}, length, k, substring(line, place, width)) AS key", "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def whole(entries: DataFrame, moves: bool) -> DataFrame:
+    """The stretch that a line is to begin with: x, the length xn that it has in the index, and its edits xe; no second one."""
+    out = None
+    for tau, least, top in bands():
+        own = entries.select("id", "line", F.explode(F.array(*map(F.lit, range(tau + 1 if moves else 1)))).alias("shorter"))
+        rows = own.selectExpr(f"xxhash64({tau}, length(line) - shorter) AS key", "id", "line AS x", "length(line) - shorter AS xn", f"{tau} AS xe", "'' AS y", "0 AS yn", "0 AS ye")
+        rows = rows.where(F.col("xn").between(least, top))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def ways_of(rows: DataFrame, ways: list[tuple[int, ...]]) -> DataFrame:
+    each = ", ".join(f"struct({', '.join(map(str, w))})" for w in ways)
+    return rows.withColumn("w", F.explode(F.expr(f"cast(array({each}) as array<struct<p: int, q: int, move: int>>)"))).select(*rows.columns, "w.*")
 
 
-def refined(rows: DataFrame, entries: DataFrame, tau: int, moves: bool) -> DataFrame:
-    """Split crowded keys by the even parts of the side that holds at most half of the edits.
+def narrowed(rows: DataFrame, moves: bool) -> DataFrame:
+    """Rows (key, id, x, xn, xe, y, yn, ye) with shorter stretches, and keys that also hold all that is left out of them.
 
-    A side's parts are one more than its edits; probes (``moves``) also try the
-    places that those edits may shift a part to, and other lengths of the side.
+    A stretch with two edits gives two neighbouring parts with both, or two
+    parts apart with one each, where probes (``moves``) try how far the text
+    between has moved; a stretch with one edit gives the part that holds it.
     """
-    half = tau // 2
-    shifts = range(-half, half + 1) if moves else (0,)
-    ways = [(side, shift, k, move) for side in (0, 1) for shift in shifts for k in range(half + 1) for move in shifts]
-    text = rows.join(entries.select("id", "line"), "id").selectExpr("key", "id", "array(left(line, at - 1), substring(line, at + size)) AS sides")
-    text = text.withColumn("line", F.explode(F.expr("transform(sides, (x, i) -> struct(i AS own, x AS part))"))).selectExpr("key", "id", "line.own", "line.part AS line")
-    parts = tried(text, ways, "side shorter k move", half + 1).where("own = side")
-    return parts.selectExpr("id", "xxhash64(key, side, length, k, substring(line, place, width)) AS key").distinct()
-
-
-def candidates(entries: DataFrame, tau: int, crowd: int = 64) -> DataFrame:
-    """Pairs a != b of entries that share an indexed segment, each once."""
-    index, probe = index_rows(entries, tau), probe_rows(entries, tau)
-    crowded = written(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
-    few = index.join(crowded, "key", "left_anti").select("key", F.col("id").alias("a"))
-    pairs = few.join(probe.select("key", F.col("id").alias("b")), "key")
-    many_index = refined(index.join(crowded, "key", "left_semi"), entries, tau, moves=False)
-    many_probe = refined(probe.join(crowded, "key", "left_semi"), entries, tau, moves=True)
-    pairs = pairs.select("a", "b").unionByName(many_index.select("key", F.col("id").alias("a")).join(many_probe.select("key", F.col("id").alias("b")), "key").select("a", "b"))
-    once = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return once.distinct()
+    many = PARTS[2]
+    beside = [(p, p + 1, 0) for p in range(many - 1)]
+    apart = [(p, q, s) for p in range(many) for q in range(p + 2, many) for s in ((-1, 0, 1) if moves else (0,))]
+    two = ways_of(rows.where("xe = 2"), beside + apart)
+    (sp, zp), (sq, zq) = segment("xn", "p", many), segment("xn", "q", many)
+    two = two.selectExpr("*", f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"cast({zq} as int) AS zq", "length(x) - xn AS more")
+    near = two.where("q = p + 1 AND zp + zq + more >= 0").selectExpr(
+        "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sq - zq + 1)) AS key", "id", "substring(x, sp, zp + zq + more) AS x", "zp + zq AS xn", "2 AS xe", "'' AS y", "0 AS yn", "0 AS ye"
+    )
+    far = two.where("q > p + 1 AND abs(more - move) <= 1 AND zp + move >= 0 AND zq + more - move >= 0").selectExpr(
+        "xxhash64(key, p, q, left(x, sp - 1), substring(x, sp + zp + move, sq - sp - zp), right(x, xn - sq - zq + 1)) AS key",
+        "id", "substring(x, sp, zp + move) AS x", "zp AS xn", "1 AS xe", "substring(x, sq + move, zq + more - move) AS y", "zq AS yn", "1 AS ye",
+    )
+    few = PARTS[1]
+    (sp, zp), (sq, zq) = segment("xn", "p", few), segment("yn", "q", few)
+    one = ways_of(rows.where("xe = 1"), [(p, q, 0) for p in range(few) for q in range(few)]).where("ye = 1 OR q = 0")
+    one = one.selectExpr("*", f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"IF(ye = 0, 0, cast({zq} as int)) AS zq", "length(x) - xn AS more", "length(y) - yn AS also")
+    one = one.where("zp + more >= 0 AND zq + also >= 0").selectExpr(
+        "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sp - zp + 1), IF(ye = 0, '', left(y, sq - 1)), IF(ye = 0, '', right(y, yn - sq - zq + 1))) AS key",
+        "id", "substring(x, sp, zp + more) AS x", "zp AS xn", "xe", "IF(ye = 0, '', substring(y, sq, zq + also)) AS y", "zq AS yn", "ye",
+    )
+    return near.unionByName(far).unionByName(one)
+
+
+def candidates(entries: DataFrame, crowd: int = 16) -> DataFrame:
+    """Pairs a < b of entries that share a key, each once; a written table."""
+    index, probe, final = index_rows(entries), probe_rows(entries), F.lit(False)
+    found: list[DataFrame] = []
+    held: list[DataFrame] = []
+    while True:
+        crowded = written(index.where(~final).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
+        few = small(crowded)
+        a = index.join(few, "key", "left_anti").select("key", F.col("id").alias("a"))
+        b = probe.select("key", F.col("id").alias("b"))
+        pairs = a.join(b, (a.key == b.key) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found.append(written(pairs.distinct(), f"pairs{len(found)}"))
+        if crowded.isEmpty():
+            break
+        rows = [r.join(few, "key", "left_semi") for r in (index, probe)]
+        if len(found) == 1:
+            own = [written(r.select("id").distinct(), "crowd") for r in rows]
+            more = [written(entries.select("id", "line").join(small(ids), "id", "left_semi"), "crowd") for ids in own]
+            drop(*own)
+            index, probe = (whole(t, moves) for t, moves in zip(more, (False, True), strict=True))
+        else:
+            more = [written(r, "crowd") for r in rows]
+            index, probe = more
+        drop(*held, crowded)
+        held = more
+        index, probe = narrowed(index, False), narrowed(probe, True)
+        final = (F.col("xn") <= F.col("xe")) & (F.col("yn") <= F.col("ye"))
+    drop(*held, crowded)
+    if len(found) == 1:
+        return found[0]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    every = written(every.distinct(), "pairs")
+    drop(*found)
+    return every
 
 
 def common_prefix(a: str, b: str) -> str:
@@ -149,28 +241,37 @@ def with_distance(pairs: DataFrame, tau: int) -> DataFrame:
     return stage(pairs, distance=banded_distance("x", "y", tau)).drop("x", "y", "same")
 
 
-def edit_links(entries: DataFrame, tau: int) -> DataFrame:
-    """a, b, distance of entries (id, line) within tau edits."""
-    text = entries.select("id", "line")
-    pairs = candidates(entries, tau).join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+def edit_links(entries: DataFrame) -> DataFrame:
+    """a, b, distance of entries (id, line) within the edits that their length allows; a written table."""
+    most = max(tau for _, tau in STEPS)
+    found = candidates(entries)
+    asked = written(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    text = written(entries.select("id", "line").join(small(asked), "id", "left_semi"), "texts", compression="zstd")
+    pairs = found.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     pairs = pairs.join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    pairs = pairs.where(F.abs(F.length("x") - F.length("y")) <= tau)
-    return with_distance(pairs, tau).where(F.col("distance") <= tau).select("a", "b", "distance")
+    pairs = pairs.withColumn("most", allowed(F.least(F.length("x"), F.length("y"))))
+    pairs = pairs.where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
+    links = written(with_distance(pairs, most).where(F.col("distance") <= F.col("most")).select("a", "b", "distance"), "links")
+    drop(found, asked, text)
+    return links
 
 
-def line_dedup(docs: DataFrame, tau: int = 2, least: int = 30) -> DataFrame:
+def line_dedup(docs: DataFrame) -> DataFrame:
     """Every line with its class (the class's first line), copies, links and whether it stays."""
     key = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
     entries = lines(docs).groupBy("line").agg(F.count("*").alias("n_copies"))
     entries = written(entries.select(F.monotonically_increasing_id().alias("id"), "line", "n_copies"), "lines", compression="zstd")
-    links = written(edit_links(entries.where(F.length("line") >= least), tau), "links")
+    links = edit_links(entries)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     linked = components(links.select("a", "b")).join(degree, "id")
     known = entries.select("id", "n_copies", *key).join(linked, "id", "left")
     known = known.where("n_copies > 1 OR n_links > 0").select("h1", "h2", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("class"))
+    known = written(known, "known")
+    drop(entries, links)
     each = lines(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id")).select(F.struct("doc_id", "row_id").alias("doc_id"), "text"))
     each = each.select("doc_id", "line_no", *key)
-    each = written(lookup(each, written(known, "known"), ["h1", "h2"]).select("doc_id", "line_no", "n_copies", "n_links", "class"), "each")
+    each = written(lookup(each, known, ["h1", "h2"]).select("doc_id", "line_no", "n_copies", "n_links", "class"), "each")
+    drop(known)
     first = each.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     out = lookup(each, first, ["class"])
     alone = F.col("class").isNull()
@@ -189,9 +290,9 @@ ORACLE = """
 WITH RECURSIVE occ AS (
   SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
   WHERE trim(ls[i], ' ' || chr(9) || chr(13)) <> ''),
-d AS (SELECT line, count(*) AS n_copies, min(doc_id * 1000000 + line_no) AS id FROM occ GROUP BY line),
-link AS (SELECT a.id AS a, b.id AS b FROM (SELECT * FROM d WHERE length(line) >= 30) a JOIN (SELECT * FROM d WHERE length(line) >= 30) b
-         ON length(b.line) BETWEEN length(a.line) - 2 AND length(a.line) + 2 AND a.id <> b.id AND levenshtein(a.line, b.line) <= 2),
+d AS (SELECT line, count(*) AS n_copies, min(doc_id * 1000000 + line_no) AS id, length(line) AS n FROM occ GROUP BY line),
+link AS (SELECT a.id AS a, b.id AS b FROM (SELECT * FROM d WHERE n >= 10) a JOIN (SELECT * FROM d WHERE n >= 10) b
+         ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.id <> b.id AND levenshtein(a.line, b.line) <= CASE WHEN least(a.n, b.n) >= 30 THEN 2 ELSE 1 END),
 reach AS (SELECT a AS id, a AS other FROM link UNION SELECT r.id, l.b FROM reach r JOIN link l ON r.other = l.a),
 cls AS (SELECT id, min(other) AS class FROM reach GROUP BY id),
 deg AS (SELECT a AS id, count(*) AS n_links FROM link GROUP BY a)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import written
+from quirelake.llm.common import mapped, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _TOKENIZERS: dict[str, object] = {}
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: st
             yield pa.RecordBatch.from_arrays(cols, names=list(rows)[: len(cols)])
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), cut, schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -226,7 +226,7 @@ def place(cut: DataFrame, capacity: int = 4096, per_rank_group: int = 50_000) ->
             yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(hit[:, 4])], names=[*(n for n in names if n != "_rank"), "sequence_id", "offset"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(assign, f"{kinds}, sequence_id long, offset long")
+    return mapped(ranked, assign, f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str = "word_bpe_49k.json", with_ids: bool = False) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import crc32_mod, written
+from quirelake.llm.common import crc32_mod, mapped, written
 
 ROWS, DIM, NONZERO = 1 << 15, 32, 4
 FLAT = 1 << 19
@@ -120,7 +120,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             own = row[lo : lo + 8192]
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(table[own, k].astype(np.float32)) for k in range(DIM))], names=["row", *names])
 
-    parts = docs.select("text").mapInArrow(run, "row int, " + ", ".join(f"{n} float" for n in names))
+    parts = mapped(docs.select("text"), run, "row int, " + ", ".join(f"{n} float" for n in names))
     sums = parts.groupBy("row").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # at most ROWS rows
     out = np.zeros((ROWS, DIM), dtype=np.float32)
     out[sums["row"].to_numpy(dtype=np.int64)] = sums[names].to_numpy(dtype=np.float32)
@@ -215,7 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     known = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
-    rows = known.mapInArrow(take, "doc_id long, y int, x array<double>").orderBy(draw, "y", "x").limit(sample_rows).collect()  # at most sample_rows
+    rows = mapped(known, take, "doc_id long, y int, x array<double>").orderBy(draw, "y", "x").limit(sample_rows).collect()  # at most sample_rows
     x = np.array([r["x"] for r in rows], dtype=float).reshape(-1, FEATURES)
     net = context.broadcast(train(x, np.array([r["y"] for r in rows], dtype=float)))
 
@@ -224,5 +224,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_
             p = [net.value.probability(features(_bytes(batch.column(1)[at : at + 1024]), *shared.value)) for at in range(0, batch.num_rows, 1024)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *p]))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
+    scored = mapped(docs.select(F.col("doc_id").cast("long"), "text"), score, "doc_id long, score double")
     return scored.select("doc_id", (crc32_mod(F.col("doc_id"), mod) == rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import components, lookup, written
+from quirelake.llm.common import components, lookup, mapped, written
 
 LANES = np.uint64(0x0101010101010101)
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, also: tuple[st
             fp = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *also).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in also))
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text", *also), run, "doc_id long, fp long" + "".join(f", {c} long" for c in also))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -152,7 +152,7 @@ def links(fps: DataFrame, limit: int = 2, node_rows: int = 2048, most_nodes: int
             node = np.searchsorted(bounds, batch.column(1).to_numpy(), side="left").astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node)], names=["fp", "node"])
 
-    members = written(ranked.mapInArrow(locate, "fp long, node int"), "members")
+    members = written(mapped(ranked, locate, "fp long, node int"), "members")
     common = members.groupBy("node").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")).orderBy("node").collect()  # at most most_nodes rows
     ids = np.array([r["node"] for r in common], dtype=np.int32)
     low = np.array([r["low"] for r in common], dtype=np.int64).view(np.uint64)
@@ -168,7 +168,7 @@ def links(fps: DataFrame, limit: int = 2, node_rows: int = 2048, most_nodes: int
                 q, node = q[onward], ids[entry[onward]]
                 yield pa.RecordBatch.from_arrays([pa.array(fp[q]), pa.array(node), pa.array(node == own[q])], names=["fp", "node", "own"])
 
-    routed = written(members.mapInArrow(route, "fp long, node int, own boolean"), "routed")
+    routed = written(mapped(members, route, "fp long, node int, own boolean"), "routed")
     shares = routed.groupBy("node").agg(F.ceil(F.count("*") / per_task).cast("int").alias("shares"))
     asked = routed.join(F.broadcast(shares), "node").select(  # at most most_nodes rows
         "node", F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int").alias("share"), "fp", "own", F.lit(True).alias("query")

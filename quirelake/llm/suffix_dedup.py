@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import written
+from quirelake.llm.common import mapped, written
 
 GRAM = 32
 #: Bytes handled at once; positions inside must fit the low bits that break ties.
@@ -153,7 +153,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=["doc_id", "row_id", "text", "at", "lo", "hi", "kh", "c1", "c2"])
 
     schema = "doc_id long, row_id long, text string, at array<int>, lo array<int>, hi array<int>, kh array<long>, c1 array<long>, c2 array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row_id"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row_id"), "text"), run, schema)
 
 
 class Suffixes:
@@ -300,7 +300,7 @@ def contexts(table: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.binary()), pa.array(left, pa.int32())], names=[*more, "context", "left"])
 
     assert all(kinds[c] == "bigint" for c in more)
-    return joined.select("text", "own").mapInArrow(run, ", ".join(f"{c} long" for c in more) + ", context binary, left int")
+    return mapped(joined.select("text", "own"), run, ", ".join(f"{c} long" for c in more) + ", context binary, left int")
 
 
 def sorted_repeats(entries: DataFrame, length: int, parts: int) -> DataFrame:
@@ -339,7 +339,7 @@ def counted_repeats(entries: DataFrame, length: int) -> DataFrame:
                 cols = [pa.array([row[c]] * len(js), pa.int64()) for c in (*KEY, "n")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(js, pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1])], names=[*KEY, "n", "j", "w1", "w2"])
 
-    windows = written(entries.select(*KEY, "n", "context", "left").mapInArrow(explode, "kh long, c1 long, c2 long, n long, j int, w1 long, w2 long"), "windows")
+    windows = written(mapped(entries.select(*KEY, "n", "context", "left"), explode, "kh long, c1 long, c2 long, n long, j int, w1 long, w2 long"), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
     hit = windows.join(twice, ["w1", "w2"], "left_semi").groupBy(*KEY).agg(F.collect_list("j").alias("js"))  # at most one per window of a context
     span = F.transform("js", lambda j: F.struct((-j).alias("start"), (F.lit(length) - j).alias("stop")))
@@ -410,4 +410,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, largest_group: int = 20_0
                 cols, names = [*cols, pa.array(kept, pa.binary())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return mapped(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

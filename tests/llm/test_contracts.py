@@ -84,33 +84,40 @@ def test_exact_dedup_survives_clashing_fingerprints(spark, texts):
         assert len(got) == len(texts)
 
 
-def test_line_dedup_links_lines_within_two_edits(spark):
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def close(a, b):
+    n = min(len(a), len(b))
+    most = 2 if n >= 30 else 1 if n >= 10 else 0
+    return abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
+
+def edited(rng, line, times):
+    line = list(line)
+    for _ in range(times):
+        at = rng.randrange(len(line))
+        line[at : at + rng.randrange(2)] = rng.choice(["", "q", "é"])
+    return "".join(line)
+
+
+def test_line_dedup_links_lines_within_their_edits(spark):
     rng = random.Random(2)
-    base = [words(rng, 12) for _ in range(12)]
-    edited = []
-    for line in base * 4:
-        line = list(line)
-        for _ in range(rng.randrange(4)):
-            at = rng.randrange(len(line))
-            line[at : at + rng.randrange(2)] = rng.choice(["", "q", "é"])
-        edited.append("".join(line))
-    made = ["\n".join(edited[k : k + 4]) for k in range(0, len(edited), 4)] + [None, "", "\n \n", "short\nshort"]
+    base = [words(rng, n) for n in (12, 12, 12, 12, 9, 8, 7, 3, 3, 4, 4, 2)] + ["twelve chars", "x" * 29, "x" * 30, "x" * 32, "short one"]
+    own = [edited(rng, line, rng.randrange(4)) for line in base * 4] + base
+    made = ["\n".join(own[k : k + 4]) for k in range(0, len(own), 4)] + [None, "", "\n \n", "short\nshort"]
     got = line_dedup.line_dedup(table(spark, made)).collect()
     at = {(r.doc_id, r.line_no): made[r.doc_id].split("\n")[r.line_no] for r in got}
-    distinct = sorted(set(at.values()))
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    near = {x: {x} for x in distinct}
+    near = {x: {x} for x in at.values()}
     degree = Counter()
-    for a, b in itertools.combinations([x for x in distinct if len(x) >= 30], 2):
-        if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+    for a, b in itertools.combinations(sorted(near), 2):
+        if close(a, b):
             degree[a] += 1
             degree[b] += 1
             joined = near[a] | near[b]
@@ -122,6 +129,21 @@ def test_line_dedup_links_lines_within_two_edits(spark):
         assert ((r.class_doc_id, r.class_line_no), r.n_links, r.kept) == (first, degree[line], first == (r.doc_id, r.line_no))
 
 
+def test_crowded_segments_lose_no_link(spark):
+    rng = random.Random(6)
+    made = set()
+    for n in (4, 9, 26):
+        base = words(rng, n)
+        made |= {edited(rng, base, rng.randrange(4)) for _ in range(70)}
+        made |= {base + f" {k} of {k % 7}" for k in range(40)}
+    made = sorted(made)
+    entries = spark.createDataFrame(list(enumerate(made)), "id long, line string")
+    found = line_dedup.candidates(entries, crowd=2).collect()
+    assert len({(r.a, r.b) for r in found}) == len(found)
+    want = {(a, b) for a, b in itertools.combinations(range(len(made)), 2) if close(made[a], made[b])}
+    assert want and want <= {(r.a, r.b) for r in found}
+
+
 def test_context_tree_counts_and_favours_seen_text(spark, texts):
     got = {r.doc_id: r for r in context_tree.score_documents(table(spark, texts)).collect()}
     split = [bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() + [None] for t in texts]
