@@ -40,7 +40,7 @@ from quirelake.llm.common import components, drop, lookup, small, written
 #: Least length of a line, and the edits that are allowed from there on.
 STEPS = ((10, 1), (30, 2))
 #: Parts of a stretch that holds two edits, and of one that holds one.
-PARTS = {2: 8, 1: 4}
+PARTS = {2: 4, 1: 4}
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -82,18 +82,18 @@ def allowed(length: Column) -> Column:
 
 
 def index_rows(entries: DataFrame) -> DataFrame:
-    """key, id: a segment's key and its entry."""
+    """key, id, length: a segment's key, its entry, and the entry's length."""
     out = None
     for tau, least, top in bands():
         own = entries.where(F.length("line").between(least, top)).select("id", "line")
         rows = tried(own, [(0, k, 0) for k in range(tau + 1)], "shorter k move", tau + 1)
-        rows = rows.selectExpr(f"xxhash64({tau}, length, k, substring(line, place, width)) AS key", "id")
+        rows = rows.selectExpr(f"xxhash64({tau}, length, k, substring(line, place, width)) AS key", "id", "length")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def probe_rows(entries: DataFrame) -> DataFrame:
-    """key, id: the substrings of an entry that may equal a segment of an entry not longer.
+    """key, id, even: the substrings of an entry that may equal a segment of an entry not longer, or (even) as long.
 
     The left side holds at most k edits, seen from the left, the right side
     tau - k, seen from the right; that limits how far a segment may move.
@@ -108,7 +108,7 @@ def probe_rows(entries: DataFrame) -> DataFrame:
         ]
         own = entries.where(F.length("line").between(least, top + tau if top < 1 << 30 else top)).select("id", "line")
         rows = tried(own, ways, "shorter k move", tau + 1).where(F.col("length").between(least, top))
-        rows = rows.selectExpr(f"xxhash64({tau}, length, k, substring(line, place, width)) AS key", "id")
+        rows = rows.selectExpr(f"xxhash64({tau}, length, k, substring(line, place, width)) AS key", "id", "shorter = 0 AS even")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -118,7 +118,7 @@ def whole(entries: DataFrame, moves: bool) -> DataFrame:
     out = None
     for tau, least, top in bands():
         own = entries.select("id", "line", F.explode(F.array(*map(F.lit, range(tau + 1 if moves else 1)))).alias("shorter"))
-        rows = own.selectExpr(f"xxhash64({tau}, length(line) - shorter) AS key", "id", "line AS x", "length(line) - shorter AS xn", f"{tau} AS xe", "'' AS y", "0 AS yn", "0 AS ye")
+        rows = own.selectExpr(f"xxhash64({tau}, length(line) - shorter) AS key", "id", "shorter = 0 AS even", "line AS x", "length(line) - shorter AS xn", f"{tau} AS xe", "'' AS y", "0 AS yn", "0 AS ye")
         rows = rows.where(F.col("xn").between(least, top))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -130,7 +130,7 @@ def ways_of(rows: DataFrame, ways: list[tuple[int, ...]]) -> DataFrame:
 
 
 def narrowed(rows: DataFrame, moves: bool) -> DataFrame:
-    """Rows (key, id, x, xn, xe, y, yn, ye) with shorter stretches, and keys that also hold all that is left out of them.
+    """Rows (key, id, even, x, xn, xe, y, yn, ye) with shorter stretches, and keys that also hold all that is left out of them.
 
     A stretch with two edits gives two neighbouring parts with both, or two
     parts apart with one each, where probes (``moves``) try how far the text
@@ -143,11 +143,11 @@ def narrowed(rows: DataFrame, moves: bool) -> DataFrame:
     (sp, zp), (sq, zq) = segment("xn", "p", many), segment("xn", "q", many)
     two = two.selectExpr("*", f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"cast({zq} as int) AS zq", "length(x) - xn AS more")
     near = two.where("q = p + 1 AND zp + zq + more >= 0").selectExpr(
-        "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sq - zq + 1)) AS key", "id", "substring(x, sp, zp + zq + more) AS x", "zp + zq AS xn", "2 AS xe", "'' AS y", "0 AS yn", "0 AS ye"
+        "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sq - zq + 1)) AS key", "id", "even", "substring(x, sp, zp + zq + more) AS x", "zp + zq AS xn", "2 AS xe", "'' AS y", "0 AS yn", "0 AS ye"
     )
     far = two.where("q > p + 1 AND abs(more - move) <= 1 AND zp + move >= 0 AND zq + more - move >= 0").selectExpr(
         "xxhash64(key, p, q, left(x, sp - 1), substring(x, sp + zp + move, sq - sp - zp), right(x, xn - sq - zq + 1)) AS key",
-        "id", "substring(x, sp, zp + move) AS x", "zp AS xn", "1 AS xe", "substring(x, sq + move, zq + more - move) AS y", "zq AS yn", "1 AS ye",
+        "id", "even", "substring(x, sp, zp + move) AS x", "zp AS xn", "1 AS xe", "substring(x, sq + move, zq + more - move) AS y", "zq AS yn", "1 AS ye",
     )
     few = PARTS[1]
     (sp, zp), (sq, zq) = segment("xn", "p", few), segment("yn", "q", few)
@@ -155,7 +155,7 @@ def narrowed(rows: DataFrame, moves: bool) -> DataFrame:
     one = one.selectExpr("*", f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"IF(ye = 0, 0, cast({zq} as int)) AS zq", "length(x) - xn AS more", "length(y) - yn AS also")
     one = one.where("zp + more >= 0 AND zq + also >= 0").selectExpr(
         "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sp - zp + 1), IF(ye = 0, '', left(y, sq - 1)), IF(ye = 0, '', right(y, yn - sq - zq + 1))) AS key",
-        "id", "substring(x, sp, zp + more) AS x", "zp AS xn", "xe", "IF(ye = 0, '', substring(y, sq, zq + also)) AS y", "zq AS yn", "ye",
+        "id", "even", "substring(x, sp, zp + more) AS x", "zp AS xn", "xe", "IF(ye = 0, '', substring(y, sq, zq + also)) AS y", "zq AS yn", "ye",
     )
     return near.unionByName(far).unionByName(one)
 
@@ -165,23 +165,31 @@ def candidates(entries: DataFrame, crowd: int = 16) -> DataFrame:
     index, probe, final = index_rows(entries), probe_rows(entries), F.lit(False)
     found: list[DataFrame] = []
     held: list[DataFrame] = []
+    most = max(tau for _, tau in STEPS)
     while True:
-        crowded = written(index.where(~final).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
-        few = small(crowded)
-        a = index.join(few, "key", "left_anti").select("key", F.col("id").alias("a"))
-        b = probe.select("key", F.col("id").alias("b"))
-        pairs = a.join(b, (a.key == b.key) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        size = F.min("length").alias("length") if not found else F.lit(0).alias("length")
+        crowded = written(index.where(~final).groupBy("key").agg(F.count("*").alias("n"), size).where(F.col("n") > crowd).select("key", "length"), "crowded")
+        few = small(crowded).select("key")
+        # What is left of the index has no crowded key, so its hash table in a task follows the task's rows.
+        a = index.join(few, "key", "left_anti").select("key", F.col("id").alias("a")).hint("shuffle_hash")
+        b = probe.select("key", F.col("id").alias("b"), "even")
+        # Two entries of one length find each other both ways.
+        once = F.when(F.col("even"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+        pairs = a.join(b, (a.key == b.key) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found.append(written(pairs.distinct(), f"pairs{len(found)}"))
         if crowded.isEmpty():
             break
-        rows = [r.join(few, "key", "left_semi") for r in (index, probe)]
         if len(found) == 1:
-            own = [written(r.select("id").distinct(), "crowd") for r in rows]
-            more = [written(entries.select("id", "line").join(small(ids), "id", "left_semi"), "crowd") for ids in own]
-            drop(*own)
+            # Only lines about as long as those behind a crowded key can have one.
+            sizes = crowded.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.col("length") + k)).alias("n")).distinct()
+            sizes = written(sizes, "sizes")
+            alike = written(entries.select("id", "line").join(small(sizes), F.length("line") == F.col("n"), "left_semi"), "alike", compression="zstd")
+            own = [written(r.join(few, "key", "left_semi").select("id").distinct(), "crowd") for r in (index_rows(alike), probe_rows(alike))]
+            more = [written(alike.join(small(ids), "id", "left_semi"), "crowd") for ids in own]
+            drop(*own, sizes, alike)
             index, probe = (whole(t, moves) for t, moves in zip(more, (False, True), strict=True))
         else:
-            more = [written(r, "crowd") for r in rows]
+            more = [written(r.join(few, "key", "left_semi"), "crowd") for r in (index, probe)]
             index, probe = more
         drop(*held, crowded)
         held = more
@@ -236,6 +244,11 @@ def with_distance(pairs: DataFrame, tau: int) -> DataFrame:
     pairs = stage(pairs, same=common_prefix("x", "y"))
     pairs = stage(pairs, x="reverse(substring(x, same + 1))", y="reverse(substring(y, same + 1))")
     pairs = stage(pairs, same=common_prefix("x", "y"))
+    # What is left begins and ends with an edit; with two at most, all between stands as it is, moved by one at most.
+    if tau <= 2:
+        middle = "length(x) - same - 4"
+        moved = " OR ".join(f"substring(x, same + 3, {middle}) = substring(y, same + {3 + move}, {middle})" for move in (-1, 0, 1))
+        pairs = pairs.where(f"{middle} <= 0 OR {moved}")
     filler = f"repeat('-', {tau + 1})"
     pairs = stage(pairs, **{c: f"split(concat({filler}, reverse(substring({c}, same + 1))), '')" for c in ("x", "y")})
     return stage(pairs, distance=banded_distance("x", "y", tau)).drop("x", "y", "same")

@@ -4,19 +4,25 @@ A string of ``length`` bytes that starts in two places is removed in both. The
 corpus cannot be sorted by suffixes in one place, so suffixes are dealt out by
 an anchor: the least hashed 32-gram inside each window of ``length`` bytes, the
 leftmost of equals. Equal windows have equal anchors, so every repeat meets in
-one group, and about one byte position in 185 is an anchor.
-
-Anchors whose whole context (all windows that share the anchor) is equal are
-one entry; an anchor hash seen once cannot repeat. In a group, the texts to the
-right of the anchor and, reversed, to its left are sorted by a mergesort that
-compares two suffixes by binary search over prefix polynomial hashes; adjacent
-common extensions are then verified byte by byte. A window that starts j bytes
-before the anchor repeats where another entry agrees for j bytes to the left
-and the rest to the right: both orders, cut where the extension is shorter,
-give classes, and a pair of classes held twice is a repeat.
-
-A group of more than ``largest_group`` different contexts is not sorted in one
-task: its windows are hashed one by one and counted instead, which spreads.
+one group, and about one byte position in ``length`` / 2 is an anchor.
+
+Anchors whose whole context (all windows that share the anchor) is equal, known
+by a cryptographic digest, are one entry; an anchor hash seen once cannot
+repeat. In a group, the texts to the right of the anchor and, reversed, to its
+left are sorted by a mergesort that compares two suffixes by binary search over
+prefix polynomial hashes; adjacent common extensions are then verified byte by
+byte. A window that starts j bytes before the anchor repeats where another
+entry agrees for j bytes to the left and the rest to the right: both orders,
+cut where the extension is shorter, give classes, and a pair of classes held
+twice is a repeat.
+
+A group of more than ``largest_group`` different contexts is dealt anew by the
+next least 32-gram of each window, and so on: windows that are equal stay
+together, and those that differ part sooner or later.
+
+Repeats are first looked for at ``passage`` bytes. That tells which passages of
+over ``passage_words`` words repeat, and which documents can hold a longer
+repeat at all: only those are searched for strings of ``length`` bytes.
 
 Defined cases: null text is empty; texts shorter than ``length`` stay whole;
 matches never cross documents; repeated rows repeat each other; an empty table
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import mapped, written
+from quirelake.llm.common import drop, mapped, small, written
 
 GRAM = 32
 #: Bytes handled at once; positions inside must fit the low bits that break ties.
@@ -129,31 +135,31 @@ def anchors(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [np.concatenate(x) if x else none for x in out]
 
 
+def digests(parts: Iterator[tuple[bytes, int]]) -> np.ndarray:
+    """128 bits of the SHA-256 of each (bytes, offset), as rows of two longs."""
+    sha = hashlib.sha256
+    return np.frombuffer(b"".join([sha(off.to_bytes(4, "little") + t).digest()[:16] for t, off in parts]), dtype=">i8").astype(np.int64).reshape(-1, 2)
+
+
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """Each row of docs with its text's anchors and hashes of their contexts."""
-    import xxhash
+    """Each row of docs (row_id, doc_id, text) with its text's anchors and digests of their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()]
                 found = anchors(texts, length)
-                marks = [
-                    [digest(t[a : b + length], seed=p - a) for p, a, b in zip(*(x[:, :3].T.tolist() if len(x) else ([], [], [])), strict=True)]
-                    for t, x in zip(texts, found, strict=True)
-                ]
+                marks = ((t[a : b + length], p - a) for t, x in zip(texts, found, strict=True) for p, a, b in x[:, :3].tolist())
                 flat = np.concatenate(found)
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                ctx = np.frombuffer(b"".join(m for x in marks for m in x), dtype=">i8").astype(np.int64).reshape(-1, 2)
-                cols = [*flat.T, *ctx.T]
+                cols = [*flat.T, *digests(marks).T]
                 kinds = [np.int32, np.int32, np.int32, np.int64, np.int64, np.int64]
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(c).astype(k))) for c, k in zip(cols, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=["doc_id", "row_id", "text", "at", "lo", "hi", "kh", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=["row_id", "doc_id", "text", "at", "lo", "hi", "kh", "c1", "c2"])
 
-    schema = "doc_id long, row_id long, text string, at array<int>, lo array<int>, hi array<int>, kh array<long>, c1 array<long>, c2 array<long>"
-    return mapped(docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row_id"), "text"), run, schema)
+    schema = "row_id long, doc_id long, text string, at array<int>, lo array<int>, hi array<int>, kh array<long>, c1 array<long>, c2 array<long>"
+    return mapped(docs.select("row_id", "doc_id", "text"), run, schema)
 
 
 class Suffixes:
@@ -281,11 +287,10 @@ SPANS = "spans array<struct<start: int, stop: int>>"
 
 
 def contexts(table: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of each wanted entry (row_id, at, lo, hi and more), from the texts."""
-    more = [c for c in wanted.columns if c not in ("row_id", "at", "lo", "hi")]
-    listed = wanted.groupBy("row_id").agg(F.collect_list(F.struct("at", "lo", "hi", *more)).alias("own"))
-    joined = table.select("row_id", "text").join(listed, "row_id")
-    kinds = dict(wanted.dtypes)
+    """KEY, n, the bytes and the bytes before the anchor of each wanted entry (row_id, at, lo, hi, KEY, n); a written table."""
+    listed = written(wanted.groupBy("row_id").agg(F.collect_list(F.struct("at", "lo", "hi", *KEY, "n")).alias("own")), "wanted")
+    some = table.select("row_id", "text").join(small(listed.select("row_id")), "row_id", "left_semi")
+    names = [*KEY, "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,14 +298,15 @@ def contexts(table: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for text, own in zip(batch.column(0), batch.column(1), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 for x in own.as_py():
-                    rows.append([x[c] for c in more])
+                    rows.append([x[c] for c in names])
                     found.append(data[x["lo"] : x["hi"] + length])
                     left.append(x["at"] - x["lo"])
-            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(more))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.binary()), pa.array(left, pa.int32())], names=[*more, "context", "left"])
+            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.binary()), pa.array(left, pa.int32())], names=[*names, "context", "left"])
 
-    assert all(kinds[c] == "bigint" for c in more)
-    return mapped(joined.select("text", "own"), run, ", ".join(f"{c} long" for c in more) + ", context binary, left int")
+    out = written(mapped(some.join(listed, "row_id").select("text", "own"), run, "kh long, c1 long, c2 long, n long, context binary, left int"), "contexts")
+    drop(listed)
+    return out
 
 
 def sorted_repeats(entries: DataFrame, length: int, parts: int) -> DataFrame:
@@ -325,89 +331,146 @@ def sorted_repeats(entries: DataFrame, length: int, parts: int) -> DataFrame:
     return dealt.groupBy("deal").applyInPandas(run, f"kh long, c1 long, c2 long, {SPANS}")
 
 
-def counted_repeats(entries: DataFrame, length: int) -> DataFrame:
-    """Spans of entries of hot groups: each window's hash is counted over the group."""
-    import xxhash
+def dealt_anew(entries: DataFrame, length: int) -> DataFrame:
+    """Pieces of entries: the windows that share the next least gram too, beside those in skip (places, from the anchor, of grams that are used up)."""
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                last = len(row["context"]) - length
-                js = [row["left"] - s for s in range(last + 1)]
-                w = np.frombuffer(b"".join(digest(row["context"][s : s + length], seed=row["left"] - s) for s in range(last + 1)), dtype=">i8").astype(np.int64).reshape(-1, 2)
-                cols = [pa.array([row[c]] * len(js), pa.int64()) for c in (*KEY, "n")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(js, pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1])], names=[*KEY, "n", "j", "w1", "w2"])
-
-    windows = written(mapped(entries.select(*KEY, "n", "context", "left"), explode, "kh long, c1 long, c2 long, n long, j int, w1 long, w2 long"), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
-    hit = windows.join(twice, ["w1", "w2"], "left_semi").groupBy(*KEY).agg(F.collect_list("j").alias("js"))  # at most one per window of a context
-    span = F.transform("js", lambda j: F.struct((-j).alias("start"), (F.lit(length) - j).alias("stop")))
-    return hit.select(*KEY, span.cast("array<struct<start: int, stop: int>>").alias("spans"))
+            rows: list[tuple] = []
+            for r in batch.to_pylist():
+                data, left = np.frombuffer(r["context"], dtype=np.uint8), r["left"]
+                h = gram_hashes(data)
+                for k in r["skip"]:
+                    if 0 <= left + k < len(h):
+                        h[left + k] = np.iinfo(np.uint64).max
+                at = least_positions(h, length - GRAM + 1)
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                for lo, hi in zip(first.tolist(), np.append(first[1:], len(at)).tolist(), strict=True):
+                    k = int(at[lo]) - left
+                    key = int(digests([(h[at[lo]].tobytes() + r["kh"].to_bytes(8, "little", signed=True), k % (1 << 32))])[0, 0])
+                    rows.append((r["kh"], r["c1"], r["c2"], key, r["n"], r["context"][lo : hi - 1 + length], left - lo, [*r["skip"], k]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            sub = digests(zip(cols[5], cols[6], strict=True))
+            kinds = [pa.int64()] * 5 + [pa.binary(), pa.int32(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array(sub[:, 0]), pa.array(sub[:, 1])], names=["kh", "c1", "c2", "key", "n", "context", "left", "skip", "d1", "d2"])
+
+    schema = "kh long, c1 long, c2 long, key long, n long, context binary, left int, skip array<int>, d1 long, d2 long"
+    return mapped(entries.select(*KEY, "n", "context", "left", "skip"), run, schema)
+
+
+def group_repeats(entries: DataFrame, length: int, largest_group: int) -> DataFrame:
+    """KEY and spans of entries (KEY, n, context, left, skip), of which some windows repeat."""
+    groups = written(entries.groupBy("kh").agg(F.sum("n").alias("total"), F.count("*").alias("differ")).where("total > 1"), "groups")
+    rows = entries.join(groups, "kh")
+    # A context that is alone in its group and occurs several times repeats whole.
+    whole = F.array(F.struct((-F.col("left")).alias("start"), (F.octet_length("context") - F.col("left")).alias("stop")))
+    found = rows.where("differ = 1").select(*KEY, whole.alias("spans"))
+    size = groups.agg(F.coalesce(F.sum(F.when(F.col("differ") > 1, F.col("differ"))), F.lit(0)), F.max("differ")).first()
+    parts = max(1, -(-size[0] // 8000), int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = found.unionByName(sorted_repeats(rows.where(F.col("differ").between(2, largest_group)).select(*KEY, "n", "context", "left"), length, parts).where(F.size("spans") > 0))
+    if (size[1] or 0) <= largest_group:
+        return found
+    pieces = written(dealt_anew(rows.where(F.col("differ") > largest_group), length), "pieces")
+    own = pieces.groupBy(F.col("key").alias("kh"), F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("context", "left", "skip")))
+    deeper = group_repeats(written(own, "deeper"), length, largest_group).toDF("key", "d1", "d2", "spans")
+    deeper = pieces.select(*KEY, "key", "d1", "d2").join(deeper, ["key", "d1", "d2"]).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most one piece a window
+    return found.unionByName(deeper)
 
 
 def repeated_spans(table: DataFrame, length: int, largest_group: int, hot_share: int = 2000) -> DataFrame:
-    """row_id and the byte ranges to remove, of the documents that have some."""
-    spark = table.sparkSession
+    """row_id and the byte ranges to remove, of the documents that have some; a written table."""
     each = table.select("row_id", F.explode(F.arrays_zip("at", "lo", "hi", "kh", "c1", "c2")).alias("a")).select("row_id", "a.*")
     entries = each.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("row_id", "at", "lo", "hi")).alias("first"))
     entries = written(entries, "entries")
     groups = entries.groupBy("kh").agg(F.sum("n").alias("total"), F.count("*").alias("differ")).where("total > 1")
     held = written(entries.join(groups, "kh"), "held")
-    size = held.agg(F.count("*"), F.sum("n"), F.sum(F.when(F.col("differ") > 1, 1))).first()
-    differ = held.where("differ > 1").select("first.row_id", "first.at", "first.lo", "first.hi", *KEY, "n", "differ")
-    texts = contexts(table, differ, length)
-    parts = max(1, -(-(size[2] or 0) // 8000), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = sorted_repeats(texts.where(F.col("differ") <= largest_group).drop("differ"), length, parts)
-    if not held.where(F.col("differ") > largest_group).isEmpty():
-        texts = written(texts, "contexts")
-        found = sorted_repeats(texts.where(F.col("differ") <= largest_group).drop("differ"), length, parts)
-        found = found.unionByName(counted_repeats(texts.where(F.col("differ") > largest_group), length))
-    # A context that occurs alone in its group, several times, repeats whole.
+    drop(entries)
+    texts = contexts(table, held.where("differ > 1").select("first.row_id", "first.at", "first.lo", "first.hi", *KEY, "n"), length)
+    found = group_repeats(texts.withColumn("skip", F.array(F.lit(0))), length, largest_group)
     whole = F.array(F.struct((F.col("first.lo") - F.col("first.at")).alias("start"), (F.col("first.hi") - F.col("first.at") + length).alias("stop")))
-    found = found.where(F.size("spans") > 0).unionByName(held.where("differ = 1").select(*KEY, whole.alias("spans")))
+    found = found.unionByName(held.where("differ = 1").select(*KEY, whole.alias("spans")))
     found = written(found.join(held.select(*KEY, "n"), KEY), "repeats")
+    total = held.agg(F.sum("n")).first()[0] or 0
+    drop(held, texts)
     # Entries that more than one anchor in hot_share belongs to are at most hot_share rows and go to all tasks.
-    hot = F.col("n") > (size[1] or 0) // hot_share + 1
+    hot = F.col("n") > total // hot_share + 1
     few = F.broadcast(found.where(hot).drop("n"))
     own = each.select("row_id", "at", *KEY)
     many = own.join(few.select(*KEY), KEY, "left_anti").join(found.where(~hot).drop("n"), KEY)
     spans = own.join(few, KEY).unionByName(many).select("row_id", F.transform("spans", lambda s: F.struct((s.start + F.col("at")).alias("start"), (s.stop + F.col("at")).alias("stop"))).alias("spans"))
-    return spans.groupBy("row_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = written(spans.groupBy("row_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    drop(found)
+    return spans
+
+
+def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Sorted ranges, those that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((s["start"], s["stop"]) for s in spans or []):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, largest_group: int = 20_000, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept bytes) of every document."""
-    table = written(anchored(docs, length), "anchored")
-    spans = repeated_spans(table, length, largest_group)
-    joined = table.select("row_id", "doc_id", "text").join(spans, "row_id", "left").select("doc_id", "text", "spans")
+def passages(table: DataFrame, spans: DataFrame, length: int, most_words: int) -> DataFrame:
+    """row_id, the number of repeated ranges of over ``most_words`` words, and whether one has ``length`` bytes; a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, runs, sha, kept = [], [], [], [], []
+            n, long = [], []
             for text, own in zip(batch.column(1), batch.column(2), strict=True):
+                data, ranges = text.as_py().encode("utf-8", "surrogatepass"), merged(own.as_py())
+                n.append(sum(len(data[a:b].split()) > most_words for a, b in ranges))
+                long.append(any(b - a >= length for a, b in ranges))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(long, pa.bool_())], names=["row_id", "n_passages", "long"])
+
+    some = table.select("row_id", "text").join(small(spans.select("row_id")), "row_id", "left_semi")
+    return written(mapped(some.join(spans, "row_id").select("row_id", "text", "spans"), run, "row_id long, n_passages long, long boolean"), "passages")
+
+
+def without(texts: DataFrame, with_text: bool) -> DataFrame:
+    """Rows (row_id, doc_id, text, spans) after removal of the spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, gone, runs, sha, kept = [], [], [], [], []
+            for text, own in zip(batch.column(2), batch.column(3), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                ranges = merged(own.as_py())
+                cuts = [0, *(x for r in ranges for x in r), len(data)]
+                whole = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
                 n.append(len(data))
-                cut, count, rest, at = 0, 0, [], 0
-                for a, b in sorted((s["start"], s["stop"]) for s in own.as_py() or []):
-                    if a > at or not count:
-                        rest.append(data[at:a])
-                        count += 1
-                        cut += b - a
-                        at = b
-                    elif b > at:
-                        cut += b - at
-                        at = b
-                rest.append(data[at:])
-                whole = b"".join(rest)
-                gone.append(cut)
-                runs.append(count)
+                gone.append(len(data) - len(whole))
+                runs.append(len(ranges))
                 sha.append(hashlib.sha256(whole).hexdigest())
                 kept.append(whole)
-            cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            cols = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(sha, pa.string())]
+            names = ["row_id", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 cols, names = [*cols, pa.array(kept, pa.binary())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return mapped(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return mapped(texts, run, "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 200, passage_words: int = 50, largest_group: int = 4_000, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept bytes) and n_passages of every document."""
+    table = written(anchored(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text"), passage), "anchored", compression="zstd")
+    spans = repeated_spans(table, passage, largest_group)
+    told = passages(table, spans, length, passage_words)
+    drop(spans)
+    asked = small(written(told.where("long").select("row_id"), "asked"))
+    texts = table.select("row_id", "doc_id", "text")
+    some = written(anchored(texts.join(asked, "row_id", "left_semi"), length), "long", compression="zstd")
+    cut = some.select("row_id", "doc_id", "text").join(repeated_spans(some, length, largest_group), "row_id", "left")
+    out = without(cut.select("row_id", "doc_id", "text", "spans"), with_text)
+    text = F.coalesce("text", F.lit(""))
+    rest = texts.join(asked, "row_id", "left_anti").select(
+        "row_id", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"),
+        *([text.cast("binary").alias("kept")] if with_text else []),
+    )
+    counts = told.where("n_passages > 0").select("row_id", "n_passages")
+    out = out.unionByName(rest).join(small(written(counts, "counts")), "row_id", "left")
+    return out.select(*(c for c in out.columns if c not in ("row_id", "n_passages")), F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"))
