@@ -56,15 +56,24 @@ def segment(length: str, k: str, parts: int) -> tuple[str, str]:
     return place, f"(({length} div {parts}) + IF({k} >= {parts} - {longer}, 1, 0))"
 
 
-def tried(rows: DataFrame, ways: list[tuple[int, ...]], names: str, parts: int, text: str = "line") -> DataFrame:
-    """Rows times ``ways`` (shorter, k, move, ...), each with the place and size of the substring it stands for."""
+#: SQL: a string with four bytes to each character, so that any place in it is reached at once.
+WIDE = "encode({}, 'UTF-32')"
+
+
+def wide_part(text: str, place: str, width: str) -> str:
+    return f"substring({text}, 4 * ({place}) - 3, 4 * ({width}))"
+
+
+def tried(entries: DataFrame, ways: list[tuple[int, int, int]], parts: int) -> DataFrame:
+    """Entries times ``ways`` (shorter, k, move), each with the length of the index's entry and the substring that it stands for."""
     each = ", ".join(f"struct({', '.join(map(str, w))})" for w in ways)
-    kinds = ", ".join(f"{n}: int" for n in names.split())
-    rows = rows.withColumn("w", F.explode(F.expr(f"cast(array({each}) as array<struct<{kinds}>>)")))
-    rows = rows.select(*[c for c in rows.columns if c != "w"], "w.*").withColumn("length", F.expr(f"cast(length({text}) - shorter as int)"))
+    rows = entries.selectExpr("id", f"{WIDE.format('line')} AS line", "length(line) AS n")
+    rows = rows.withColumn("w", F.explode(F.expr(f"cast(array({each}) as array<struct<shorter: int, k: int, move: int>>)")))
     place, size = segment("length", "k", parts)
+    rows = rows.select("id", "line", "n", "w.*").withColumn("length", F.expr("n - shorter"))
     rows = rows.withColumn("place", F.expr(f"cast({place} + move as int)")).withColumn("width", F.expr(f"cast({size} as int)"))
-    return rows.where(f"length >= 0 AND place >= 1 AND place + width - 1 <= length({text})")
+    rows = rows.where("length >= 0 AND place >= 1 AND place + width - 1 <= n")
+    return rows.withColumn("part", F.expr(wide_part("line", "place", "width")))
 
 
 def bands() -> list[tuple[int, int, int]]:
@@ -86,14 +95,16 @@ def index_rows(entries: DataFrame) -> DataFrame:
     out = None
     for tau, least, top in bands():
         own = entries.where(F.length("line").between(least, top)).select("id", "line")
-        rows = tried(own, [(0, k, 0) for k in range(tau + 1)], "shorter k move", tau + 1)
-        rows = rows.selectExpr(f"xxhash64({tau}, length, k, substring(line, place, width)) AS key", "id", "length")
+        rows = tried(own, [(0, k, 0) for k in range(tau + 1)], tau + 1)
+        rows = rows.selectExpr(f"xxhash64({tau}, length, k, part) AS key", "id", "length")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def probe_rows(entries: DataFrame) -> DataFrame:
-    """key, id, even: the substrings of an entry that may equal a segment of an entry not longer, or (even) as long.
+    """key, id2: the substrings of an entry that may equal a segment of an entry not longer.
+
+    id2 is twice the entry, and one more if it looks for entries of its own length.
 
     The left side holds at most k edits, seen from the left, the right side
     tau - k, seen from the right; that limits how far a segment may move.
@@ -107,8 +118,8 @@ def probe_rows(entries: DataFrame) -> DataFrame:
             for move in range(max(-k, shorter - (tau - k)), min(k, shorter + (tau - k)) + 1)
         ]
         own = entries.where(F.length("line").between(least, top + tau if top < 1 << 30 else top)).select("id", "line")
-        rows = tried(own, ways, "shorter k move", tau + 1).where(F.col("length").between(least, top))
-        rows = rows.selectExpr(f"xxhash64({tau}, length, k, substring(line, place, width)) AS key", "id", "shorter = 0 AS even")
+        rows = tried(own, ways, tau + 1).where(F.col("length").between(least, top))
+        rows = rows.selectExpr(f"xxhash64({tau}, length, k, part) AS key", "id * 2 + int(shorter = 0) AS id2")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -118,7 +129,7 @@ def whole(entries: DataFrame, moves: bool) -> DataFrame:
     out = None
     for tau, least, top in bands():
         own = entries.select("id", "line", F.explode(F.array(*map(F.lit, range(tau + 1 if moves else 1)))).alias("shorter"))
-        rows = own.selectExpr(f"xxhash64({tau}, length(line) - shorter) AS key", "id", "shorter = 0 AS even", "line AS x", "length(line) - shorter AS xn", f"{tau} AS xe", "'' AS y", "0 AS yn", "0 AS ye")
+        rows = own.selectExpr(f"xxhash64({tau}, length(line) - shorter) AS key", "id", "id * 2 + int(shorter = 0) AS id2", "line AS x", "length(line) - shorter AS xn", f"{tau} AS xe", "'' AS y", "0 AS yn", "0 AS ye")
         rows = rows.where(F.col("xn").between(least, top))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -130,7 +141,7 @@ def ways_of(rows: DataFrame, ways: list[tuple[int, ...]]) -> DataFrame:
 
 
 def narrowed(rows: DataFrame, moves: bool) -> DataFrame:
-    """Rows (key, id, even, x, xn, xe, y, yn, ye) with shorter stretches, and keys that also hold all that is left out of them.
+    """Rows (key, id, id2, x, xn, xe, y, yn, ye) with shorter stretches, and keys that also hold all that is left out of them.
 
     A stretch with two edits gives two neighbouring parts with both, or two
     parts apart with one each, where probes (``moves``) try how far the text
@@ -143,11 +154,11 @@ def narrowed(rows: DataFrame, moves: bool) -> DataFrame:
     (sp, zp), (sq, zq) = segment("xn", "p", many), segment("xn", "q", many)
     two = two.selectExpr("*", f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"cast({zq} as int) AS zq", "length(x) - xn AS more")
     near = two.where("q = p + 1 AND zp + zq + more >= 0").selectExpr(
-        "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sq - zq + 1)) AS key", "id", "even", "substring(x, sp, zp + zq + more) AS x", "zp + zq AS xn", "2 AS xe", "'' AS y", "0 AS yn", "0 AS ye"
+        "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sq - zq + 1)) AS key", "id", "id2", "substring(x, sp, zp + zq + more) AS x", "zp + zq AS xn", "2 AS xe", "'' AS y", "0 AS yn", "0 AS ye"
     )
     far = two.where("q > p + 1 AND abs(more - move) <= 1 AND zp + move >= 0 AND zq + more - move >= 0").selectExpr(
         "xxhash64(key, p, q, left(x, sp - 1), substring(x, sp + zp + move, sq - sp - zp), right(x, xn - sq - zq + 1)) AS key",
-        "id", "even", "substring(x, sp, zp + move) AS x", "zp AS xn", "1 AS xe", "substring(x, sq + move, zq + more - move) AS y", "zq AS yn", "1 AS ye",
+        "id", "id2", "substring(x, sp, zp + move) AS x", "zp AS xn", "1 AS xe", "substring(x, sq + move, zq + more - move) AS y", "zq AS yn", "1 AS ye",
     )
     few = PARTS[1]
     (sp, zp), (sq, zq) = segment("xn", "p", few), segment("yn", "q", few)
@@ -155,16 +166,16 @@ def narrowed(rows: DataFrame, moves: bool) -> DataFrame:
     one = one.selectExpr("*", f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"IF(ye = 0, 0, cast({zq} as int)) AS zq", "length(x) - xn AS more", "length(y) - yn AS also")
     one = one.where("zp + more >= 0 AND zq + also >= 0").selectExpr(
         "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sp - zp + 1), IF(ye = 0, '', left(y, sq - 1)), IF(ye = 0, '', right(y, yn - sq - zq + 1))) AS key",
-        "id", "even", "substring(x, sp, zp + more) AS x", "zp AS xn", "xe", "IF(ye = 0, '', substring(y, sq, zq + also)) AS y", "zq AS yn", "ye",
+        "id", "id2", "substring(x, sp, zp + more) AS x", "zp AS xn", "xe", "IF(ye = 0, '', substring(y, sq, zq + also)) AS y", "zq AS yn", "ye",
     )
     return near.unionByName(far).unionByName(one)
 
 
-def candidates(entries: DataFrame, crowd: int = 16) -> DataFrame:
+def candidates(entries: DataFrame, crowd: int = 8) -> DataFrame:
     """Pairs a < b of entries that share a key, each once; a written table."""
-    index, probe, final = index_rows(entries), probe_rows(entries), F.lit(False)
+    index, probe, final = written(index_rows(entries), "index"), probe_rows(entries), F.lit(False)
     found: list[DataFrame] = []
-    held: list[DataFrame] = []
+    held = [index]
     most = max(tau for _, tau in STEPS)
     while True:
         size = F.min("length").alias("length") if not found else F.lit(0).alias("length")
@@ -172,10 +183,10 @@ def candidates(entries: DataFrame, crowd: int = 16) -> DataFrame:
         few = small(crowded).select("key")
         # What is left of the index has no crowded key, so its hash table in a task follows the task's rows.
         a = index.join(few, "key", "left_anti").select("key", F.col("id").alias("a")).hint("shuffle_hash")
-        b = probe.select("key", F.col("id").alias("b"), "even")
-        # Two entries of one length find each other both ways.
-        once = F.when(F.col("even"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-        pairs = a.join(b, (a.key == b.key) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        b = probe.select("key", "id2")
+        # Two entries of one length find each other both ways: the larger one's find counts.
+        once = F.expr("a <> shiftright(id2, 1) AND (id2 % 2 = 0 OR a < shiftright(id2, 1))")
+        pairs = a.join(b, (a.key == b.key) & once).selectExpr("least(a, shiftright(id2, 1)) AS a", "greatest(a, shiftright(id2, 1)) AS b")
         found.append(written(pairs.distinct(), f"pairs{len(found)}"))
         if crowded.isEmpty():
             break
@@ -184,8 +195,9 @@ def candidates(entries: DataFrame, crowd: int = 16) -> DataFrame:
             sizes = crowded.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.col("length") + k)).alias("n")).distinct()
             sizes = written(sizes, "sizes")
             alike = written(entries.select("id", "line").join(small(sizes), F.length("line") == F.col("n"), "left_semi"), "alike", compression="zstd")
-            own = [written(r.join(few, "key", "left_semi").select("id").distinct(), "crowd") for r in (index_rows(alike), probe_rows(alike))]
-            more = [written(alike.join(small(ids), "id", "left_semi"), "crowd") for ids in own]
+            ids = (index.join(few, "key", "left_semi").select("id"), probe_rows(alike).join(few, "key", "left_semi").selectExpr("shiftright(id2, 1) AS id"))
+            own = [written(i.distinct(), "crowd") for i in ids]
+            more = [written(alike.join(small(i), "id", "left_semi"), "crowd") for i in own]
             drop(*own, sizes, alike)
             index, probe = (whole(t, moves) for t, moves in zip(more, (False, True), strict=True))
         else:
@@ -206,11 +218,6 @@ def candidates(entries: DataFrame, crowd: int = 16) -> DataFrame:
     return every
 
 
-def common_prefix(a: str, b: str) -> str:
-    """SQL: the number of leading characters that two strings share, found bit by bit from the highest."""
-    return f"aggregate(array(65536, 32768, 16384, 8192, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1), 0, (n, s) -> IF(n + s <= least(length({a}), length({b})) AND left({a}, n + s) = left({b}, n + s), n + s, n))"
-
-
 def banded_distance(a: str, b: str, tau: int) -> str:
     """SQL: edit distance of two arrays of characters within a band of 2 tau + 1 diagonals, one bit each.
 
@@ -239,19 +246,41 @@ def stage(pairs: DataFrame, **made: str) -> DataFrame:
     return pairs.select(*rest, F.explode(F.expr(f"array(struct({fields}))")).alias("made")).select(*rest, "made.*")
 
 
+#: Rounds in which a common prefix is found; eight to their power is the longest string for which it is sure to be whole.
+ROUNDS = 6
+
+
+def with_common(pairs: DataFrame, name: str, behind: str | None = None) -> DataFrame:
+    """Add the number of leading characters that wide strings x, y share, or of last ones, not counting the ``behind`` first.
+
+    Each round finds the first of eight even stretches that differs.
+    """
+    rest = f"least(nx, ny) - {behind}" if behind else "least(nx, ny)"
+    pairs = stage(pairs, same="0", span=rest)
+    size = "((span + 7) div 8)"
+    for _ in range(ROUNDS):
+        whens = []
+        for k in range(8):
+            width = f"least({size}, span - {k} * {size})"
+            x, y = (f"{n} - same - {k} * {size} - {width} + 1" if behind else f"same + {k} * {size} + 1" for n in ("nx", "ny"))
+            whens.append(f"WHEN {k} * {size} < span AND {wide_part('x', x, width)} <> {wide_part('y', y, width)} THEN {k}")
+        pairs = stage(pairs, found=f"CASE {' '.join(whens)} ELSE 8 END")
+        pairs = pairs.selectExpr(*(c for c in pairs.columns if c not in ("same", "span", "found")), f"same + least(found * {size}, span) AS same", f"least({size}, span - least(found * {size}, span)) AS span")
+    return pairs.drop("span").withColumnRenamed("same", name)
+
+
 def with_distance(pairs: DataFrame, tau: int) -> DataFrame:
-    """Add ``distance`` to pairs of strings x, y whose lengths differ by tau at most."""
-    pairs = stage(pairs, same=common_prefix("x", "y"))
-    pairs = stage(pairs, x="reverse(substring(x, same + 1))", y="reverse(substring(y, same + 1))")
-    pairs = stage(pairs, same=common_prefix("x", "y"))
+    """Add ``distance`` to pairs of strings x, y whose lengths differ by tau at most; pairs that are farther apart may go."""
+    pairs = stage(pairs, nx="length(x)", ny="length(y)", x=WIDE.format("x"), y=WIDE.format("y"))
+    pairs = with_common(with_common(pairs, "head"), "tail", behind="head")
     # What is left begins and ends with an edit; with two at most, all between stands as it is, moved by one at most.
     if tau <= 2:
-        middle = "length(x) - same - 4"
-        moved = " OR ".join(f"substring(x, same + 3, {middle}) = substring(y, same + {3 + move}, {middle})" for move in (-1, 0, 1))
-        pairs = pairs.where(f"{middle} <= 0 OR {moved}")
+        middle = "nx - head - tail - 4"
+        moved = " OR ".join(f"{wide_part('x', 'head + 3', middle)} = {wide_part('y', f'head + {3 + move}', middle)}" for move in (0, -1, 1))
+        pairs = pairs.where(f"nx >= {8**ROUNDS} OR {middle} <= 0 OR {moved}")
     filler = f"repeat('-', {tau + 1})"
-    pairs = stage(pairs, **{c: f"split(concat({filler}, reverse(substring({c}, same + 1))), '')" for c in ("x", "y")})
-    return stage(pairs, distance=banded_distance("x", "y", tau)).drop("x", "y", "same")
+    rest = {c: f"split(concat({filler}, decode({wide_part(c, 'head + 1', f'n{c} - head - tail')}, 'UTF-32')), '')" for c in ("x", "y")}
+    return stage(pairs, **rest).transform(lambda p: stage(p, distance=banded_distance("x", "y", tau))).drop("x", "y", "nx", "ny", "head", "tail")
 
 
 def edit_links(entries: DataFrame) -> DataFrame:
@@ -273,7 +302,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """Every line with its class (the class's first line), copies, links and whether it stays."""
     key = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
     entries = lines(docs).groupBy("line").agg(F.count("*").alias("n_copies"))
-    entries = written(entries.select(F.monotonically_increasing_id().alias("id"), "line", "n_copies"), "lines", compression="zstd")
+    entries = written(entries.select(F.monotonically_increasing_id().alias("id"), "line", "n_copies"), "lines")
     links = edit_links(entries)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     linked = components(links.select("a", "b")).join(degree, "id")
