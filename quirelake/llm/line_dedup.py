@@ -246,38 +246,26 @@ def stage(pairs: DataFrame, **made: str) -> DataFrame:
     return pairs.select(*rest, F.explode(F.expr(f"array(struct({fields}))")).alias("made")).select(*rest, "made.*")
 
 
-#: Rounds in which a common prefix is found; eight to their power is the longest string for which it is sure to be whole.
-ROUNDS = 6
+#: Binary digits of the longest common prefix that is found whole.
+DIGITS = 20
 
 
-def with_common(pairs: DataFrame, name: str, behind: str | None = None) -> DataFrame:
-    """Add the number of leading characters that wide strings x, y share, or of last ones, not counting the ``behind`` first.
-
-    Each round finds the first of eight even stretches that differs.
-    """
+def common(behind: str | None = None) -> str:
+    """SQL: the number of leading characters that wide strings x, y share, or of last ones, not counting the ``behind`` first; digit by digit from the highest."""
     rest = f"least(nx, ny) - {behind}" if behind else "least(nx, ny)"
-    pairs = stage(pairs, same="0", span=rest)
-    size = "((span + 7) div 8)"
-    for _ in range(ROUNDS):
-        whens = []
-        for k in range(8):
-            width = f"least({size}, span - {k} * {size})"
-            x, y = (f"{n} - same - {k} * {size} - {width} + 1" if behind else f"same + {k} * {size} + 1" for n in ("nx", "ny"))
-            whens.append(f"WHEN {k} * {size} < span AND {wide_part('x', x, width)} <> {wide_part('y', y, width)} THEN {k}")
-        pairs = stage(pairs, found=f"CASE {' '.join(whens)} ELSE 8 END")
-        pairs = pairs.selectExpr(*(c for c in pairs.columns if c not in ("same", "span", "found")), f"same + least(found * {size}, span) AS same", f"least({size}, span - least(found * {size}, span)) AS span")
-    return pairs.drop("span").withColumnRenamed("same", name)
+    x, y = (wide_part(c, f"n{c} - n - s + 1" if behind else "n + 1", "s") for c in "xy")
+    return f"aggregate(array({', '.join(str(1 << k) for k in reversed(range(DIGITS)))}), 0, (n, s) -> IF(n + s <= {rest} AND {x} = {y}, n + s, n))"
 
 
 def with_distance(pairs: DataFrame, tau: int) -> DataFrame:
     """Add ``distance`` to pairs of strings x, y whose lengths differ by tau at most; pairs that are farther apart may go."""
     pairs = stage(pairs, nx="length(x)", ny="length(y)", x=WIDE.format("x"), y=WIDE.format("y"))
-    pairs = with_common(with_common(pairs, "head"), "tail", behind="head")
+    pairs = stage(stage(pairs, head=common()), tail=common(behind="head"))
     # What is left begins and ends with an edit; with two at most, all between stands as it is, moved by one at most.
     if tau <= 2:
         middle = "nx - head - tail - 4"
         moved = " OR ".join(f"{wide_part('x', 'head + 3', middle)} = {wide_part('y', f'head + {3 + move}', middle)}" for move in (0, -1, 1))
-        pairs = pairs.where(f"nx >= {8**ROUNDS} OR {middle} <= 0 OR {moved}")
+        pairs = pairs.where(f"nx >= {1 << DIGITS} OR {middle} <= 0 OR {moved}")
     filler = f"repeat('-', {tau + 1})"
     rest = {c: f"split(concat({filler}, decode({wide_part(c, 'head + 1', f'n{c} - head - tail')}, 'UTF-32')), '')" for c in ("x", "y")}
     return stage(pairs, **rest).transform(lambda p: stage(p, distance=banded_distance("x", "y", tau))).drop("x", "y", "nx", "ny", "head", "tail")
