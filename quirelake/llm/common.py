@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,3 +167,39 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return label.select("id", "component")
+
+
+class Table:
+    """Values by 64-bit key, 0 for others, for many look-ups: open slots, a second table for keys whose slot is taken."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.layers: list[tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]] = []
+        self.kind = values.dtype
+        seed = 0
+        while len(keys):
+            bits = max(4, int(len(keys) * 4).bit_length())
+            odd = np.uint64((0x9E3779B97F4A7C15 + 2 * 0xBF58476D1CE4E5B9 * seed) & 0xFFFFFFFFFFFFFFFF | 1)
+            shift = np.uint64(64 - bits)
+            slot = (keys * odd) >> shift
+            held, value = np.full(1 << bits, np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(1 << bits, self.kind)
+            held[slot] = keys
+            won = held[slot] == keys
+            value[slot[won]] = values[won]
+            self.layers.append((odd, shift, held, value))
+            keys, values, seed = keys[~won], values[~won], seed + 1
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(keys), self.kind), None
+        for odd, shift, held, value in self.layers:
+            own = keys if todo is None else keys[todo]
+            slot = (own * odd) >> shift
+            hit = held[slot] == own
+            if todo is None:
+                out = np.where(hit, value[slot], self.kind.type(0))
+                todo = np.flatnonzero(~hit)
+            else:
+                out[todo[hit]] = value[slot[hit]]
+                todo = todo[~hit]
+            if not len(todo):
+                break
+        return out

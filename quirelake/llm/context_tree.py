@@ -9,11 +9,18 @@ gives each (depth+1)-gram of bytes one log probability, so texts are scored by
 looking up their grams.
 
 Documents are taken in blocks of about ``block_bytes``. A block sends each
-distinct gram and word once, with its training count, packed by shard; a shard
-sums the counts by key and weights the tree from the deepest contexts upwards
-(grams are dealt out by the last two bytes of their context; the at most 65,536
-nodes above are finished on the driver), and what a block asked for returns to
-it. Words are known by 64-bit hashes.
+distinct gram and word once, with its training count, packed; a shard sums the
+counts by key and weights the tree from the deepest contexts upwards, and what
+a block asked for returns to it. With more than ``FAN`` blocks the way to the
+shards and back has several rounds: each deals a unit's keys to at most ``FAN``
+parts and makes one new unit of the same part of up to ``FAN`` units, so parts
+stay in proportion to the blocks, and no row holds more than ``FAN`` of them.
+
+Grams are dealt out by the last two bytes of their context; the ``HEAVY`` pairs
+of bytes that a first look finds most often are dealt out by three bytes, so no
+pair kept whole holds more than one in ``HEAVY`` grams of that look. The nodes
+above (65,536, and 255 for each heavy pair) are finished on the driver. Words
+are known by 64-bit hashes.
 
 Texts are framed by the byte 0xFF, which UTF-8 never holds: it stands for the
 contexts before a text and codes its end.
@@ -36,9 +43,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import crc32_text, mapped, written
+from quirelake.llm.common import Table, crc32_text, mapped, written
 
 EDGE = 0xFF
+#: Parts that a unit is dealt to in a round, and pairs of bytes that are dealt out by a third one.
+FAN, HEAVY = 128, 256
 END = b""
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -143,27 +152,65 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel(), dtype=kind)
 
 
-def dealt(keys: np.ndarray, by: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (shard, key) of sorted keys, and where each shard begins."""
-    shard = ((by * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-
-
 def context_pair(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(8)) & np.uint64(0xFFFF)
 
 
-def block_keys(words: list[bytes], grams: np.ndarray, shards: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For words and for grams: distinct keys by (shard, key), where shards begin, and each given one's place before dealing."""
+def is_heavy(grams: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    marked = np.zeros(1 << 16, dtype=bool)
+    marked[heavy] = True
+    return marked[context_pair(grams)]
+
+
+class Deal:
+    """Which shard a key goes to. fans: parts of each round; their product is the number of shards."""
+
+    def __init__(self, fans: list[int], heavy: np.ndarray) -> None:
+        self.fans, self.heavy, self.shards = fans, heavy, math.prod(fans)
+
+    def shard(self, keys: np.ndarray, grams: bool) -> np.ndarray:
+        by = keys
+        if grams:
+            by = np.where(is_heavy(keys, self.heavy), np.uint64(1 << 32) | (keys >> np.uint64(8)) & np.uint64(0xFFFFFF), context_pair(keys))
+        return (((by * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(self.shards)).astype(np.int64)
+
+    def order(self, keys: np.ndarray, grams: bool) -> np.ndarray:
+        """Order of sorted keys by (shard, key)."""
+        return np.argsort(self.shard(keys, grams), kind="stable")
+
+    def cuts(self, shard: np.ndarray, done: int) -> np.ndarray:
+        """Where the parts of round ``done`` begin in the ordered shards of one unit."""
+        inner = math.prod(self.fans[done + 1 :])
+        base = shard[0] // (inner * self.fans[done]) * inner * self.fans[done] if len(shard) else 0
+        return np.searchsorted(shard, base + inner * np.arange(self.fans[done] + 1))
+
+
+def dealt_keys(words: list[bytes], grams: np.ndarray, deal: Deal) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word keys by (shard, key), each given word's place among them, grams by (shard, key), and their order."""
     w, back = np.unique(word_keys(words).view(np.uint64), return_inverse=True)
-    worder, wcut = dealt(w, w, shards)
-    gorder, gcut = dealt(grams, context_pair(grams), shards)
-    return [(w[worder], wcut, worder, back), (grams[gorder], gcut, gorder, None)]
+    worder = deal.order(w, False)
+    place = np.empty_like(worder)
+    place[worder] = np.arange(len(worder))
+    gorder = deal.order(grams, True)
+    return w[worder], place[back], grams[gorder], gorder
+
+
+PART = "digit int, wk binary, wn binary, gk binary, gn binary"
+
 
+def parts_of(wk: np.ndarray, wn: np.ndarray, gk: np.ndarray, gn: np.ndarray, deal: Deal, done: int) -> list[dict]:
+    """What a unit, its keys in order, sends to each part of a round."""
+    wcut, gcut = deal.cuts(deal.shard(wk, False), done), deal.cuts(deal.shard(gk, True), done)
+    out = []
+    for k in range(deal.fans[done]):
+        w, g = slice(wcut[k], wcut[k + 1]), slice(gcut[k], gcut[k + 1])
+        if w.stop > w.start or g.stop > g.start:
+            out.append({"digit": k, "wk": packed(wk[w]), "wn": packed(wn[w]), "gk": packed(gk[g]), "gn": packed(gn[g])})
+    return out
 
-def count_blocks(made: DataFrame, depth: int, mod: int, rest: int, shards: int) -> DataFrame:
-    """For each block and shard, its distinct words and grams with their training counts, packed."""
+
+def count_blocks(made: DataFrame, depth: int, mod: int, rest: int, deal: Deal) -> DataFrame:
+    """For each block and part of the first round, its distinct words and grams with their training counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,19 +222,57 @@ def count_blocks(made: DataFrame, depth: int, mod: int, rest: int, shards: int)
                     own = tokens(text)
                     seen.update(own) if t else seen.update(dict.fromkeys(own, 0))
                 grams, gn = gram_counts(texts, depth, train)
-                (wk, wcut, worder, back), (gk, gcut, gorder, _) = block_keys(list(seen), grams, shards)
-                wn = np.bincount(back, weights=np.array(list(seen.values()), float), minlength=len(wk)).astype(np.int64)[worder]
-                gn = gn[gorder]
-                cols: list[list] = [[], [], [], [], []]
-                for k in range(shards):
-                    w, g = slice(wcut[k], wcut[k + 1]), slice(gcut[k], gcut[k + 1])
-                    if w.stop > w.start or g.stop > g.start:
-                        for c, v in zip(cols, (k, packed(wk[w]), packed(wn[w]), packed(gk[g]), packed(gn[g])), strict=True):
-                            c.append(v)
-                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[block] * len(cols[0]), *cols], kinds, strict=True)], names=["block", "shard", "wk", "wn", "gk", "gn"])
+                wk, place, gk, gorder = dealt_keys(list(seen), grams, deal)
+                wn = np.bincount(place, weights=np.array(list(seen.values()), float), minlength=len(wk)).astype(np.int64)
+                own = parts_of(wk, wn, gk, gn[gorder], deal, 0)
+                kinds = {"digit": pa.int32(), **dict.fromkeys(("wk", "wn", "gk", "gn"), pa.binary())}
+                cols = [pa.array([block] * len(own), pa.int64()), *(pa.array([p[c] for p in own], t) for c, t in kinds.items())]
+                yield pa.RecordBatch.from_arrays(cols, names=["unit", *kinds])
+
+    return mapped(made, run, f"unit long, {PART}")
+
+
+def merged_units(rows: DataFrame, deal: Deal, done: int) -> DataFrame:
+    """One new unit of each row's parts: unit, digit and path, the parts of the next round, and where each child's keys stand in it."""
 
-    return mapped(made, run, "block long, shard int, wk binary, wn binary, gk binary, gn binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts, fields, places = row["parts"], [], []
+                for keys, counts, grams in (("wk", "wn", False), ("gk", "gn", True)):
+                    key, n, of, sizes = merged(parts, keys, counts)
+                    order = deal.order(key, grams)
+                    at = np.empty_like(order)
+                    at[order] = np.arange(len(order))
+                    fields += [key[order], n[order].astype(np.int64)]
+                    places.append(np.split(at[of].astype(np.int64), np.cumsum(sizes)[:-1]))
+                children = [{"unit": p["unit"], "wi": packed(w), "gi": packed(g)} for p, w, g in zip(parts, *places, strict=True)]
+                cols = [pa.array([row[c]], t) for c, t in (("unit", pa.int64()), ("digit", pa.int32()), ("path", pa.int64()))]
+                child = pa.struct([("unit", pa.int64()), ("wi", pa.binary()), ("gi", pa.binary())])
+                part = pa.struct([("digit", pa.int32()), *((c, pa.binary()) for c in ("wk", "wn", "gk", "gn"))])
+                cols += [pa.array([children], pa.list_(child)), pa.array([parts_of(*fields, deal, done)], pa.list_(part))]
+                yield pa.RecordBatch.from_arrays(cols, names=["unit", "digit", "path", "children", "next"])
+
+    schema = f"unit long, digit int, path long, children array<struct<unit: long, wi: binary, gi: binary>>, next array<struct<{', '.join(x.replace(' ', ': ') for x in PART.split(', '))}>>"
+    return mapped(rows.select("unit", "digit", "path", "parts"), run, schema)
+
+
+def returned(level: DataFrame, answers: DataFrame) -> DataFrame:
+    """Answers to the units of a round (unit, digit, wv, gv) dealt back to their children."""
+    own = answers.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("digit", "wv", "gv"))).alias("got"))
+    rows = level.select("unit", "digit", "children").join(own, "unit").select("digit", "children", "got")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                wv = np.concatenate([unpacked(x["wv"], np.int64) for x in row["got"]])
+                gv = np.concatenate([unpacked(x["gv"], np.int32) for x in row["got"]])
+                back = [(c["unit"], packed(wv[unpacked(c["wi"], np.int64)]), packed(gv[unpacked(c["gi"], np.int64)])) for c in row["children"]]
+                units, words, grams = zip(*back, strict=True)
+                cols = [pa.array(units, pa.int64()), pa.array([row["digit"]] * len(back), pa.int32()), pa.array(words, pa.binary()), pa.array(grams, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["unit", "digit", "wv", "gv"])
+
+    return mapped(rows, run, "unit long, digit int, wv binary, gv binary")
 
 
 class Nodes:
@@ -235,18 +320,37 @@ def weighted(grams: np.ndarray, n: np.ndarray, depth: int, least: int) -> tuple[
     return p, below[0], below[1]
 
 
-def top_table(rows: list) -> dict[str, np.ndarray]:
-    """Dense tables of depth 1 and 0: share of the own estimate, and the estimates of a one."""
-    zeros, ones, children = (np.zeros(1 << 16) for _ in range(3))
-    at = np.array([r["node"] for r in rows], dtype=np.int64)
-    if len(at):
-        zeros[at], ones[at], children[at] = (np.array([r[k] for r in rows], dtype=float) for k in ("zeros", "ones", "children"))
-    pe = log_kt(zeros, ones)
-    pw = np.logaddexp(pe, children) - math.log(2)
-    out = {"share1": 1 / (1 + np.exp(np.clip(children - pe, -700, 700))), "one1": (ones + 0.5) / (zeros + ones + 1)}
-    z0, o0, c0 = (x.reshape(256, 256).sum(axis=0) for x in (zeros, ones, pw))
-    pe0 = log_kt(z0, o0)
-    return out | {"share0": 1 / (1 + np.exp(np.clip(c0 - pe0, -700, 700))), "one0": (o0 + 0.5) / (z0 + o0 + 1)}
+def own_share(pe: np.ndarray, children: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(children - pe, -700, 700)))
+
+
+def top_table(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(mask, nodes, share of the own estimate, estimate of a one) of depth 2, for heavy pairs, and of depths 1 and 0.
+
+    node: ids of depth 1, and of depth 2 (heavy pairs) from 1 << 32 on.
+    """
+    out = []
+    deep = node >= 1 << 32
+    at = np.argsort(node[deep])
+    ids, z, o, c = (x[deep][at] for x in (node & 0xFFFFFF, zeros, ones, children))
+    above = [[node[~deep], zeros[~deep], ones[~deep], children[~deep]]]
+    for depth, mask in ((2, 0xFFFFFF), (1, 0xFFFF), (0, 0xFF)):
+        if depth < 2:
+            raw, *sums = (np.concatenate(x) for x in zip(*above, strict=True))
+            ids, of = np.unique(raw & mask, return_inverse=True)
+            z, o, c = (np.bincount(of, weights=x, minlength=len(ids)) for x in sums)
+            above = []
+        pe = log_kt(z, o)
+        out.append((mask, ids, own_share(pe, c), (o + 0.5) / (z + o + 1)))
+        above.append([ids, z, o, np.logaddexp(pe, c) - math.log(2)])
+    return out
+
+
+def kinds_of(grams: np.ndarray, heavy: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of grams by the least depth that a shard sees whole: 3 for heavy pairs, else 2."""
+    deep = is_heavy(grams, heavy)
+    yield 3, np.flatnonzero(deep)
+    yield 2, np.flatnonzero(~deep)
 
 
 def merged(parts: list[dict], keys: str, counts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -257,101 +361,84 @@ def merged(parts: list[dict], keys: str, counts: str) -> tuple[np.ndarray, np.nd
     return key, n, of, [len(x) for x in own]
 
 
-def stretches(grams: np.ndarray, most: int = 100_000) -> Iterator[np.ndarray]:
-    """Places of the grams, whole contexts of two bytes together, about ``most`` at a time."""
-    order = np.argsort(context_pair(grams), kind="stable")
-    pair = context_pair(grams)[order]
+def stretches(grams: np.ndarray, least: int, most: int = 100_000) -> Iterator[np.ndarray]:
+    """Places of the grams, whole contexts of ``least`` bytes together, about ``most`` at a time."""
+    context = (grams >> np.uint64(8)) & np.uint64((1 << 8 * least) - 1)
+    order = np.argsort(context, kind="stable")
+    context = context[order]
     lo = 0
     while lo < len(order):
         hi = min(len(order), lo + most)
-        hi = int(np.searchsorted(pair, pair[hi - 1], side="right"))
+        hi = int(np.searchsorted(context, context[hi - 1], side="right"))
         yield order[lo:hi]
         lo = hi
 
 
-def shard_totals(shards: DataFrame, depth: int) -> DataFrame:
-    """node, zeros, ones, children of contexts of one byte; node -1 holds the words' total and number."""
+def shard_totals(shards: DataFrame, depth: int, heavy: np.ndarray) -> DataFrame:
+    """node, zeros, ones, children of the topmost contexts that shards see whole; node -1 holds the words' total and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.column(0):
                 parts = row.as_py()
                 _, n, _, _ = merged(parts, "wk", "wn")
-                sums = np.zeros((3, 1 << 16))
+                found = [np.array([[-1], [n.sum()], [(n > 0).sum()], [0]], dtype=float)]
                 grams, times, _, _ = merged(parts, "gk", "gn")
-                for at in stretches(grams):
-                    _, nodes, log_pw = weighted(grams[at], times[at], depth, 2)
-                    for k, w in enumerate((nodes.zeros, nodes.ones, log_pw)):
-                        sums[k] += np.bincount(nodes.ids & 0xFFFF, weights=w, minlength=1 << 16)
-                node = np.flatnonzero(sums[0] + sums[1])
-                cols = [np.append(node, -1), *(np.append(s[node], x) for s, x in zip(sums, (n.sum(), (n > 0).sum(), 0), strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "zeros", "ones", "children"])
+                for least, own in kinds_of(grams, heavy):
+                    for at in stretches(grams[own], least):
+                        _, nodes, log_pw = weighted(grams[own[at]], times[own[at]], depth, least)
+                        ids, of = np.unique(nodes.ids & ((1 << 8 * least) - 1), return_inverse=True)
+                        sums = [np.bincount(of, weights=w, minlength=len(ids)) for w in (nodes.zeros, nodes.ones, log_pw)]
+                        found.append(np.stack([ids + (1 << 32 if least == 3 else 0), *sums]))
+                node, *cols = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *map(pa.array, cols)], names=["node", "zeros", "ones", "children"])
 
     each = mapped(shards.select("parts"), run, "node long, zeros double, ones double, children double")
     return each.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("children").alias("children"))
 
 
-def shard_values(shards: DataFrame, depth: int, top: dict[str, np.ndarray]) -> DataFrame:
-    """What each block asked of a shard, in its order: training counts of words, log10 probabilities of grams."""
-    shared = shards.sparkSession.sparkContext.broadcast(top)  # of at most 65,536 nodes
+def shard_values(shards: DataFrame, depth: int, heavy: np.ndarray, top: list) -> DataFrame:
+    """What each unit asked of a shard, in its order: training counts of words, log10 probabilities of grams."""
+    shared = shards.sparkSession.sparkContext.broadcast(top)  # at most 65,536 nodes and 255 for each heavy pair
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = shared.value
         for batch in batches:
-            for shard, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for digit, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 parts = row.as_py()
                 _, n, of, wsize = merged(parts, "wk", "wn")
                 grams, times, gof, gsize = merged(parts, "gk", "gn")
                 value = np.zeros(len(grams), dtype=np.float32)
-                for at in stretches(grams):
-                    p, nodes, _ = weighted(grams[at], times[at], depth, 2)
-                    for share, one, mask in (("share1", "one1", 0xFFFF), ("share0", "one0", 0xFF)):
-                        node = nodes.ids[nodes.of] & mask
-                        own = np.where(nodes.bit == 1, top[one][node], 1 - top[one][node])
-                        p = top[share][node] * own + (1 - top[share][node]) * p
-                    value[at] = np.log10(p).sum(axis=1)
+                for least, own in kinds_of(grams, heavy):
+                    for at in stretches(grams[own], least):
+                        p, nodes, _ = weighted(grams[own[at]], times[own[at]], depth, least)
+                        for mask, ids, share, one in top[3 - least :]:
+                            node = np.searchsorted(ids, nodes.ids & mask)[nodes.of]
+                            mine = np.where(nodes.bit == 1, one[node], 1 - one[node])
+                            p = share[node] * mine + (1 - share[node]) * p
+                        value[own[at]] = np.log10(p).sum(axis=1)
                 words = np.split(n[of].astype(np.int64), np.cumsum(wsize)[:-1])
                 scores = np.split(value[gof], np.cumsum(gsize)[:-1])
-                cols = [pa.array([p["block"] for p in parts], pa.int64()), pa.array([shard] * len(parts), pa.int32())]
+                cols = [pa.array([p["unit"] for p in parts], pa.int64()), pa.array([digit] * len(parts), pa.int32())]
                 cols += [pa.array([packed(w) for w in words], pa.binary()), pa.array([packed(s.view(np.int32)) for s in scores], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["block", "shard", "wv", "gv"])
-
-    return mapped(shards.select("shard", "parts"), run, "block long, shard int, wv binary, gv binary")
-
-
-class Table:
-    """Values by 64-bit key, for many look-ups: open slots, a second table for keys whose slot is taken."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.layers: list[tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]] = []
-        seed = 0
-        while len(keys):
-            bits = max(4, int(len(keys) * 4).bit_length())
-            odd = np.uint64((0x9E3779B97F4A7C15 + 2 * 0xBF58476D1CE4E5B9 * seed) & 0xFFFFFFFFFFFFFFFF | 1)
-            shift = np.uint64(64 - bits)
-            slot = (keys * odd) >> shift
-            held, value = np.full(1 << bits, np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(1 << bits)
-            held[slot] = keys
-            won = held[slot] == keys
-            value[slot[won]] = values[won]
-            self.layers.append((odd, shift, held, value))
-            keys, values, seed = keys[~won], values[~won], seed + 1
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        out, todo = np.zeros(len(keys)), None
-        for odd, shift, held, value in self.layers:
-            own = keys if todo is None else keys[todo]
-            slot = (own * odd) >> shift
-            hit = held[slot] == own
-            if todo is None:
-                out = np.where(hit, value[slot], 0.0)
-                todo = np.flatnonzero(~hit)
-            else:
-                out[todo[hit]] = value[slot[hit]]
-                todo = todo[~hit]
-            if not len(todo):
-                break
-        return out
+                yield pa.RecordBatch.from_arrays(cols, names=["unit", "digit", "wv", "gv"])
+
+    return mapped(shards.select("digit", "parts"), run, "unit long, digit int, wv binary, gv binary")
+
+
+def heavy_pairs(made: DataFrame, look: int = 1) -> np.ndarray:
+    """The HEAVY pairs of bytes with the most different grams in ``look`` blocks; they only say how work is dealt out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in batch.column(0):
+                grams, _ = gram_counts(texts.as_py(), 5)
+                n = np.bincount(context_pair(grams).astype(np.int64), minlength=1 << 16)
+                pair = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n[pair])], names=["pair", "n"])
+
+    seen = mapped(made.select("texts").limit(look), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r["pair"] for r in seen.orderBy(F.desc("n"), "pair").limit(HEAVY).collect()), dtype=np.int64)  # at most HEAVY rows
 
 
 def score_documents(docs: DataFrame, depth: int = 5, mod: int = 7, rest: int = 2, block_bytes: int = 12 << 20, shard_bytes: int = 24 << 20) -> DataFrame:
@@ -362,26 +449,41 @@ def score_documents(docs: DataFrame, depth: int = 5, mod: int = 7, rest: int = 2
     if not 2 <= depth <= 7:
         raise ValueError("depth is 2 to 7 bytes")
     made = written(blocks(docs, block_bytes), "blocks", compression="zstd")
-    size = made.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    part = F.struct("block", "wk", "wn", "gk", "gn")
-    by_shard = count_blocks(made, depth, mod, rest, shards).groupBy("shard").agg(F.collect_list(part).alias("parts"))
-    by_shard = written(by_shard, "shards")
-    rows = shard_totals(by_shard, depth).collect()  # at most 65,536 rows and one
-    train_tokens, distinct = next(((round(r["zeros"]), round(r["ones"])) for r in rows if r["node"] == -1), (0, 0))
-    answers = shard_values(by_shard, depth, top_table([r for r in rows if r["node"] >= 0]))
+    count = made.agg(F.count("*"), F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)))).first()
+    shards = max(1, -(-(count[1] or 0) // shard_bytes))
+    fans = []
+    while FAN ** (len(fans) + 1) < count[0]:
+        fans.append(FAN)
+    fans.append(max(1, min(FAN, -(-shards // math.prod(fans)))))
+    deal = Deal(fans, heavy_pairs(made) if depth > 2 else np.zeros(0, np.int64))
+    parts, levels, path = count_blocks(made, depth, mod, rest, deal), [], F.lit(0).cast("long")
+    for done in range(1, len(fans) + 1):
+        # Places of units in their path, dealt by a hash: lots of about FAN.
+        lots = max(1, -(-count[0] // FAN**done))
+        rows = parts.withColumn("path", path if done == 1 else F.col("path")).withColumn("lot", F.pmod(F.xxhash64("unit"), F.lit(lots)))
+        rows = rows.groupBy("path", "digit", "lot").agg(F.collect_list(F.struct("unit", "wk", "wn", "gk", "gn")).alias("parts"))
+        rows = written(rows.withColumn("path", F.col("path") * FAN + F.col("digit")), f"units{done}")
+        if done < len(fans):
+            rows = rows.withColumn("unit", F.col("path") * lots + F.col("lot"))
+            levels.append(written(merged_units(rows, deal, done), f"level{done}"))
+            parts = levels[-1].select("unit", "path", F.explode("next").alias("p")).select("unit", "path", "p.*")
+    totals = shard_totals(rows, depth, deal.heavy).toArrow()  # at most 65,536 nodes, 255 for each heavy pair, and one row
+    node, zeros, ones, children = (totals[c].to_numpy() for c in ("node", "zeros", "ones", "children"))
+    real = node >= 0
+    train_tokens, distinct = round(zeros[~real].sum()), round(ones[~real].sum())
+    answers = shard_values(rows, depth, deal.heavy, top_table(node[real], zeros[real], ones[real], children[real]))
+    for level in reversed(levels):
+        answers = written(returned(level, answers), "answers")
 
     def run(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        back = back.sort_values("shard")
+        back = back.sort_values("digit")
         scale = math.log10(train_tokens + distinct + 1)
         rows = []
         for ids, texts in zip(own["doc_ids"], own["texts"], strict=True):
             split = [tokens(t) for t in texts]
             names = list(set().union(*split))
-            (_, _, worder, place), (gk, _, _, _) = block_keys(names, gram_counts(texts, depth)[0], shards)
-            count = np.zeros(len(worder))
-            count[worder] = np.concatenate([unpacked(x, np.int64) for x in back["wv"]])
-            count = count[place]
+            _, place, gk, _ = dealt_keys(names, gram_counts(texts, depth)[0], deal)
+            count = np.concatenate([unpacked(x, np.int64) for x in back["wv"]])[place]
             base = dict(zip(names, (np.log10(count + 1) - scale).tolist(), strict=True))
             unknown = {w for w, k in zip(names, (count > 0).tolist(), strict=True) if not k}
             table = Table(gk, np.concatenate([unpacked(x, np.int32) for x in back["gv"]]).view(np.float32).astype(float))
@@ -396,4 +498,4 @@ def score_documents(docs: DataFrame, depth: int = 5, mod: int = 7, rest: int = 2
         frame = pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")])
         return frame.astype({"doc_id": "Int64"})
 
-    return made.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, RESULT)
+    return made.withColumnRenamed("block", "unit").groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(run, RESULT)

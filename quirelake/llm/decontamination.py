@@ -9,9 +9,10 @@ starts of the phrase, or, with ``slack``, places where every term lies within so
 many words of its place. Phrases whose rarest term a segment lacks cost nothing
 there.
 
-The benchmark is the stated query set. It is taken in blocks of at most
+The benchmark is the stated query set. It is taken in blocks of about
 ``block_bytes`` of text, each held against all documents; only terms that a
-block asks for are stored for it.
+block asks for are stored for it. A block is kept as arrays of term numbers, 9
+bytes a word and 13 a window, beside its vocabulary.
 
 Defined cases: null texts have no words; phrases never cross documents; items
 without words are never found; a null item_id is named by the empty string;
@@ -21,7 +22,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +42,33 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    return [tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))]
+@dataclass
+class Phrases:
+    """Windows of item words. terms: number of each word. stream: the items' words, one after another.
+    start, length, owner: of each window its place in stream, its words, and its item. items: ids of each item."""
+
+    terms: dict[bytes, int]
+    stream: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    owner: np.ndarray
+    items: list[list[str]]
+
+
+def phrases_of(items: list[tuple[list[str], str | None]], window: int) -> Phrases:
+    """All windows of items (ids, text); a shorter item is one window, one without words none."""
+    terms: dict[bytes, int] = {}
+    stream, start, length, owner, ids = array("i"), [np.zeros(0, np.int64)], [np.zeros(0, np.int8)], [np.zeros(0, np.int32)], []
+    for own, text in items:
+        words = words_of(text)
+        if words:
+            n = max(1, len(words) - window + 1)
+            start.append(np.arange(n, dtype=np.int64) + len(stream))
+            length.append(np.full(n, min(window, len(words)), dtype=np.int8))
+            owner.append(np.full(n, len(ids), dtype=np.int32))
+            stream.extend(terms.setdefault(w, len(terms)) for w in words)
+            ids.append(own)
+    return Phrases(terms, np.array(stream, dtype=np.int32), np.concatenate(start), np.concatenate(length), np.concatenate(owner), ids)
 
 
 def build_index(docs: DataFrame, terms: set[bytes] | None = None, segment_words: int = 1_000_000) -> DataFrame:
@@ -112,58 +138,65 @@ def shifted(postings: np.ndarray, starts: np.ndarray, place: int, slack: int) ->
     return starts[(k < len(postings)) & (near <= starts + (place + slack))]
 
 
-def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]], slack: int = 0) -> DataFrame:
-    """Every document of a written index with the items found in it and the word spans they cover.
-
-    ``phrases`` names the items that hold each phrase.
-    """
-    wanted = sorted({w for p in phrases for w in p})
+def search(index: DataFrame, asked: Phrases, slack: int = 0) -> DataFrame:
+    """Every document of a written index with the items found in it and the word spans they cover."""
     spark = index.sparkSession
-    rare: dict[bytes, int] = {}
-    if wanted:
-        asked = spark.createDataFrame([(w.decode("utf-8", "replace"),) for w in wanted], "term string")
-        rare = {r["term"].encode(): r["n"] for r in frequencies(index).join(F.broadcast(asked), "term").collect()}  # at most a block's terms
-    plans: dict[str, list[tuple[int, list[tuple[str, int]], list[str]]]] = {}
-    for phrase, items in phrases.items():
-        if all(w in rare for w in phrase):
-            order = sorted(range(len(phrase)), key=lambda k: (rare[phrase[k]], k))
-            steps = [(phrase[k].decode(), k) for k in order]
-            plans.setdefault(steps[0][0], []).append((len(phrase), steps, items))
-    shared = spark.sparkContext.broadcast(plans)
+    many = np.zeros(len(asked.terms), dtype=np.int64)
+    if asked.terms:
+        words = pa.table({"term": pa.array([w.decode("utf-8", "replace") for w in asked.terms]), "number": pa.array(np.arange(len(many)))})
+        found = frequencies(index).join(spark.createDataFrame(words), "term").select("number", "n").toArrow()  # at most a block's terms
+        many[found["number"].to_numpy()] = found["n"].to_numpy()
+    # Of each window the place of its rarest term; windows with a term that no document has are out.
+    least, place = np.full(len(asked.start), np.iinfo(np.int64).max), np.zeros(len(asked.start), dtype=np.int8)
+    for k in range(int(asked.length.max(initial=0))):
+        n = many[asked.stream[np.minimum(asked.start + k, len(asked.stream) - 1)]]
+        rarer = (k < asked.length) & (n < least)
+        least[rarer], place[rarer] = n[rarer], k
+    rarest = asked.stream[asked.start + place] if len(place) else np.zeros(0, np.int32)
+    use = np.flatnonzero(least > 0)
+    use = use[np.argsort(rarest[use], kind="stable")]
+    first = np.searchsorted(rarest[use], np.arange(len(many) + 1))
+    names = {w.decode("utf-8", "replace"): k for w, k in asked.terms.items()}
+    held = Phrases(names, asked.stream, asked.start[use], asked.length[use], asked.owner[use], asked.items)
+    shared = spark.sparkContext.broadcast((held, many, first))  # a block of the benchmark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                yield answer(*(batch.column(k)[row] for k in range(6)), shared.value, slack)
+                yield answer(*(batch.column(k)[row] for k in range(6)), *shared.value, slack)
 
     return mapped(index.select("segment", "doc_ids", "sizes", "terms", "counts", "postings"), run, FOUND)
 
 
-def answer(segment, doc_ids, sizes, terms, counts, postings, plans: dict, slack: int) -> pa.RecordBatch:
-    """The rows of one segment."""
+def answer(segment, doc_ids, sizes, terms, counts, postings, asked: Phrases, many: np.ndarray, groups: np.ndarray, slack: int) -> pa.RecordBatch:
+    """The rows of one segment. groups: where the windows of each rarest term begin."""
     sizes = np.array(sizes.as_py(), dtype=np.int64)
     first = np.cumsum(sizes + 1) - sizes - 1
     ends = np.cumsum(counts.as_py(), dtype=np.int64)
     places = np.frombuffer(postings.as_py(), dtype="<i4").astype(np.int64)
-    lists = dict(zip(terms.as_py(), np.split(places, ends[:-1]) if len(ends) else [], strict=True))
+    numbers = [asked.terms.get(t, -1) for t in terms.as_py()]
+    lists = dict(zip(numbers, np.split(places, ends[:-1]) if len(ends) else [], strict=True))
     hit = np.zeros(int((sizes + 1).sum()), dtype=bool)
-    found: list[set[str]] = [set() for _ in sizes]
-    for rarest in plans.keys() & lists.keys():
-        for length, steps, items in plans[rarest]:
-            starts = lists[rarest] - steps[0][1]
-            for term, place in steps[1:]:
-                if not len(starts) or term not in lists:
+    found: list[set[int]] = [set() for _ in sizes]
+    for rarest in numbers:
+        for w in range(groups[rarest], groups[rarest + 1]) if rarest >= 0 else ():
+            length = int(asked.length[w])
+            phrase = asked.stream[asked.start[w] : asked.start[w] + length].tolist()
+            order = sorted(range(length), key=lambda k: (many[phrase[k]], k))
+            starts = lists[rarest] - order[0]
+            for k in order[1:]:
+                if not len(starts) or phrase[k] not in lists:
                     starts = starts[:0]
                     break
-                starts = shifted(lists[term], starts, place, slack)
+                starts = shifted(lists[phrase[k]], starts, k, slack)
             if not len(starts):
                 continue
-            doc = np.searchsorted(first, lists[rarest][np.searchsorted(lists[rarest], starts + steps[0][1])], side="right") - 1
+            doc = np.searchsorted(first, starts + order[0], side="right") - 1
             inside = np.ones(len(starts), dtype=bool) if not slack else (starts >= first[doc]) & (starts + length <= first[doc] + sizes[doc])
             starts, doc = starts[inside], doc[inside]
             hit[(starts[:, None] + np.arange(length)).ravel()] = True
             for d in np.unique(doc).tolist():
-                found[d].update(items)
+                found[d].add(int(asked.owner[w]))
     edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     owner = np.searchsorted(first, lo, side="right") - 1
@@ -176,18 +209,16 @@ def answer(segment, doc_ids, sizes, terms, counts, postings, plans: dict, slack:
         pa.array([segment.as_py()] * n, pa.int64()),
         pa.array(range(n), pa.int32()),
         pa.array(sizes, pa.int64()),
-        pa.array([sorted(x) for x in found], pa.list_(pa.string())),
+        pa.array([sorted({i for o in x for i in asked.items[o]}) for x in found], pa.list_(pa.string())),
         pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
     ]
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", "segment", "place", "n_words", "items", "spans"])
 
 
-def block_phrases(items: DataFrame, window: int) -> dict[tuple[bytes, ...], list[str]]:
-    phrases: dict[tuple[bytes, ...], set[str]] = {}
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
-        for p in windows_of(words_of(r["text"]), window):
-            phrases.setdefault(p, set()).add(r["item_id"] or "")
-    return {p: sorted(x) for p, x in phrases.items()}
+def block_phrases(items: DataFrame, window: int) -> Phrases:
+    """Windows of the items; equal texts are one item with all their ids."""
+    named = items.groupBy("text").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("ids"))
+    return phrases_of([(r["ids"], r["text"]) for r in named.toLocalIterator()], window)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: int = 0, block_bytes: int = 16 << 20) -> DataFrame:
@@ -198,7 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack
     found = None
     for k in range(blocks):
         phrases = block_phrases(benchmark.where(key == k) if blocks > 1 else benchmark, window)
-        index = written(build_index(docs, {w for p in phrases for w in p}), "postings")
+        index = written(build_index(docs, set(phrases.terms)), "postings")
         part = search(index, phrases, slack)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:

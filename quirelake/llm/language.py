@@ -10,9 +10,19 @@ all, shared evenly by the languages, from about ``sample_docs`` documents per
 language that a hash of doc_id picks, a short passage from each. Every text is
 then scored whole. Long texts are parsed in stretches of ``STRETCH`` symbols, a
 phrase ending at each stretch's end, so that many stretches advance together.
-
-Defined cases: a null text, one without any letter, and any text when nothing
-labelled was learned give ``und`` with score 0; equal phrase counts go to the
+Longest-match parsing needs the fewest phrases of all parses into pieces of the
+sample; the parse in stretches is one of those, and cutting the plain parse at
+the stretches' ends is another. So a text of k stretches has at most k - 1 more
+phrases than the plain parse, under any language: less than one in ``STRETCH``
+symbols, which moves a language's bits a symbol by log2(sample) / STRETCH (0.02
+at 96,000) at most.
+
+An automaton's edges, at most three for each symbol of its sample, stand in a
+hash table, whatever the number of different symbols. At most
+``most_languages`` labels, the most frequent ones, are learned.
+
+Defined cases: a null text, one without any letter (marks alone are none), and
+any text when nothing labelled was learned give ``und`` with score 0; equal phrase counts go to the
 name that sorts first; repeated rows are scored once each; extra columns are
 ignored.
 """
@@ -27,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import crc32_mod, mapped
+from quirelake.llm.common import Table, crc32_mod, mapped
 
 STRETCH = 1024
 #: Texts are parsed in groups of about this many characters.
@@ -37,31 +47,33 @@ GROUP_CHARS = 4_000_000
 @dataclass
 class Model:
     """languages: names in order. symbols: symbol of each code point, 0 for no letter.
-    tables: for each language next state by (state, symbol), 0 where there is none."""
+    lettered: which code points are letters. width: number of symbols.
+    tables: for each language next state by state * width + symbol, 0 where there is none."""
 
     languages: list[str]
     symbols: np.ndarray
-    tables: list[np.ndarray]
+    lettered: np.ndarray
+    width: int
+    tables: list[Table]
     sample_lengths: list[int]
 
 
-def letters() -> np.ndarray:
-    """The lower-case form of each code point that is a letter or a mark, else a space."""
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """The lower-case form of each code point that is a letter or a mark, else a space; and which are letters."""
     import unicodedata
 
-    out = np.full(0x110000, 32, dtype=np.uint32)
+    out, real = np.full(0x110000, 32, dtype=np.uint32), np.zeros(0x110000, dtype=bool)
     for c in range(0x110000):
         x = chr(c)
-        if x.isalpha() or (c > 127 and unicodedata.category(x)[0] == "M"):
+        real[c] = x.isalpha()
+        if real[c] or (c > 127 and unicodedata.category(x)[0] == "M"):
             low = x.lower()
             out[c] = ord(low) if len(low) == 1 else c
-    return out
+    return out, real
 
 
-def automaton(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Suffix automaton of a sequence of symbols (1 and up) as a dense table; the root is state 1."""
-    size = 2 * len(symbols) + 2
-    table = np.zeros((size, n_symbols), dtype=np.int32)
+def automaton(symbols: np.ndarray, width: int) -> Table:
+    """Edges of the suffix automaton of a sequence of symbols (1 and up); the root is state 1."""
     nxt: list[dict[int, int]] = [{}, {}]
     link, length, last = [0, 0], [0, 0], 1
     for s in symbols.tolist():
@@ -87,10 +99,8 @@ def automaton(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    for state, edges in enumerate(nxt):
-        if edges:
-            table[state, list(edges)] = list(edges.values())
-    return table[: len(nxt)].copy()
+    keys = np.array([state * width + s for state, edges in enumerate(nxt) for s in edges], dtype=np.uint64)
+    return Table(keys, np.array([to for edges in nxt for to in edges.values()], dtype=np.int64))
 
 
 def squeeze(codes: np.ndarray) -> np.ndarray:
@@ -104,7 +114,7 @@ def squeeze(codes: np.ndarray) -> np.ndarray:
 
 def build(samples: dict[str, list[str]], sample_symbols: int = 96_000) -> Model:
     """A model from passages per language."""
-    low = letters()
+    low, lettered = letters()
     names = sorted(samples)
     each = sample_symbols // max(1, len(names))
     texts = {}
@@ -118,13 +128,14 @@ def build(samples: dict[str, list[str]], sample_symbols: int = 96_000) -> Model:
     other = len(alphabet)
     symbols = np.where(low == 32, 0, np.where(dense[low] > 0, dense[low], other)).astype(np.uint16)
     tables = [automaton(dense[texts[n]] + 1, other + 2) for n in names]
-    return Model(names, symbols, tables, [len(texts[n]) for n in names])
+    return Model(names, symbols, lettered, other + 2, tables, [len(texts[n]) for n in names])
 
 
-def fit(docs: DataFrame, sample_symbols: int = 96_000, sample_docs: int = 120, passage: int = 400) -> Model:
+def fit(docs: DataFrame, sample_symbols: int = 96_000, sample_docs: int = 120, passage: int = 400, most_languages: int = 256) -> Model:
     """Learn from the rows of docs whose lang and text are not null."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    labels = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    counts = {r["lang"]: r["n"] for r in labels.collect()}  # at most most_languages rows
     if not counts:
         return build({})
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_docs / n))])
@@ -138,7 +149,7 @@ def fit(docs: DataFrame, sample_symbols: int = 96_000, sample_docs: int = 120, p
 
 
 def count_phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of each text, and phrases of each text (rows) under each language (columns)."""
+    """Symbols of each text (0 without any letter), and phrases of each text (rows) under each language (columns)."""
     raw = [("" if t is None else t) for t in texts]
     ends = np.cumsum([0, *map(len, raw)])
     codes = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -147,8 +158,10 @@ def count_phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np
     first[ends[:-1][np.diff(ends) > 0]] = True
     keep = sym > 0
     keep[1:] |= (sym[:-1] > 0) & ~first[1:]
-    owner = np.repeat(np.arange(len(raw)), np.diff(ends))[keep]
-    sym = sym[keep].astype(np.int32) + 1
+    owner = np.repeat(np.arange(len(raw)), np.diff(ends))
+    real = np.bincount(owner, weights=model.lettered[codes], minlength=len(raw)) > 0
+    owner = owner[keep]
+    sym = sym[keep].astype(np.int64) + 1
     n = np.bincount(owner, minlength=len(raw))
     starts = np.cumsum(n) - n
     # A lane is a stretch of one text; lanes go longest first, so that those still running are a prefix.
@@ -161,26 +174,26 @@ def count_phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np
     doc, at, size = doc[order], at[order], size[order]
     alive = np.searchsorted(-size, -np.arange(STRETCH), side="left")
     phrases = np.zeros((len(raw), len(model.languages)))
-    width = model.tables[0].shape[1] if model.tables else 1
-    flat = [t.ravel() for t in model.tables]
-    state = [np.ones(len(doc), dtype=np.int64) for _ in flat]
-    count = [np.zeros(len(doc), dtype=np.int64) for _ in flat]
+    width = model.width
+    state = [np.ones(len(doc), dtype=np.int64) for _ in model.tables]
+    count = [np.zeros(len(doc), dtype=np.int64) for _ in model.tables]
     for step in range(STRETCH):
         m = alive[step]
         if not m:
             break
         s = sym[at[:m] + step]
-        for table, st, ct in zip(flat, state, count, strict=True):
-            here = table[st[:m] * width + s]
+        for table, st, ct in zip(model.tables, state, count, strict=True):
+            here = table.get((st[:m] * width + s).view(np.uint64))
             stuck = here == 0
-            ct[:m] += stuck
-            # A stuck stretch starts its next phrase with this symbol; one the language lacks is a phrase of its own.
-            fresh = table[width + s[stuck]]
+            # A stuck stretch ends its phrase and starts the next with this symbol; one the language lacks is a phrase of its own.
+            ct[:m] += stuck & (st[:m] != 1)
+            fresh = table.get((width + s[stuck]).view(np.uint64))
+            ct[:m][stuck] += fresh == 0
             here[stuck] = np.where(fresh == 0, 1, fresh)
             st[:m] = here
     for k, (st, ct) in enumerate(zip(state, count, strict=True)):
         phrases[:, k] = np.bincount(doc, weights=ct + (st != 1), minlength=len(raw))
-    return n, phrases
+    return np.where(real, n, 0), phrases
 
 
 def decide(model: Model, n: np.ndarray, phrases: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -196,8 +209,8 @@ def decide(model: Model, n: np.ndarray, phrases: np.ndarray) -> tuple[list[str],
     return names, np.where(empty, 0.0, score), np.where(empty, 1.0, rate)
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """lang_pred, score and phrase_rate beside the columns named in ``keep``.
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "phrase_rate")) -> DataFrame:
+    """lang_pred, score and phrase_rate, by the names given, beside the columns named in ``keep``.
 
     phrase_rate is the winner's phrases per symbol: near 1 for text that no
     learned language explains.
@@ -215,11 +228,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
                     continue
-                names, sure, rate = decide(model, *count_phrases(model, texts[lo:hi].to_pylist()))
+                found, sure, rate = decide(model, *count_phrases(model, texts[lo:hi].to_pylist()))
                 cols = [batch.column(k)[lo:hi] for k, c in enumerate(fields) if c in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(sure), pa.array(rate)], names=[*keep, "lang_pred", "score", "phrase_rate"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.string()), pa.array(sure), pa.array(rate)], names=[*keep, *names])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, phrase_rate double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{names[0]}` string, `{names[1]}` double, `{names[2]}` double"
     return mapped(docs.select(*fields), score, schema)
 
 

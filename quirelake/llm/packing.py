@@ -50,9 +50,7 @@ def _tokenizer(name: str):
         from tokenizers import Tokenizer
 
         path = name if "/" in name else tokenizer_path(name)
-        t = Tokenizer.from_file(str(path))
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _TOKENIZERS[name] = t
+        _TOKENIZERS[name] = Tokenizer.from_file(str(path))
         _WORDS[name] = {}
     return _TOKENIZERS[name], _WORDS[name]
 

@@ -40,6 +40,7 @@ BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 POWER = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(FLAT, STEP)]))
 BACK = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(FLAT, np.uint64(pow(int(STEP), -1, 1 << 64)))]))
+SPACES = [bytes([c]) for c in b" \t\n\r\v\f"]
 #: Kinds of bytes: 0 white space, 1 letters, 2 digits, 3 other marks.
 KIND = np.array([0 if c in b" \t\n\r\v\f" else 1 if c >= 128 or chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], dtype=np.int8)
 UPPER = np.array([65 <= c <= 90 for c in range(256)])
@@ -52,10 +53,31 @@ def index_matrix() -> np.ndarray:
     return out
 
 
+def scales(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of STEP and of its inverse; a word longer than a stretch needs more of them than are kept."""
+    if n <= FLAT:
+        return POWER, BACK
+    return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, x)])) for x in (STEP, np.uint64(pow(int(STEP), -1, 1 << 64))))
+
+
+def stretches(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about FLAT bytes, cut at white space only."""
+    at = 0
+    while len(text) - at > FLAT - 1:
+        space = max(text.rfind(x, at, at + FLAT - 1) for x in SPACES)
+        if space < 0:
+            ahead = [k for k in (text.find(x, at + FLAT - 1) for x in SPACES) if k >= 0]
+            space = min(ahead, default=len(text))
+        yield text[at:space]
+        at = space + 1
+    if at < len(text):
+        yield text[at:]
+
+
 def word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the words of all texts in order, rows of their shapes, and each text's number of words.
 
-    Long texts are hashed in stretches; a word that crosses one is cut there.
+    Long texts are hashed in stretches that end at white space.
     """
     words, shapes, counts = [], [], np.zeros(len(texts), dtype=np.int64)
     own: list[tuple[int, bytes]] = []
@@ -65,13 +87,14 @@ def word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not own:
             return
         data = np.frombuffer(b" ".join(t for _, t in own), dtype=np.uint8)
+        up, back = scales(len(data))
         kind = KIND[data]
         edge = np.flatnonzero(np.diff(kind, prepend=np.int8(-1)) != 0)
         stop = np.append(edge[1:], len(data))
         real = kind[edge] > 0
         start, stop = edge[real], stop[real]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * POWER[: len(data)])])
-        h = (sums[stop] - sums[start]) * BACK[start]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * up[: len(data)])])
+        h = (sums[stop] - sums[start]) * back[start]
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         words.append((h >> np.uint64(64 - 15)).astype(np.int32))
         ups = np.concatenate([[0], np.cumsum(UPPER[data])])
@@ -83,8 +106,7 @@ def word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts[:] += np.bincount([k for k, _ in own], weights=np.diff(np.searchsorted(start, ends), prepend=0), minlength=len(texts)).astype(np.int64)
 
     for k, t in enumerate(texts):
-        for at in range(0, len(t), FLAT - 1):
-            part = t[at : at + FLAT - 1]
+        for part in stretches(t):
             if size + len(part) + 1 > FLAT:
                 flush()
                 own, size = [], 0

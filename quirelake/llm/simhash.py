@@ -1,11 +1,11 @@
 """SimHash near-dedup over a Gray-order hierarchical index (operator 5).
 
 Distinct fingerprints are sorted by Gray rank, so that neighbours share most
-bits, and cut into leaves. A node keeps the bit pattern that all below it have
+bits, and cut into leaves, whose number grows with the input. A node keeps the bit pattern that all below it have
 in common; what its parent has already fixed is left out of its mask. A query
 adds up its differences on the way down and drops a whole group as soon as they
-exceed the limit. The top levels route fingerprints to ranges of the order; the
-rest of the tree is built and searched within each range's task.
+exceed the limit. The levels above the leaves, one entry a leaf, route fingerprints to
+leaves; each leaf's own tree is built and searched within its tasks.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other; texts of fewer words than a shingle hash as one; equal fingerprints are
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import components, lookup, mapped, written
+from quirelake.llm.common import components, drop, lookup, mapped, written
 
 LANES = np.uint64(0x0101010101010101)
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -136,44 +136,54 @@ class Tree:
             yield q, node, far
 
 
-def links(fps: DataFrame, limit: int = 2, node_rows: int = 2048, most_nodes: int = 1024, per_task: int = 200_000) -> DataFrame:
-    """All pairs a < b of distinct fingerprints (column fp, unique) that differ in at most ``limit`` bits."""
+def links(fps: DataFrame, limit: int = 2, node_rows: int | None = None) -> DataFrame:
+    """All pairs a < b of distinct fingerprints (column fp, unique) that differ in at most ``limit`` bits.
+
+    A leaf has 2,048 to 131,072 fingerprints (``node_rows``), a 32nd of all in
+    between, so that a query visits about as many leaves at any size until
+    there are four million; beyond, leaves grow in number with the input. The
+    tree above them has one entry a leaf: 24 bytes for each 131,072.
+    """
     spark = fps.sparkSession
     ranked = fps.select("fp", gray_rank(F.col("fp")).alias("rank"))
     n = fps.count()
-    nodes = max(1, min(most_nodes, -(-n // node_rows)))
-    bounds = np.zeros(0, dtype=np.int64)
-    if nodes > 1:
-        at = [k / nodes for k in range(1, nodes)]
-        bounds = np.unique(np.array(ranked.agg(F.percentile_approx("rank", at, 10_000)).first()[0], dtype=np.int64))  # at most most_nodes
+    most = node_rows or max(2048, min(131_072, n // 32))
+    # A task takes four queries for each fingerprint of its leaf, so what is held twice stays below a quarter.
+    per_task = 4 * most
+
+    def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, seen = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            node = np.searchsorted(bounds, batch.column(1).to_numpy(), side="left").astype(np.int32)
+            node = base + (seen + np.arange(batch.num_rows)) // most
+            seen += batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node)], names=["fp", "node"])
 
-    members = written(mapped(ranked, locate, "fp long, node int"), "members")
-    common = members.groupBy("node").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")).orderBy("node").collect()  # at most most_nodes rows
-    ids = np.array([r["node"] for r in common], dtype=np.int32)
+    ordered = ranked.repartitionByRange(max(1, -(-n // most)), "rank").sortWithinPartitions("rank")
+    members = written(mapped(ordered, seal, "fp long, node long"), "members")
+    common = members.groupBy("node").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")).orderBy("node").collect()  # one row a leaf
+    ids = np.array([r["node"] for r in common], dtype=np.int64)
     low = np.array([r["low"] for r in common], dtype=np.int64).view(np.uint64)
     same = ~(low ^ np.array([r["high"] for r in common], dtype=np.int64).view(np.uint64))
-    top = spark.sparkContext.broadcast(Tree(low & same, same))  # of at most most_nodes leaves
+    top = spark.sparkContext.broadcast((ids, Tree(low & same, same)))  # one entry a leaf
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for q, entry, _ in top.value.search(fp.view(np.uint64), limit):
+            ids, tree = top.value
+            for q, entry, _ in tree.search(fp.view(np.uint64), limit):
                 # A pair in two ranges is found from the one that is first.
                 onward = ids[entry] >= own[q]
                 q, node = q[onward], ids[entry[onward]]
                 yield pa.RecordBatch.from_arrays([pa.array(fp[q]), pa.array(node), pa.array(node == own[q])], names=["fp", "node", "own"])
 
-    routed = written(mapped(members, route, "fp long, node int, own boolean"), "routed")
-    shares = routed.groupBy("node").agg(F.ceil(F.count("*") / per_task).cast("int").alias("shares"))
-    asked = routed.join(F.broadcast(shares), "node").select(  # at most most_nodes rows
+    routed = written(mapped(members, route, "fp long, node long, own boolean"), "routed")
+    shares = F.broadcast(routed.groupBy("node").agg(F.ceil(F.count("*") / per_task).cast("int").alias("shares")))  # one row a leaf
+    asked = routed.join(shares, "node").select(
         "node", F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int").alias("share"), "fp", "own", F.lit(True).alias("query")
     )
-    held = members.join(F.broadcast(shares), "node").select(
+    held = members.join(shares, "node").select(
         "node", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "fp", F.lit(True).alias("own"), F.lit(False).alias("query")
     )
 
@@ -206,6 +216,7 @@ def near_dedup(docs: DataFrame, words: int = 3, limit: int = 2, also: tuple[str,
     least = label.join(nodes, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(lookup(label, least, ["component"]).select("fp", F.col("component_id").alias("linked")), "named")
     owner = nodes.join(named, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
+    drop(pairs)
     return lookup(marked, owner, ["fp"])
 
 

@@ -359,7 +359,11 @@ def dealt_anew(entries: DataFrame, length: int) -> DataFrame:
 
 
 def group_repeats(entries: DataFrame, length: int, largest_group: int) -> DataFrame:
-    """KEY and spans of entries (KEY, n, context, left, skip), of which some windows repeat."""
+    """KEY and spans of entries (KEY, n, context, left, skip), of which some windows repeat.
+
+    Deeper levels come from written tables, so that plans stay short; a level
+    deals out only the groups that are still too large.
+    """
     groups = written(entries.groupBy("kh").agg(F.sum("n").alias("total"), F.count("*").alias("differ")).where("total > 1"), "groups")
     rows = entries.join(groups, "kh")
     # A context that is alone in its group and occurs several times repeats whole.
@@ -372,9 +376,12 @@ def group_repeats(entries: DataFrame, length: int, largest_group: int) -> DataFr
         return found
     pieces = written(dealt_anew(rows.where(F.col("differ") > largest_group), length), "pieces")
     own = pieces.groupBy(F.col("key").alias("kh"), F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("context", "left", "skip")))
-    deeper = group_repeats(written(own, "deeper"), length, largest_group).toDF("key", "d1", "d2", "spans")
-    deeper = pieces.select(*KEY, "key", "d1", "d2").join(deeper, ["key", "d1", "d2"]).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most one piece a window
-    return found.unionByName(deeper)
+    deeper = written(own, "deeper")
+    spans = group_repeats(deeper, length, largest_group).toDF("key", "d1", "d2", "spans")
+    spans = pieces.select(*KEY, "key", "d1", "d2").join(spans, ["key", "d1", "d2"]).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most one piece a window
+    spans = written(spans, "spans")
+    drop(pieces, deeper)
+    return found.unionByName(spans)
 
 
 def repeated_spans(table: DataFrame, length: int, largest_group: int, hot_share: int = 2000) -> DataFrame:

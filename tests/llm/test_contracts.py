@@ -37,12 +37,68 @@ def test_query_equals_its_sql(spark, name):
     same(spark, llm.queries()[name], llm.oracle_sql()[name])
 
 
-@pytest.mark.parametrize(
-    "run",
-    [exact_dedup.exact_dedup, line_dedup.line_dedup, simhash.near_dedup, suffix_dedup.remove_repeats, packing.pack, context_tree.score_documents, language.identify],
-)
-def test_empty_tables_give_empty_results(spark, run):
-    assert run(table(spark, ["x"]).limit(0)).count() == 0
+def benchmark_of(spark, *texts):
+    return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "item_id long, text string")
+
+
+def labels_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+BY_DOCUMENT = {
+    "decontaminate": lambda s, d: decontamination.decontaminate(d, benchmark_of(s, "two words", None)),
+    "exact": lambda s, d: exact_dedup.exact_dedup(d),
+    "simhash": lambda s, d: simhash.near_dedup(d),
+    "suffix": lambda s, d: suffix_dedup.remove_repeats(d),
+    "score": lambda s, d: context_tree.score_documents(d),
+    "quality": lambda s, d: quality.classify(d, labels_of(s, (1, 1, 0), (1, 1, 0), (None, 0, 0), (2, None, 0))),
+    "language": lambda s, d: language.identify(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(BY_DOCUMENT))
+def test_null_and_repeated_ids_keep_their_rows(spark, name):
+    long = words(random.Random(8), 200)
+    rows = [(None, long), (None, None), (7, long), (7, long), (7, ""), (3, "two words"), (None, "two words")]
+    docs = spark.createDataFrame([(d, t, None if k % 2 else "en", "s", "f", "r", "l") for k, (d, t) in enumerate(rows)], SCHEMA)
+    got = BY_DOCUMENT[name](spark, docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in rows)
+
+
+@pytest.mark.parametrize("name", sorted(BY_DOCUMENT))
+def test_empty_tables_give_empty_results(spark, name):
+    assert BY_DOCUMENT[name](spark, table(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_other_empty_tables(spark):
+    none = table(spark, ["x"]).limit(0)
+    assert line_dedup.line_dedup(none).count() == 0
+    assert packing.pack(none).count() == 0
+    assert quotation.reply_ordered(spark.createDataFrame([], "conv_id string, turn long, role string, text string")).count() == 0
+    got = decontamination.digest(decontamination.decontaminate(table(spark, ["one two"]), benchmark_of(spark).limit(0))).collect()
+    assert [(r.n_words, r.n_hit, r.contaminated) for r in got] == [(2, 0, False)]
+
+
+def test_lines_and_pieces_of_null_and_repeated_ids(spark):
+    rows = [(None, "a line of some length\nb"), (7, "a line of some length"), (7, "a line of some length"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", "f", "r", "l") for d, t in rows], SCHEMA)
+    got = line_dedup.line_dedup(docs).collect()
+    assert sorted((str(r.doc_id), r.line_no, r.n_copies, r.kept) for r in got) == [("7", 0, 3, False), ("7", 0, 3, False), ("None", 0, 3, True), ("None", 1, 1, True)]
+    assert sorted(str(r.doc_id) for r in packing.pack(docs).collect()) == ["7", "7", "None", "None"]
+
+
+def test_proximity_takes_words_near_their_places(spark):
+    made = ["the old red fox ran", "the red old fox ran", "the old and red and fox", "fox red old the"]
+    found = decontamination.decontaminate(table(spark, made), benchmark_of(spark, "the old red fox"), slack=1)
+    assert {r.doc_id for r in found.collect() if r["items"]} == {0, 1}
+
+
+def test_blocks_of_the_benchmark_add_up(spark, texts):
+    items = benchmark_of(spark, *(" ".join(t.split()[:30]) for t in texts if t and t.split()), "one", None)
+    docs = table(spark, texts)
+    whole = decontamination.digest(decontamination.decontaminate(docs, items)).collect()
+    assert sorted(whole) == sorted(decontamination.digest(decontamination.decontaminate(docs, items, block_bytes=2000)).collect())
+    assert any(r.contaminated for r in whole)
 
 
 def test_decontamination_finds_every_window(spark, texts):
@@ -199,6 +255,33 @@ def test_context_tree_equals_a_plain_one(spark):
         assert got[k] == pytest.approx(score, rel=1e-5), made[k]
 
 
+def test_long_texts_score_alike_in_any_blocks(spark):
+    rng = random.Random(15)
+    made = [words(rng, 240_000), words(rng, 300), "", None, words(rng, 20)]
+    assert len(made[0]) > 1 << 20
+    got = {r.doc_id: r for r in context_tree.score_documents(table(spark, made), depth=3).collect()}
+    cut = {r.doc_id: r for r in context_tree.score_documents(table(spark, made), depth=3, block_bytes=1 << 10, shard_bytes=1 << 16).collect()}
+    assert [got[k].n_tokens for k in range(5)] == [240_001, 301, 1, 1, 21]
+    for k in range(5):
+        assert (got[k].n_known, got[k].train_tokens, got[k].base_score) == (cut[k].n_known, cut[k].train_tokens, pytest.approx(cut[k].base_score))
+        assert got[k].score == pytest.approx(cut[k].score, rel=1e-5)
+
+
+@pytest.mark.parametrize("fan, heavy", [(2, 3), (3, 256), (128, 1)])
+def test_rounds_and_heavy_pairs_change_nothing(spark, monkeypatch, fan, heavy):
+    rng = random.Random(18)
+    made = [words(rng, rng.randrange(1, 90), 50) for _ in range(40)] + ["", None]
+    want = {r.doc_id: r for r in context_tree.score_documents(table(spark, made)).collect()}
+    monkeypatch.setattr(context_tree, "FAN", fan)
+    monkeypatch.setattr(context_tree, "HEAVY", heavy)
+    got = context_tree.score_documents(table(spark, made), block_bytes=400, shard_bytes=1000).collect()
+    assert len(got) == len(made)
+    for r in got:
+        w = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (w.n_tokens, w.n_known, w.train_tokens, pytest.approx(w.base_score))
+        assert r.score == pytest.approx(w.score, rel=1e-5)
+
+
 def test_simhash_components(spark, texts):
     import xxhash
 
@@ -222,17 +305,18 @@ def test_simhash_index_misses_no_link(spark):
     base = [rng.getrandbits(64) for _ in range(300)]
     every = {x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in base} | set(base)
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in every]
-    found = simhash.links(spark.createDataFrame(signed, "fp long"), node_rows=40, per_task=50).collect()
+    found = simhash.links(spark.createDataFrame(signed, "fp long"), node_rows=40).collect()
     want = {(a, b) for (a,), (b,) in itertools.permutations(signed, 2) if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
     assert {(r.a, r.b) for r in found} == want
     assert len(found) == len(want)
 
 
-@pytest.mark.parametrize("largest_group", [4_000, 1])
+@pytest.mark.parametrize("largest_group", [4_000, 9])
 def test_suffix_dedup_removes_what_starts_twice(spark, texts, largest_group):
     rng = random.Random(7)
     passage = words(rng, 160)
     made = [*texts, "x " + passage + " y", passage[30:], "z" + passage[:420], passage + passage[:399], words(rng, 40) + passage[200:500] + words(rng, 40), "q " * 90 + words(rng, 9)]
+    made += [words(rng, 30) + passage[600 : 700 + 12 * k] + words(rng, 60) for k in range(30)]  # one hot group of contexts that differ
     raw = [(t or "").encode() for t in made]
 
     def ranges(size):
@@ -254,6 +338,16 @@ def test_suffix_dedup_removes_what_starts_twice(spark, texts, largest_group):
         assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256, got[k].n_passages) == want
 
 
+def test_repeats_across_stretches_of_long_texts(spark):
+    rng = random.Random(16)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1_150_000))
+    edge = suffix_dedup.FLAT
+    passage = text[edge - 300 : edge + 300]
+    made = [text, "start " + passage + " end", text[:100] + text[1_100_000:1_100_500]]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(table(spark, made)).collect()}
+    assert [(got[k].n_removed, got[k].n_spans) for k in range(3)] == [(1100, 2), (600, 1), (500, 1)]
+
+
 def test_quality_learns_what_is_marked(spark):
     rng = random.Random(1)
     good = ["".join(rng.choice(["the ", "calm ", "river ", "runs ", "to ", "sea "]) for _ in range(60)) for _ in range(120)]
@@ -267,6 +361,90 @@ def test_quality_learns_what_is_marked(spark):
     assert len(got) == len(made)
 
 
+def plain_words(text):
+    """(word, shape) of runs of letters, digits and other marks."""
+    import re
+
+    out = []
+    for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff \t\n\r\v\f]+", text):
+        w = m[0]
+        kind = 1 if w[0] >= 128 or chr(w[0]).isalpha() else 2 if chr(w[0]).isdigit() else 3
+        ups = sum(65 <= c <= 90 for c in w)
+        out.append((w, (kind * 3 + (0 if not ups else 2 if ups == len(w) > 1 else 1)) * 16 + min(len(w), 15)))
+    return out
+
+
+def plain_row(word):
+    mask = (1 << 64) - 1
+    h, scale = 0, 1
+    for c in word:
+        h, scale = (h + int(quality.BYTE[c]) * scale) & mask, scale * int(quality.STEP) & mask
+    h = (h ^ h >> 31) * 0xD6E8FEB86659FD93 & mask
+    return h >> 49
+
+
+def test_word_vectors_and_features_equal_plain_ones(spark):
+    import numpy as np
+
+    made = ["The calm river, the sea!", "WIN 100 now now", "", None, "Éa b  c\td e", "x"]
+    split = [[(plain_row(w), s * 2654435761 % quality.ROWS) for w, s in plain_words((t or "").encode())] for t in made]
+    vectors = np.zeros((quality.ROWS, quality.DIM))
+    index = quality.index_matrix()
+    for own in split:
+        for k, (w, s) in enumerate(own):
+            vectors[s] += index[w]
+            for other, shape in own[max(0, k - 1) : k]:
+                vectors[w] += index[other] + index[shape]
+                vectors[other] += index[w]
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = (vectors / np.maximum(norm, 1e-9)).astype(np.float32)
+    got = quality.word_vectors(table(spark, made))
+    assert np.allclose(got, vectors, atol=1e-5)
+    x = quality.features([(t or "").encode() for t in made], got, index)
+    for k, own in enumerate(split):
+        if not own:
+            assert not x[k].any()
+            continue
+        n = len(own)
+        context = sum(vectors[w] + vectors[s] for w, s in own) / n
+        marks = sum(index[s] + 0.5 * index[w] for w, s in own) / n
+        one = sum(index[w] for w, _ in own) / n
+        twice = sum(a[0] == b[0] for a, b in zip(own, own[1:], strict=False)) / n
+        want = np.concatenate([context, marks, [np.linalg.norm(one), np.linalg.norm(context), np.log1p(n), twice]])
+        assert np.allclose(x[k], want, atol=1e-5)
+
+
+def test_network_equals_a_plain_one():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, quality.FEATURES))
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    net = quality.train(x, y)
+    for row, p in zip(x[:5], net.probability(x[:5]), strict=True):
+        z = [max(-8, min(8, (v - m) / s)) for v, m, s in zip(row, net.mean, net.scale, strict=True)]
+        hidden = [math.tanh(sum(a * w for a, w in zip(z, net.w1[:, j], strict=True)) + net.b1[j]) for j in range(net.w1.shape[1])]
+        logit = (sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2) / net.temperature
+        assert p == pytest.approx(1 / (1 + math.exp(-logit)))
+    assert ((net.probability(x) >= 0.5) == y).mean() > 0.9
+
+
+def test_long_texts_are_cut_at_white_space_only():
+    rng = random.Random(14)
+    long = words(rng, 260_000).encode()
+    assert len(long) > 1 << 20
+    odd = b"x" * (quality.FLAT + 10) + b" " + b"y z" + b"w" * 2 * quality.FLAT
+    got_words, got_shapes, counts = quality.word_rows([b"a b", long, odd, b""])
+    plain = [plain_words(t) for t in (b"a b", long)]
+    assert counts.tolist() == [2, len(plain[1]), 3, 0]
+    known = {}
+    want = [known[w] if w in known else known.setdefault(w, plain_row(w)) for own in plain for w, _ in own]
+    assert got_words[: len(want)].tolist() == want
+    assert got_words[len(want)] == plain_row(odd.split()[0])
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.classify(table(spark, ["a", None]), none).collect()} == {0.5}
@@ -324,11 +502,14 @@ def test_threads_cross_blocks_of_turns(spark):
 def test_packing_is_whole_gapless_and_tight(spark, texts):
     from tokenizers import Tokenizer
 
-    odd = ["don't stop—now <|endoftext|> x<|startoftext|>", "ﬁne ½ ① nbsp\tTab\r\nİstanbul ẞ", "é café naïve ŒUVRE 漢字 ,,,a... ((b)) 12ab's"]
+    assert packing.token_bytes(["ab<|endoftext|>cd"])[0] == b"".join(x.to_bytes(4, "little") for x in (3937, 49407, 4480))
+    rng = random.Random(17)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "Don't", "é", "ß", "漢", " ", "  ", "\n", ".", "!!", "12", "a", "Ünï", "\u0301", "\u00a0", "x's", "ﬁ", "<|", "|>"]
+    mixed = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(400)]
+    odd = [*mixed, "don't stop—now <|endoftext|> x<|startoftext|>", "ﬁne ½ ① nbsp\tTab\r\nİstanbul ẞ", "é café naïve ŒUVRE 漢字 ,,,a... ((b)) 12ab's"]
     made = [*texts, *odd]
     got = packing.pack(table(spark, made)).collect()
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -352,6 +533,57 @@ def test_packing_is_whole_gapless_and_tight(spark, texts):
     assert len(by_sequence) <= -(-total // 4096) + 2
 
 
+def test_phrases_are_those_of_a_plain_cross_parse(spark):
+    import numpy as np
+
+    rng = random.Random(12)
+    prose = lambda stock, n: " ".join(rng.choice(stock) for _ in range(n))
+    stock = {"aa": ["tree", "treason", "reason", "on"], "bb": ["baum", "grund", "und"], "zh": ["山水", "水火", "火山口"]}
+    samples = {k: [prose(v, 40) for _ in range(3)] for k, v in stock.items()}
+    model = language.build(samples)
+    low, _ = language.letters()
+    code = lambda t: "".join(map(chr, low[np.frombuffer(t.encode("utf-32-le"), dtype="<u4")]))
+    norm = lambda t: " ".join(code(t).split(" ")) if t else ""
+
+    def squeezed(t):
+        out = ""
+        for c in norm(t):
+            if c != " " or not out.endswith(" "):
+                out += c
+        return out
+
+    def phrases(text, sample):
+        at = count = 0
+        while at < len(text):
+            n = 1
+            while at + n <= len(text) and text[at : at + n] in sample:
+                n += 1
+            at, count = at + max(1, n - 1), count + 1
+        return count
+
+    made = ["tree reason", prose(stock["bb"], 30), "山水 水火?", "xyz 123 baum", prose(stock["aa"], 600), "", "!!", "\u0301\u0302"]
+    n, got = language.count_phrases(model, made)
+    sample = {k: "".join(squeezed(" " + t) for t in v) for k, v in samples.items()}
+    for k, t in enumerate(made):
+        own = squeezed(t).rstrip(" ") if not any(c.isalpha() for c in t) else squeezed(t)
+        own = own[1:] if own.startswith(" ") else own
+        if not any(c.isalpha() for c in t):
+            assert n[k] == 0
+            continue
+        for j, lang in enumerate(model.languages):
+            plain = phrases(own, sample[lang])
+            assert plain <= got[k, j] <= plain + len(own) // language.STRETCH, (t[:20], lang)
+
+
+def test_language_tables_do_not_grow_with_the_alphabet(spark):
+    rng = random.Random(13)
+    made = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400)) for _ in range(150)]
+    model = language.build({"zh": made, "xx": ["plain words"]})
+    size = sum(a.nbytes for t in model.tables for layer in t.layers for a in layer[2:])
+    assert model.width > 2500 and size < 40 << 20
+    assert [r.lang_pred for r in language.identify(table(spark, ["\u0301", "山"], ["zh", "zh"])).orderBy("doc_id").collect()] == ["und", "zh"]
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(9)
     stock = {"aa": ["the", "house", "with", "garden", "and", "river"], "bb": ["das", "haus", "mit", "garten", "und", "fluss"], "cc": ["la", "maison", "avec", "jardin", "et", "rivière"]}
