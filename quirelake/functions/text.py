@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def lower_ascii(c: Column) -> Column:
+    return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())
 
 
 def strip(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.functions.text import any_of, has_letter, path_tokens, points, squash, strip, word_count
+from quirelake.functions.text import any_of, has_letter, lower_ascii, path_tokens, points, squash, strip, word_count
 from quirelake.operators import parse
 
 # The labels and headings that the rules look for.
@@ -19,14 +19,14 @@ FEATURES = ("n", "bullets", "labels", "numbered", "short", "long", "heading_like
 
 
 def line_features(docs: DataFrame) -> DataFrame:
-    """Counts of each kind of line (trimmed, not empty) per document, and of heading and paragraph spans."""
-    lines = docs.select("path", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
+    """Counts of each kind of line (trimmed, not empty) per document, and of heading and paragraph spans, from one pass over the lines."""
+    lines = parse.marked_lines(docs).select("path", "kind", "starts", strip(F.col("line")).alias("line")).where("line <> ''")
     line = F.col("line")
     words, chars, colon = word_count(line), F.length(line), F.instr(line, ":")
     left, right = F.expr("left(line, instr(line, ':') - 1)"), F.expr("substring(line, instr(line, ':') + 1)")
     label = (colon > 0) & word_count(left).between(1, 4) & right.rlike(r"[\p{IsAlphabetic}\p{N}]") & ~strip(left).startswith("#") & (chars <= 120)
     dashed = line.contains(" — ") | line.contains(" - ")
-    heading = F.lower(strip(F.regexp_replace(line, "^[#:-]+|[#:-]+$", "")))
+    heading = lower_ascii(strip(F.regexp_replace(line, "^[#:-]+|[#:-]+$", "")))
     capitals, letters = F.regexp_count(line, F.lit(r"\p{IsUppercase}")), F.regexp_count(line, F.lit(r"\p{IsAlphabetic}"))
     rules = {
         "n": F.lit(True),
@@ -37,14 +37,15 @@ def line_features(docs: DataFrame) -> DataFrame:
         "long": chars >= 100,
         "heading_like": line.startswith("#") | line.rlike(NUMBERED) | (has_letter(line) & (words <= 12) & (chars <= 90) & (capitals * 2 >= letters)),
         "dashed": dashed & (words <= 12) & (chars <= 100),
-        "planning": (colon > 0) & F.lower(strip(left)).isin(*PLANNING_LABELS),
-        "profile": (colon > 0) & F.lower(left).rlike(PROFILE_LABELS),
+        "planning": (colon > 0) & lower_ascii(strip(left)).isin(*PLANNING_LABELS),
+        "profile": (colon > 0) & lower_ascii(left).rlike(PROFILE_LABELS),
         "profile_headings": heading.isin(*PROFILE_HEADINGS),
+        "headings": F.col("kind") == "heading",
+        "paragraphs": (F.col("kind") == "text") & F.col("starts"),
         "definitions": label | ((words <= 12) & (chars <= 120) & (line.contains(" = ") | dashed)),
     }
     counts = lines.groupBy("path").agg(*(F.count_if(rule).alias(k) for k, rule in rules.items()))
-    spans = parse.spans(docs).groupBy("path").agg(F.count_if(F.col("span_type") == "heading").alias("headings"), F.count_if(F.col("span_type") == "paragraph").alias("paragraphs"))
-    out = docs.select("path", "document_type").join(counts, "path", "left").join(spans, "path", "left")
+    out = docs.select("path", "document_type").join(counts, "path", "left")
     return out.na.fill(0, [*FEATURES, "headings", "paragraphs"])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODES = ("analysis", "editing", "ideation")
@@ -49,10 +49,16 @@ def run_tasks(requests: DataFrame) -> DataFrame:
     return requests.withColumn("schema_version", F.lit(1).cast("short")).withColumn("output_type", kind).withColumn("title", title).withColumn("output_text", text)
 
 
+def default_scope(mode: Column) -> Column:
+    """What a task takes into view when nothing else is asked: the selection, in each mode."""
+    return F.when(mode.isin(*MODES), "selection")
+
+
 def new_requests(requests: DataFrame) -> DataFrame:
-    """Requests with a random id, the schema version, and the task type of their mode."""
+    """Requests with a random id, the schema version, the task type of their mode, and their own target as the context's (context_target)."""
     kinds = F.create_map(*[F.lit(x) for pair in TASK_TYPES.items() for x in pair])
-    return requests.withColumn("request_id", F.uuid()).withColumn("schema_version", F.lit(1).cast("short")).withColumn("task_type", F.coalesce(kinds[F.col("mode")], F.lit("chat")))
+    out = requests.withColumn("request_id", F.uuid()).withColumn("schema_version", F.lit(1).cast("short")).withColumn("task_type", F.coalesce(kinds[F.col("mode")], F.lit("chat")))
+    return out.withColumn("context_target", F.col("target")) if "target" in requests.columns else out
 
 
 def check_outputs(requests: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -77,7 +83,12 @@ def toggle_path(active: Column, available: Column, path: Column) -> Column:
 
 
 def chat_log(messages: DataFrame) -> DataFrame:
-    """Messages in the order they were appended, each with its place in the thread."""
-    from pyspark.sql import Window
+    """Messages in the order they were appended, each with its place in the thread and a random id."""
+    order = Window.partitionBy("thread_id").orderBy("created_at_ms", "seq")
+    return messages.withColumn("position", F.row_number().over(order) - 1).withColumn("message_id", F.uuid())
+
 
-    return messages.withColumn("position", F.row_number().over(Window.partitionBy("thread_id").orderBy("created_at_ms", "seq")) - 1)
+def rescoped(threads: DataFrame, changes: DataFrame) -> DataFrame:
+    """Threads (thread_id, mode, scope) after the last change of scope (thread_id, scope, seq) of each; the mode stays."""
+    last = changes.groupBy("thread_id").agg(F.max_by("scope", "seq").alias("to"))
+    return threads.join(last, "thread_id", "left").withColumn("scope", F.coalesce("to", "scope")).drop("to")

@@ -82,14 +82,22 @@ def summary_text(text: Column) -> Column:
 
 def reviewable_summaries(docs: DataFrame) -> DataFrame:
     """A document's summary, and its sections' when more than one has text."""
-    sections = parse.sections(docs).select("path", "ordinal", "text", "start_char", "end_char")
-    each = sections.withColumn("summary", summary_text(F.col("text"))).where("summary IS NOT NULL")
-    each = each.withColumn("n", F.count("*").over(Window.partitionBy("path"))).where("n > 1")
-    each = each.select("path", F.concat(F.lit("section:"), F.col("ordinal")).alias("scope"), F.col("summary").alias("text"), F.array("ordinal").alias("anchors"), "start_char", "end_char")
-    parts = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
-    whole = sections.groupBy("path").agg(
-        summary_text(F.array_join(F.transform(parts, lambda p: p.text), "\n\n")).alias("text"), F.transform(parts, lambda p: p.ordinal).alias("anchors"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char")
+    sections = parse.sections(docs).select("path", "ordinal", "text", "start_char", "end_char", summary_text(F.col("text")).alias("summary"))
+    own = sections.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text", "start_char", "end_char", "summary"))).alias("parts"))  # a document's sections
+
+    def row(scope, text, anchors, start, end):
+        return F.struct(scope.alias("scope"), text.alias("text"), anchors.alias("anchors"), start.alias("start_char"), end.alias("end_char"))
+
+    parts = F.col("parts")
+    whole = row(
+        F.lit("document"),
+        summary_text(F.array_join(F.transform(parts, lambda p: p.text), "\n\n")),
+        F.transform(parts, lambda p: p.ordinal),
+        F.array_min(F.transform(parts, lambda p: p.start_char)),
+        F.array_max(F.transform(parts, lambda p: p.end_char)),
     )
-    whole = whole.where("text IS NOT NULL").select("path", F.lit("document").alias("scope"), "text", "anchors", "start_char", "end_char")
-    rows = whole.unionByName(each).withColumn("review_state", F.lit("pending")).withColumn("staleness_state", F.lit("current"))
+    full = F.filter(parts, lambda p: p.summary.isNotNull())
+    each = F.transform(full, lambda p: row(F.concat(F.lit("section:"), p.ordinal.cast("string")), p.summary, F.array(p.ordinal), p.start_char, p.end_char))
+    rows = own.select("path", F.explode(F.concat(F.array(whole), F.when(F.size(full) > 1, each).otherwise(F.slice(each, 1, 0)))).alias("s")).select("path", "s.*")
+    rows = rows.where("text IS NOT NULL").withColumn("review_state", F.lit("pending")).withColumn("staleness_state", F.lit("current"))
     return rows.withColumn("id", stable_id(F.col("path"), F.col("scope"), F.col("text")))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ANCHORS = "array<struct<kind: string, ordinal: int>>"
+STATES = {"review_state": ("pending", "approved", "rejected"), "staleness_state": ("current", "stale")}
 FILTERS = ("all", "pending", "approved", "rejected", "stale", "reusable")
 
 
@@ -26,6 +28,23 @@ def state_filter(name: str) -> Column:
     return reusable() if name == "reusable" else F.col("review_state") == name
 
 
+def encode_anchors(anchors: Column) -> Column:
+    """Anchors as stored: a JSON text."""
+    return F.to_json(anchors)
+
+
+def decode_anchors(text: Column) -> Column:
+    """Stored anchors; null where the text is none."""
+    return F.from_json(text, ANCHORS)
+
+
+def stored_errors(records: DataFrame) -> DataFrame:
+    """Adds error_code: the first state of a stored record that no one knows, or its anchors if they cannot be read (source_anchors_json)."""
+    known = lambda c: F.coalesce(F.col(c).isin(*STATES[c]), F.lit(False))
+    error = F.when(~known("review_state"), "invalid_stored_review_state").when(~known("staleness_state"), "invalid_stored_staleness_state")
+    return records.withColumn("error_code", error.when(decode_anchors(F.col("source_anchors_json")).isNull(), "invalid_stored_anchors"))
+
+
 def upsert(saves: DataFrame, preserve_review: bool = False) -> DataFrame:
     """The latest save of each id at the place of its first; a new save overwrites the review state unless preserved."""
     columns = [c for c in saves.columns if c not in ("id", "seq")]

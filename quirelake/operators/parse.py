@@ -36,7 +36,7 @@ def line_kind(line: Column) -> Column:
 
 
 def marked_lines(docs: DataFrame, mode: str = "conservative_heuristic") -> DataFrame:
-    """Lines with their kind, section and scene group, and span ordinal."""
+    """Lines with their kind, section and scene group, span ordinal, and whether they start a span."""
     doc = Window.partitionBy("path").orderBy("line_no")
     rows = source_lines(docs).withColumn("kind", line_kind(F.col("line")))
     rows = rows.withColumn("section", F.sum(F.col("kind").isin("heading", "scene").cast("int")).over(doc))
@@ -53,7 +53,8 @@ def marked_lines(docs: DataFrame, mode: str = "conservative_heuristic") -> DataF
     elif mode != "strict_blank_lines":
         raise ValueError(f"unknown mode {mode}")
     start = F.col("kind").isin("heading", "scene") | ((F.col("kind") == "text") & F.coalesce(new, F.lit(False)))
-    return rows.withColumn("ordinal", (F.sum(start.cast("int")).over(doc) - 1).cast("int")).drop("before", "above", "open", "spaced")
+    rows = rows.withColumn("starts", start)
+    return rows.withColumn("ordinal", (F.sum(F.col("starts").cast("int")).over(doc) - 1).cast("int")).drop("before", "above", "open", "spaced")
 
 
 def _extent(rows: DataFrame, *keys: str) -> DataFrame:
@@ -83,9 +84,11 @@ def spans(docs: DataFrame, mode: str = "conservative_heuristic") -> DataFrame:
 
 
 def _bodies(docs: DataFrame, mode: str, group: str) -> DataFrame:
-    """Lines of each section or scene between its first and last that is not blank; blank ones emptied."""
-    rows = marked_lines(docs, mode).where("kind <> 'scene'")
+    """Lines of each section or scene between its first and last that is not blank, blank ones emptied, with the line that opened it."""
     whole = Window.partitionBy("path", group)
+    boundary = F.col("kind").isin("heading", "scene") if group == "section" else F.col("kind") == "scene"
+    opening = F.first(F.when(boundary, F.struct("kind", "line"))).over(whole.orderBy("line_no"))
+    rows = marked_lines(docs, mode).withColumn("opening", opening).where("kind <> 'scene'")
     full = F.when(F.col("kind") != "blank", F.col("line_no"))
     rows = rows.withColumn("first", F.min(full).over(whole)).withColumn("last", F.max(full).over(whole))
     return rows.where("line_no BETWEEN first AND last").withColumn("body", F.when(F.col("kind") == "blank", "").otherwise(F.col("line")))
@@ -95,6 +98,7 @@ def _texts(rows: DataFrame, group: str) -> DataFrame:
     end_byte, end_char = F.col("start_byte") + F.octet_length("line"), F.col("start_char") + F.char_length("line")
     listed = F.array_sort(F.collect_list(F.struct("line_no", "body")))
     out = rows.groupBy("path", group).agg(
+        F.first("opening").alias("opening"),  # the same in all lines of a group
         F.array_join(F.transform(listed, lambda r: r.body), "\n").alias("text"),
         F.min(F.when(F.col("kind") != "blank", F.col("ordinal"))).alias("start_span_ordinal"),
         F.max(F.when(F.col("kind") != "blank", F.col("ordinal"))).alias("end_span_ordinal"),
@@ -110,15 +114,19 @@ def _texts(rows: DataFrame, group: str) -> DataFrame:
 
 def sections(docs: DataFrame, mode: str = "conservative_heuristic") -> DataFrame:
     """path, ordinal, text, boundary_kind, boundary_text and extents."""
-    opened = marked_lines(docs, mode).where("kind IN ('heading', 'scene')").select(
-        "path", "section", F.when(F.col("kind") == "scene", "scene_break").otherwise("heading").alias("boundary_kind"), F.when(F.col("kind") == "scene", strip(F.col("line"))).otherwise(F.col("line")).alias("boundary_text")
+    kind, line = F.col("opening.kind"), F.col("opening.line")
+    return _texts(_bodies(docs, mode, "section"), "section").select(
+        "path",
+        "ordinal",
+        "text",
+        "normalized_text",
+        F.when(kind == "scene", "scene_break").when(kind == "heading", "heading").otherwise("file_start").alias("boundary_kind"),
+        F.when(kind == "scene", strip(line)).otherwise(line).alias("boundary_text"),
+        *EXTENT,
     )
-    own = _texts(_bodies(docs, mode, "section"), "section").join(opened, ["path", "section"], "left")
-    return own.select("path", "ordinal", "text", "normalized_text", F.coalesce("boundary_kind", F.lit("file_start")).alias("boundary_kind"), "boundary_text", *EXTENT)
 
 
 def scenes(docs: DataFrame, mode: str = "conservative_heuristic") -> DataFrame:
     """path, ordinal, text, separator, span range and extents."""
-    breaks = marked_lines(docs, mode).where("kind = 'scene'").select("path", "scene", strip(F.col("line")).alias("separator"))
-    own = _texts(_bodies(docs, mode, "scene"), "scene").join(breaks, ["path", "scene"], "left")
-    return own.select("path", "ordinal", "text", "normalized_text", "separator", "start_span_ordinal", "end_span_ordinal", *EXTENT)
+    own = _texts(_bodies(docs, mode, "scene"), "scene")
+    return own.select("path", "ordinal", "text", "normalized_text", strip(F.col("opening.line")).alias("separator"), "start_span_ordinal", "end_span_ordinal", *EXTENT)

@@ -49,14 +49,19 @@ def ordinals_of(anchors: Column, kind: str) -> Column:
     return F.transform(F.filter(anchors, lambda a: a.kind == kind), lambda a: a.ordinal)
 
 
+TARGET = ("document_path", "selected_text", "start_char", "end_char", "anchors")
+
+
 def latest_by_pane(events: DataFrame) -> DataFrame:
-    """The last selection of each pane (seq, pane_id, document_path, selected_text, start_char, end_char)."""
-    return events.groupBy("pane_id").agg(F.max_by(F.struct("seq", "document_path", "selected_text", "start_char", "end_char"), "seq").alias("s")).select("pane_id", "s.*")
+    """The last selection of each pane (seq, pane_id and those of TARGET that events has)."""
+    held = [c for c in TARGET if c in events.columns]
+    return events.groupBy("pane_id").agg(F.max_by(F.struct("seq", *held), "seq").alias("s")).select("pane_id", "s.*")
 
 
 def active_target(events: DataFrame) -> DataFrame:
-    """The target of the pane that selected last; no row if that selection is empty."""
-    last = events.agg(F.max_by(F.struct("pane_id", "document_path", "selected_text", "start_char", "end_char"), "seq").alias("s")).select("s.*")
+    """The target, anchors included, of the pane that selected last; no row if that selection is empty."""
+    held = [c for c in TARGET if c in events.columns]
+    last = events.agg(F.max_by(F.struct("pane_id", *held), "seq").alias("s")).select("s.*")
     return last.where("selected_text <> ''")
 
 

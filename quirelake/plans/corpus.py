@@ -39,8 +39,45 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("reference/"), "n_name", F.lit(".md")).alias("path"), text.alias("text"), F.lit("reference").alias("document_type"))
 
 
+LONG = "The keepers of @ wrote that the tides were measured twice a day for as long as anyone in the harbour could remember."
+#: One shape of document for each class: folder, type and lines; @ stands for a supplier's name.
+SHAPES = [
+    ("planning/arc_", "note", ["Goal: bring @ across the strait", "Stakes: the winter stores", "1. Set out", "2. Turn back", "- ropes", "- lamps"]),
+    ("crew/profile_", "reference", ["Role: buyer at @", "Background: raised on barges", "Trait: patient", "Mission - keep the ledgers dry"]),
+    ("world/history_", "reference", [LONG, "", "# Early years", "", LONG, "", LONG, "", "# Later years", "", LONG, "", LONG]),
+    ("chapters/part_", "manuscript", ["@ stood at the rail before the first bell.", "", "---", "", "## Landing", "", "Nobody spoke until the rope was fast."]),
+    ("misc/scraps_", "reference", ["Goal: ask @", "what they said of the role of this: little", "- nets", "- oars", "- tar"]),
+]
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per supplier, in turn of each shape."""
+    s, n = table(spark, sf_dir, "supplier"), F.col("s_suppkey") % len(SHAPES) + 1
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), n.cast("int"))
+    return s.select(
+        F.concat(pick([d for d, _, _ in SHAPES]), "s_suppkey", F.lit(".md")).alias("path"),
+        F.replace(pick(["\n".join(lines) + "\n" for _, _, lines in SHAPES]), F.lit("@"), F.col("s_name")).alias("text"),
+        pick([k for _, k, _ in SHAPES]).alias("document_type"),
+    )
+
+
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts(spark, sf_dir).unionByName(references(spark, sf_dir))
+    return transcripts(spark, sf_dir).unionByName(references(spark, sf_dir)).unionByName(shapes(spark, sf_dir))
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of projects: one project per source, with documents, notes and files that no one reads."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 9
+    names = ["chapters/part_", "chapters/old/part_", "lore/a-b_", "lore/a/b_", "notes/n_", "notes/.cache/n_", "_drafts/d_", "top_", "img/p_"]
+    ends = [".md", ".MD", ".md", ".markdown", ".txt", ".md", ".mdown", ".txt", ".png"]
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    return d.select(F.concat(F.lit("/home/"), "source").alias("root_path"), F.concat(pick(names), "doc_id", pick(ends)).alias("path"), "text", F.lit(None).cast("string").alias("error_code"))
+
+
+#: Mappings of every project; those whose number ends in 7 have none.
+CONFIG = [(0, "./chapters/", "primary_manuscript", True), (1, "lore", "reference", True), (2, "notes", "notes", True), (3, "chapters/old", "ignore", True), (4, "_drafts", "notes", False), (5, "unset", None, True)]
+#: One more mapping, which keeps a project from being saved, by the last figure of its number.
+WRONG = [(4, "  ", "notes"), (5, "lore/", "notes"), (6, "../up", "notes"), (8, "second", "primary_manuscript")]
 
 
 #: Role mappings: sources 0-9 manuscript, 10-14 reference, 15-18 notes, 19 ignored; a nested override and a disabled row.

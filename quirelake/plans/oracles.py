@@ -19,7 +19,47 @@ TRANSCRIPTS = f"""SELECT 'transcript/conv_' || conv_id || '.md' AS path, '# Conv
 REFERENCES = f"""SELECT 'reference/' || n_name || '.md' AS path, '## ' || n_name || {NL} || {NL} || '- Region: ' || r_name || {NL} || ls || {NL} AS text, 'reference' AS document_type
   FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (SELECT c_nationkey, string_agg('Balance holders - ' || c_mktsegment, {NL} ORDER BY c_mktsegment) AS ls
   FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) GROUP BY c_nationkey) ON c_nationkey = n_nationkey"""
-TYPED = f"SELECT * FROM ({TRANSCRIPTS}) UNION ALL SELECT * FROM ({REFERENCES})"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def pick(values_: list[str], n: str) -> str:
+    return f"[{', '.join(map(quoted, values_))}][{n}]"
+
+
+_N = f"s_suppkey % {len(corpus.SHAPES)} + 1"
+SHAPES = f"""SELECT {pick([d for d, _, _ in corpus.SHAPES], _N)} || s_suppkey || '.md' AS path, replace({pick([chr(10).join(x) + chr(10) for _, _, x in corpus.SHAPES], _N)}, '@', s_name) AS text, {pick([k for _, k, _ in corpus.SHAPES], _N)} AS document_type FROM supplier"""
+TYPED = f"SELECT * FROM ({TRANSCRIPTS}) UNION ALL SELECT * FROM ({REFERENCES}) UNION ALL SELECT * FROM ({SHAPES})"
+TREE = f"""SELECT '/home/' || source AS root_path, {pick(["chapters/part_", "chapters/old/part_", "lore/a-b_", "lore/a/b_", "notes/n_", "notes/.cache/n_", "_drafts/d_", "top_", "img/p_"], "doc_id % 9 + 1")} || doc_id || {pick([".md", ".MD", ".md", ".markdown", ".txt", ".md", ".mdown", ".txt", ".png"], "doc_id % 9 + 1")} AS path, text FROM documents"""
+CONFIG = f"""roots AS (SELECT DISTINCT '/home/' || source AS root_path, CAST(regexp_extract(source, '[0-9]+$') AS INT) AS num FROM documents),
+config_drafts AS (SELECT root_path, seq, path, role, enabled FROM roots, {values(corpus.CONFIG, 'seq, path, role, enabled')} WHERE num % 10 <> 7
+  UNION ALL SELECT root_path, 9, path, role, TRUE FROM roots JOIN {values(corpus.WRONG, 'n, path, role')} ON num % 10 = n)"""
+OPENED = r"""checked AS (SELECT root_path, CASE num % 10 WHEN 4 THEN 'empty_directory_path' WHEN 5 THEN 'duplicate_directory_path' WHEN 6 THEN 'unsafe_directory_path' WHEN 8 THEN 'invalid_primary_manuscript_count' END AS error_code FROM roots WHERE num % 10 <> 7),
+saved AS (SELECT root_path, CASE path WHEN './chapters/' THEN 'chapters' ELSE path END AS path, role, enabled, CAST(NULL AS VARCHAR) AS error_code FROM config_drafts JOIN checked c USING (root_path) WHERE c.error_code IS NULL AND role IS NOT NULL
+  UNION ALL SELECT '/home/stale', 'old', 'lore_master', TRUE, 'invalid_stored_directory_role'),
+told AS (SELECT root_path, CASE WHEN bool_or(s.path IS NULL) THEN 'not_configured' ELSE max(s.error_code) END AS error_code FROM (SELECT root_path FROM roots UNION ALL SELECT '/home/stale' UNION ALL SELECT '/home/none') LEFT JOIN saved s USING (root_path) GROUP BY root_path),
+held AS (SELECT t.root_path, t.path, arg_max(role, len(string_split(s.path, '/'))) AS role, bool_or(role <> 'ignore' AND NOT regexp_matches(substr(t.path, length(s.path) + 2), '(^|/)\.[^/]+/')) AS seen
+  FROM tree t JOIN saved s ON s.root_path = t.root_path AND enabled AND starts_with(t.path, s.path || '/') GROUP BY t.root_path, t.path),
+shown AS (SELECT root_path, path, document_type, CAST(NULL AS VARCHAR) AS error_code FROM (SELECT *, CASE WHEN role = 'primary_manuscript' AND EXT IN ('md', 'markdown', 'mdown') THEN 'manuscript' WHEN role = 'reference' AND EXT IN ('md', 'markdown', 'mdown', 'txt') THEN 'reference'
+  WHEN role = 'notes' AND EXT IN ('md', 'markdown', 'mdown', 'txt') THEN 'note' END AS document_type FROM held WHERE seen) WHERE document_type IS NOT NULL UNION ALL SELECT root_path, NULL, NULL, error_code FROM told WHERE error_code IS NOT NULL)"""
+LOADED = """asked AS (SELECT root_path, CASE k WHEN 0 THEN '../' || path WHEN 1 THEN path || '/' WHEN 2 THEN 'not/' || path ELSE path END AS path FROM (SELECT *, CAST(regexp_extract(path, '[0-9]+') AS BIGINT) % 8 AS k FROM tree)),
+loaded AS (SELECT a.root_path, a.path, o.document_type, CASE WHEN list_has_any(string_split(a.path, '/'), ['..', '.', '']) THEN 'invalid_document_path' WHEN t.error_code IS NOT NULL THEN t.error_code WHEN o.path IS NULL THEN 'document_not_discovered' END AS error_code, tr.text
+  FROM asked a LEFT JOIN told t ON t.root_path = a.root_path AND t.error_code IS NOT NULL LEFT JOIN shown o ON o.root_path = a.root_path AND o.path = a.path LEFT JOIN tree tr ON tr.root_path = a.root_path AND tr.path = a.path)"""
+
+
+def with_ids(sql: str, *parts: str) -> str:
+    """Adds the stable id of some columns to rows: two limbs of 64 bits, a step for each byte."""
+    digits = " || '00' || ".join(f"hex(CAST({p} AS VARCHAR))" for p in parts)
+    byte = "((instr('0123456789ABCDEF', substr(hx, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hx, 2 * i + 2, 1)) - 1)"
+    low = f"(CAST(xor(lo, CAST({byte} AS UBIGINT)) AS HUGEINT) * 1099511628211)"
+    top = "CAST(18446744073709551616 AS HUGEINT)"
+    return f"""WITH RECURSIVE b AS MATERIALIZED (SELECT row_number() OVER () AS rn, * FROM ({sql})), k AS MATERIALIZED (SELECT rn, {digits} AS hx FROM b),
+h AS (SELECT rn, 0 AS i, CAST(0 AS UBIGINT) AS hi, CAST(14695981039346656037 AS UBIGINT) AS lo FROM k
+  UNION ALL SELECT rn, i + 1, CAST((CAST(hi AS HUGEINT) * 1099511628211 + {low} // {top}) % {top} AS UBIGINT), CAST({low} % {top} AS UBIGINT) FROM h JOIN k USING (rn) WHERE 2 * i < length(hx)),
+ids AS (SELECT rn, lower(lpad(to_hex(arg_max(hi, i)), 16, '0') || lpad(to_hex(arg_max(lo, i)), 16, '0')) AS x FROM h GROUP BY rn)
+SELECT b.* EXCLUDE (rn), x[1:8] || '-' || x[9:12] || '-' || x[13:16] || '-' || x[17:20] || '-' || x[21:32] AS id FROM b JOIN ids USING (rn)"""
 
 CLEAN = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'), ' ')"
 
@@ -119,8 +159,11 @@ state AS (SELECT l.id, arg_max(action, seq) FILTER (action IN ('approved', 'reje
 records AS (SELECT id, source_document_path, saved, coalesce(review, 'pending') AS review_state, CASE WHEN stale THEN 'stale' ELSE 'current' END AS staleness_state FROM last LEFT JOIN state USING (id))"""
 NORMAL = """norm AS (SELECT *, CASE WHEN trim(path) = '' THEN 'empty_directory_path' WHEN starts_with(trim(path), '/') OR list_contains(string_split(trim(path), '/'), '..') THEN 'unsafe_directory_path' END AS error_code,
   coalesce(nullif(array_to_string(list_filter(string_split(trim(path), '/'), lambda x: x NOT IN ('', '.')), '/'), ''), '.') AS clean FROM drafts)"""
-DRAFTS = "drafts AS " + values([(p, k, d, r, e) for k, (p, d, r, e) in enumerate(corpus.DRAFTS)], "project, seq, path, role, enabled")
-SELECTIONS = "sels AS (SELECT p_partkey AS sel_id, 'transcript/conv_' || (p_partkey % 50) || '.md' AS path, (p_partkey * 37) % 900 AS sel_start, (p_partkey * 37) % 900 + p_size * 3 - 3 AS sel_end FROM part)"
+DRAFTS = CONFIG + ", drafts AS (SELECT * FROM " + values([(p, k, d, r, e) for k, (p, d, r, e) in enumerate(corpus.DRAFTS)], "project, seq, path, role, enabled") + " UNION ALL SELECT * FROM config_drafts)"
+SELECTIONS = "sels AS (SELECT conv_id || '/' || turn AS sel_id, 'transcript/conv_' || conv_id || '.md' AS path, turn * 137 % 900 AS sel_start, turn * 137 % 900 + turn * 53 % 150 - 3 AS sel_end FROM conversations)"
+SOURCES_OF = f"base AS (SELECT source || '/' || doc_id || '/' || {pick([p for p, _ in corpus.SOURCES], f'doc_id % {len(corpus.SOURCES)} + 1')} AS path, {pick([t for _, t in corpus.SOURCES], f'doc_id % {len(corpus.SOURCES)} + 1')} AS document_type FROM documents)"
+FILES = f"files AS (SELECT * FROM {values([(p,) for p in corpus.FILES], 'path')} UNION ALL SELECT path FROM ({TREE}))"
+UPDATES = "upd AS (SELECT 'user_' || (c_custkey % 170) AS id, arg_max(['approved', 'rejected', 'pending'][c_nationkey % 3 + 1], c_custkey) AS st FROM customer GROUP BY 1)"
 REQUESTS = "reqs AS (SELECT c_custkey AS request_id, c_custkey % 5 AS project, ['analysis', 'editing', 'ideation'][c_custkey % 3 + 1] AS mode, c_name AS selected_text FROM customer)"
 CONTEXT = f"""base AS {values([(p, t, k) for k, (p, t) in enumerate(corpus.SOURCES)], 'path, document_type, n')},
 srcs AS (SELECT g AS project, path, {KIND} AS kind, ['pinned', 'retrieved', 'explicit_only'][(n + g) % 3 + 1] AS activation_policy, ['user_authored', 'approved', 'pending_review', 'stale'][(n * 3 + g) % 4 + 1] AS review_state FROM base, (SELECT unnest(range(0, 5)) AS g)),
@@ -158,12 +201,12 @@ SELECT path, scope, s AS text, anchors, CAST(start_char AS BIGINT) AS start_char
         "archetypes": f"WITH {typed}, {COUNTS} SELECT path, document_type, {ARCHETYPE} AS archetype FROM feats",
         "intended_use": f"""WITH {typed}, {COUNTS}, arch AS (SELECT path, {ARCHETYPE} AS archetype FROM feats), kinds AS (SELECT unnest(['entity_profile', 'relationship', 'timeline_event', 'story_arc', 'world_rule', 'terminology', 'extractive_summary']) AS candidate_kind)
 SELECT path, archetype, candidate_kind, CASE WHEN archetype = 'story_planning' THEN 'planning_only' WHEN archetype = 'loose_note' OR (archetype = 'manuscript' AND candidate_kind = 'extractive_summary') OR (archetype = 'dossier_profile' AND candidate_kind = 'story_arc') THEN 'working_context' ELSE 'canon_reference' END AS intended_use FROM arch, kinds""",
-        "context_source_kind": f"WITH base AS {values([(p, t) for p, t in corpus.SOURCES], 'path, document_type')} SELECT path, document_type, {KIND} AS kind FROM base",
-        "project_context_sources": f"WITH base AS {values([(p, t) for p, t in corpus.SOURCES], 'path, document_type')} SELECT path, {KIND} AS kind, 'explicit_only' AS activation_policy, 'user_authored' AS review_state FROM base WHERE {KIND} IS NOT NULL",
+        "context_source_kind": f"WITH {SOURCES_OF} SELECT path, document_type, {KIND} AS kind FROM base",
+        "project_context_sources": f"WITH {SOURCES_OF} SELECT path, {KIND} AS kind, 'explicit_only' AS activation_policy, 'user_authored' AS review_state FROM base WHERE {KIND} IS NOT NULL",
         "mapping_classify": f"WITH files AS (SELECT DISTINCT path FROM ({PROSE})), {CLASSIFIED} SELECT path, document_type FROM classified",
         "discover_documents": f"WITH files AS (SELECT DISTINCT path FROM ({PROSE})), {CLASSIFIED} SELECT path, document_type FROM classified WHERE document_type IS NOT NULL",
-        "file_filters": f"WITH files AS {values([(p,) for p in corpus.FILES], 'path')} SELECT path, {EXTENSION} IN ('md', 'markdown', 'mdown', 'txt') AS supported, {EXTENSION} IN ('md', 'markdown', 'mdown') AS manuscript, regexp_matches(path, '(^|/)\\.[^/]+/') AS hidden FROM files",
-        "import_candidates": f"""WITH files AS {values([(p,) for p in corpus.FILES], 'path')}, own AS (SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS dir, {EXTENSION} IN ('md', 'markdown', 'mdown', 'txt') AS t FROM files WHERE NOT regexp_matches(path, '(^|/)\\.[^/]+/')),
+        "file_filters": f"WITH {FILES} SELECT path, {EXTENSION} IN ('md', 'markdown', 'mdown', 'txt') AS supported, {EXTENSION} IN ('md', 'markdown', 'mdown') AS manuscript, regexp_matches(path, '(^|/)\\.[^/]+/') AS hidden FROM files",
+        "import_candidates": f"""WITH {FILES}, own AS (SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS dir, {EXTENSION} IN ('md', 'markdown', 'mdown', 'txt') AS t FROM files WHERE NOT regexp_matches(path, '(^|/)\\.[^/]+/')),
 g AS (SELECT dir AS path, bool_or(t) AS contains_supported_text_files, CASE dir WHEN 'chapters' THEN 'primary_manuscript' WHEN 'world_context' THEN 'reference' WHEN 'notes' THEN 'notes' END AS suggested_role FROM own GROUP BY dir UNION ALL SELECT 'void', FALSE, NULL)
 SELECT path, contains_supported_text_files, suggested_role, array_to_string(list_filter([CASE WHEN suggested_role IS NOT NULL THEN 'directory_named_' || path END, CASE WHEN contains_supported_text_files THEN 'contains_supported_text_files' END], lambda x: x IS NOT NULL), ',') AS suggestion_reasons FROM g WHERE path <> '.' OR contains_supported_text_files""",
         "mapping_normalize": f"WITH {DRAFTS}, {NORMAL} SELECT project, CAST(seq AS BIGINT) AS seq, path, error_code, CASE WHEN error_code IS NULL THEN clean END AS normalized FROM norm",
@@ -176,7 +219,7 @@ UNION ALL SELECT path, role, enabled, 1 FROM s WHERE path NOT IN (SELECT path FR
         "memory_upsert": f"WITH {LOG} SELECT id, min(seq) AS seq, arg_max(path, seq) AS source_document_path, arg_max(action, seq) AS last_action FROM log GROUP BY id",
         "memory_replay": f"WITH {REPLAY} SELECT id, source_document_path, saved, review_state, staleness_state, review_state = 'approved' AND staleness_state = 'current' AS reusable FROM records",
         "memory_mark_stale": f"WITH {REPLAY}, gone AS (SELECT DISTINCT source || '/doc_' || doc_id || '.md' AS path FROM documents WHERE lang <> 'en') SELECT id, source_document_path, saved, review_state, CASE WHEN source_document_path IN (SELECT path FROM gone) THEN 'stale' ELSE staleness_state END AS staleness_state FROM records",
-        "memory_review": f"WITH {REPLAY}, upd AS (SELECT 'user_' || c_custkey AS id, ['approved', 'rejected', 'pending'][c_nationkey % 3 + 1] AS st FROM customer) SELECT coalesce(r.id, u.id) AS id, CASE WHEN r.id IS NOT NULL THEN coalesce(st, review_state) END AS review_state, staleness_state, CASE WHEN r.id IS NULL THEN 'memory_record_not_found' END AS error_code FROM records r FULL JOIN upd u ON u.id = r.id",
+        "memory_review": f"WITH {REPLAY}, {UPDATES} SELECT coalesce(r.id, u.id) AS id, CASE WHEN r.id IS NOT NULL THEN coalesce(st, review_state) END AS review_state, staleness_state, CASE WHEN r.id IS NULL THEN 'memory_record_not_found' END AS error_code FROM records r FULL JOIN upd u ON u.id = r.id",
         "selection_overlap": f"""WITH {spans}, {SELECTIONS} SELECT sel_id, s.path, sel_start, sel_end, coalesce(string_agg(CAST(ordinal AS VARCHAR), ',' ORDER BY ordinal), '') AS ordinals, CAST(min(ordinal) AS BIGINT) AS "primary" FROM sels s LEFT JOIN spans p ON p.path = s.path AND sel_end > sel_start AND start_char < sel_end AND end_char > sel_start GROUP BY sel_id, s.path, sel_start, sel_end""",
         "selection_validate": """SELECT p_partkey AS sel_id, CASE WHEN p_partkey % 11 = 0 THEN 'missing_document_path' WHEN p_partkey % 7 = 0 THEN 'empty_selection' WHEN p_partkey % 5 = 0 THEN 'invalid_range' WHEN p_partkey % 3 = 0 THEN 'invalid_span_ordinal' END AS error_code,
   CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 THEN CAST(p_size AS VARCHAR) || ',' || CAST(p_size AS VARCHAR) END AS span_ordinals FROM part""",
@@ -187,6 +230,35 @@ FROM reqs r JOIN srcs s USING (project) LEFT JOIN named x ON x.request_id = r.re
         "task_contract": f"""WITH {REQUESTS}, o AS (SELECT o_custkey AS request_id, o_orderkey AS pos, CASE WHEN o_orderkey % 2 = 0 THEN 'draft_change' ELSE 'analysis_comment' END AS output_type, o_orderkey % 97 AS s FROM orders),
 e AS (SELECT request_id, pos, CASE WHEN output_type = 'draft_change' AND mode <> 'editing' THEN 'draft_changes_not_allowed' WHEN output_type = 'draft_change' AND NOT (s >= 10 AND s + 5 <= 90) THEN 'draft_change_outside_target' END AS err FROM reqs LEFT JOIN o USING (request_id))
 SELECT request_id, arg_min(err, pos) FILTER (err IS NOT NULL) AS error_code FROM e GROUP BY request_id""",
-        "latest_pane_selection": "SELECT event_type AS pane_id, max(event_id) AS seq, arg_max(user_id, event_id) AS start_char FROM events GROUP BY event_type",
+        "latest_pane_selection": "SELECT event_type AS pane_id, max(event_id) AS seq, arg_max(user_id, event_id) AS start_char, CAST(arg_max(user_id, event_id) AS VARCHAR) AS spans FROM events GROUP BY event_type",
+    }
+    for name, parts in (("entity_candidates", ("path", "name")), ("reviewable_facts", ("path", "ordinal", "subject", "object")), ("reviewable_summaries", ("path", "scope", "text"))):
+        if name != "reviewable_facts":
+            out[f"{name}_prose"] = with_ids(out[name].replace(spans if name == "entity_candidates" else typed, parsed(PROSE)), *parts)
+        out[name] = with_ids(out[name], *parts)
+    opened = f"WITH {CONFIG}, tree AS MATERIALIZED ({TREE}), {OPENED.replace('EXT', EXTENSION)}"
+    astral = "length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+    units = "length(left(t, i - 1)) + " + astral.format("left(t, i - 1)")
+    return out | {
+        "pinned_panes": "WITH l AS (SELECT event_type AS pane_id, max(event_id) AS seq FROM events GROUP BY event_type) SELECT pane_id, CASE WHEN pane_id IN ('view', 'click') THEN seq ELSE seq + 1 END AS seq FROM l",
+        "active_target": "SELECT event_type AS pane_id, user_id AS start_char, CAST(user_id AS VARCHAR) AS spans FROM events WHERE event_id = (SELECT max(event_id) FROM events)",
+        "selection_offsets": f"SELECT p_partkey, CAST(len(list_filter(range(1, length(t) + 1), lambda i: {units} < n)) AS BIGINT) AS chars FROM (SELECT p_partkey, left(p_name, 7) || '\U0001f600é' || left(p_type, 5) || '\U0001d11e.' AS t, p_size % 20 AS n FROM part)",
+        "memory_filters": f"WITH {REPLAY}, {UPDATES}, r AS (SELECT id, saved AS seq, coalesce(st, review_state) AS review_state, staleness_state FROM records LEFT JOIN upd USING (id)) SELECT f AS filter, id, seq FROM r, (SELECT unnest(['all', 'pending', 'approved', 'rejected', 'stale', 'reusable']) AS f) WHERE f = 'all' OR f = review_state OR f = 'stale' AND staleness_state = 'stale' OR f = 'reusable' AND review_state = 'approved' AND staleness_state = 'current'",
+        "memory_matched": f"WITH {REPLAY} SELECT source_document_path, count(*) AS matched FROM records WHERE source_document_path IN (SELECT 'src' || (user_id % 20) || '/doc_' || user_id || '.md' FROM events WHERE user_id % 3 = 0) GROUP BY 1",
+        "memory_stored": """SELECT event_id AS id, CASE WHEN event_id % 13 = 0 THEN 'lost' ELSE 'approved' END AS review_state, CASE WHEN event_id % 11 = 0 THEN 'old' ELSE 'current' END AS staleness_state,
+  CASE WHEN event_id % 17 = 0 THEN '[{' ELSE '[{"kind":"span","ordinal":' || event_id % 9 || '},{"kind":"scene","ordinal":' || event_id % 4 || '}]' END AS source_anchors_json,
+  CASE WHEN event_id % 13 = 0 THEN 'invalid_stored_review_state' WHEN event_id % 11 = 0 THEN 'invalid_stored_staleness_state' WHEN event_id % 17 = 0 THEN 'invalid_stored_anchors' END AS error_code,
+  CASE WHEN event_id % 17 <> 0 THEN CAST(event_id % 9 AS VARCHAR) END AS spans FROM events""",
+        "task_requests": "SELECT c_custkey AS n, ['analysis', 'editing', 'ideation', 'other'][c_custkey % 4 + 1] AS mode, CAST(1 AS SMALLINT) AS schema_version, ['analyze_selection', 'rewrite_selection', 'ideate_selection', 'chat'][c_custkey % 4 + 1] AS task_type, CASE WHEN c_custkey % 4 < 3 THEN 'selection' END AS scope, c_name AS context_path, c_custkey AS context_start, TRUE AS has_id FROM customer",
+        "chat_threads": "SELECT CAST(conv_id AS VARCHAR) AS thread_id, role AS author, turn // 2 AS created_at_ms, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 2, turn) - 1 AS position FROM conversations",
+        "chat_scopes": "SELECT CAST(conv_id AS VARCHAR) AS thread_id, 'editing' AS mode, coalesce('document ' || max(turn) FILTER (turn % 3 = 1), 'project') AS scope FROM conversations GROUP BY conv_id",
+        "rail_paths": """WITH p AS (SELECT p_partkey, [p_brand, p_type, p_brand, p_name] AS req, [p_type, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'none' END, 'x' || p_size] AS av, CASE p_size % 3 WHEN 0 THEN p_type WHEN 1 THEN 'x' || p_size ELSE p_name END AS path FROM part),
+a AS (SELECT *, list_filter(req, lambda x, i: list_position(req, x) = i AND list_contains(av, x)) AS act FROM p)
+SELECT p_partkey, array_to_string(act, ',') AS active, array_to_string(CASE WHEN list_contains(act, path) THEN list_filter(act, lambda x: x <> path) WHEN list_contains(av, path) THEN list_append(act, path) ELSE act END, ',') AS toggled FROM a""",
+        "healthcheck": "SELECT 'quirelake engine ready' AS status",
+        "project_config_errors": opened + " SELECT root_path, error_code FROM checked",
+        "project_config": opened + " SELECT root_path, row_number() OVER (PARTITION BY root_path ORDER BY path) - 1 AS seq, path, role, enabled, error_code FROM saved",
+        "load_documents": f"{opened}, {LOADED} SELECT root_path, path, document_type, error_code, CASE WHEN error_code IS NULL THEN length(text) END AS n_chars FROM loaded",
+        "loaded_spans": f"{opened}, {LOADED}, {parsed("SELECT root_path || '|' || path AS path, text FROM loaded WHERE error_code IS NULL")} SELECT split_part(path, '|', 1) AS root_path, split_part(path, '|', 2) AS path, span_type, count(*) AS n_spans, CAST(sum(end_char - start_char) AS BIGINT) AS n_chars FROM spans GROUP BY ALL",
+        "open_projects": opened + " SELECT *, row_number() OVER (PARTITION BY root_path ORDER BY string_split(path, '/')) - 1 AS position FROM shown",
     }
-    return out

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirelake.functions.scratch import scratch
 from quirelake.functions.text import strip
 
 TEXT_EXTENSIONS = ("md", "markdown", "mdown", "txt")
@@ -48,7 +47,6 @@ def underscored(spark: SparkSession, root: str) -> tuple[list[str], str | None]:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     top = hadoop.fs.Path(root)
     fs = top.getFileSystem(conf)
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
     more, copies, rest = [], None, [(top, "")]
     while rest:
         folder, way = rest.pop()
@@ -63,7 +61,7 @@ def underscored(spark: SparkSession, root: str) -> tuple[list[str], str | None]:
                 if left_out(name, True):
                     more.append(re.sub(r"([\\\[\]{}*?])", r"\\\1", entry.getPath().toString()))
             elif left_out(name, False):
-                copies = copies or f"{shared}/quirelake-{uuid.uuid4().hex}"
+                copies = copies or scratch(spark)
                 to = hadoop.fs.Path(f"{copies}{way}/n{name}")
                 hadoop.fs.FileUtil.copy(fs, entry.getPath(), to.getFileSystem(conf), to, False, conf)
     if copies:
@@ -73,7 +71,9 @@ def underscored(spark: SparkSession, root: str) -> tuple[list[str], str | None]:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to root) and text of every file below root, line ends as they are.
+    """path (relative to root), text and error_code of every file below root, line ends as they are.
+
+    A text that is not UTF-8 is null, with document_not_utf8 as its error.
 
     Names that start with a dot, and what is inside such directories, are left out.
     """
@@ -88,7 +88,8 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     files = read([root, *more], root)
     if copies:
         files = files.unionByName(read([copies], copies).withColumn("path", F.regexp_replace("path", "(^|/)n", "$1")))
-    return files
+    whole = F.is_valid_utf8("text")
+    return files.select("path", F.when(whole, F.col("text")).alias("text"), F.when(~whole, "document_not_utf8").alias("error_code"))
 
 
 def normalize_mappings(mappings: DataFrame) -> DataFrame:
@@ -127,40 +128,31 @@ def merge_mappings(candidates: DataFrame, saved: DataFrame) -> DataFrame:
     return kept.unionByName(extra)
 
 
-def classify_paths(files: DataFrame, mappings: DataFrame) -> DataFrame:
+def classify_paths(files: DataFrame, mappings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """path and document_type (or null) of each file by its most specific enabled mapping, the last of equals.
 
     A path has few ancestor directories, so each file asks for those by an equi
-    join; mappings need not be small.
+    join; mappings need not be small. ``by`` names columns that keep projects apart.
     """
-    m = mappings.where("enabled").select(F.col("path").alias("dir"), "role", "seq")
-    best = m.groupBy("dir").agg(F.max_by("role", "seq").alias("role"))
+    m = mappings.where("enabled").select(*by, F.col("path").alias("dir"), "role", "seq")
+    best = m.groupBy(*by, "dir").agg(F.max_by("role", "seq").alias("role"))
     names = F.split("path", "/")
     dirs = F.concat(F.array(F.lit(".")), F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, 1, k), "/")))
-    each = files.select("path").distinct().select("path", F.posexplode(dirs).alias("depth", "dir"))
-    role = each.join(best, "dir").groupBy("path").agg(F.max_by("role", "depth").alias("role"))
-    out = files.select("path").distinct().join(role, "path", "left")
+    each = files.select(*by, "path").distinct().select(*by, "path", F.posexplode(dirs).alias("depth", "dir"))
+    role = each.join(best, [*by, "dir"]).groupBy(*by, "path").agg(F.max_by("role", "depth").alias("role"))
+    out = files.select(*by, "path").distinct().join(role, [*by, "path"], "left")
     kind = F.when(F.col("role") == "primary_manuscript", "manuscript").when(F.col("role") == "reference", "reference").when(F.col("role") == "notes", "note")
-    return out.select("path", F.when(fits_role(F.col("path"), F.col("role")), kind).alias("document_type"))
+    return out.select(*by, "path", F.when(fits_role(F.col("path"), F.col("role")), kind).alias("document_type"))
 
 
-def discover(files: DataFrame, mappings: DataFrame) -> DataFrame:
+def discover(files: DataFrame, mappings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Typed documents of a project, hidden directories left out (but for a mapped one itself)."""
-    roots = mappings.where("enabled AND role <> 'ignore'").select(F.col("path").alias("dir"))
+    roots = mappings.where("enabled AND role <> 'ignore'").select(*by, F.col("path").alias("dir"))
     names = F.split("path", "/")
     prefix = F.transform(F.sequence(F.lit(0), F.size(names) - 1), lambda k: F.struct(F.when(k == 0, ".").otherwise(F.array_join(F.slice(names, 1, k), "/")).alias("dir"), F.array_join(F.slice(names, k + 1, F.size(names)), "/").alias("rest")))
-    each = files.select("path").select("path", F.explode(prefix).alias("p")).select("path", "p.*").where(~inside_hidden(F.col("rest")))
-    open_ = each.join(roots, "dir", "left_semi").select("path").distinct()
-    return classify_paths(open_, mappings).where("document_type IS NOT NULL")
-
-
-def load_documents(files: DataFrame, discovered: DataFrame, requested: DataFrame) -> DataFrame:
-    """Each requested path with its text, or an error_code."""
-    safe = ~(F.col("path").startswith("/") | F.arrays_overlap(F.split("path", "/"), F.array(F.lit(".."), F.lit("."), F.lit(""))))
-    found = discovered.select("path", "document_type", F.lit(True).alias("known"))
-    out = requested.select("path").join(found, "path", "left").join(files.select("path", "text"), "path", "left")
-    error = F.when(~safe, "invalid_document_path").when(F.col("known").isNull(), "document_not_discovered")
-    return out.select("path", "document_type", F.when(error.isNull(), F.col("text")).alias("text"), error.alias("error_code"))
+    each = files.select(*by, "path", F.explode(prefix).alias("p")).select(*by, "path", "p.*").where(~inside_hidden(F.col("rest")))
+    open_ = each.join(roots, [*by, "dir"], "left_semi").select(*by, "path").distinct()
+    return classify_paths(open_, mappings, by).where("document_type IS NOT NULL")
 
 
 def import_candidates(files: DataFrame, directories: DataFrame) -> DataFrame:
