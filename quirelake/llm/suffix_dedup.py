@@ -16,8 +16,8 @@ entry agrees for j bytes to the left and the rest to the right: both orders,
 cut where the extension is shorter, give classes, and a pair of classes held
 twice is a repeat.
 
-A group of more than ``largest_group`` different contexts is dealt anew by the
-next least 32-gram of each window, and so on: windows that are equal stay
+A group whose different contexts take more than ``group_bytes`` is dealt anew
+by the next least 32-gram of each window, and so on: windows that are equal stay
 together, and those that differ part sooner or later.
 
 Repeats are first looked for at ``passage`` bytes. That tells which passages of
@@ -294,15 +294,15 @@ def contexts(table: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found, left = [], [], []
-            for text, own in zip(batch.column(0), batch.column(1), strict=True):
+            flat = batch.column(1).flatten()
+            lo, hi = (flat.field(c).to_numpy().tolist() for c in ("lo", "hi"))
+            found, at = [], 0
+            for text, n in zip(batch.column(0), batch.column(1).value_lengths().to_pylist(), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
-                for x in own.as_py():
-                    rows.append([x[c] for c in names])
-                    found.append(data[x["lo"] : x["hi"] + length])
-                    left.append(x["at"] - x["lo"])
-            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.binary()), pa.array(left, pa.int32())], names=[*names, "context", "left"])
+                found += [data[a : b + length] for a, b in zip(lo[at : at + n], hi[at : at + n], strict=True)]
+                at += n
+            left = flat.field("at").to_numpy() - flat.field("lo").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in names), pa.array(found, pa.binary()), pa.array(left.astype(np.int32))], names=[*names, "context", "left"])
 
     out = written(mapped(some.join(listed, "row_id").select("text", "own"), run, "kh long, c1 long, c2 long, n long, context binary, left int"), "contexts")
     drop(listed)
@@ -325,7 +325,8 @@ def sorted_repeats(entries: DataFrame, length: int, parts: int) -> DataFrame:
             hits = repeats(own["context"].tolist(), own["left"].to_numpy(np.int64), (own["n"] > 1).to_numpy(), own["kh"].to_numpy(), length)
             found += spans_of(hits, length)
             lo = hi
-        return rows[KEY].assign(spans=found)
+        some = np.array([bool(x) for x in found])
+        return rows[KEY].assign(spans=pd.Series(found, dtype=object))[some]
 
     dealt = entries.withColumn("deal", F.pmod(F.xxhash64("kh"), F.lit(parts)))
     return dealt.groupBy("deal").applyInPandas(run, f"kh long, c1 long, c2 long, {SPANS}")
@@ -371,7 +372,7 @@ def group_repeats(entries: DataFrame, length: int, largest_group: int) -> DataFr
     found = rows.where("differ = 1").select(*KEY, whole.alias("spans"))
     size = groups.agg(F.coalesce(F.sum(F.when(F.col("differ") > 1, F.col("differ"))), F.lit(0)), F.max("differ")).first()
     parts = max(1, -(-size[0] // 8000), int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = found.unionByName(sorted_repeats(rows.where(F.col("differ").between(2, largest_group)).select(*KEY, "n", "context", "left"), length, parts).where(F.size("spans") > 0))
+    found = found.unionByName(sorted_repeats(rows.where(F.col("differ").between(2, largest_group)).select(*KEY, "n", "context", "left"), length, parts))
     if (size[1] or 0) <= largest_group:
         return found
     pieces = written(dealt_anew(rows.where(F.col("differ") > largest_group), length), "pieces")
@@ -384,7 +385,7 @@ def group_repeats(entries: DataFrame, length: int, largest_group: int) -> DataFr
     return found.unionByName(spans)
 
 
-def repeated_spans(table: DataFrame, length: int, largest_group: int, hot_share: int = 2000) -> DataFrame:
+def repeated_spans(table: DataFrame, length: int, group_bytes: int, hot_share: int = 2000) -> DataFrame:
     """row_id and the byte ranges to remove, of the documents that have some; a written table."""
     each = table.select("row_id", F.explode(F.arrays_zip("at", "lo", "hi", "kh", "c1", "c2")).alias("a")).select("row_id", "a.*")
     entries = each.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("row_id", "at", "lo", "hi")).alias("first"))
@@ -393,7 +394,7 @@ def repeated_spans(table: DataFrame, length: int, largest_group: int, hot_share:
     held = written(entries.join(groups, "kh"), "held")
     drop(entries)
     texts = contexts(table, held.where("differ > 1").select("first.row_id", "first.at", "first.lo", "first.hi", *KEY, "n"), length)
-    found = group_repeats(texts.withColumn("skip", F.array(F.lit(0))), length, largest_group)
+    found = group_repeats(texts.withColumn("skip", F.array(F.lit(0))), length, max(1, group_bytes // (2 * length)))
     whole = F.array(F.struct((F.col("first.lo") - F.col("first.at")).alias("start"), (F.col("first.hi") - F.col("first.at") + length).alias("stop")))
     found = found.unionByName(held.where("differ = 1").select(*KEY, whole.alias("spans")))
     found = written(found.join(held.select(*KEY, "n"), KEY), "repeats")
@@ -462,16 +463,19 @@ def without(texts: DataFrame, with_text: bool) -> DataFrame:
     return mapped(texts, run, "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 200, passage_words: int = 50, largest_group: int = 4_000, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept bytes) and n_passages of every document."""
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 200, passage_words: int = 50, group_bytes: int = 16 << 20, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept bytes) and n_passages of every document.
+
+    group_bytes: contexts that one task sorts together; its arrays take about 40 times as much.
+    """
     table = written(anchored(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text"), passage), "anchored", compression="zstd")
-    spans = repeated_spans(table, passage, largest_group)
+    spans = repeated_spans(table, passage, group_bytes)
     told = passages(table, spans, length, passage_words)
     drop(spans)
     asked = small(written(told.where("long").select("row_id"), "asked"))
     texts = table.select("row_id", "doc_id", "text")
     some = written(anchored(texts.join(asked, "row_id", "left_semi"), length), "long", compression="zstd")
-    cut = some.select("row_id", "doc_id", "text").join(repeated_spans(some, length, largest_group), "row_id", "left")
+    cut = some.select("row_id", "doc_id", "text").join(repeated_spans(some, length, group_bytes), "row_id", "left")
     out = without(cut.select("row_id", "doc_id", "text", "spans"), with_text)
     text = F.coalesce("text", F.lit(""))
     rest = texts.join(asked, "row_id", "left_anti").select(

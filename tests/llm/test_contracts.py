@@ -311,8 +311,8 @@ def test_simhash_index_misses_no_link(spark):
     assert len(found) == len(want)
 
 
-@pytest.mark.parametrize("largest_group", [4_000, 9])
-def test_suffix_dedup_removes_what_starts_twice(spark, texts, largest_group):
+@pytest.mark.parametrize("group_bytes", [16 << 20, 7_200])
+def test_suffix_dedup_removes_what_starts_twice(spark, texts, group_bytes):
     rng = random.Random(7)
     passage = words(rng, 160)
     made = [*texts, "x " + passage + " y", passage[30:], "z" + passage[:420], passage + passage[:399], words(rng, 40) + passage[200:500] + words(rng, 40), "q " * 90 + words(rng, 9)]
@@ -328,7 +328,7 @@ def test_suffix_dedup_removes_what_starts_twice(spark, texts, largest_group):
                     gone[at : at + size] = b"\1" * size
             yield gone
 
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(table(spark, made), largest_group=largest_group).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(table(spark, made), group_bytes=group_bytes).collect()}
     assert len(got) == len(made)
     for k, (r, gone, found) in enumerate(zip(raw, ranges(400), ranges(200), strict=True)):
         kept = bytes(c for c, g in zip(r, gone, strict=True) if not g)
