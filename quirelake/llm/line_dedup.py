@@ -204,8 +204,9 @@ def candidates(entries: DataFrame, crowd: int = 8) -> DataFrame:
             more = [written(r.join(few, "key", "left_semi"), "crowd") for r in (index, probe)]
             index, probe = more
         drop(*held, crowded)
-        held = more
-        index, probe = narrowed(index, False), narrowed(probe, True)
+        index, probe = written(narrowed(index, False), "index"), narrowed(probe, True)
+        drop(more[0])
+        held = [index, more[1]]
         final = (F.col("xn") <= F.col("xe")) & (F.col("yn") <= F.col("ye"))
     drop(*held, crowded)
     if len(found) == 1:
