@@ -97,12 +97,19 @@ def config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projects.load_config(spark, store, every_root(spark, sf_dir))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df from a written table."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def every_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots(spark, sf_dir).select("root_path").unionByName(literal(spark, [("/home/stale",), ("/home/none",)], "root_path string"))
 
 
 def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projects.open_projects(every_root(spark, sf_dir), config(spark, sf_dir), corpus.tree(spark, sf_dir))
+    return projects.open_projects(kept(every_root(spark, sf_dir)), kept(config(spark, sf_dir)), corpus.tree(spark, sf_dir))
 
 
 def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,31 +128,42 @@ def merge_mappings(candidates: DataFrame, saved: DataFrame) -> DataFrame:
     return kept.unionByName(extra)
 
 
-def classify_paths(files: DataFrame, mappings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """path and document_type (or null) of each file by its most specific enabled mapping, the last of equals.
-
-    A path has few ancestor directories, so each file asks for those by an equi
-    join; mappings need not be small. ``by`` names columns that keep projects apart.
+def mapped_paths(files: DataFrame, mappings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """path, role and seen of each file below a mapped directory.
+
+    role is that of its most specific enabled mapping, the last of equals; seen
+    tells whether a mapping other than ignore reaches the file without passing
+    through a hidden directory. A path has few ancestor directories, so each
+    file asks for those by one equi join; mappings need not be small. ``by``
+    names columns that keep projects apart.
     """
     m = mappings.where("enabled").select(*by, F.col("path").alias("dir"), "role", "seq")
-    best = m.groupBy(*by, "dir").agg(F.max_by("role", "seq").alias("role"))
+    best = m.groupBy(*by, "dir").agg(F.max_by("role", "seq").alias("role"), F.bool_or(F.col("role") != "ignore").alias("opens"))
     names = F.split("path", "/")
-    dirs = F.concat(F.array(F.lit(".")), F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, 1, k), "/")))
-    each = files.select(*by, "path").distinct().select(*by, "path", F.posexplode(dirs).alias("depth", "dir"))
-    role = each.join(best, [*by, "dir"]).groupBy(*by, "path").agg(F.max_by("role", "depth").alias("role"))
-    out = files.select(*by, "path").distinct().join(role, [*by, "path"], "left")
-    kind = F.when(F.col("role") == "primary_manuscript", "manuscript").when(F.col("role") == "reference", "reference").when(F.col("role") == "notes", "note")
-    return out.select(*by, "path", F.when(fits_role(F.col("path"), F.col("role")), kind).alias("document_type"))
+    prefix = F.transform(
+        F.sequence(F.lit(0), F.size(names)),
+        lambda k: F.struct(k.alias("depth"), F.when(k == 0, ".").otherwise(F.array_join(F.slice(names, 1, k), "/")).alias("dir"), F.array_join(F.slice(names, k + 1, F.size(names)), "/").alias("rest")),
+    )
+    each = files.select(*by, "path", F.explode(prefix).alias("p")).select(*by, "path", "p.*")
+    seen = F.col("opens") & (F.col("rest") != "") & ~inside_hidden(F.col("rest"))
+    return each.join(best, [*by, "dir"]).groupBy(*by, "path").agg(F.max_by("role", "depth").alias("role"), F.bool_or(seen).alias("seen"))
+
+
+def document_type(path: Column, role: Column) -> Column:
+    kind = F.when(role == "primary_manuscript", "manuscript").when(role == "reference", "reference").when(role == "notes", "note")
+    return F.when(fits_role(path, role), kind)
+
+
+def classify_paths(files: DataFrame, mappings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """path and document_type (or null) of each file by its mapping."""
+    found = mapped_paths(files, mappings, by)
+    return files.select(*by, "path").distinct().join(found, [*by, "path"], "left").select(*by, "path", document_type(F.col("path"), F.col("role")).alias("document_type"))
 
 
 def discover(files: DataFrame, mappings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Typed documents of a project, hidden directories left out (but for a mapped one itself)."""
-    roots = mappings.where("enabled AND role <> 'ignore'").select(*by, F.col("path").alias("dir"))
-    names = F.split("path", "/")
-    prefix = F.transform(F.sequence(F.lit(0), F.size(names) - 1), lambda k: F.struct(F.when(k == 0, ".").otherwise(F.array_join(F.slice(names, 1, k), "/")).alias("dir"), F.array_join(F.slice(names, k + 1, F.size(names)), "/").alias("rest")))
-    each = files.select(*by, "path", F.explode(prefix).alias("p")).select(*by, "path", "p.*").where(~inside_hidden(F.col("rest")))
-    open_ = each.join(roots, [*by, "dir"], "left_semi").select(*by, "path").distinct()
-    return classify_paths(open_, mappings, by).where("document_type IS NOT NULL")
+    found = mapped_paths(files, mappings, by).where("seen")
+    return found.select(*by, "path", document_type(F.col("path"), F.col("role")).alias("document_type")).where("document_type IS NOT NULL")
 
 
 def import_candidates(files: DataFrame, directories: DataFrame) -> DataFrame:
