@@ -145,10 +145,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other"))
     both = written(both.unionByName(both.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "links")
-    label = written(
-        both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("component")), "label0"
+    held = written(
+        both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("component"), F.col("id").alias("old")), "label0"
     )
     for k in range(1, max_rounds + 1):
+        label = held.select("id", "component")
         near = label.select(F.col("id").alias("other"), F.col("component").alias("near"))
         best = lookup(both, near, ["other"]).groupBy("id").agg(F.min("near").alias("near"))
         step = label.join(best, "id", "left").select(
@@ -158,15 +159,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = step.join(hook, "id", "left").select("id", "old", F.least("new", "hook").alias("new"))
         step = written(step, f"step{k}")
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        label = written(
+        new = written(
             lookup(step, jump, ["new"]).select("id", F.least("new", "far").alias("component"), "old"), f"label{k}"
         )
-        if label.where("component < old").isEmpty():
+        drop(step, held)
+        held = new
+        if held.where("component < old").isEmpty():
             break
-        label = label.drop("old")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return label.select("id", "component")
+    drop(both)
+    return held.select("id", "component")
 
 
 class Table:

@@ -119,21 +119,40 @@ def gram_stream(texts: list[str], depth: int, piece: int = 1 << 20) -> Iterator[
         for k in range(depth + 1):
             grams <<= np.uint64(8)
             grams |= data[lo - depth + k : hi - depth + k]
-        at = np.arange(lo, hi)
-        text = np.searchsorted(starts, at, side="right") - 1
-        keep = (text >= 0) & (at - starts[text] < n[text])
-        yield grams[keep], text[keep]
+        first, last = np.searchsorted(starts, [lo, hi - 1], side="right") - 1
+        own = np.arange(first, last + 1)
+        edges = np.append(starts[own], starts[last + 1] if last + 1 < len(starts) else len(data)).clip(lo, hi)
+        # Between texts the pads stand, whose grams belong to none.
+        pads = ((starts + n)[own][:, None] + np.arange(depth) - lo).ravel()
+        keep = np.ones(hi - lo, dtype=bool)
+        keep[pads[(pads >= 0) & (pads < hi - lo)]] = False
+        yield grams[keep], np.repeat(own, np.diff(edges))[keep]
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(np.append(first, len(values)))
 
 
 def gram_counts(texts: list[str], depth: int, train: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of all texts and how often the training texts hold them."""
-    keys, times = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    keys, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for grams, text in gram_stream(texts, depth):
-        key, of = (np.unique(grams), None) if train is None else np.unique(grams, return_inverse=True)
-        keys.append(key)
-        times.append(np.zeros(len(key)) if train is None else np.bincount(of, weights=train[text], minlength=len(key)))
-    key, of = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(of, weights=np.concatenate(times), minlength=len(key)).astype(np.int64)
+        seen = np.zeros(len(grams), dtype=bool) if train is None else train[text]
+        key, n = runs(grams[seen])
+        other, _ = runs(grams[~seen])
+        keys += [key, other]
+        times += [n, np.zeros(len(other), np.int64)]
+    every = np.concatenate(keys)
+    if train is None:
+        key, _ = runs(every)
+        return key, np.zeros(len(key), np.int64)
+    order = np.argsort(every)
+    every = every[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.add.reduceat(np.concatenate(times)[order], first) if len(first) else np.zeros(0, np.int64)
 
 
 def packed(values: np.ndarray) -> bytes:
