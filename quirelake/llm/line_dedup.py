@@ -150,13 +150,13 @@ def narrowed(rows: DataFrame, moves: bool) -> DataFrame:
     many = PARTS[2]
     beside = [(p, p + 1, 0) for p in range(many - 1)]
     apart = [(p, q, s) for p in range(many) for q in range(p + 2, many) for s in ((-1, 0, 1) if moves else (0,))]
-    two = ways_of(rows.where("xe = 2"), beside + apart)
     (sp, zp), (sq, zq) = segment("xn", "p", many), segment("xn", "q", many)
-    two = two.selectExpr("*", f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"cast({zq} as int) AS zq", "length(x) - xn AS more")
-    near = two.where("q = p + 1 AND zp + zq + more >= 0").selectExpr(
+    sides = (f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"cast({zq} as int) AS zq", "length(x) - xn AS more")
+    near, far = (ways_of(rows.where("xe = 2"), ways).selectExpr("*", *sides) for ways in (beside, apart))
+    near = near.where("zp + zq + more >= 0").selectExpr(
         "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sq - zq + 1)) AS key", "id", "id2", "substring(x, sp, zp + zq + more) AS x", "zp + zq AS xn", "2 AS xe", "'' AS y", "0 AS yn", "0 AS ye"
     )
-    far = two.where("q > p + 1 AND abs(more - move) <= 1 AND zp + move >= 0 AND zq + more - move >= 0").selectExpr(
+    far = far.where("abs(more - move) <= 1 AND zp + move >= 0 AND zq + more - move >= 0").selectExpr(
         "xxhash64(key, p, q, left(x, sp - 1), substring(x, sp + zp + move, sq - sp - zp), right(x, xn - sq - zq + 1)) AS key",
         "id", "id2", "substring(x, sp, zp + move) AS x", "zp AS xn", "1 AS xe", "substring(x, sq + move, zq + more - move) AS y", "zq AS yn", "1 AS ye",
     )
