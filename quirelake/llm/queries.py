@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import context_tree, decontamination, exact_dedup, language, line_dedup, packing, quality, quotation, simhash, suffix_dedup
+from quirelake.llm import context_tree, decontamination, exact_dedup, language, line_dedup, middle, packing, quality, quotation, resampling, simhash, suffix_dedup, url_filter
 from quirelake.llm.common import documents
 
 
@@ -51,6 +51,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is made from the corpus: domains with a word of url_filter.WORDS in their first label."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.listed_by_words(pages), url_filter.RULES)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.fill_in_middle(documents(spark, sf_dir, "doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -63,8 +77,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quotation_linking": op8_quotation_linking,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_language_id": op10_language_id,
+        "op11_url_filters": op11_url_filters,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op8_quotation_linking": quotation.ORACLE}
+    return {
+        "op1_decontamination": decontamination.ORACLE,
+        "op2_line_dedup": line_dedup.ORACLE,
+        "op4_exact_dedup": exact_dedup.ORACLE,
+        "op8_quotation_linking": quotation.ORACLE,
+        "op11_url_filters": url_filter.ORACLE,
+        "op12_importance_resampling": resampling.ORACLE,
+        "op13_fill_in_middle": middle.ORACLE,
+    }
