@@ -83,8 +83,8 @@ def toggle_path(active: Column, available: Column, path: Column) -> Column:
 
 
 def chat_log(messages: DataFrame) -> DataFrame:
-    """Messages in the order they were appended, each with its place in the thread and a random id."""
-    order = Window.partitionBy("thread_id").orderBy("created_at_ms", "seq")
+    """Messages in the order they were appended (seq), whatever their clocks say, each with its place in the thread and a random id."""
+    order = Window.partitionBy("thread_id").orderBy("seq")
     return messages.withColumn("position", F.row_number().over(order) - 1).withColumn("message_id", F.uuid())
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANCHORS = "array<struct<kind: string, ordinal: int>>"
+ANCHOR_KINDS = ("span", "section", "scene", "window")
 STATES = {"review_state": ("pending", "approved", "rejected"), "staleness_state": ("current", "stale")}
 FILTERS = ("all", "pending", "approved", "rejected", "stale", "reusable")
 
@@ -34,8 +35,27 @@ def encode_anchors(anchors: Column) -> Column:
 
 
 def decode_anchors(text: Column) -> Column:
-    """Stored anchors; null where the text is none."""
-    return F.from_json(text, ANCHORS)
+    """Stored anchors; null where the text is not exactly a list of them.
+
+    An anchor is an object with a known kind and a whole ordinal of at least 0
+    (other keys are ignored, repeated ones are wrong), or a list of just these
+    two. Ordinals go up to 2**63 - 1. Each text is parsed between brackets of
+    both sorts, as the parser alone would pass over what follows a whole value.
+    """
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull() & (F.size(F.try_variant_get(inside, "$", "array<variant>")) == 1)
+    listed = F.try_variant_get(inside, "$[0]", "array<variant>")
+
+    def anchor(v: Column) -> Column:
+        pair = F.try_variant_get(v, "$", "array<variant>")
+        kind = F.coalesce(F.try_variant_get(v, "$.kind", "variant"), F.when(F.size(pair) == 2, F.try_variant_get(v, "$[0]", "variant")))
+        ordinal = F.coalesce(F.try_variant_get(v, "$.ordinal", "variant"), F.when(F.size(pair) == 2, F.try_variant_get(v, "$[1]", "variant")))
+        name = F.when(F.schema_of_variant(kind) == "STRING", F.try_variant_get(kind, "$", "string"))
+        number = F.when(F.schema_of_variant(ordinal) == "BIGINT", F.try_variant_get(ordinal, "$", "long"))
+        return F.when(name.isin(*ANCHOR_KINDS) & (number >= 0), F.struct(name.alias("kind"), number.alias("ordinal")))
+
+    anchors = F.transform(listed, anchor)
+    return F.when(alone & ~F.exists(anchors, lambda a: a.isNull()), anchors)
 
 
 def stored_errors(records: DataFrame) -> DataFrame:
@@ -82,15 +102,21 @@ def matched(records: DataFrame, paths: DataFrame) -> DataFrame:
 def replay(actions: DataFrame) -> DataFrame:
     """State of each record after a log of actions (seq, id, path, action: upsert, approved, rejected, pending, stale).
 
-    A save resets both states; a review counts from the last save on, staleness too.
+    A save resets both states; a review counts from the last save on, staleness
+    too. saved is the last save; seq, the first, is the record's place in lists.
     """
-    saved = F.max(F.when(F.col("action") == "upsert", F.col("seq")))
-    last = actions.groupBy("id").agg(saved.alias("saved"), F.max_by("path", F.when(F.col("action") == "upsert", F.col("seq"))).alias("source_document_path")).where("saved IS NOT NULL")
+    save = F.when(F.col("action") == "upsert", F.col("seq"))
+    last = actions.groupBy("id").agg(F.max(save).alias("saved"), F.min(save).alias("first"), F.max_by("path", save).alias("source_document_path")).where("saved IS NOT NULL")
     after = actions.join(last.select("id", "saved"), "id").where("seq > saved")
     state = after.groupBy("id").agg(
         F.max_by("action", F.when(F.col("action").isin("approved", "rejected", "pending"), F.col("seq"))).alias("review"), F.bool_or(F.col("action") == "stale").alias("stale")
     )
     out = last.join(state, "id", "left")
     return out.select(
-        "id", "source_document_path", "saved", F.coalesce("review", F.lit("pending")).alias("review_state"), F.when(F.col("stale"), "stale").otherwise("current").alias("staleness_state")
+        "id",
+        F.col("first").alias("seq"),
+        "source_document_path",
+        "saved",
+        F.coalesce("review", F.lit("pending")).alias("review_state"),
+        F.when(F.col("stale"), "stale").otherwise("current").alias("staleness_state"),
     ).withColumn("reusable", reusable())

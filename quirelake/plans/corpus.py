@@ -95,8 +95,14 @@ DRAFTS = [
     ("d", "one", "primary_manuscript", True), ("d", "two", "primary_manuscript", True), ("d", "three", "primary_manuscript", False),
     ("e", "lore", "reference", True), ("e", "bits", "ignore", False),
 ]
-SCANNED = [("lore", "reference"), ("chapters", "primary_manuscript"), ("bin", "ignore"), ("extra", None), (".", None)]
-SAVED = [("lore", "notes", False), ("old", "reference", True), ("Archive", "ignore", False), (".", "primary_manuscript", True)]
+#: Texts in the place of stored anchors, and what they hold (None: they are wrong).
+ANCHOR_TEXTS = [
+    ("[{", None), ("", None), ("null", None), ("{}", None), ("[null]", None), ("[{}]", None), ('[{"kind":"span"}]', None), ('[{"ordinal":1}]', None), ('[{"kind":"nonsense","ordinal":1}]', None),
+    ('[{"kind":"span","ordinal":-1}]', None), ('[{"kind":"span","ordinal":1.5}]', None), ('[{"kind":"span","ordinal":1.0}]', None), ('[{"kind":"span","ordinal":1e2}]', None), ('[{"kind":"span","ordinal":"1"}]', None),
+    ('[{"kind":"span","ordinal":true}]', None), ('[{"kind":1,"ordinal":1}]', None), ('[{"kind":"Span","ordinal":1}]', None), ('[{"kind":"span","ordinal":1}] x', None), ('[{"kind":"span","ordinal":1}]]', None), ('[{"kind":"span","ordinal":1}]}', None),
+    ('[],[]', None), ('[{"kind":"span","ordinal":1,"kind":"scene"}]', None), ('[{"kind":"span","ordinal":01}]', None), ('[{"kind":"span","ordinal":1},]', None), ('[["span"]]', None), ('[["span",1,2]]', None), ('[{"kind":"span","ordinal":1},null]', None),
+    ("[]", ""), (" [ ] ", ""), ('[{"ordinal":7,"kind":"window"},{"kind":"section","ordinal":0}]', "window 7,section 0"), ('[{"kind":"span","ordinal":3,"note":{"kind":[1]}}]', "span 3"), ('[["scene",2]]', "scene 2"), ('[{"kind":"span","ordinal":9007199254740993}]', "span 9007199254740993"),
+]
 #: Files of a made-up project.
 FILES = [
     "readme.md", "cover.png", "chapters/1. Start.MD", "chapters/art/a.png", "notes/todo.txt", "notes/.git/x.md", "world_context/map.png",

@@ -44,8 +44,8 @@ held AS (SELECT t.root_path, t.path, arg_max(role, len(string_split(s.path, '/')
   FROM tree t JOIN saved s ON s.root_path = t.root_path AND enabled AND starts_with(t.path, s.path || '/') GROUP BY t.root_path, t.path),
 shown AS (SELECT root_path, path, document_type, CAST(NULL AS VARCHAR) AS error_code FROM (SELECT *, CASE WHEN role = 'primary_manuscript' AND EXT IN ('md', 'markdown', 'mdown') THEN 'manuscript' WHEN role = 'reference' AND EXT IN ('md', 'markdown', 'mdown', 'txt') THEN 'reference'
   WHEN role = 'notes' AND EXT IN ('md', 'markdown', 'mdown', 'txt') THEN 'note' END AS document_type FROM held WHERE seen) WHERE document_type IS NOT NULL UNION ALL SELECT root_path, NULL, NULL, error_code FROM told WHERE error_code IS NOT NULL)"""
-LOADED = """asked AS (SELECT root_path, CASE k WHEN 0 THEN '../' || path WHEN 1 THEN path || '/' WHEN 2 THEN 'not/' || path ELSE path END AS path FROM (SELECT *, CAST(regexp_extract(path, '[0-9]+') AS BIGINT) % 8 AS k FROM tree)),
-loaded AS (SELECT a.root_path, a.path, o.document_type, CASE WHEN list_has_any(string_split(a.path, '/'), ['..', '.', '']) THEN 'invalid_document_path' WHEN t.error_code IS NOT NULL THEN t.error_code WHEN o.path IS NULL THEN 'document_not_discovered' END AS error_code, tr.text
+LOADED = """asked AS (SELECT root_path, CASE k WHEN 0 THEN '../' || path WHEN 1 THEN path || '/' WHEN 2 THEN 'not/' || path WHEN 3 THEN './' || path WHEN 4 THEN replace(path, '/', '//') WHEN 5 THEN replace(path, '/', '/./') ELSE path END AS path FROM (SELECT *, CAST(regexp_extract(path, '[0-9]+') AS BIGINT) % 8 AS k FROM tree)),
+loaded AS (SELECT a.root_path, a.path, o.document_type, CASE WHEN a.path = '' OR starts_with(a.path, '/') OR split_part(a.path, '/', 1) = '.' OR list_contains(string_split(a.path, '/'), '..') THEN 'invalid_document_path' WHEN t.error_code IS NOT NULL THEN t.error_code WHEN o.path IS NULL THEN 'document_not_discovered' END AS error_code, tr.text
   FROM asked a LEFT JOIN told t ON t.root_path = a.root_path AND t.error_code IS NOT NULL LEFT JOIN shown o ON o.root_path = a.root_path AND o.path = a.path LEFT JOIN tree tr ON tr.root_path = a.root_path AND tr.path = a.path)"""
 
 
@@ -154,9 +154,9 @@ classified AS (SELECT path, CASE WHEN role = 'primary_manuscript' AND {EXTENSION
 LOG = """log AS (SELECT event_id AS seq, 'user_' || user_id AS id, 'src' || (user_id % 20) || '/doc_' || user_id || '.md' AS path,
   CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'stale' WHEN 'view' THEN 'pending' ELSE 'upsert' END AS action FROM events)"""
 REPLAY = LOG + """,
-last AS (SELECT id, max(seq) AS saved, arg_max(path, seq) AS source_document_path FROM log WHERE action = 'upsert' GROUP BY id),
-state AS (SELECT l.id, arg_max(action, seq) FILTER (action IN ('approved', 'rejected', 'pending')) AS review, bool_or(action = 'stale') AS stale FROM log l JOIN last USING (id) WHERE seq > saved GROUP BY l.id),
-records AS (SELECT id, source_document_path, saved, coalesce(review, 'pending') AS review_state, CASE WHEN stale THEN 'stale' ELSE 'current' END AS staleness_state FROM last LEFT JOIN state USING (id))"""
+last AS (SELECT id, max(seq) AS saved, min(seq) AS seq, arg_max(path, seq) AS source_document_path FROM log WHERE action = 'upsert' GROUP BY id),
+state AS (SELECT l.id, arg_max(action, l.seq) FILTER (action IN ('approved', 'rejected', 'pending')) AS review, bool_or(action = 'stale') AS stale FROM log l JOIN last USING (id) WHERE l.seq > saved GROUP BY l.id),
+records AS (SELECT id, seq, source_document_path, saved, coalesce(review, 'pending') AS review_state, CASE WHEN stale THEN 'stale' ELSE 'current' END AS staleness_state FROM last LEFT JOIN state USING (id))"""
 NORMAL = """norm AS (SELECT *, CASE WHEN trim(path) = '' THEN 'empty_directory_path' WHEN starts_with(trim(path), '/') OR list_contains(string_split(trim(path), '/'), '..') THEN 'unsafe_directory_path' END AS error_code,
   coalesce(nullif(array_to_string(list_filter(string_split(trim(path), '/'), lambda x: x NOT IN ('', '.')), '/'), ''), '.') AS clean FROM drafts)"""
 DRAFTS = CONFIG + ", drafts AS (SELECT * FROM " + values([(p, k, d, r, e) for k, (p, d, r, e) in enumerate(corpus.DRAFTS)], "project, seq, path, role, enabled") + " UNION ALL SELECT * FROM config_drafts)"
@@ -213,12 +213,9 @@ SELECT path, contains_supported_text_files, suggested_role, array_to_string(list
         "mapping_validate": f"""WITH {DRAFTS}, {NORMAL}, again AS (SELECT *, coalesce(error_code, CASE WHEN row_number() OVER (PARTITION BY project, CASE WHEN error_code IS NULL THEN clean END ORDER BY seq) > 1 THEN 'duplicate_directory_path' END) AS err FROM norm)
 SELECT project, coalesce(arg_min(err, seq) FILTER (err IS NOT NULL), CASE WHEN count(*) FILTER (enabled AND role = 'primary_manuscript') <> 1 THEN 'invalid_primary_manuscript_count' END) AS error_code FROM again GROUP BY project""",
         "persisted_mappings": f"WITH {DRAFTS} SELECT path, role, enabled FROM drafts WHERE role IS NOT NULL",
-        "mapping_merge": f"""WITH c AS {values(corpus.SCANNED, 'path, suggested_role')}, s AS {values(corpus.SAVED, 'path, role, enabled')}
-SELECT c.path, CASE WHEN s.path IS NOT NULL THEN s.role ELSE suggested_role END AS role, CASE WHEN s.path IS NOT NULL THEN enabled ELSE suggested_role IS DISTINCT FROM 'ignore' END AS enabled, CAST(0 AS BIGINT) AS part FROM c LEFT JOIN s ON s.path = c.path
-UNION ALL SELECT path, role, enabled, 1 FROM s WHERE path NOT IN (SELECT path FROM c)""",
         "memory_upsert": f"WITH {LOG} SELECT id, min(seq) AS seq, arg_max(path, seq) AS source_document_path, arg_max(action, seq) AS last_action FROM log GROUP BY id",
-        "memory_replay": f"WITH {REPLAY} SELECT id, source_document_path, saved, review_state, staleness_state, review_state = 'approved' AND staleness_state = 'current' AS reusable FROM records",
-        "memory_mark_stale": f"WITH {REPLAY}, gone AS (SELECT DISTINCT source || '/doc_' || doc_id || '.md' AS path FROM documents WHERE lang <> 'en') SELECT id, source_document_path, saved, review_state, CASE WHEN source_document_path IN (SELECT path FROM gone) THEN 'stale' ELSE staleness_state END AS staleness_state FROM records",
+        "memory_replay": f"WITH {REPLAY} SELECT id, seq, source_document_path, saved, review_state, staleness_state, review_state = 'approved' AND staleness_state = 'current' AS reusable FROM records",
+        "memory_mark_stale": f"WITH {REPLAY}, gone AS (SELECT DISTINCT source || '/doc_' || doc_id || '.md' AS path FROM documents WHERE lang <> 'en') SELECT id, seq, source_document_path, saved, review_state, CASE WHEN source_document_path IN (SELECT path FROM gone) THEN 'stale' ELSE staleness_state END AS staleness_state FROM records",
         "memory_review": f"WITH {REPLAY}, {UPDATES} SELECT coalesce(r.id, u.id) AS id, CASE WHEN r.id IS NOT NULL THEN coalesce(st, review_state) END AS review_state, staleness_state, CASE WHEN r.id IS NULL THEN 'memory_record_not_found' END AS error_code FROM records r FULL JOIN upd u ON u.id = r.id",
         "selection_overlap": f"""WITH {spans}, {SELECTIONS} SELECT sel_id, s.path, sel_start, sel_end, coalesce(string_agg(CAST(ordinal AS VARCHAR), ',' ORDER BY ordinal), '') AS ordinals, CAST(min(ordinal) AS BIGINT) AS "primary" FROM sels s LEFT JOIN spans p ON p.path = s.path AND sel_end > sel_start AND start_char < sel_end AND end_char > sel_start GROUP BY sel_id, s.path, sel_start, sel_end""",
         "selection_validate": """SELECT p_partkey AS sel_id, CASE WHEN p_partkey % 11 = 0 THEN 'missing_document_path' WHEN p_partkey % 7 = 0 THEN 'empty_selection' WHEN p_partkey % 5 = 0 THEN 'invalid_range' WHEN p_partkey % 3 = 0 THEN 'invalid_span_ordinal' END AS error_code,
@@ -243,19 +240,19 @@ SELECT request_id, arg_min(err, pos) FILTER (err IS NOT NULL) AS error_code FROM
         "pinned_panes": "WITH l AS (SELECT event_type AS pane_id, max(event_id) AS seq FROM events GROUP BY event_type) SELECT pane_id, CASE WHEN pane_id IN ('view', 'click') THEN seq ELSE seq + 1 END AS seq FROM l",
         "active_target": "SELECT event_type AS pane_id, user_id AS start_char, CAST(user_id AS VARCHAR) AS spans FROM events WHERE event_id = (SELECT max(event_id) FROM events)",
         "selection_offsets": f"SELECT p_partkey, CAST(len(list_filter(range(1, length(t) + 1), lambda i: {units} < n)) AS BIGINT) AS chars FROM (SELECT p_partkey, left(p_name, 7) || '\U0001f600é' || left(p_type, 5) || '\U0001d11e.' AS t, p_size % 20 AS n FROM part)",
-        "memory_filters": f"WITH {REPLAY}, {UPDATES}, r AS (SELECT id, saved AS seq, coalesce(st, review_state) AS review_state, staleness_state FROM records LEFT JOIN upd USING (id)) SELECT f AS filter, id, seq FROM r, (SELECT unnest(['all', 'pending', 'approved', 'rejected', 'stale', 'reusable']) AS f) WHERE f = 'all' OR f = review_state OR f = 'stale' AND staleness_state = 'stale' OR f = 'reusable' AND review_state = 'approved' AND staleness_state = 'current'",
+        "memory_filters": f"WITH {REPLAY}, {UPDATES}, r AS (SELECT id, seq, coalesce(st, review_state) AS review_state, staleness_state FROM records LEFT JOIN upd USING (id)) SELECT f AS filter, id, seq FROM r, (SELECT unnest(['all', 'pending', 'approved', 'rejected', 'stale', 'reusable']) AS f) WHERE f = 'all' OR f = review_state OR f = 'stale' AND staleness_state = 'stale' OR f = 'reusable' AND review_state = 'approved' AND staleness_state = 'current'",
         "memory_matched": f"WITH {REPLAY} SELECT source_document_path, count(*) AS matched FROM records WHERE source_document_path IN (SELECT 'src' || (user_id % 20) || '/doc_' || user_id || '.md' FROM events WHERE user_id % 3 = 0) GROUP BY 1",
-        "memory_stored": """SELECT event_id AS id, CASE WHEN event_id % 13 = 0 THEN 'lost' ELSE 'approved' END AS review_state, CASE WHEN event_id % 11 = 0 THEN 'old' ELSE 'current' END AS staleness_state,
-  CASE WHEN event_id % 17 = 0 THEN '[{' ELSE '[{"kind":"span","ordinal":' || event_id % 9 || '},{"kind":"scene","ordinal":' || event_id % 4 || '}]' END AS source_anchors_json,
-  CASE WHEN event_id % 13 = 0 THEN 'invalid_stored_review_state' WHEN event_id % 11 = 0 THEN 'invalid_stored_staleness_state' WHEN event_id % 17 = 0 THEN 'invalid_stored_anchors' END AS error_code,
-  CASE WHEN event_id % 17 <> 0 THEN CAST(event_id % 9 AS VARCHAR) END AS spans FROM events""",
+        "memory_stored": f"""WITH odd AS {values([(k, t, h) for k, (t, h) in enumerate(corpus.ANCHOR_TEXTS)], 'k, t, held')},
+e AS (SELECT event_id AS id, CASE WHEN event_id % 13 = 0 THEN 'lost' ELSE 'approved' END AS review_state, CASE WHEN event_id % 11 = 0 THEN 'old' ELSE 'current' END AS staleness_state, k, t, held FROM events LEFT JOIN odd ON k = event_id % 61)
+SELECT id, review_state, staleness_state, coalesce(t, '[{{"kind":"span","ordinal":' || id % 9 || '}},{{"kind":"scene","ordinal":' || id % 4 || '}}]') AS source_anchors_json,
+  CASE WHEN id % 13 = 0 THEN 'invalid_stored_review_state' WHEN id % 11 = 0 THEN 'invalid_stored_staleness_state' WHEN k IS NOT NULL AND held IS NULL THEN 'invalid_stored_anchors' END AS error_code,
+  CASE WHEN k IS NULL THEN 'span ' || id % 9 || ',scene ' || id % 4 ELSE held END AS anchors FROM e""",
         "task_requests": "SELECT c_custkey AS n, ['analysis', 'editing', 'ideation', 'other'][c_custkey % 4 + 1] AS mode, CAST(1 AS SMALLINT) AS schema_version, ['analyze_selection', 'rewrite_selection', 'ideate_selection', 'chat'][c_custkey % 4 + 1] AS task_type, CASE WHEN c_custkey % 4 < 3 THEN 'selection' END AS scope, c_name AS context_path, c_custkey AS context_start, TRUE AS has_id FROM customer",
-        "chat_threads": "SELECT CAST(conv_id AS VARCHAR) AS thread_id, role AS author, turn // 2 AS created_at_ms, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 2, turn) - 1 AS position FROM conversations",
+        "chat_threads": "SELECT CAST(conv_id AS VARCHAR) AS thread_id, role AS author, turn * 7 % 5 AS created_at_ms, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations",
         "chat_scopes": "SELECT CAST(conv_id AS VARCHAR) AS thread_id, 'editing' AS mode, coalesce('document ' || max(turn) FILTER (turn % 3 = 1), 'project') AS scope FROM conversations GROUP BY conv_id",
         "rail_paths": """WITH p AS (SELECT p_partkey, [p_brand, p_type, p_brand, p_name] AS req, [p_type, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'none' END, 'x' || p_size] AS av, CASE p_size % 3 WHEN 0 THEN p_type WHEN 1 THEN 'x' || p_size ELSE p_name END AS path FROM part),
 a AS (SELECT *, list_filter(req, lambda x, i: list_position(req, x) = i AND list_contains(av, x)) AS act FROM p)
 SELECT p_partkey, array_to_string(act, ',') AS active, array_to_string(CASE WHEN list_contains(act, path) THEN list_filter(act, lambda x: x <> path) WHEN list_contains(av, path) THEN list_append(act, path) ELSE act END, ',') AS toggled FROM a""",
-        "healthcheck": "SELECT 'quirelake engine ready' AS status",
         "project_config_errors": opened + " SELECT root_path, error_code FROM checked",
         "project_config": opened + " SELECT root_path, row_number() OVER (PARTITION BY root_path ORDER BY path) - 1 AS seq, path, role, enabled, error_code FROM saved",
         "load_documents": f"{opened}, {LOADED} SELECT root_path, path, document_type, error_code, CASE WHEN error_code IS NULL THEN length(text) END AS n_chars FROM loaded",

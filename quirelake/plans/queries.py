@@ -115,7 +115,8 @@ def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = corpus.tree(spark, sf_dir)
     k = F.regexp_extract("path", "[0-9]+", 0).cast("long") % 8
-    asked = tree.select("root_path", F.when(k == 0, F.concat(F.lit("../"), "path")).when(k == 1, F.concat("path", F.lit("/"))).when(k == 2, F.concat(F.lit("not/"), "path")).otherwise(F.col("path")).alias("path"))
+    odd = [F.concat(F.lit("../"), "path"), F.concat("path", F.lit("/")), F.concat(F.lit("not/"), "path"), F.concat(F.lit("./"), "path"), F.replace("path", F.lit("/"), F.lit("//")), F.replace("path", F.lit("/"), F.lit("/./"))]
+    asked = tree.select("root_path", F.coalesce(*(F.when(k == n, p) for n, p in enumerate(odd)), "path").alias("path"))
     return projects.load_documents(asked, opened(spark, sf_dir), tree)
 
 
@@ -137,11 +138,6 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.import_candidates(project_files(spark, sf_dir), literal(spark, [("void",), ("lore",), (".git",)], "path string"))
 
 
-def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = literal(spark, [(*s, k) for k, s in enumerate(corpus.SCANNED)], "path string, suggested_role string, seq int")
-    return files.merge_mappings(scanned, literal(spark, corpus.SAVED, "path string, role string, enabled boolean"))
-
-
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = corpus.table(spark, sf_dir, "events")
     kind = F.col("event_type")
@@ -173,7 +169,7 @@ def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids that each filter lets through."""
-    rows = memory.review(records(spark, sf_dir).withColumnRenamed("saved", "seq"), reviewed(spark, sf_dir).where("error_code IS NULL").select("id", "review_state", F.lit(1).alias("seq"))).drop("error_code")
+    rows = memory.review(records(spark, sf_dir), reviewed(spark, sf_dir).where("error_code IS NULL").select("id", "review_state", F.lit(1).alias("seq"))).drop("error_code")
     out = None
     for name in memory.FILTERS:
         part = memory.list_records(rows, name).select(F.lit(name).alias("filter"), "id", "seq")
@@ -187,13 +183,15 @@ def gone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records as stored, some of them damaged, and the anchors read back."""
+    """Records as stored, many of them damaged, and the anchors read back."""
     e, n = corpus.table(spark, sf_dir, "events"), F.col("event_id")
     anchors = F.array(F.struct(F.lit("span").alias("kind"), (n % 9).cast("int").alias("ordinal")), F.struct(F.lit("scene").alias("kind"), (n % 4).cast("int").alias("ordinal")))
-    text = F.when(n % 17 == 0, "[{").otherwise(memory.encode_anchors(anchors))
+    odd = F.get(F.array(*(F.lit(t) for t, _ in corpus.ANCHOR_TEXTS)), (n % 61).cast("int"))
+    text = F.coalesce(odd, memory.encode_anchors(anchors))
     rows = e.select(n.alias("id"), F.when(n % 13 == 0, "lost").otherwise("approved").alias("review_state"), F.when(n % 11 == 0, "old").otherwise("current").alias("staleness_state"), text.alias("source_anchors_json"))
     out = memory.stored_errors(rows)
-    return out.withColumn("spans", F.array_join(selection.ordinals_of(memory.decode_anchors(F.col("source_anchors_json")), "span"), ","))
+    each = F.transform(memory.decode_anchors(F.col("source_anchors_json")), lambda a: F.concat(a.kind, F.lit(" "), a.ordinal))
+    return out.withColumn("anchors", F.array_join(each, ","))
 
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +268,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus.table(spark, sf_dir, "conversations")
-    rows = c.select(F.col("conv_id").cast("string").alias("thread_id"), F.col("role").alias("author"), (F.col("turn") / 2).cast("long").alias("created_at_ms"), F.col("turn").alias("seq"))
+    rows = c.select(F.col("conv_id").cast("string").alias("thread_id"), F.col("role").alias("author"), (F.col("turn") * 7 % 5).alias("created_at_ms"), F.col("turn").alias("seq"))
     return context.chat_log(rows).drop("message_id")
 
 
@@ -333,7 +331,6 @@ def queries() -> dict[str, Query]:
         "mapping_normalize": lambda s, d: files.normalize_mappings(drafts(s, d)).select("project", "seq", "path", "error_code", "normalized"),
         "mapping_validate": lambda s, d: files.validate_mappings(drafts(s, d)),
         "persisted_mappings": lambda s, d: files.persisted_mappings(drafts(s, d)),
-        "mapping_merge": merged,
         "memory_upsert": upserts,
         "memory_replay": lambda s, d: memory.replay(actions(s, d)),
         "memory_mark_stale": stale,
@@ -354,7 +351,6 @@ def queries() -> dict[str, Query]:
         "chat_threads": chats,
         "chat_scopes": scopes,
         "rail_paths": rail,
-        "healthcheck": lambda s, d: projects.healthcheck(s),
         "project_config_errors": lambda s, d: projects.checked(config_drafts(s, d)),
         "project_config": config,
         "open_projects": lambda s, d: projects.in_order(opened(s, d)),

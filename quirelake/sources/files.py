@@ -1,13 +1,10 @@
-"""Project files: reading, role mappings, discovery and import candidates."""
+"""Project files: role mappings, discovery and import candidates."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.functions.scratch import scratch
 from quirelake.functions.text import strip
 
 TEXT_EXTENSIONS = ("md", "markdown", "mdown", "txt")
@@ -33,65 +30,6 @@ def inside_hidden(path: Column) -> Column:
     return path.rlike(r"(^|/)\.[^/]+/")
 
 
-def left_out(name: str, directory: bool) -> bool:
-    """Whether Spark leaves out a name for its underscore; it enters directories named like Parquet's summary files."""
-    return name.startswith("_") and "=" not in name and not (directory and name.startswith(("_metadata", "_common_metadata")))
-
-
-def underscored(spark: SparkSession, root: str) -> tuple[list[str], str | None]:
-    """Directories below root to read besides it, and a folder with copies of the files that Spark would leave out.
-
-    In the copies' folder each name on the way from root has an "n" before it.
-    """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    top = hadoop.fs.Path(root)
-    fs = top.getFileSystem(conf)
-    more, copies, rest = [], None, [(top, "")]
-    while rest:
-        folder, way = rest.pop()
-        entries = fs.listStatusIterator(folder)
-        while entries.hasNext():
-            entry = entries.next()
-            name = entry.getPath().getName()
-            if name.startswith("."):
-                continue
-            if entry.isDirectory():
-                rest.append((entry.getPath(), f"{way}/n{name}"))
-                if left_out(name, True):
-                    more.append(re.sub(r"([\\\[\]{}*?])", r"\\\1", entry.getPath().toString()))
-            elif left_out(name, False):
-                copies = copies or scratch(spark)
-                to = hadoop.fs.Path(f"{copies}{way}/n{name}")
-                hadoop.fs.FileUtil.copy(fs, entry.getPath(), to.getFileSystem(conf), to, False, conf)
-    if copies:
-        made = hadoop.fs.Path(copies)
-        made.getFileSystem(conf).deleteOnExit(made)
-    return more, copies
-
-
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to root), text and error_code of every file below root, line ends as they are.
-
-    A text that is not UTF-8 is null, with document_not_utf8 as its error.
-
-    Names that start with a dot, and what is inside such directories, are left out.
-    """
-    more, copies = underscored(spark, root)
-    full = F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))")
-
-    def read(paths: list[str], base: str) -> DataFrame:
-        files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
-        base = base.rstrip("/").removeprefix("file://") + "/"
-        return files.select(F.substring_index(full, base, -1).alias("path"), F.col("value").alias("text"))
-
-    files = read([root, *more], root)
-    if copies:
-        files = files.unionByName(read([copies], copies).withColumn("path", F.regexp_replace("path", "(^|/)n", "$1")))
-    whole = F.is_valid_utf8("text")
-    return files.select("path", F.when(whole, F.col("text")).alias("text"), F.when(~whole, "document_not_utf8").alias("error_code"))
-
-
 def normalize_mappings(mappings: DataFrame) -> DataFrame:
     """Adds normalized and error_code to each mapping row (path, role, enabled)."""
     path = strip(F.col("path"))
@@ -114,18 +52,25 @@ def persisted_mappings(drafts: DataFrame) -> DataFrame:
     return drafts.where("role IS NOT NULL").select("path", "role", "enabled")
 
 
-def merge_mappings(candidates: DataFrame, saved: DataFrame) -> DataFrame:
-    """Scanned directories with what was saved for them (saved wins whole), then saved ones that were not scanned."""
-    c = candidates.select("path", F.col("suggested_role"), "seq")
-    s = saved.select("path", F.col("role").alias("saved_role"), F.col("enabled").alias("saved_enabled"), F.lit(True).alias("known"))
-    kept = c.join(s, "path", "left").select(
+def merge_mappings(candidates: DataFrame, saved: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Scanned directories (path, suggested_role, seq) with what was saved for them, then saved ones (path, role, enabled) that were not scanned.
+
+    What was saved wins whole. position counts within a project: scanned ones in
+    their order, the rest by path in the order of a reader's alphabet. ``by``
+    names columns that keep projects apart.
+    """
+    c = candidates.select(*by, "path", "suggested_role", "seq")
+    s = saved.select(*by, "path", F.col("role").alias("saved_role"), F.col("enabled").alias("saved_enabled"), F.lit(True).alias("known"))
+    kept = c.join(s, [*by, "path"], "left").select(
+        *by,
         "path",
         F.when(F.col("known"), F.col("saved_role")).otherwise(F.col("suggested_role")).alias("role"),
         F.when(F.col("known"), F.col("saved_enabled")).otherwise(~F.col("suggested_role").eqNullSafe(F.lit("ignore"))).alias("enabled"),
-        F.lit(0).alias("part"),
+        F.col("seq").cast("long").alias("seq"),
     )
-    extra = s.join(c, "path", "left_anti").select("path", F.col("saved_role").alias("role"), F.col("saved_enabled").alias("enabled"), F.lit(1).alias("part"))
-    return kept.unionByName(extra)
+    extra = s.join(c, [*by, "path"], "left_anti").select(*by, "path", F.col("saved_role").alias("role"), F.col("saved_enabled").alias("enabled"), F.lit(None).cast("long").alias("seq"))
+    order = Window.partitionBy(*by).orderBy(F.col("seq").asc_nulls_last(), F.collate("path", "UNICODE"), "path")
+    return kept.unionByName(extra).select(*by, "path", "role", "enabled", F.col("seq").isNotNull().alias("scanned"), (F.row_number().over(order) - 1).alias("position"))
 
 
 def mapped_paths(files: DataFrame, mappings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -166,13 +111,17 @@ def discover(files: DataFrame, mappings: DataFrame, by: tuple[str, ...] = ()) ->
     return found.select(*by, "path", document_type(F.col("path"), F.col("role")).alias("document_type")).where("document_type IS NOT NULL")
 
 
-def import_candidates(files: DataFrame, directories: DataFrame) -> DataFrame:
-    """The root, if it holds a text file itself, and each directory below it with a suggested role and the reasons."""
-    rows = files.select("path").where(~inside_hidden(F.col("path"))).select(F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(".").alias("dir"), is_text_file(F.col("path")).alias("own"))
-    seen = rows.groupBy("dir").agg(F.bool_or("own").alias("own"))
-    listed = directories.where(~F.col("path").startswith(".") & ~F.col("path").contains("/")).select(F.col("path").alias("dir")).unionByName(seen.where("dir <> '.'").select("dir")).distinct()
-    out = listed.join(seen, "dir", "left").unionByName(seen.where("dir = '.' AND own"))
+def import_candidates(files: DataFrame, directories: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The root, if it holds a text file itself, and each directory below it with a suggested role and the reasons.
+
+    ``by`` names columns that keep projects apart; directories lists those without files as well.
+    """
+    p = F.col("path")
+    rows = files.select(*by, "path").where(~inside_hidden(p)).select(*by, F.when(p.contains("/"), F.substring_index("path", "/", 1)).otherwise(".").alias("dir"), is_text_file(p).alias("own"))
+    seen = rows.groupBy(*by, "dir").agg(F.bool_or("own").alias("own"))
+    listed = directories.where(~p.startswith(".") & ~p.contains("/")).select(*by, p.alias("dir")).unionByName(seen.where("dir <> '.'").select(*by, "dir")).distinct()
+    out = listed.join(seen, [*by, "dir"], "left").unionByName(seen.where("dir = '.' AND own"))
     role = F.when(F.col("dir") == "chapters", "primary_manuscript").when(F.col("dir") == "world_context", "reference").when(F.col("dir") == "notes", "notes")
     own = F.coalesce("own", F.lit(False))
     reasons = F.array_compact(F.array(F.when(role.isNotNull(), F.concat(F.lit("directory_named_"), F.col("dir"))), F.when(own, "contains_supported_text_files")))
-    return out.select(F.col("dir").alias("path"), own.alias("contains_supported_text_files"), role.alias("suggested_role"), reasons.alias("suggestion_reasons"))
+    return out.select(*by, F.col("dir").alias("path"), own.alias("contains_supported_text_files"), role.alias("suggested_role"), reasons.alias("suggestion_reasons"))

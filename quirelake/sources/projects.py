@@ -7,7 +7,9 @@ projects go through one plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.operators import parse
@@ -18,8 +20,10 @@ ROLES = ("primary_manuscript", "reference", "notes", "ignore")
 STATUS = "quirelake engine ready"
 
 
-def healthcheck(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.lit(STATUS).alias("status"))
+def healthcheck(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row for each table that the engine was given: its name, how many rows were read of it, and the status."""
+    rows = [t.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(STATUS).alias("status")) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def checked(drafts: DataFrame) -> DataFrame:
@@ -67,9 +71,15 @@ def in_order(documents: DataFrame) -> DataFrame:
     return documents.dropDuplicates(["root_path", "path"]).withColumn("position", order)
 
 
+def safe_path(path: Column) -> Column:
+    """Whether a path leads from the root to something below it: not absolute, no .. in it, no . in front. Empty parts and a . inside are harmless."""
+    names = F.split(path, "/")
+    return F.coalesce((path != "") & ~path.startswith("/") & (F.get(names, F.lit(0)) != ".") & ~F.array_contains(names, ".."), F.lit(False))
+
+
 def load_documents(requests: DataFrame, opened: DataFrame, tree: DataFrame) -> DataFrame:
     """root_path, path, document_type, text, error_code of each request (root_path, path); tree also has text and, for texts that are not UTF-8, an error_code."""
-    safe = ~(F.col("path").startswith("/") | F.arrays_overlap(F.split("path", "/"), F.array(F.lit(".."), F.lit("."), F.lit(""))))
+    safe = safe_path(F.col("path"))
     closed = opened.where("error_code IS NOT NULL").select("root_path", F.col("error_code").alias("closed"))
     known = opened.where("error_code IS NULL").select("root_path", "path", "document_type")
     texts = tree.select("root_path", "path", "text", F.col("error_code").alias("unread"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quirelake.functions.ids import stable_id
 from quirelake.operators import classify, context, extract, memory, parse, selection
 from quirelake.plans import corpus
-from quirelake.sources import files, projects
+from quirelake.sources import files, projects, tree
 
 
 def docs(spark, text, path="a.md", kind="reference"):
@@ -139,13 +139,13 @@ def test_read_tree_keeps_underscored_names(spark, tmp_path):
         (tmp_path / "root" / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "root" / path).write_bytes(text.encode())
     want = sorted((p, t) for p, t in made.items() if not p.startswith("."))
-    assert sorted((r.path, r.text) for r in files.read_tree(spark, str(tmp_path / "root")).collect()) == want
+    assert sorted((r.path, r.text) for r in tree.read_tree(spark, str(tmp_path / "root")).collect()) == want
 
 
 def test_tree_flags_what_is_not_utf8(spark, tmp_path):
     (tmp_path / "bad.md").write_bytes(b"caf\xe9")
     (tmp_path / "good.md").write_bytes("café".encode())
-    got = {r.path: (r.text, r.error_code) for r in files.read_tree(spark, str(tmp_path)).collect()}
+    got = {r.path: (r.text, r.error_code) for r in tree.read_tree(spark, str(tmp_path)).collect()}
     assert got == {"bad.md": (None, "document_not_utf8"), "good.md": ("café", None)}
 
 
@@ -231,7 +231,7 @@ def test_a_request_takes_its_own_target_into_context(spark):
 def test_chat_messages_keep_their_order_and_threads_their_mode(spark):
     rows = [("t", 5, 1), ("t", 5, 0), ("t", 2, 9)]
     got = context.chat_log(spark.createDataFrame(rows, "thread_id string, created_at_ms long, seq long")).orderBy("position").collect()
-    assert [r.seq for r in got] == [9, 0, 1] and len({r.message_id for r in got}) == 3
+    assert [r.seq for r in got] == [0, 1, 9] and len({r.message_id for r in got}) == 3
     threads = spark.createDataFrame([("t", "editing", "project"), ("u", "analysis", "project")], "thread_id string, mode string, scope string")
     moved = context.rescoped(threads, spark.createDataFrame([("t", "document", 1), ("t", "selection", 2)], "thread_id string, scope string, seq long"))
     assert sorted(tuple(r[c] for c in ("thread_id", "mode", "scope")) for r in moved.collect()) == [("t", "editing", "selection"), ("u", "analysis", "project")]

@@ -1,12 +1,12 @@
 import pytest
 
-from quirelake.plans import oracles, queries
+from quirelake.plans import registry
 from tests.compare import same
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_its_sql(spark, name):
-    same(spark, queries.queries()[name], oracles.oracle_sql()[name])
+    same(spark, registry.queries()[name], registry.oracle_sql()[name])
 
 
 def test_entry_has_a_stable_schema(spark):
