@@ -267,8 +267,9 @@ def with_distance(pairs: DataFrame, tau: int) -> DataFrame:
         middle = "nx - head - tail - 4"
         moved = " OR ".join(f"{wide_part('x', 'head + 3', middle)} = {wide_part('y', f'head + {3 + move}', middle)}" for move in (0, -1, 1))
         pairs = pairs.where(f"nx >= {1 << DIGITS} OR {middle} <= 0 OR {moved}")
-    filler = f"repeat('-', {tau + 1})"
-    rest = {c: f"split(concat({filler}, decode({wide_part(c, 'head + 1', f'n{c} - head - tail')}, 'UTF-32')), '')" for c in ("x", "y")}
+    # The fillers also stand before a U+FEFF that would be taken for a byte order mark.
+    filler = WIDE.format(f"repeat('-', {tau + 1})")
+    rest = {c: f"split(decode(concat({filler}, {wide_part(c, 'head + 1', f'n{c} - head - tail')}), 'UTF-32'), '')" for c in ("x", "y")}
     return stage(pairs, **rest).transform(lambda p: stage(p, distance=banded_distance("x", "y", tau))).drop("x", "y", "nx", "ny", "head", "tail")
 
 

@@ -185,6 +185,14 @@ def test_line_dedup_links_lines_within_their_edits(spark):
         assert ((r.class_doc_id, r.class_line_no), r.n_links, r.kept) == (first, degree[line], first == (r.doc_id, r.line_no))
 
 
+def test_a_byte_order_mark_is_a_character(spark):
+    line, other = "\ufeffharbour wardens keep", "harQour wardens keep"
+    pairs = [(line, other), (line, line[1:]), (line[1:], other), ("har\ufeffbour wardens keep", "harbour wardens keep"), ("har\ufeffbour wardens keep", other), (line, "\ufeff" + other)]
+    for x, y in pairs:
+        rows = line_dedup.line_dedup(table(spark, [x, y])).collect()
+        assert {r.n_links for r in rows} == {int(close(x, y))}, (x, y)
+
+
 def test_crowded_segments_lose_no_link(spark):
     rng = random.Random(6)
     made = set()
