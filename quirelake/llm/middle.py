@@ -5,7 +5,9 @@ lengths, exploded with their ordinals, get running sums in a window by text, so
 that each unit knows the offset at which it ends. A cut is a request for a unit
 by its ordinal; joined to the units it becomes an offset. The offsets of a text
 are gathered to one row and meet the text itself, which is only then cut, by
-``substring``, and put together anew. Units travel as two numbers, texts once.
+``substring``, and put together anew. Units travel as numbers, texts once. A
+text is known by a digest of its doc_id and itself; texts that share it, however
+many, have one row of offsets, and are joined to it as plain skewed rows.
 
 Of n units the prefix takes the smaller and the prefix with the middle the
 larger of two draws from 0 to n; the draws are the first two groups of eight
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import written
+from quirelake.llm.common import drop, written
 
 #: Units that make up a text: each ends with its line feed, the last one may lack it.
 LINES = r"[^\n]*\n|[^\n]+"
@@ -38,26 +40,33 @@ def draw(k: int, seed: int) -> Column:
     return F.conv(F.substring(digits, 8 * k + 1, 8), 16, 10).cast("long")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a key of both: rows that share it are transformed alike."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("key", F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text")), 256)))
+
+
 def requests(rows: DataFrame, seed: int) -> DataFrame:
-    """row_id and the ordinals, from 1, of the units before the two cuts; a cut at the very start asks for none, 0."""
-    first, second = (draw(k, seed) % (F.size("lengths") + 1) for k in (0, 1))
-    return rows.select("row_id", F.least(first, second).alias("first"), F.greatest(first, second).alias("second"))
+    """key, n, and the ordinals, from 1, of the units before the two cuts; a cut at the very start asks for none, 0."""
+    n = F.size("lengths").cast("long")
+    first, second = (draw(k, seed) % (n + 1) for k in (0, 1))
+    return rows.select(F.col("key").alias("asked"), n.alias("n"), F.least(first, second).alias("first"), F.greatest(first, second).alias("second"))
 
 
 def offsets(rows: DataFrame, seed: int = 7) -> DataFrame:
-    """row_id and the code points before each of the two cuts, of rows (row_id, doc_id, lengths of the units).
+    """key, n and the code points before each of the two cuts, of rows (key, doc_id, lengths of the units).
 
-    Units and requests are dealt by row_id once, for the window, the join and
-    the aggregation; a window holds the units of one text. Neither side is sent
-    to all tasks: how many units a text explodes to is not known beforehand.
+    Units and requests are dealt by key once, for the window, the join and the
+    aggregation; a window holds the units of one text. Neither side is sent to
+    all tasks: how many units a text explodes to is not known beforehand.
     """
-    units = rows.select("row_id", F.posexplode("lengths").alias("place", "length"))
-    before = Window.partitionBy("row_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = units.select("row_id", (F.col("place") + 1).alias("ordinal"), F.sum("length").over(before).alias("end"))
-    asked = requests(rows, seed).withColumnRenamed("row_id", "asked_id")
-    met = ends.join(asked.hint("merge"), (F.col("row_id") == F.col("asked_id")) & F.col("ordinal").isin(F.col("first"), F.col("second")))
+    units = rows.select("key", F.posexplode("lengths").alias("place", "length"))
+    before = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = units.select("key", (F.col("place") + 1).alias("ordinal"), F.sum("length").over(before).alias("end"))
+    asked = requests(rows, seed)
+    met = asked.hint("merge").join(ends, (F.col("key") == F.col("asked")) & F.col("ordinal").isin(F.col("first"), F.col("second")), "left")
     at = lambda cut: F.coalesce(F.max(F.when(F.col("ordinal") == F.col(cut), F.col("end"))), F.lit(0)).cast("long")
-    return met.groupBy("row_id").agg(at("first").alias("start"), at("second").alias("stop"))
+    return met.groupBy(F.col("asked").alias("key"), "n").agg(at("first").alias("start"), at("second").alias("stop"))
 
 
 def restore(output: Column, form: Column) -> Column:
@@ -75,15 +84,16 @@ def restore(output: Column, form: Column) -> Column:
 
 def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm_rate: int = 50, unit: str = LINES) -> DataFrame:
     """doc_id, n (units), form, prefix_chars, middle_chars and output of every document. ``unit``: a pattern whose matches make up any text."""
-    text = F.coalesce("text", F.lit(""))
+    texts = keyed(docs)
     lengths = F.transform(F.regexp_extract_all("text", F.lit(unit), F.lit(0)), F.char_length)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text.alias("text")).withColumn("lengths", lengths)
-    rows = written(rows, "texts", compression="zstd")
+    rows = written(texts.select("key", "doc_id", lengths.alias("lengths")).dropDuplicates(["key"]), "units", compression="zstd")
+    cuts = written(offsets(rows, seed), "offsets")
+    drop(rows)
     marked = F.lit(False)
     for mark in (PREFIX, SUFFIX, MIDDLE):
         marked = marked | F.contains("text", F.lit(mark))
     plain = (F.col("text") == "") | marked | (draw(2, seed) % 100 >= rate)
-    out = rows.select("row_id", "doc_id", "text", F.size("lengths").cast("long").alias("n")).join(offsets(rows, seed), "row_id", "left")
+    out = texts.join(cuts, "key", "left")
     start, stop = F.coalesce("start", F.lit(0).cast("long")), F.coalesce("stop", F.lit(0).cast("long"))
     form = F.when(plain, "plain").when(draw(3, seed) % 100 < spm_rate, "spm").otherwise("psm")
     out = out.select("doc_id", "n", "text", form.alias("form"), start.alias("start"), stop.alias("stop"))
