@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import oracles, queries as base, stored
+from quirelake.plans import oracles, queries as base, retrieved, stored
 
-FAMILIES = (stored,)
+FAMILIES = (stored, retrieved)
 
 
 def queries() -> dict[str, base.Query]:
