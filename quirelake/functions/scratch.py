@@ -1,11 +1,11 @@
-"""New folders that all executors share."""
+"""New folders that all executors share, and tables in them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -19,3 +19,10 @@ def scratch(spark: SparkSession) -> str:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def kept(df: DataFrame, **options: str) -> DataFrame:
+    """df from a table written where all executors read it."""
+    path = scratch(df.sparkSession)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODES = ("analysis", "editing", "ideation")
 TASK_TYPES = {"analysis": "analyze_selection", "editing": "rewrite_selection", "ideation": "ideate_selection"}
@@ -92,3 +96,37 @@ def rescoped(threads: DataFrame, changes: DataFrame) -> DataFrame:
     """Threads (thread_id, mode, scope) after the last change of scope (thread_id, scope, seq) of each; the mode stays."""
     last = changes.groupBy("thread_id").agg(F.max_by("scope", "seq").alias("to"))
     return threads.join(last, "thread_id", "left").withColumn("scope", F.coalesce("to", "scope")).drop("to")
+
+
+def assemble(candidates: DataFrame, budgets: DataFrame) -> DataFrame:
+    """What goes into each request's context: candidates with ``taken`` and ``used``, the room that is taken after them.
+
+    candidates: request_id, class, rank, size and any columns that tell them
+    apart; budgets: request_id, budget. In the order of class, rank and the other
+    columns each takes its room if it fits, else it is passed over and smaller
+    ones may follow. The rows of a request are sorted and run through one task
+    as a stream, of which only the room is held; those that could never fit are
+    set apart first.
+    """
+    rows = candidates.join(budgets, "request_id")
+    names = [c for c in candidates.columns if c not in ("request_id", "class", "rank", "size")]
+    order = ["request_id", "class", "rank", "size", *names]
+    fits = (F.col("size") >= 0) & (F.col("size") <= F.col("budget"))
+    able = rows.where(fits).repartition("request_id").sortWithinPartitions(*order)
+    schema = T.StructType([*able.schema.fields, T.StructField("taken", T.BooleanType()), T.StructField("used", T.LongType())])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used = None, 0
+        for batch in batches:
+            taken, room = [], []
+            for request, size, budget in zip(*(batch.column(c).to_pylist() for c in ("request_id", "size", "budget")), strict=True):
+                if request != at:
+                    at, used = request, 0
+                taken.append(used + size <= budget)
+                used += size if taken[-1] else 0
+                room.append(used)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_()), pa.array(room, pa.int64())], names=[*batch.schema.names, "taken", "used"])
+
+    out = able.mapInArrow(fill, schema)
+    rest = rows.where(~F.coalesce(fits, F.lit(False))).withColumn("taken", F.lit(False)).withColumn("used", F.lit(None).cast("long"))
+    return out.unionByName(rest)

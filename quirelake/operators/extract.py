@@ -27,9 +27,9 @@ def mentions(spans: DataFrame) -> DataFrame:
     return runs.where("name NOT IN ('The', 'A', 'An')").drop("run")
 
 
-def entity_candidates(docs: DataFrame) -> DataFrame:
-    """One row per document and lower-cased name: first form, count, anchors; single words need two mentions."""
-    found = mentions(parse.spans(docs)).withColumn("pos", F.struct("ordinal", "start"))
+def candidates_of(found: DataFrame) -> DataFrame:
+    """One row per document and lower-cased name of mentions: first form, count, anchors; single words need two mentions."""
+    found = found.withColumn("pos", F.struct("ordinal", "start"))
     own = found.groupBy("path", F.lower("name").alias("key")).agg(
         F.min_by("name", "pos").alias("name"),
         F.count("*").alias("mentions"),
@@ -38,7 +38,12 @@ def entity_candidates(docs: DataFrame) -> DataFrame:
         F.min_by("end_char", "pos").alias("end_char"),
         F.min("pos").alias("pos"),
     )
-    own = own.where("mentions > 1 OR size(split(name, ' ')) > 1")
+    return own.where("mentions > 1 OR size(split(name, ' ')) > 1")
+
+
+def entity_candidates(docs: DataFrame) -> DataFrame:
+    """The candidates of each document in the order in which they are first named."""
+    own = candidates_of(mentions(parse.spans(docs)))
     order = F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1
     return own.select(
         "path", "name", "mentions", "anchors", "start_char", "end_char", order.cast("int").alias("position"), F.lit("pending").alias("review_state"), F.lit("current").alias("staleness_state")

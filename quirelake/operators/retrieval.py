@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.functions.scratch import scratch
+from quirelake.functions.scratch import kept
 from quirelake.functions.text import lower_ascii
 from quirelake.operators.parse import SPAN_TYPES
 
@@ -40,13 +40,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def kept(df: DataFrame, **options: str) -> DataFrame:
-    """df from a table written where all executors read it."""
-    path = scratch(df.sparkSession)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Index:
     """terms: term, weight, top (its largest impact). blocks: term, top, postings (span, impact). forward: span, path, ordinal, terms (term, impact)."""

@@ -21,15 +21,37 @@ def ordered(anchor: Column, head: Column) -> tuple[Column, Column]:
     return F.least(anchor, head), F.greatest(anchor, head)
 
 
+#: Widths of bins: of level 0, and how many times wider each further level is; the last holds any text.
+BIN, WIDER, LEVELS = 256, 8, 9
+
+
+def bins(start: Column, end: Column, level: Column) -> tuple[Column, Column]:
+    """First and last bin of a level that the characters from start up to end touch."""
+    width = (F.lit(float(BIN)) * F.pow(F.lit(float(WIDER)), level)).cast("long")
+    return F.floor(start / width).cast("long"), F.floor((end - 1) / width).cast("long")
+
+
 def overlap(selections: DataFrame, spans: DataFrame) -> DataFrame:
     """Each selection (sel_id, path, sel_start, sel_end) with the ordinals of the spans it touches, and the first.
 
-    The join is on path with the range as a residual condition.
+    A join of intervals by bins: a span lies in the one or two bins that it
+    touches at the level whose bins are as wide as it, a selection in all bins
+    that it touches at each level that its document has. A pair counts in the
+    first bin that both touch, so none is found twice. Work follows the number
+    of bins and of pairs that share one, not selections times spans.
     """
-    s = spans.select("path", "ordinal", "start_char", "end_char")
-    real = selections.where("sel_end > sel_start")
-    hits = real.join(s, (real.path == s.path) & (s.start_char < real.sel_end) & (s.end_char > real.sel_start)).select(real.sel_id, s.ordinal)
-    found = hits.groupBy("sel_id").agg(F.array_sort(F.collect_list("ordinal")).alias("ordinals"), F.min("ordinal").alias("primary"))
+    size = F.greatest(F.col("end_char") - F.col("start_char"), F.lit(1))
+    level = F.least(F.greatest(F.ceil(F.log(float(WIDER), size / F.lit(float(BIN)))), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+    s = spans.where("end_char > start_char").select("path", "ordinal", "start_char", "end_char", level.alias("level"))
+    first, last = bins(F.col("start_char"), F.col("end_char"), F.col("level"))
+    placed = s.withColumn("own", first).withColumn("bin", F.explode(F.sequence(first, last)))
+    levels = s.groupBy("path").agg(F.collect_set("level").alias("levels"))
+    real = selections.where("sel_end > sel_start").select("sel_id", "path", "sel_start", "sel_end")
+    asked = real.join(levels, "path").select("sel_id", "path", "sel_start", "sel_end", F.explode("levels").alias("level"))
+    begin, end = bins(F.col("sel_start"), F.col("sel_end"), F.col("level"))
+    asked = asked.withColumn("begin", begin).withColumn("bin", F.explode(F.sequence(begin, end)))
+    met = placed.join(asked, ["path", "level", "bin"]).where((F.col("start_char") < F.col("sel_end")) & (F.col("end_char") > F.col("sel_start")) & (F.col("bin") == F.greatest("own", "begin")))
+    found = met.groupBy("sel_id").agg(F.array_sort(F.collect_list("ordinal")).alias("ordinals"), F.min("ordinal").alias("primary"))
     return selections.join(found, "sel_id", "left").withColumn("ordinals", F.coalesce("ordinals", F.array().cast("array<int>")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirelake.functions.scratch import scratch
+from quirelake.functions.scratch import kept, scratch
 from quirelake.operators import classify, context, extract, memory, parse, selection
 from quirelake.plans import corpus
 from quirelake.sources import files, projects
@@ -97,13 +97,6 @@ def config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projects.load_config(spark, store, every_root(spark, sf_dir))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df from a written table."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def every_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots(spark, sf_dir).select("root_path").unionByName(literal(spark, [("/home/stale",), ("/home/none",)], "root_path string"))
 

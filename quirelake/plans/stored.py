@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.functions.scratch import scratch
+from quirelake.functions.scratch import kept, scratch
 from quirelake.plans import corpus, oracles
 from quirelake.plans import queries as base
 from quirelake.sources import files, memory_store, projects, tree
@@ -33,8 +33,8 @@ def disk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def disk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every discovered document of every configured project, loaded from disk."""
     names = F.split("path", "/")
-    below = base.kept(on_disk(spark, sf_dir).select(F.concat(F.lit("/"), F.array_join(F.slice(names, 1, 2), "/")).alias("root_path"), F.array_join(F.slice(names, 3, F.size(names)), "/").alias("path"), "text", "error_code"))
-    opened = base.kept(projects.open_projects(base.every_root(spark, sf_dir), base.kept(base.config(spark, sf_dir)), below))
+    below = kept(on_disk(spark, sf_dir).select(F.concat(F.lit("/"), F.array_join(F.slice(names, 1, 2), "/")).alias("root_path"), F.array_join(F.slice(names, 3, F.size(names)), "/").alias("path"), "text", "error_code"))
+    opened = kept(projects.open_projects(base.every_root(spark, sf_dir), kept(base.config(spark, sf_dir)), below))
     asked = opened.where("error_code IS NULL").select("root_path", "path")
     return projects.load_documents(asked, opened, below).select("root_path", "path", "document_type", "error_code", F.char_length("text").alias("n_chars"))
 

@@ -1,5 +1,7 @@
 """Stated cases of the document operators: text, kinds, offsets and states."""
 
+import random
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -242,3 +244,29 @@ def test_no_target_after_an_empty_selection(spark):
     rows = [(1, "p", "a.md", "word", 0, 4), (2, "q", "b.md", "", 0, 0)]
     assert selection.active_target(spark.createDataFrame(rows, schema)).count() == 0
     assert selection.active_target(spark.createDataFrame(rows[:1], schema)).first().pane_id == "p"
+
+
+def test_intervals_meet_in_bins_once(spark):
+    rng = random.Random(9)
+    spans, at = [], 0
+    for n in range(1500):
+        size = rng.choice([1, 3, 40, 255, 256, 257, 2048, 2049, rng.randrange(1, 60_000)])
+        spans.append((f"d{n % 3}.md", n, at, at + size))
+        at += rng.choice([0, 1, size, size + rng.randrange(300)])
+    spans += [("d0.md", 9000, 0, 1 << 40), ("e.md", 0, 5, 5)]
+    sels = []
+    for n in range(400):
+        start = rng.choice([rng.randrange(-5, at), spans[rng.randrange(1500)][2]])
+        sels.append((f"s{n}", rng.choice(["d0.md", "d1.md", "d2.md", "none.md", "e.md"]), start, start + rng.choice([0, -4, 1, 2, 256, rng.randrange(200_000)])))
+    got = selection.overlap(spark.createDataFrame(sels, "sel_id string, path string, sel_start long, sel_end long"), spark.createDataFrame(spans, "path string, ordinal int, start_char long, end_char long")).collect()
+    want = {i: sorted(o for p, o, s, e in spans if p == path and e > s and end > start and s < end and e > start) for i, path, start, end in sels}
+    assert {r.sel_id: list(r.ordinals) for r in got} == want and len(got) == 400
+    assert {r.sel_id: r.primary for r in got} == {i: o[0] if o else None for i, o in want.items()}
+
+
+def test_a_document_of_many_spans_and_selections_is_joined_in_proportion(spark):
+    n = 60_000
+    spans = spark.range(n).selectExpr("'long.md' AS path", "cast(id AS int) AS ordinal", "id * 100 AS start_char", "id * 100 + 90 AS end_char")
+    sels = spark.range(n).selectExpr("cast(id AS string) AS sel_id", "'long.md' AS path", "id * 100 + 50 AS sel_start", "id * 100 + 120 AS sel_end")
+    found = selection.overlap(sels, spans)
+    assert found.selectExpr("sum(size(ordinals)) AS n", "count(*) AS m").first() == (2 * n - 1, n)
