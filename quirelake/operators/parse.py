@@ -1,14 +1,18 @@
 """Markdown structure as windows over lines: spans, sections and scenes.
 
 Input: path, text. All windows and groups share one exchange on path; a
-document's lines are the largest group.
+document's lines are the largest group. Documents too large for that come as
+lines in pieces (``marked_pieces``), each of which is a group of its own: what a
+piece does to the state of its reader is summed up in a row, the rows of a
+document are scanned in order, and each piece goes on from the state before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirelake.functions.scratch import kept
 from quirelake.functions.text import squash, strip, strip_left, without_space, word_count
 
 SPAN_TYPES = ("heading", "paragraph", "scene")
@@ -45,6 +49,12 @@ def marked_lines(docs: DataFrame, mode: str = "conservative_heuristic") -> DataF
     own = Window.partitionBy("path", "section").orderBy("line_no")
     rows = rows.withColumn("open", F.max(F.col("kind").isin("heading", "text")).over(own))
     rows = rows.withColumn("spaced", F.max((F.col("kind") == "blank") & F.col("open")).over(own))
+    rows = rows.withColumn("starts", starts_span(mode))
+    return rows.withColumn("ordinal", (F.sum(F.col("starts").cast("int")).over(doc) - 1).cast("int")).drop("before", "above", "open", "spaced")
+
+
+def starts_span(mode: str) -> Column:
+    """Whether a line starts a span, by its kind, the line above it (before, above) and whether its section has had a blank line after text (spaced)."""
     fresh = strip_left(F.col("line"))
     split = strip(F.col("above")).rlike(ENDS) & ((F.octet_length(fresh) >= 20) | (word_count(fresh) >= 4)) & fresh.rlike(STARTS)
     new = ~F.col("before").eqNullSafe(F.lit("text"))
@@ -52,9 +62,81 @@ def marked_lines(docs: DataFrame, mode: str = "conservative_heuristic") -> DataF
         new = new | (~F.col("spaced") & split)
     elif mode != "strict_blank_lines":
         raise ValueError(f"unknown mode {mode}")
-    start = F.col("kind").isin("heading", "scene") | ((F.col("kind") == "text") & F.coalesce(new, F.lit(False)))
-    rows = rows.withColumn("starts", start)
-    return rows.withColumn("ordinal", (F.sum(F.col("starts").cast("int")).over(doc) - 1).cast("int")).drop("before", "above", "open", "spaced")
+    return F.col("kind").isin("heading", "scene") | ((F.col("kind") == "text") & F.coalesce(new, F.lit(False)))
+
+
+def pieces_of(docs: DataFrame, lines: int = 4_096) -> DataFrame:
+    """path, chunk, place, line of documents (path, text) cut after every so many lines."""
+    split = docs.select("path", F.split("text", "\n", -1).alias("ls")).select("path", F.size("ls").alias("n"), F.posexplode("ls").alias("place", "line"))
+    rows = split.where(~((F.col("place") == F.col("n") - 1) & (F.col("line") == "")))
+    return rows.select("path", F.floor(F.col("place") / lines).cast("long").alias("chunk"), F.col("place").cast("long").alias("place"), "line")
+
+
+def read_pieces(spark: SparkSession, *paths: str) -> DataFrame:
+    """path (as Spark names the file), chunk, place, line of text files; a large file is read by several tasks, a chunk for each."""
+    rows = spark.read.option("lineSep", "\n").text(list(paths))
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("chunk"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+
+
+def marked_pieces(lines: DataFrame, mode: str = "conservative_heuristic") -> DataFrame:
+    """As marked_lines, of lines that come in pieces: path, chunk (in the order of the document), place (in that of the chunk), line.
+
+    No task holds more than a piece, or a row for each piece of a document.
+    """
+    boundary, scene = F.col("kind").isin("heading", "scene").cast("int"), (F.col("kind") == "scene").cast("int")
+    own = Window.partitionBy("path", "chunk").orderBy("place")
+    above = own.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long")
+    rows = lines.withColumn("kind", line_kind(F.col("line")))
+    rows = rows.select(
+        "*",
+        (F.row_number().over(own) - 1).cast("long").alias("nth"),
+        total(F.char_length("line") + 1, above).alias("chars"),
+        total(F.octet_length("line") + 1, above).alias("bytes"),
+        total(boundary, own).alias("section"),
+        total(scene, own).alias("scene"),
+        F.lag("kind").over(own).alias("before"),
+        F.lag("line").over(own).alias("above"),
+    )
+    part = Window.partitionBy("path", "chunk", "section").orderBy("place")
+    seen = lambda c, w: F.max(c).over(w)
+    rows = rows.withColumn("open", seen(F.col("kind").isin("heading", "text"), part)).withColumn("blank", seen(F.col("kind") == "blank", part))
+    rows = kept(rows.withColumn("spaced", seen((F.col("kind") == "blank") & F.col("open"), part)), compression="zstd")
+    # What a piece adds, and the state that it ends in.
+    last = F.max_by(F.struct("nth", "chars", "bytes", "section", "scene", "kind", "line", "open", "blank", "spaced"), "place").alias("z")
+    ends = rows.groupBy("path", "chunk").agg(last).select("path", "chunk", "z.*").withColumn("turn", (F.col("section") > 0).cast("int"))
+    doc = Window.partitionBy("path").orderBy("chunk")
+    so_far = doc.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("run", F.sum("turn").over(doc))
+    # Pieces without a boundary go on in the run of the last one that has one.
+    run = Window.partitionBy("path", "run").orderBy("chunk")
+    ends = ends.withColumn("open_after", seen(F.col("open"), run))
+    ends = ends.withColumn("open_in", F.coalesce(F.lag("open_after").over(doc), F.lit(False)))
+    ends = ends.withColumn("spaced_after", seen(F.col("spaced") | ((F.col("turn") == 0) & F.col("open_in") & F.col("blank")), run))
+    state = ends.select(
+        "path",
+        "chunk",
+        "open_in",
+        F.coalesce(F.lag("spaced_after").over(doc), F.lit(False)).alias("spaced_in"),
+        F.lag("kind").over(doc).alias("before_in"),
+        F.lag("line").over(doc).alias("above_in"),
+        total(F.col("nth") + 1, so_far).alias("nth_in"),
+        total(F.col("chars") + F.char_length("line") + 1, so_far).alias("chars_in"),
+        total(F.col("bytes") + F.octet_length("line") + 1, so_far).alias("bytes_in"),
+        total(F.col("section"), so_far).alias("section_in"),
+        total(F.col("scene"), so_far).alias("scene_in"),
+    )
+    rows = rows.join(state, ["path", "chunk"])
+    first = F.col("nth") == 0
+    rows = rows.withColumn("before", F.when(first, F.col("before_in")).otherwise(F.col("before"))).withColumn("above", F.when(first, F.col("above_in")).otherwise(F.col("above")))
+    rows = rows.withColumn("spaced", F.col("spaced") | ((F.col("section") == 0) & (F.col("spaced_in") | (F.col("open_in") & F.col("blank")))))
+    sums = [(F.col(c) + F.col(f"{c}_in")).alias(name) for c, name in (("nth", "line_no"), ("chars", "start_char"), ("bytes", "start_byte"), ("section", "section"), ("scene", "scene"))]
+    rows = kept(rows.select("path", "chunk", "place", "line", "kind", *sums, starts_span(mode).alias("starts")), compression="zstd")
+    started = rows.groupBy("path", "chunk").agg(F.sum(F.col("starts").cast("long")).alias("n"))
+    started = started.select("path", "chunk", total(F.col("n"), so_far).alias("started"))
+    local = F.sum(F.col("starts").cast("int")).over(own)
+    rows = rows.withColumn("local", local).join(started, ["path", "chunk"])
+    return rows.withColumn("ordinal", (F.col("local") + F.col("started") - 1).cast("int")).drop("chunk", "place", "local", "started")
 
 
 def _extent(rows: DataFrame, *keys: str) -> DataFrame:
@@ -76,7 +158,12 @@ EXTENT = ("start_line", "end_line", "start_byte", "end_byte", "start_char", "end
 
 def spans(docs: DataFrame, mode: str = "conservative_heuristic") -> DataFrame:
     """path, ordinal, span_type, text, normalized_text and extents."""
-    own = _extent(marked_lines(docs, mode).where("kind <> 'blank'"), "path", "ordinal")
+    return spans_of(marked_lines(docs, mode))
+
+
+def spans_of(marked: DataFrame) -> DataFrame:
+    """The spans of marked lines."""
+    own = _extent(marked.where("kind <> 'blank'"), "path", "ordinal")
     kind = F.col("rows")[0].kind
     text = F.array_join(F.transform("rows", lambda r: r.line), "\n")
     text = F.when(kind == "scene", strip(text)).otherwise(text)

@@ -179,6 +179,7 @@ def oracle_sql() -> dict[str, str]:
         "flagship_span_counts": f"WITH {parsed(PROSE)} SELECT lang, span_type, count(*) AS n_spans, CAST(sum(end_char - start_char) AS BIGINT) AS n_chars FROM spans JOIN (SELECT source || '/doc_' || doc_id || '.md' AS path, lang FROM documents) USING (path) GROUP BY lang, span_type",
         "line_offsets": f"WITH {parsed(PROSE)} SELECT path, CAST(line_no AS BIGINT) AS line_no, CAST(start_char AS BIGINT) AS start_char, CAST(start_byte AS BIGINT) AS start_byte, line FROM located",
         "parse_spans": f"WITH {spans} SELECT {SPAN_COLUMNS} FROM spans",
+        "parse_spans_pieces": f"WITH {parsed(PROSE)} SELECT {SPAN_COLUMNS} FROM spans",
         "parse_spans_prose": f"WITH {parsed(PROSE)} SELECT {SPAN_COLUMNS} FROM spans",
         "parse_spans_strict": f"WITH {parsed(TRANSCRIPTS, True)} SELECT {SPAN_COLUMNS} FROM spans",
         "parse_sections": f"WITH {spans}, {body('section')} SELECT b.path, CAST(b.ordinal AS BIGINT) AS ordinal, b.text, {CLEAN.format('b.text')} AS normalized_text, CASE o.kind WHEN 'scene' THEN 'scene_break' WHEN 'heading' THEN 'heading' ELSE 'file_start' END AS boundary_kind, CASE o.kind WHEN 'scene' THEN trim(o.line) ELSE o.line END AS boundary_text, {EXTENT.replace('CAST(', 'CAST(b.')} FROM bodies b LEFT JOIN marked o ON o.path = b.path AND o.section = b.section AND o.kind IN ('heading', 'scene')",

@@ -306,6 +306,7 @@ def queries() -> dict[str, Query]:
         "line_offsets": lambda s, d: parse.source_lines(corpus.prose(s, d)),
         "parse_spans": lambda s, d: parse.spans(corpus.transcripts(s, d)),
         "parse_spans_prose": lambda s, d: parse.spans(corpus.prose(s, d)),
+        "parse_spans_pieces": lambda s, d: parse.spans_of(parse.marked_pieces(parse.pieces_of(corpus.prose(s, d), 5))),
         "parse_spans_strict": lambda s, d: parse.spans(corpus.transcripts(s, d), "strict_blank_lines"),
         "parse_sections": lambda s, d: parse.sections(corpus.transcripts(s, d)),
         "parse_scenes": lambda s, d: parse.scenes(corpus.transcripts(s, d)),

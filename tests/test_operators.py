@@ -270,3 +270,34 @@ def test_a_document_of_many_spans_and_selections_is_joined_in_proportion(spark):
     sels = spark.range(n).selectExpr("cast(id AS string) AS sel_id", "'long.md' AS path", "id * 100 + 50 AS sel_start", "id * 100 + 120 AS sel_end")
     found = selection.overlap(sels, spans)
     assert found.selectExpr("sum(size(ordinals)) AS n", "count(*) AS m").first() == (2 * n - 1, n)
+
+
+LINES = ["# Head", "## Two", "", "", "   ", "---", "* * *", "One sentence that is long enough.", "Another sentence that is long enough.", "and it goes on", "Short one.", "“Quoted words that begin a line here.”", "no end", "x", "ü\U0001f600 wide, and rather long. ", "\r", "end.\r"]
+
+
+@pytest.mark.parametrize("mode", ["conservative_heuristic", "strict_blank_lines"])
+def test_documents_in_pieces_parse_as_whole_ones(spark, mode):
+    rng = random.Random(21)
+    rows = [(f"d{k}.md", "\n".join(rng.choice(LINES if k % 2 else LINES[6:15]) for _ in range(rng.randrange(60)))) for k in range(60)] + [("e.md", ""), ("n.md", None), ("t.md", "a\n\n"), ("h.md", "\n# x")]
+    whole = spark.createDataFrame(rows, "path string, text string")
+    columns = ["path", "ordinal", "span_type", "text", *parse.EXTENT]
+    want = sorted(tuple(r) for r in parse.spans(whole, mode).select(*columns).collect())
+    for lines in (1, 3, 1000):
+        got = parse.spans_of(parse.marked_pieces(parse.pieces_of(whole, lines), mode)).select(*columns).collect()
+        assert sorted(tuple(r) for r in got) == want
+
+
+def test_a_large_file_is_parsed_by_several_tasks(spark, tmp_path):
+    rng = random.Random(22)
+    text = "\n".join(rng.choice(LINES) for _ in range(20_000)) + "\n"
+    (tmp_path / "huge.md").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        lines = parse.read_pieces(spark, str(tmp_path / "huge.md"))
+        assert lines.select("chunk").distinct().count() > 3
+        got = parse.spans_of(parse.marked_pieces(lines)).select("ordinal", "span_type", "text", *parse.EXTENT)
+        want = parse.spans(docs(spark, text)).select("ordinal", "span_type", "text", *parse.EXTENT)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 5_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
