@@ -6,9 +6,10 @@ that needs the fewest phrases, normalised by the logarithm of its sample's
 length, wins.
 
 The labelled text is a bounded sample: at most ``sample_symbols`` letters in
-all, shared evenly by the languages, from about ``sample_docs`` documents per
-language that a hash of doc_id picks, a short passage from each. Every text is
-then scored whole. Long texts are parsed in stretches of ``STRETCH`` symbols, a
+all, shared evenly by the languages, or ``least_symbols`` for each where that is
+more, from about ``sample_docs`` documents per language that a hash of doc_id
+picks, a short passage from each. Every label is learned, so the model grows with
+the number of languages alone. Every text is then scored whole. Long texts are parsed in stretches of ``STRETCH`` symbols, a
 phrase ending at each stretch's end, so that many stretches advance together.
 Longest-match parsing needs the fewest phrases of all parses into pieces of the
 sample; the parse in stretches is one of those, and cutting the plain parse at
@@ -18,8 +19,8 @@ symbols, which moves a language's bits a symbol by log2(sample) / STRETCH (0.02
 at 96,000) at most.
 
 An automaton's edges, at most three for each symbol of its sample, stand in a
-hash table, whatever the number of different symbols. At most
-``most_languages`` labels, the most frequent ones, are learned.
+dense array for the ``DENSE`` most frequent symbols of all samples, which is
+made where it is used, and in a hash table for the others, whatever their number.
 
 Defined cases: a null text, one without any letter (marks alone are none), and
 any text when nothing labelled was learned give ``und`` with score 0; equal phrase counts go to the
@@ -40,21 +41,52 @@ from pyspark.sql import functions as F
 from quirelake.llm.common import Table, crc32_mod, mapped
 
 STRETCH = 1024
+#: Symbols whose edges are looked up in an array.
+DENSE = 48
 #: Texts are parsed in groups of about this many characters.
 GROUP_CHARS = 4_000_000
 
 
+class Edges:
+    """Next states of an automaton by state and symbol (from 1), 0 where there is none."""
+
+    def __init__(self, states: np.ndarray, symbols: np.ndarray, to: np.ndarray, width: int) -> None:
+        self.states, self.symbols, self.to = (x.astype(np.int32) for x in (states, symbols, to))
+        self.width = width
+        self.dense: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None, "rest": None}
+
+    def open(self) -> None:
+        often = self.symbols < DENSE
+        self.dense = np.zeros((int(self.states.max(initial=1)) + 2) * DENSE, dtype=np.int32)
+        self.dense[self.states[often] * DENSE + self.symbols[often]] = self.to[often]
+        rest = ~often
+        self.rest = Table(self.states[rest].astype(np.uint64) * np.uint64(self.width) + self.symbols[rest].astype(np.uint64), self.to[rest].astype(np.int64))
+
+    def get(self, state: np.ndarray, symbol: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """rare: places of symbols from DENSE on."""
+        if self.dense is None:
+            self.open()
+        at = state * DENSE + symbol
+        at[rare] = 0
+        out = self.dense[at].astype(np.int64)
+        if len(rare):
+            out[rare] = self.rest.get((state[rare] * self.width + symbol[rare]).view(np.uint64))
+        return out
+
+
 @dataclass
 class Model:
-    """languages: names in order. symbols: symbol of each code point, 0 for no letter.
-    lettered: which code points are letters. width: number of symbols.
-    tables: for each language next state by state * width + symbol, 0 where there is none."""
+    """languages: names in order. symbols: symbol of each code point, 0 for no letter, frequent ones first.
+    lettered: which code points are letters. width: number of symbols. tables: the edges of each language."""
 
     languages: list[str]
     symbols: np.ndarray
     lettered: np.ndarray
     width: int
-    tables: list[Table]
+    tables: list[Edges]
     sample_lengths: list[int]
 
 
@@ -72,7 +104,7 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
     return out, real
 
 
-def automaton(symbols: np.ndarray, width: int) -> Table:
+def automaton(symbols: np.ndarray, width: int) -> Edges:
     """Edges of the suffix automaton of a sequence of symbols (1 and up); the root is state 1."""
     nxt: list[dict[int, int]] = [{}, {}]
     link, length, last = [0, 0], [0, 0], 1
@@ -99,8 +131,9 @@ def automaton(symbols: np.ndarray, width: int) -> Table:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    keys = np.array([state * width + s for state, edges in enumerate(nxt) for s in edges], dtype=np.uint64)
-    return Table(keys, np.array([to for edges in nxt for to in edges.values()], dtype=np.int64))
+    states = np.repeat(np.arange(len(nxt)), [len(edges) for edges in nxt])
+    own, to = (np.array([x for edges in nxt for x in side(edges)], dtype=np.int64) for side in (dict.keys, dict.values))
+    return Edges(states, own, to, width)
 
 
 def squeeze(codes: np.ndarray) -> np.ndarray:
@@ -112,17 +145,18 @@ def squeeze(codes: np.ndarray) -> np.ndarray:
     return codes[keep]
 
 
-def build(samples: dict[str, list[str]], sample_symbols: int = 96_000) -> Model:
+def build(samples: dict[str, list[str]], sample_symbols: int = 96_000, least_symbols: int = 4_000) -> Model:
     """A model from passages per language."""
     low, lettered = letters()
     names = sorted(samples)
-    each = sample_symbols // max(1, len(names))
+    each = max(least_symbols, sample_symbols // max(1, len(names)))
     texts = {}
     for n in names:
         codes = [squeeze(low[np.frombuffer((" " + t).encode("utf-32-le", "replace"), dtype="<u4")]) for t in samples[n]]
         texts[n] = np.concatenate(codes)[:each] if codes else np.zeros(0, np.uint32)
-    alphabet = np.unique(np.concatenate([np.array([32], np.uint32), *texts.values()]))
-    # Symbols: 0 for a space, 1.. for known letters, the last for other letters.
+    alphabet, often = np.unique(np.concatenate([np.array([32], np.uint32), *texts.values()]), return_counts=True)
+    alphabet = alphabet[np.argsort(-often, kind="stable")]
+    # Symbols: 0 for a space, 1.. for known letters, the most frequent first, the last for other letters.
     dense = np.zeros(0x110000, dtype=np.int32)
     dense[alphabet[alphabet != 32]] = np.arange(1, len(alphabet))
     other = len(alphabet)
@@ -131,11 +165,11 @@ def build(samples: dict[str, list[str]], sample_symbols: int = 96_000) -> Model:
     return Model(names, symbols, lettered, other + 2, tables, [len(texts[n]) for n in names])
 
 
-def fit(docs: DataFrame, sample_symbols: int = 96_000, sample_docs: int = 120, passage: int = 400, most_languages: int = 256) -> Model:
+def fit(docs: DataFrame, sample_symbols: int = 96_000, sample_docs: int = 120, passage: int = 400, least_symbols: int = 4_000) -> Model:
     """Learn from the rows of docs whose lang and text are not null."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    labels = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    counts = {r["lang"]: r["n"] for r in labels.collect()}  # at most most_languages rows
+    labels = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in labels.collect()}  # a row for each language
     if not counts:
         return build({})
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_docs / n))])
@@ -145,7 +179,7 @@ def fit(docs: DataFrame, sample_symbols: int = 96_000, sample_docs: int = 120, p
     samples: dict[str, list[str]] = {lang: [] for lang in counts}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], str(r["doc_id"]), r["text"])):  # about sample_docs passages per language
         samples[r["lang"]].append(r["text"])
-    return build(samples, sample_symbols)
+    return build(samples, sample_symbols, least_symbols)
 
 
 def count_phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +208,6 @@ def count_phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np
     doc, at, size = doc[order], at[order], size[order]
     alive = np.searchsorted(-size, -np.arange(STRETCH), side="left")
     phrases = np.zeros((len(raw), len(model.languages)))
-    width = model.width
     state = [np.ones(len(doc), dtype=np.int64) for _ in model.tables]
     count = [np.zeros(len(doc), dtype=np.int64) for _ in model.tables]
     for step in range(STRETCH):
@@ -182,12 +215,14 @@ def count_phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np
         if not m:
             break
         s = sym[at[:m] + step]
+        rare = np.flatnonzero(s >= DENSE)
         for table, st, ct in zip(model.tables, state, count, strict=True):
-            here = table.get((st[:m] * width + s).view(np.uint64))
+            here = table.get(st[:m], s, rare)
             stuck = here == 0
             # A stuck stretch ends its phrase and starts the next with this symbol; one the language lacks is a phrase of its own.
             ct[:m] += stuck & (st[:m] != 1)
-            fresh = table.get((width + s[stuck]).view(np.uint64))
+            again = s[stuck]
+            fresh = table.get(np.ones(len(again), dtype=np.int64), again, np.flatnonzero(again >= DENSE))
             ct[:m][stuck] += fresh == 0
             here[stuck] = np.where(fresh == 0, 1, fresh)
             st[:m] = here

@@ -466,8 +466,10 @@ def without(texts: DataFrame, with_text: bool) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 200, passage_words: int = 50, group_bytes: int = 16 << 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept bytes) and n_passages of every document.
 
+    passage: bytes from which on repeats are told to n_passages, ``length`` at most.
     group_bytes: contexts that one task sorts together; its arrays take about 40 times as much.
     """
+    passage = min(passage, length)
     table = written(anchored(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text"), passage), "anchored", compression="zstd")
     spans = repeated_spans(table, passage, group_bytes)
     told = passages(table, spans, length, passage_words)

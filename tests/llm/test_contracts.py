@@ -587,11 +587,23 @@ def test_language_tables_do_not_grow_with_the_alphabet(spark):
     rng = random.Random(13)
     made = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400)) for _ in range(150)]
     model = language.build({"zh": made, "xx": ["plain words"]})
-    size = sum(a.nbytes for t in model.tables for layer in t.layers for a in layer[2:])
+    for t in model.tables:
+        t.open()
+    size = sum(t.dense.nbytes + sum(a.nbytes for layer in t.rest.layers for a in layer[2:]) for t in model.tables)
     assert model.width > 2500 and size < 40 << 20
     assert [r.lang_pred for r in language.identify(table(spark, ["\u0301", "山"], ["zh", "zh"])).orderBy("doc_id").collect()] == ["und", "zh"]
 
 
+def test_every_label_is_learned(spark):
+    rng = random.Random(3)
+    words_of = [[f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + rng.randrange(26))}{chr(97 + k // 7 % 26)}" for _ in range(6)] for k in range(300)]
+    rows = [(k, " ".join(rng.choice(words_of[k]) for _ in range(60)), f"l{k}", "s", "f", "r", "l") for k in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language.fit(docs)
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert len(model.languages) == 300 and sum(got[k] == f"l{k}" for k in range(300)) >= 295
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(9)
     stock = {"aa": ["the", "house", "with", "garden", "and", "river"], "bb": ["das", "haus", "mit", "garten", "und", "fluss"], "cc": ["la", "maison", "avec", "jardin", "et", "rivière"]}
