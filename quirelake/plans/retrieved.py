@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.scratch import kept
-from quirelake.operators import context, extract, linking, parse, retrieval, vectors
+from quirelake.operators import context, extract, linking, parse, relations, retrieval, vectors
 from quirelake.plans import corpus, oracles
 from quirelake.plans import queries as base
 
@@ -86,8 +86,42 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link(prose.where("span_type <> 'scene'").select("path", "ordinal", F.col("normalized_text").alias("text")), kept(names))
 
 
+# --- relationships, timelines, contradictions
+
+
+def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that the prose names together, in one span or in the next."""
+    prose = kept(parse.spans(corpus.prose(spark, sf_dir)).select("path", "ordinal", "span_type", "normalized_text", "start_char", "end_char"))
+    return relations.related(extract.mentions(prose), prose.where("span_type <> 'scene'").count(), reach=1, least=3)
+
+
+def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as each customer's orders have them, written in four ways, two to a span."""
+    o, k = corpus.table(spark, sf_dir, "orders"), F.col("o_orderkey") % 4
+    day = F.to_date("o_orderdate")
+    said = F.when(k == 0, day.cast("string")).when(k == 1, F.date_format(day, "d MMMM yyyy")).when(k == 2, F.date_format(day, "MMMM d, yyyy")).otherwise(F.date_format(day, "MMMM yyyy"))
+    text = F.concat(F.lit("On "), said, F.lit(" they wrote; not on 1995-02-31, nor 9"), day.cast("string"), F.lit("."))
+    rows = o.select(F.concat(F.lit("ledger/"), "o_custkey", F.lit(".md")).alias("path"), F.col("o_orderkey").cast("int").alias("ordinal"), text.alias("text"))
+    return relations.timeline(rows).withColumn("day", F.col("day").cast("string"))
+
+
+def people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two reference documents for each customer, the second under another name and at times with another segment; and the names that are one."""
+    c, k = corpus.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    other = F.when(k % 7 == 0, "UNKNOWN TRADE").otherwise(F.lower("c_mktsegment"))
+    first = c.select(F.concat(F.lit("people/"), k, F.lit(".md")).alias("path"), F.concat("c_name", F.lit(": "), "c_mktsegment", F.lit("\n")).alias("text"))
+    second = c.select(F.concat(F.lit("ledger/"), k, F.lit(".md")).alias("path"), F.concat(F.lit("Account  of "), k, F.lit(" - "), other, F.lit("\n")).alias("text"))
+    names = c.select(F.col("c_name").alias("a"), F.concat(F.lit("Holder "), k).alias("b")).unionByName(c.select(F.concat(F.lit("account of "), k).alias("a"), F.concat(F.lit("holder "), k).alias("b")))
+    return first.unionByName(second).withColumn("document_type", F.lit("reference")), names
+
+
+def contradicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, names = people(spark, sf_dir)
+    return relations.contradictions(extract.reviewable_facts(docs), names)
+
+
 def queries() -> dict[str, base.Query]:
-    return {"lexical_retrieval": lexical, "vector_recall": recall, "hybrid_retrieval": hybrid, "context_assembly": assembled, "entity_links": linked}
+    return {"lexical_retrieval": lexical, "vector_recall": recall, "hybrid_retrieval": hybrid, "context_assembly": assembled, "entity_links": linked, "relationships": relationships, "timelines": timelines, "contradictions": contradicted}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -133,4 +167,14 @@ turns AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY path, ordinal O
 walk AS (SELECT path, ordinal, turn, start, stop, name, TRUE AS taken, stop AS end_ FROM turns WHERE turn = 1
   UNION ALL SELECT t.path, t.ordinal, t.turn, t.start, t.stop, t.name, t.start >= end_, CASE WHEN t.start >= end_ THEN t.stop ELSE end_ END FROM walk w JOIN turns t ON t.path = w.path AND t.ordinal = w.ordinal AND t.turn = w.turn + 1)
 SELECT path, ordinal, start, stop, name FROM walk WHERE taken""",
+        "relationships": f"""WITH {prose}, {names}, spot AS MATERIALIZED (SELECT DISTINCT path, ordinal, lower(name) AS name FROM ment WHERE name NOT IN ('The', 'A', 'An')),
+met AS (SELECT least(x.name, y.name) AS first, greatest(x.name, y.name) AS second FROM spot x JOIN spot y ON y.path = x.path AND (y.ordinal = x.ordinal AND x.name < y.name OR y.ordinal = x.ordinal + 1 AND x.name <> y.name)),
+pairs AS (SELECT first, second, count(*) AS n FROM met GROUP BY ALL HAVING count(*) >= 3), c AS (SELECT name, count(*) AS n FROM spot GROUP BY name)
+SELECT first, second, p.n, CAST(floor(1000 * ln(p.n::DOUBLE * (SELECT count(*) FROM spans WHERE span_type <> 'scene') / (a.n::DOUBLE * b.n))) AS BIGINT) AS score FROM pairs p JOIN c a ON a.name = first JOIN c b ON b.name = second""",
+        "timelines": """WITH o AS (SELECT 'ledger/' || o_custkey || '.md' AS path, o_orderkey AS ordinal, CAST(o_orderdate AS DATE) AS d, o_orderkey % 4 AS k FROM orders),
+s AS (SELECT path, ordinal, CASE k WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN day(d) || strftime(d, ' %B %Y') WHEN 2 THEN strftime(d, '%B ') || day(d) || strftime(d, ', %Y') ELSE strftime(d, '%B %Y') END AS said,
+  CASE k WHEN 3 THEN date_trunc('month', d)::DATE ELSE d END AS day, CASE k WHEN 3 THEN 'month' ELSE 'day' END AS precision FROM o)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY day, ordinal) - 1 AS position, ordinal, 0 AS nth, said, CAST(day AS VARCHAR) AS day, precision FROM s""",
+        "contradictions": """SELECT least('account of ' || c_custkey, lower(c_name)) AS entity, 'is' AS predicate, d AS path, 0 AS ordinal, s AS subject, o AS object
+FROM (SELECT c_custkey, c_name, unnest(['people/' || c_custkey || '.md', 'ledger/' || c_custkey || '.md']) AS d, unnest([c_name, 'Account  of ' || c_custkey]) AS s, unnest([c_mktsegment, 'UNKNOWN TRADE']) AS o FROM customer WHERE c_custkey % 7 = 0)""",
     }
