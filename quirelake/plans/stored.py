@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.scratch import kept, scratch
+from quirelake.operators import drafts
 from quirelake.plans import corpus, oracles
 from quirelake.plans import queries as base
 from quirelake.sources import files, memory_store, projects, tree
@@ -130,6 +131,28 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(staleness.STALE).parquet(out)
 
 
+# --- drafts
+
+
+def drafted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and drafts of them: digests once all hunks are accepted or rejected, and where the last line lies then, if it is the same."""
+    d, k = corpus.table(spark, sf_dir, "documents"), F.col("doc_id")
+    lines = F.split("text", "\n", -1)
+    last = F.size(lines) - 1
+
+    def edited(x: Column, i: Column) -> Column:
+        new = F.when((i + k) % 7 == 0, F.concat(x, F.lit(" (edited)"))).when((i + k) % 11 == 3, F.lit(None).cast("string")).otherwise(x)
+        return F.when((i + k) % 13 == 5, F.concat(F.coalesce(new, F.lit("")), F.lit("\ninserted"))).otherwise(new)
+
+    new = F.array_join(F.array_compact(F.transform(lines, lambda x, i: F.when(i < last, edited(x, i)).when(k % 3 == 0, F.concat(x, F.lit("!"))).otherwise(x))), "\n")
+    pairs = d.select(k.cast("string").alias("path"), F.col("text").alias("old"), new.alias("new"), F.char_length(F.element_at(lines, -1)).cast("long").alias("tail"))
+    hunks = kept(drafts.diff(pairs))
+    size = F.char_length("old").cast("long")
+    ends = drafts.moved(pairs.select("path", (size - F.col("tail")).alias("start_char"), size.alias("end_char")), hunks).select("path", "new_start", "new_end")
+    digest = lambda name, h: drafts.applied(pairs, h).select("path", F.sha2("text", 256).alias(name))
+    return digest("accepted", hunks).join(digest("rejected", hunks.limit(0)), "path").join(ends, "path")
+
+
 def queries() -> dict[str, base.Query]:
     return {
         "healthcheck": lambda s, d: projects.healthcheck({t: corpus.table(s, d, t) for t in TABLES}),
@@ -138,6 +161,7 @@ def queries() -> dict[str, base.Query]:
         "mapping_merge": merged,
         "memory_store": remembered,
         "staleness_stream": streamed,
+        "draft_review": drafted,
     }
 
 
@@ -171,5 +195,11 @@ both_ AS (SELECT c.root_path, c.path, CASE WHEN s.path IS NOT NULL THEN role WHE
   UNION ALL SELECT root_path, path, role, enabled, FALSE FROM s ANTI JOIN c USING (root_path, path))
 SELECT *, row_number() OVER (PARTITION BY root_path ORDER BY scanned DESC, CASE WHEN scanned THEN path ELSE lower(path) END) - 1 AS position FROM both_""",
         "memory_store": f"WITH {_RECORDS} SELECT * FROM e UNION ALL SELECT * FROM f",
+        "draft_review": """WITH d AS (SELECT doc_id AS k, text, string_split(text, chr(10)) AS ls FROM documents),
+e AS (SELECT k, text, ls, list_filter(list_transform(ls, lambda x, i: CASE WHEN i < len(ls) THEN CASE WHEN (i - 1 + k) % 13 = 5 THEN
+    coalesce(CASE WHEN (i - 1 + k) % 7 = 0 THEN x || ' (edited)' WHEN (i - 1 + k) % 11 = 3 THEN NULL ELSE x END, '') || chr(10) || 'inserted'
+    WHEN (i - 1 + k) % 7 = 0 THEN x || ' (edited)' WHEN (i - 1 + k) % 11 = 3 THEN NULL ELSE x END WHEN k % 3 = 0 THEN x || '!' ELSE x END), lambda x: x IS NOT NULL) AS ns FROM d),
+n AS (SELECT *, array_to_string(ns, chr(10)) AS new FROM e)
+SELECT CAST(k AS VARCHAR) AS path, sha256(new) AS accepted, sha256(text) AS rejected, CASE WHEN k % 3 <> 0 THEN length(new) - length(ls[-1]) END AS new_start, CASE WHEN k % 3 <> 0 THEN length(new) END AS new_end FROM n""",
         "staleness_stream": f"WITH {_STREAM} SELECT DISTINCT s.id, s.path, min(c.seq) AS seq, arg_min(c.change, c.seq) AS change FROM saved s JOIN changes c ON c.path = s.path AND c.seq > s.seq GROUP BY s.id, s.path, s.seq",
     }
