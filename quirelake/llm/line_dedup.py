@@ -39,6 +39,8 @@ from quirelake.llm.common import components, drop, lookup, small, written
 
 #: Least length of a line, and the edits that are allowed from there on.
 STEPS = ((10, 1), (30, 2))
+#: Entries that may share a key before it is refined; where two stretches hold an edit each, a pair must differ in both, and few do in vain.
+CROWD, CROWD_APART = 8, 64
 #: Parts of a stretch that holds two edits, and of one that holds one.
 PARTS = {2: 4, 1: 4}
 
@@ -125,10 +127,16 @@ def probe_rows(entries: DataFrame) -> DataFrame:
 
 
 def whole(entries: DataFrame, moves: bool) -> DataFrame:
-    """The stretch that a line is to begin with: x, the length xn that it has in the index, and its edits xe; no second one."""
+    """The stretch that a line is to begin with: x, the length xn that it has in the index, and its edits xe; no second one.
+
+    Probes (``moves``) look for shorter lines, and for lines of their own length
+    only if they are not in the index themselves (``indexed``): such lines meet there.
+    """
     out = None
     for tau, least, top in bands():
-        own = entries.select("id", "line", F.explode(F.array(*map(F.lit, range(tau + 1 if moves else 1)))).alias("shorter"))
+        every, shorter = (F.array(*map(F.lit, range(first, tau + 1))) for first in (0, 1))
+        ways = F.when(F.col("indexed"), shorter).otherwise(every) if moves else F.array(F.lit(0))
+        own = entries.select("id", "line", F.explode(ways).alias("shorter"))
         rows = own.selectExpr(f"xxhash64({tau}, length(line) - shorter) AS key", "id", "id * 2 + int(shorter = 0) AS id2", "line AS x", "length(line) - shorter AS xn", f"{tau} AS xe", "'' AS y", "0 AS yn", "0 AS ye")
         rows = rows.where(F.col("xn").between(least, top))
         out = rows if out is None else out.unionByName(rows)
@@ -140,26 +148,32 @@ def ways_of(rows: DataFrame, ways: list[tuple[int, ...]]) -> DataFrame:
     return rows.withColumn("w", F.explode(F.expr(f"cast(array({each}) as array<struct<p: int, q: int, move: int>>)"))).select(*rows.columns, "w.*")
 
 
-def narrowed(rows: DataFrame, moves: bool) -> DataFrame:
+def sides(rows: DataFrame, ways: list[tuple[int, ...]]) -> DataFrame:
+    """Rows of two edits times ways (p, q, move), with places and sizes of the two parts."""
+    (sp, zp), (sq, zq) = segment("xn", "p", PARTS[2]), segment("xn", "q", PARTS[2])
+    return ways_of(rows.where("xe = 2"), ways).selectExpr("*", f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"cast({zq} as int) AS zq", "length(x) - xn AS more")
+
+
+def apart(rows: DataFrame, moves: tuple[int, ...]) -> DataFrame:
+    """Stretches of two edits cut to two parts apart, with one edit each, and the text between them moved."""
+    ways = [(p, q, s) for p in range(PARTS[2]) for q in range(p + 2, PARTS[2]) for s in moves]
+    return sides(rows, ways).where("abs(more - move) <= 1 AND zp + move >= 0 AND zq + more - move >= 0").selectExpr(
+        "xxhash64(key, p, q, left(x, sp - 1), substring(x, sp + zp + move, sq - sp - zp), right(x, xn - sq - zq + 1)) AS key",
+        "id", "id2", "substring(x, sp, zp + move) AS x", "zp AS xn", "1 AS xe", "substring(x, sq + move, zq + more - move) AS y", "zq AS yn", "1 AS ye",
+    )
+
+
+def narrowed(rows: DataFrame, moves: tuple[int, ...] = (0,)) -> DataFrame:
     """Rows (key, id, id2, x, xn, xe, y, yn, ye) with shorter stretches, and keys that also hold all that is left out of them.
 
     A stretch with two edits gives two neighbouring parts with both, or two
-    parts apart with one each, where probes (``moves``) try how far the text
-    between has moved; a stretch with one edit gives the part that holds it.
+    parts apart with one each, where probes try how far the text between has
+    moved (``moves``); a stretch with one edit gives the part that holds it.
     """
-    many = PARTS[2]
-    beside = [(p, p + 1, 0) for p in range(many - 1)]
-    apart = [(p, q, s) for p in range(many) for q in range(p + 2, many) for s in ((-1, 0, 1) if moves else (0,))]
-    (sp, zp), (sq, zq) = segment("xn", "p", many), segment("xn", "q", many)
-    sides = (f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"cast({zq} as int) AS zq", "length(x) - xn AS more")
-    near, far = (ways_of(rows.where("xe = 2"), ways).selectExpr("*", *sides) for ways in (beside, apart))
-    near = near.where("zp + zq + more >= 0").selectExpr(
+    near = sides(rows, [(p, p + 1, 0) for p in range(PARTS[2] - 1)]).where("zp + zq + more >= 0").selectExpr(
         "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sq - zq + 1)) AS key", "id", "id2", "substring(x, sp, zp + zq + more) AS x", "zp + zq AS xn", "2 AS xe", "'' AS y", "0 AS yn", "0 AS ye"
     )
-    far = far.where("abs(more - move) <= 1 AND zp + move >= 0 AND zq + more - move >= 0").selectExpr(
-        "xxhash64(key, p, q, left(x, sp - 1), substring(x, sp + zp + move, sq - sp - zp), right(x, xn - sq - zq + 1)) AS key",
-        "id", "id2", "substring(x, sp, zp + move) AS x", "zp AS xn", "1 AS xe", "substring(x, sq + move, zq + more - move) AS y", "zq AS yn", "1 AS ye",
-    )
+    far = apart(rows, moves)
     few = PARTS[1]
     (sp, zp), (sq, zq) = segment("xn", "p", few), segment("yn", "q", few)
     one = ways_of(rows.where("xe = 1"), [(p, q, 0) for p in range(few) for q in range(few)]).where("ye = 1 OR q = 0")
@@ -171,7 +185,12 @@ def narrowed(rows: DataFrame, moves: bool) -> DataFrame:
     return near.unionByName(far).unionByName(one)
 
 
-def candidates(entries: DataFrame, crowd: int = 8) -> DataFrame:
+def stretches(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with ``two``, whether they have two stretches, and hashes of these."""
+    return rows.selectExpr("*", f"ye = 1 AS two_{name}", f"xxhash64(x) AS x_{name}", f"xxhash64(y) AS y_{name}")
+
+
+def candidates(entries: DataFrame, crowd: int = CROWD, crowd_apart: int = CROWD_APART) -> DataFrame:
     """Pairs a < b of entries that share a key, each once; a written table."""
     index, probe, final = written(index_rows(entries), "index"), probe_rows(entries), F.lit(False)
     found: list[DataFrame] = []
@@ -179,14 +198,27 @@ def candidates(entries: DataFrame, crowd: int = 8) -> DataFrame:
     most = max(tau for _, tau in STEPS)
     while True:
         size = F.min("length").alias("length") if not found else F.lit(0).alias("length")
-        crowded = written(index.where(~final).groupBy("key").agg(F.count("*").alias("n"), size).where(F.col("n") > crowd).select("key", "length"), "crowded")
+        most_here = F.when(F.max("ye") == 1, crowd_apart).otherwise(crowd) if found else F.lit(crowd)
+        crowded = index.where(~final).groupBy("key").agg(F.count("*").alias("n"), size, most_here.alias("most")).where(F.col("n") > F.col("most"))
+        crowded = written(crowded.select("key", "length"), "crowded")
         few = small(crowded).select("key")
         # What is left of the index has no crowded key, so its hash table in a task follows the task's rows.
-        a = index.join(few, "key", "left_anti").select("key", F.col("id").alias("a")).hint("shuffle_hash")
-        b = probe.select("key", "id2")
+        kept = index.join(few, "key", "left_anti").hint("shuffle_hash")
         # Two entries of one length find each other both ways: the larger one's find counts.
         once = F.expr("a <> shiftright(id2, 1) AND (id2 % 2 = 0 OR a < shiftright(id2, 1))")
-        pairs = a.join(b, (a.key == b.key) & once).selectExpr("least(a, shiftright(id2, 1)) AS a", "greatest(a, shiftright(id2, 1)) AS b")
+        columns = ("least(a, shiftright(id2, 1)) AS a", "greatest(a, shiftright(id2, 1)) AS b")
+        if not found:
+            a, b = kept.select(F.col("key").alias("own"), F.col("id").alias("a")), probe.select("key", "id2")
+            pairs = a.join(b, F.expr("own = key") & once).selectExpr(*columns)
+        else:
+            # With an edit in each of two stretches, both differ; pairs that differ in one of them have keys with one stretch as well.
+            a = stretches(kept, "a").select(F.col("key").alias("own"), F.col("id").alias("a"), "two_a", "x_a", "y_a")
+            b = stretches(probe, "b").select("key", "id2", "x_b", "y_b")
+            differ = F.expr("NOT two_a OR (x_a <> x_b AND y_a <> y_b)")
+            pairs = a.join(b, F.expr("own = key") & once & differ).selectExpr(*columns)
+            # Lines of one length, the text between their edits not moved.
+            c = stretches(kept, "b").select("key", F.col("id").alias("b"), "x_b", "y_b")
+            pairs = pairs.unionByName(a.join(c, F.expr("own = key AND a < b") & differ).select("a", "b"))
         found.append(written(pairs.distinct(), f"pairs{len(found)}"))
         if crowded.isEmpty():
             break
@@ -197,16 +229,18 @@ def candidates(entries: DataFrame, crowd: int = 8) -> DataFrame:
             alike = written(entries.select("id", "line").join(small(sizes), F.length("line") == F.col("n"), "left_semi"), "alike", compression="zstd")
             ids = (index.join(few, "key", "left_semi").select("id"), probe_rows(alike).join(few, "key", "left_semi").selectExpr("shiftright(id2, 1) AS id"))
             own = [written(i.distinct(), "crowd") for i in ids]
-            more = [written(alike.join(small(i), "id", "left_semi"), "crowd") for i in own]
+            both = small(own[0].withColumn("indexed", F.lit(True)))
+            more = [alike.join(small(own[0]), "id", "left_semi"), alike.join(small(own[1]), "id", "left_semi").join(both, "id", "left").withColumn("indexed", F.col("indexed").isNotNull())]
+            more = [written(m, "crowd") for m in more]
             drop(*own, sizes, alike)
             index, probe = (whole(t, moves) for t, moves in zip(more, (False, True), strict=True))
         else:
             more = [written(r.join(few, "key", "left_semi"), "crowd") for r in (index, probe)]
             index, probe = more
         drop(*held, crowded)
-        index, probe = written(narrowed(index, False), "index"), narrowed(probe, True)
-        drop(more[0])
-        held = [index, more[1]]
+        # Lines of one length probe each other only where the text between two edits has moved.
+        index, probe = written(narrowed(index), "index"), narrowed(probe, (-1, 0, 1)).unionByName(apart(index, (-1, 1)))
+        held = [index, *more]
         final = (F.col("xn") <= F.col("xe")) & (F.col("yn") <= F.col("ye"))
     drop(*held, crowded)
     if len(found) == 1:

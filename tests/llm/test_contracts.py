@@ -193,7 +193,8 @@ def test_a_byte_order_mark_is_a_character(spark):
         assert {r.n_links for r in rows} == {int(close(x, y))}, (x, y)
 
 
-def test_crowded_segments_lose_no_link(spark):
+@pytest.mark.parametrize(("crowd", "apart"), [(2, 2), (2, 30)])
+def test_crowded_segments_lose_no_link(spark, crowd, apart):
     rng = random.Random(6)
     made = set()
     for n in (4, 9, 26):
@@ -202,7 +203,7 @@ def test_crowded_segments_lose_no_link(spark):
         made |= {base + f" {k} of {k % 7}" for k in range(40)}
     made = sorted(made)
     entries = spark.createDataFrame(list(enumerate(made)), "id long, line string")
-    found = line_dedup.candidates(entries, crowd=2).collect()
+    found = line_dedup.candidates(entries, crowd, apart).collect()
     assert len({(r.a, r.b) for r in found}) == len(found)
     want = {(a, b) for a, b in itertools.combinations(range(len(made)), 2) if close(made[a], made[b])}
     assert want and want <= {(r.a, r.b) for r in found}
