@@ -51,6 +51,21 @@ def test_nothing_is_found_in_nothing(spark):
     assert retrieval.search(index, spark.createDataFrame([(1, "word")], "query long, text string")).count() == 0
 
 
+def test_a_search_makes_no_row_for_each_query_and_span(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "NEAR", 8)
+    monkeypatch.setattr(retrieval, "HELD", 700)
+    rng = random.Random(9)
+    spans = [(f"d{n:04}.md", 0, "paragraph", " ".join(f"w{rng.randrange(30)}" for _ in range(12))) for n in range(1500)]
+    index = retrieval.build(spark.createDataFrame(spans, SPANS).repartition(2))
+    asked = [(q, " ".join(f"w{rng.randrange(30)}" for _ in range(10))) for q in range(20)]
+    terms = spark.createDataFrame([(q, w) for q, text in asked for w in set(text.split())], "query long, term string").join(index.terms, "term").selectExpr("0 AS part", "query", "term", "weight", "0L AS floor")
+    rows = retrieval.scored(index.blocks, terms, 3).collect()
+    groups = index.blocks.select("near").distinct().count()
+    assert len(rows) <= 20 * 3 * groups < 20 * 1500 / 10
+    got = sorted(tuple(r[c] for c in ("query", "rank", "path", "ordinal", "score")) for r in retrieval.search(index, spark.createDataFrame(asked, "query long, text string"), 3).collect())
+    assert got == plain_search(spans, asked, 3)
+
+
 # --- vectors
 
 
