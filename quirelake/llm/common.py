@@ -136,11 +136,16 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], salts: int = 8) ->
     return left.join(right, [*on, "_salt"], "left").drop("_salt")
 
 
+#: Tables of two longs a row are sent to all tasks up to so many rows.
+FEW = 1_000_000
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id for each id in ``links`` (columns a, b).
 
     Every round takes the least label among neighbours, hooks the label's own
     root onto it, and jumps one pointer. Each round ends in a written table.
+    Labels go to all tasks as long as they are few; only more are repeated by salt.
     Returns columns id, component.
     """
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other"))
@@ -151,7 +156,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for k in range(1, max_rounds + 1):
         label = held.select("id", "component")
         near = label.select(F.col("id").alias("other"), F.col("component").alias("near"))
-        best = lookup(both, near, ["other"]).groupBy("id").agg(F.min("near").alias("near"))
+        few = label.count() <= FEW
+        best = (both.join(F.broadcast(near), "other", "left") if few else lookup(both, near, ["other"])).groupBy("id").agg(F.min("near").alias("near"))
         step = label.join(best, "id", "left").select(
             "id", F.col("component").alias("old"), F.least("component", "near").alias("new")
         )
@@ -160,7 +166,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = written(step, f"step{k}")
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
         new = written(
-            lookup(step, jump, ["new"]).select("id", F.least("new", "far").alias("component"), "old"), f"label{k}"
+            (step.join(F.broadcast(jump), "new", "left") if few else lookup(step, jump, ["new"])).select("id", F.least("new", "far").alias("component"), "old"), f"label{k}"
         )
         drop(step, held)
         held = new

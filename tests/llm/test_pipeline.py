@@ -111,3 +111,18 @@ def test_a_crowd_of_variants_is_joined_as_all_its_pairs_are(spark):
     for r in rows:
         got.setdefault(r.component, []).append(r.id)
     assert {tuple(sorted(v)) for v in got.values()} == want
+
+
+def test_members_that_are_in_no_group_do_not_all_meet(spark, monkeypatch):
+    rng = random.Random(47)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(250):  # nine words of 150 changed, far apart: their neighbours by keys are below the overlap
+        own = list(base)
+        for at in range(rng.randrange(16), 150, 16):
+            own[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    counts, whole = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda docs, pairs: (counts.append(pairs.count()), whole(docs, pairs))[1])
+    rows = near_copies.groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)).collect()
+    assert rows == [] and sum(counts) < 250 * 40
