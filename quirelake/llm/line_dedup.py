@@ -14,8 +14,10 @@ nearly all of the line: of ``PARTS`` even parts at most tau are touched, so two
 entries within reach agree on everything but one pair of parts, one or two
 stretches that hold the edits. A crowded key of that kind is refined again
 within its stretches, level by level, until they are no longer than the edits
-they may hold; what meets there differs in those few characters only, so
-candidates stay close to the true links however large a group of variants is.
+they may hold. Entries that share a key of this kind are a pair only if their
+stretches are within the edits that they may hold, so candidates stay close to
+the true links however large a group of variants is, and an entry is compared
+with no more others at a key than a crowd has.
 Only keys and ids are shuffled; texts move for candidates alone.
 
 Candidates lose their common prefix and suffix (binary search over prefixes)
@@ -39,7 +41,7 @@ from quirelake.llm.common import components, drop, lookup, small, written
 
 #: Least length of a line, and the edits that are allowed from there on.
 STEPS = ((10, 1), (30, 2))
-#: Entries that may share a key before it is refined; where two stretches hold an edit each, a pair must differ in both, and few do in vain.
+#: Entries that may share a key before it is refined; where two stretches hold an edit each, a pair must differ in both.
 CROWD, CROWD_APART = 8, 64
 #: Parts of a stretch that holds two edits, and of one that holds one.
 PARTS = {2: 4, 1: 4}
@@ -186,8 +188,14 @@ def narrowed(rows: DataFrame, moves: tuple[int, ...] = (0,)) -> DataFrame:
 
 
 def stretches(rows: DataFrame, name: str) -> DataFrame:
-    """Rows with ``two``, whether they have two stretches, and hashes of these."""
-    return rows.selectExpr("*", f"ye = 1 AS two_{name}", f"xxhash64(x) AS x_{name}", f"xxhash64(y) AS y_{name}")
+    """Rows (key, id and so on) with their stretches named, and the edits that these may hold."""
+    return rows.selectExpr(*(c for c in rows.columns if c not in ("x", "xn", "xe", "y", "yn", "ye")), *(f"{c} AS {c}_{name}" for c in ("x", "y", "xe", "ye")))
+
+
+#: SQL: the stretches of a pair that shares a key differ as far as they may. With an edit in each of two, both differ: pairs
+#: that differ in one of them have keys with one stretch as well. A pair within reach has a key whose stretches hold its edits.
+WITHIN = """(ye_a = 0 OR (x_a <> x_b AND y_a <> y_b))
+    AND levenshtein(x_a, x_b, 2) BETWEEN 0 AND xe_a AND (ye_a = 0 OR levenshtein(y_a, y_b, 2) BETWEEN 0 AND ye_a)"""
 
 
 def candidates(entries: DataFrame, crowd: int = CROWD, crowd_apart: int = CROWD_APART) -> DataFrame:
@@ -211,14 +219,13 @@ def candidates(entries: DataFrame, crowd: int = CROWD, crowd_apart: int = CROWD_
             a, b = kept.select(F.col("key").alias("own"), F.col("id").alias("a")), probe.select("key", "id2")
             pairs = a.join(b, F.expr("own = key") & once).selectExpr(*columns)
         else:
-            # With an edit in each of two stretches, both differ; pairs that differ in one of them have keys with one stretch as well.
-            a = stretches(kept, "a").select(F.col("key").alias("own"), F.col("id").alias("a"), "two_a", "x_a", "y_a")
-            b = stretches(probe, "b").select("key", "id2", "x_b", "y_b")
-            differ = F.expr("NOT two_a OR (x_a <> x_b AND y_a <> y_b)")
-            pairs = a.join(b, F.expr("own = key") & once & differ).selectExpr(*columns)
+            a = stretches(kept.select("key", F.col("id").alias("a"), "x", "y", "xe", "ye"), "a").withColumnRenamed("key", "own")
+            b = stretches(probe.select("key", "id2", "x", "y", "xe", "ye"), "b")
+            within = F.expr(WITHIN)
+            pairs = a.join(b, F.expr("own = key") & once & within).selectExpr(*columns)
             # Lines of one length, the text between their edits not moved.
-            c = stretches(kept, "b").select("key", F.col("id").alias("b"), "x_b", "y_b")
-            pairs = pairs.unionByName(a.join(c, F.expr("own = key AND a < b") & differ).select("a", "b"))
+            c = stretches(kept.select("key", F.col("id").alias("b"), "x", "y", "xe", "ye"), "b")
+            pairs = pairs.unionByName(a.join(c, F.expr("own = key AND a < b") & within).select("a", "b"))
         found.append(written(pairs.distinct(), f"pairs{len(found)}"))
         if crowded.isEmpty():
             break
