@@ -17,14 +17,17 @@ SUMMARY_LIMIT = 240
 def mentions(spans: DataFrame) -> DataFrame:
     """Runs of capitalised tokens in headings and paragraphs: path, ordinal, start, name, and the span's range."""
     text = spans.where("span_type IN ('heading', 'paragraph') AND normalized_text <> ''")
-    tokens = text.select("path", "ordinal", "start_char", "end_char", F.posexplode(F.split("normalized_text", " ")).alias("at", "raw"))
-    token = F.regexp_replace("raw", f"^{EDGE}|{EDGE}$", "")
-    tokens = tokens.withColumn("token", token).withColumn("named", F.col("token").rlike(r"^\p{IsUppercase}") & has_letter(F.col("token")))
-    own = Window.partitionBy("path", "ordinal").orderBy("at")
-    runs = tokens.withColumn("run", F.sum((~F.col("named")).cast("int")).over(own)).where("named")
-    runs = runs.groupBy("path", "ordinal", "run", "start_char", "end_char").agg(F.min("at").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda t: t.token), " ").alias("name"))
+    bare = lambda t: F.regexp_replace(t, f"^{EDGE}|{EDGE}$", "")
+    named = F.transform(F.transform(F.split("normalized_text", " "), bare), lambda t: F.when(t.rlike(r"^\p{IsUppercase}") & has_letter(t), t).otherwise(""))
+    # A span's tokens stay one row; the generator keeps them from being made anew wherever they are used. Other tokens than names are empty.
+    tokens = text.select("path", "ordinal", "start_char", "end_char", F.explode(F.array(named)).alias("tokens"))
+    full = lambda k: F.coalesce(F.get("tokens", k), F.lit("")) != ""
+    places = F.sequence(F.lit(0), F.size("tokens") - 1)
+    ends = F.arrays_zip(F.filter(places, lambda k: full(k) & ~full(k - 1)).alias("start"), F.filter(places, lambda k: full(k) & ~full(k + 1)).alias("stop"))
+    run = lambda e: F.struct(e["start"].alias("start"), F.array_join(F.slice("tokens", e["start"] + 1, e["stop"] - e["start"] + 1), " ").alias("name"))
+    runs = tokens.select("path", "ordinal", "start_char", "end_char", F.inline(F.transform(ends, run)))
     runs = runs.withColumn("name", F.regexp_replace("name", "^((The|A|An) )+(?=.)", ""))
-    return runs.where("name NOT IN ('The', 'A', 'An')").drop("run")
+    return runs.where("name NOT IN ('The', 'A', 'An')")
 
 
 def candidates_of(found: DataFrame) -> DataFrame:
