@@ -245,9 +245,11 @@ def candidates(entries: DataFrame, crowd: int = CROWD, crowd_apart: int = CROWD_
             more = [written(r.join(few, "key", "left_semi"), "crowd") for r in (index, probe)]
             index, probe = more
         drop(*held, crowded)
-        # Lines of one length probe each other only where the text between two edits has moved.
-        index, probe = written(narrowed(index), "index"), narrowed(probe, (-1, 0, 1)).unionByName(apart(index, (-1, 1)))
-        held = [index, *more]
+        # Lines of one length probe each other only where the text between two edits has moved. Both tables are read more than
+        # once and are written, so that each row is made once.
+        index, probe = written(narrowed(index), "index"), written(narrowed(probe, (-1, 0, 1)).unionByName(apart(index, (-1, 1))), "probe", compression="zstd")
+        drop(*more)
+        held = [index, probe]
         final = (F.col("xn") <= F.col("xe")) & (F.col("yn") <= F.col("ye"))
     drop(*held, crowded)
     if len(found) == 1:

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from quirelake.llm import line_dedup
 from quirelake.llm.common import written
 from tests.llm.test_contracts import close, words
@@ -25,3 +27,24 @@ def test_variants_with_other_words_do_not_all_meet(spark):
     wanted = {(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(lines), 2) if close(x, y)}
     assert wanted and wanted <= found
     assert len(found) < len(wanted) + 4 * len(lines)
+
+
+def test_a_crowds_narrowed_rows_are_made_once(spark, monkeypatch):
+    rng, made, wanted = random.Random(9), spark.sparkContext.accumulator(0), []
+    base, narrowed = words(rng, 24), line_dedup.narrowed
+
+    @F.udf("boolean")
+    def told(_):
+        made.add(1)
+        return True
+
+    def counted(rows, *moves):
+        out = narrowed(rows, *moves)
+        wanted.append(out.count())
+        return out.where(told.asNondeterministic()("id"))
+
+    monkeypatch.setattr(line_dedup, "narrowed", counted)
+    lines = sorted({base[:at] + "#" + base[at + 1 :] for at in range(0, len(base), 3)})
+    entries = written(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), "lines")
+    assert line_dedup.candidates(entries).count() == len(lines) * (len(lines) - 1) // 2
+    assert wanted and made.value == sum(wanted)
