@@ -2,7 +2,7 @@
 
 Two sorts of events come in one stream, each for a document's path: a version of
 the document (its text, or null when it was deleted) and a save of a record that
-was made from it. State is kept by path: the digest of the last version, its
+was made from it. State is kept by path, paths dealt to ``PLACES``: the digest of the last version, its
 place, the place of the last change, and the ids of the records that are
 current. A version with another digest is a change: it makes those records
 stale, each once, and forgets them until they are saved again. A version with
@@ -21,11 +21,12 @@ from its checkpoint, neither loses nor repeats a row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from quirelake.functions.workers import workers_see_package
 
@@ -34,31 +35,42 @@ EVENTS = "path string, seq long, id string, text string"
 STALE = "id string, path string, seq long, change string"
 
 
+#: Paths are dealt to so many places of the state; a checkpoint holds for the number that it was made with.
+PLACES = 1 << 14
+
+
 class Watch(StatefulProcessor):
+    """What is known of the paths of one place is one value, read once and written once for each batch that names one of them: every call to the state is a round trip."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", StructType().add("digest", StringType()).add("seq", LongType()).add("changed", LongType()))
-        self.current = handle.getMapState("current", StructType().add("id", StringType()), StructType().add("seq", LongType()))
+        kind = StructType().add("path", StringType()).add("digest", StringType()).add("seq", LongType()).add("changed", LongType()).add("current", ArrayType(StringType()))
+        self.known = handle.getValueState("known", StructType().add("paths", ArrayType(kind)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
-        path = key[0]
-        digest, last, changed = self.known.get() if self.known.exists() else (None, None, None)
-        for row in sorted(rows, key=lambda r: (r.seq, r.id is not None, r.id or "")):
-            if row.id is not None:
-                if changed is not None and row.seq < changed:
-                    yield Row(id=row.id, path=path, seq=changed, change="changed" if digest else "deleted")
-                else:
-                    self.current.updateValue((row.id,), (row.seq,))
-                continue
-            if last is not None and row.seq <= last:
-                continue
-            if last is not None and row.digest != digest:
-                changed, kind = row.seq, "changed" if row.digest else "deleted"
-                for (id_,), _ in list(self.current.iterator()):
-                    yield Row(id=id_, path=path, seq=row.seq, change=kind)
-                self.current.clear()
-            digest, last = row.digest, row.seq
-        if last is not None:
-            self.known.update((digest, last, changed))
+        held = self.known.get()
+        known = {path: (digest, last, changed, list(current)) for path, digest, last, changed, current in (held[0] if held else ())}
+        begun = dict(known)
+        for path, own in groupby(sorted(rows, key=lambda r: (r.path, r.seq, r.id is not None, r.id or "")), lambda r: r.path):
+            digest, last, changed, ids = known.get(path, (None, None, None, ()))
+            current = dict.fromkeys(ids)
+            for row in own:
+                if row.id is not None:
+                    if changed is not None and row.seq < changed:
+                        yield Row(id=row.id, path=path, seq=changed, change="changed" if digest else "deleted")
+                    else:
+                        current[row.id] = None
+                    continue
+                if last is not None and row.seq <= last:
+                    continue
+                if last is not None and row.digest != digest:
+                    changed, kind = row.seq, "changed" if row.digest else "deleted"
+                    for id_ in current:
+                        yield Row(id=id_, path=path, seq=row.seq, change=kind)
+                    current.clear()
+                digest, last = row.digest, row.seq
+            known[path] = (digest, last, changed, list(current))
+        if known != begun:
+            self.known.update(([(path, *state) for path, state in known.items()],))
 
     def close(self) -> None:
         pass
@@ -68,7 +80,7 @@ def stale(events: DataFrame) -> DataFrame:
     """A streaming DataFrame of records that become stale (STALE), of one of EVENTS."""
     workers_see_package(events.sparkSession)
     hashed = events.select("path", "seq", "id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).where("path IS NOT NULL AND seq IS NOT NULL")
-    return hashed.groupBy("path").transformWithState(Watch(), STALE, "Append", "None")
+    return hashed.withColumn("place", F.pmod(F.xxhash64("path"), F.lit(PLACES))).groupBy("place").transformWithState(Watch(), STALE, "Append", "None")
 
 
 def stale_records(spark: SparkSession, source: str, out: str, checkpoint: str, files_per_batch: int = 1_000) -> None:

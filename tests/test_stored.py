@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quirelake.operators import memory
@@ -123,3 +124,36 @@ def test_changes_make_records_stale_once_and_restarts_repeat_nothing(spark, tmp_
     assert turn() == one
     two = turn([("a", 5, "r1", None), ("a", 3, None, "old"), ("b", 2, "late", None)], [("a", 6, None, "zz"), ("b", 4, None, "")])
     assert two == sorted([*one, ("late", "b", 3, "deleted"), ("r1", "a", 6, "changed")])
+
+
+def test_a_batch_reads_and_writes_the_state_once_for_many_paths():
+    calls = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Places:
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+    watch = staleness.Watch()
+    watch.init(Places())
+    event = lambda path, seq, id_=None, digest=None: Row(path=path, seq=seq, id=id_, digest=digest)
+    turn = lambda *rows: sorted((r.path, r.id, r.seq, r.change) for r in watch.handleInputRows((0,), iter(rows), None))
+    assert turn(*(event(p, 1, digest="x") for p in "abc"), *(event(p, 2, f"r{k}") for k in range(50) for p in "ab")) == [] and calls == ["get", "update"]
+    assert turn(event("b", 3, digest="y"), event("a", 3, digest="x")) == [("b", f"r{k}", 3, "changed") for k in sorted(range(50), key=str)] and calls == ["get", "update"] * 2
+    assert turn(event("b", 3, digest="y")) == [] and calls == [*["get", "update"] * 2, "get"]
+    assert turn(event("b", 2, "late"), event("b", 4, "r1"), event("c", 4, "r2")) == [("b", "late", 3, "changed")]
+    assert turn(event("b", 5), event("c", 5)) == [("b", "r1", 5, "deleted"), ("c", "r2", 5, "deleted")]
