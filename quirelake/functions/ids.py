@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 def stable_id(*parts: Column) -> Column:
     text = F.concat_ws("\0", *[p.cast("string") for p in parts])
-    digits = F.hex(F.encode(text, "UTF-8"))
-    last = (F.length(digits) / 2 - 1).cast("int")
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    data = F.transform(places, lambda k: F.conv(F.substring(digits, k * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    # One character for each byte, all made at once: what a lambda takes from outside is made anew for each of its elements.
+    data = F.transform(F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("long"))
     mask = (1 << 32) - 1
 
     def step(h: Column, byte: Column) -> Column:

@@ -75,17 +75,20 @@ def reviewable_facts(docs: DataFrame) -> DataFrame:
 
 def summary_text(text: Column) -> Column:
     """Leading lines without heading marks, joined by spaces, at most SUMMARY_LIMIT characters; null when nothing is left."""
-    lines = F.transform(F.split(text, "\n"), strip)
-    lines = F.filter(lines, lambda x: ~x.isin("", "---", "***", "___"))
-    lines = F.filter(F.transform(lines, lambda x: squash(F.regexp_replace(x, "^#+", ""))), lambda x: x != "")
+    marked = lambda x: F.when(x.isin("", "---", "***", "___"), "").otherwise(squash(F.regexp_replace(x, "^#+", "")))
 
     def add(done: Column, line: Column) -> Column:
         used = F.length(done)
         room = F.lit(SUMMARY_LIMIT) - used - F.when(used > 0, 1).otherwise(0)
         more = F.concat(done, F.when(used > 0, " ").otherwise(""), F.substring(line, F.lit(1), room))
-        return F.when(room <= 0, done).otherwise(more)
+        return F.when((room <= 0) | (line == ""), done).otherwise(more)
 
-    return F.nullif(F.aggregate(lines, F.lit(""), add), F.lit(""))
+    def read(done: Column, line: Column) -> Column:
+        # Arrays of one: a line is cleaned once, and only while there is room.
+        clean = F.transform(F.transform(F.array(line), strip), marked)
+        return F.when(F.length(done) >= SUMMARY_LIMIT - 1, done).otherwise(F.aggregate(clean, done, add))
+
+    return F.nullif(F.aggregate(F.split(text, "\n"), F.lit(""), read), F.lit(""))
 
 
 def reviewable_summaries(docs: DataFrame) -> DataFrame:
