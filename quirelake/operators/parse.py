@@ -53,13 +53,23 @@ def marked_lines(docs: DataFrame, mode: str = "conservative_heuristic") -> DataF
     return rows.withColumn("ordinal", (F.sum(F.col("starts").cast("int")).over(doc) - 1).cast("int")).drop("before", "above", "open", "spaced")
 
 
-def starts_span(mode: str) -> Column:
-    """Whether a line starts a span, by its kind, the line above it (before, above) and whether its section has had a blank line after text (spaced)."""
-    fresh = strip_left(F.col("line"))
-    split = strip(F.col("above")).rlike(ENDS) & ((F.octet_length(fresh) >= 20) | (word_count(fresh) >= 4)) & fresh.rlike(STARTS)
+def may_end(line: Column) -> Column:
+    return strip(line).rlike(ENDS)
+
+
+def may_start(line: Column) -> Column:
+    fresh = strip_left(line)
+    return ((F.octet_length(fresh) >= 20) | (word_count(fresh) >= 4)) & fresh.rlike(STARTS)
+
+
+def starts_span(mode: str, ended: Column | None = None, fresh: Column | None = None, spaced: Column | None = None) -> Column:
+    """Whether a line starts a span, by its kind, that of the line above it (before), whether that one may end a sentence (ended) and this one
+    start one (fresh), by default as the lines (above, line) tell, and whether its section has had a blank line after text (spaced)."""
+    ended = may_end(F.col("above")) if ended is None else ended
+    fresh = may_start(F.col("line")) if fresh is None else fresh
     new = ~F.col("before").eqNullSafe(F.lit("text"))
     if mode == "conservative_heuristic":
-        new = new | (~F.col("spaced") & split)
+        new = new | (~(F.col("spaced") if spaced is None else spaced) & ended & fresh)
     elif mode != "strict_blank_lines":
         raise ValueError(f"unknown mode {mode}")
     return F.col("kind").isin("heading", "scene") | ((F.col("kind") == "text") & F.coalesce(new, F.lit(False)))
@@ -81,13 +91,17 @@ def read_pieces(spark: SparkSession, *paths: str) -> DataFrame:
 def marked_pieces(lines: DataFrame, mode: str = "conservative_heuristic") -> DataFrame:
     """As marked_lines, of lines that come in pieces: path, chunk (in the order of the document), place (in that of the chunk), line.
 
-    No task holds more than a piece, or a row for each piece of a document.
+    No task holds more than a piece, or a row for each piece of a document. Lines
+    are dealt twice, for what their piece tells and with the state before it; of
+    other lines and pieces only lengths and truths travel, no text.
     """
     boundary, scene = F.col("kind").isin("heading", "scene").cast("int"), (F.col("kind") == "scene").cast("int")
     own = Window.partitionBy("path", "chunk").orderBy("place")
     above = own.rowsBetween(Window.unboundedPreceding, -1)
     total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long")
     rows = lines.withColumn("kind", line_kind(F.col("line")))
+    text = F.col("kind") == "text"
+    rows = rows.withColumn("ends", F.when(text, may_end(F.col("line")))).withColumn("fresh", F.when(text, may_start(F.col("line"))))
     rows = rows.select(
         "*",
         (F.row_number().over(own) - 1).cast("long").alias("nth"),
@@ -96,15 +110,19 @@ def marked_pieces(lines: DataFrame, mode: str = "conservative_heuristic") -> Dat
         total(boundary, own).alias("section"),
         total(scene, own).alias("scene"),
         F.lag("kind").over(own).alias("before"),
-        F.lag("line").over(own).alias("above"),
+        F.lag("ends").over(own).alias("ended"),
     )
     part = Window.partitionBy("path", "chunk", "section").orderBy("place")
     seen = lambda c, w: F.max(c).over(w)
     rows = rows.withColumn("open", seen(F.col("kind").isin("heading", "text"), part)).withColumn("blank", seen(F.col("kind") == "blank", part))
     rows = kept(rows.withColumn("spaced", seen((F.col("kind") == "blank") & F.col("open"), part)), compression="zstd")
-    # What a piece adds, and the state that it ends in.
-    last = F.max_by(F.struct("nth", "chars", "bytes", "section", "scene", "kind", "line", "open", "blank", "spaced"), "place").alias("z")
-    ends = rows.groupBy("path", "chunk").agg(last).select("path", "chunk", "z.*").withColumn("turn", (F.col("section") > 0).cast("int"))
+    # What a piece adds, and the state that it ends in. How many spans its lines start but for the first follows from whether the
+    # section that it begins in is open or spaced already, so it is counted for each case.
+    early, spaced, starts = F.col("section") == 0, F.col("spaced"), lambda s: starts_span(mode, F.col("ended"), F.col("fresh"), s)
+    counts = [F.sum(F.when(F.col("nth") > 0, starts(s).cast("long")).otherwise(0)).alias(n) for n, s in (("fresh_n", spaced), ("open_n", spaced | (early & F.col("blank"))), ("spaced_n", spaced | early))]
+    last = F.struct("nth", (F.col("chars") + F.char_length("line") + 1).alias("chars"), (F.col("bytes") + F.octet_length("line") + 1).alias("bytes"), "section", "scene", "kind", "ends", "open", "blank", "spaced")
+    ends = rows.groupBy("path", "chunk").agg(F.max_by(last, "place").alias("z"), F.min_by(F.struct(F.col("kind").alias("first_kind"), F.col("fresh").alias("first_fresh")), "place").alias("a"), *counts)
+    ends = ends.select("path", "chunk", "z.*", "a.*", "fresh_n", "open_n", "spaced_n").withColumn("turn", (F.col("section") > 0).cast("int"))
     doc = Window.partitionBy("path").orderBy("chunk")
     so_far = doc.rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("run", F.sum("turn").over(doc))
@@ -113,30 +131,32 @@ def marked_pieces(lines: DataFrame, mode: str = "conservative_heuristic") -> Dat
     ends = ends.withColumn("open_after", seen(F.col("open"), run))
     ends = ends.withColumn("open_in", F.coalesce(F.lag("open_after").over(doc), F.lit(False)))
     ends = ends.withColumn("spaced_after", seen(F.col("spaced") | ((F.col("turn") == 0) & F.col("open_in") & F.col("blank")), run))
-    state = ends.select(
+    ends = ends.withColumn("spaced_in", F.coalesce(F.lag("spaced_after").over(doc), F.lit(False))).withColumn("before_in", F.lag("kind").over(doc)).withColumn("ended_in", F.lag("ends").over(doc))
+    # A first line of text is in the section that the piece begins in, and no blank line of the piece is above it.
+    first = ends.select("path", "chunk", F.col("first_kind").alias("kind"), F.col("before_in").alias("before"), F.col("ended_in").alias("ended"), F.col("first_fresh").alias("fresh"), F.col("spaced_in").alias("spaced"), *(c for c in ends.columns if c not in ("path", "chunk", "kind", "spaced")))
+    more = F.when(F.col("spaced_in"), F.col("spaced_n")).when(F.col("open_in"), F.col("open_n")).otherwise(F.col("fresh_n"))
+    state = first.withColumn("n_starts", more + starts(spaced).cast("long")).select(
         "path",
         "chunk",
         "open_in",
-        F.coalesce(F.lag("spaced_after").over(doc), F.lit(False)).alias("spaced_in"),
-        F.lag("kind").over(doc).alias("before_in"),
-        F.lag("line").over(doc).alias("above_in"),
+        "spaced_in",
+        "before_in",
+        "ended_in",
         total(F.col("nth") + 1, so_far).alias("nth_in"),
-        total(F.col("chars") + F.char_length("line") + 1, so_far).alias("chars_in"),
-        total(F.col("bytes") + F.octet_length("line") + 1, so_far).alias("bytes_in"),
+        total(F.col("chars"), so_far).alias("chars_in"),
+        total(F.col("bytes"), so_far).alias("bytes_in"),
         total(F.col("section"), so_far).alias("section_in"),
         total(F.col("scene"), so_far).alias("scene_in"),
+        total(F.col("n_starts"), so_far).alias("started"),
     )
-    rows = rows.join(state, ["path", "chunk"])
+    rows = rows.drop("open", "ends").join(state, ["path", "chunk"])
     first = F.col("nth") == 0
-    rows = rows.withColumn("before", F.when(first, F.col("before_in")).otherwise(F.col("before"))).withColumn("above", F.when(first, F.col("above_in")).otherwise(F.col("above")))
+    rows = rows.withColumn("before", F.when(first, F.col("before_in")).otherwise(F.col("before"))).withColumn("ended", F.when(first, F.col("ended_in")).otherwise(F.col("ended")))
     rows = rows.withColumn("spaced", F.col("spaced") | ((F.col("section") == 0) & (F.col("spaced_in") | (F.col("open_in") & F.col("blank")))))
     sums = [(F.col(c) + F.col(f"{c}_in")).alias(name) for c, name in (("nth", "line_no"), ("chars", "start_char"), ("bytes", "start_byte"), ("section", "section"), ("scene", "scene"))]
-    rows = kept(rows.select("path", "chunk", "place", "line", "kind", *sums, starts_span(mode).alias("starts")), compression="zstd")
-    started = rows.groupBy("path", "chunk").agg(F.sum(F.col("starts").cast("long")).alias("n"))
-    started = started.select("path", "chunk", total(F.col("n"), so_far).alias("started"))
+    rows = rows.select("path", "chunk", "place", "line", "kind", "started", *sums, starts(F.col("spaced")).alias("starts"))
     local = F.sum(F.col("starts").cast("int")).over(own)
-    rows = rows.withColumn("local", local).join(started, ["path", "chunk"])
-    return rows.withColumn("ordinal", (F.col("local") + F.col("started") - 1).cast("int")).drop("chunk", "place", "local", "started")
+    return rows.withColumn("ordinal", (local + F.col("started") - 1).cast("int")).drop("chunk", "place", "started")
 
 
 def _extent(rows: DataFrame, *keys: str) -> DataFrame:

@@ -17,3 +17,11 @@ def test_an_ids_cost_follows_the_length_of_its_text(spark):
     for byte in ("é\0" * 100_000).encode():
         h = (h ^ byte) * ((1 << 40) + 435) % (1 << 128)
     assert got.replace("-", "") == f"{h:032x}"
+
+
+def test_lines_in_pieces_are_written_once_and_without_their_neighbours(spark, monkeypatch):
+    written, kept = [], parse.kept
+    monkeypatch.setattr(parse, "kept", lambda df, **how: written.append(df.columns) or kept(df, **how))
+    docs = spark.createDataFrame([("a.md", "One ends.\nAnother line starts here now.\n\nthree\n# four\nfive")], "path string, text string")
+    assert parse.marked_pieces(parse.pieces_of(docs, 1)).count() == 6
+    assert len(written) == 1 and "line" in written[0] and "above" not in written[0]
