@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from quirelake.functions.workers import workers_see_package
 
+#: Characters of hunks, with 100 for each hunk's other columns, that a task gathers before it hands them on.
+HELD = 1 << 20
 HUNKS = "path string, hunk int, start int, stop int, start_char long, end_char long, new_text string"
 
 
@@ -82,11 +84,24 @@ def diff(pairs: DataFrame, most: int = 2_000) -> DataFrame:
     """HUNKS of pairs (path, old, new); a null text is empty."""
     workers_see_package(pairs.sparkSession)
 
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=["path", "hunk", "start", "stop", "start_char", "end_char", "new_text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One pair of texts is a Python object at a time, and hunks leave once they hold HELD characters.
         for batch in batches:
-            rows = [(p, k, *h) for p, o, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, h in enumerate(hunks_of(o or "", n or "", most))]
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=["path", "hunk", "start", "stop", "start_char", "end_char", "new_text"])
+            rows, size = [], 0
+            for p, o, n in zip(*batch.columns, strict=True):
+                path = p.as_py()
+                for k, h in enumerate(hunks_of(o.as_py() or "", n.as_py() or "", most)):
+                    rows.append((path, k, *h))
+                    size += 100 + len(h[-1])
+                    if size >= HELD:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            yield batch_of(rows)
 
     return pairs.select("path", "old", "new").mapInArrow(run, HUNKS)
 

@@ -25,3 +25,21 @@ def test_lines_in_pieces_are_written_once_and_without_their_neighbours(spark, mo
     docs = spark.createDataFrame([("a.md", "One ends.\nAnother line starts here now.\n\nthree\n# four\nfive")], "path string, text string")
     assert parse.marked_pieces(parse.pieces_of(docs, 1)).count() == 6
     assert len(written) == 1 and "line" in written[0] and "above" not in written[0]
+
+
+def test_hunks_leave_a_task_before_all_of_its_pairs_are_compared(spark):
+    made = []
+
+    class Pairs:
+        sparkSession = spark  # noqa: N815
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            texts = ["\n".join(f"{k} {j} " + "x" * 1_000 for j in range(100)) for k in range(100)]
+            batch = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(100)], "old": texts, "new": [t.replace("x\n", "y\n") for t in texts]})
+            made.extend(run(iter([batch])))
+
+    drafts.diff(Pairs())
+    assert sum(b.num_rows for b in made) >= 100 and max(b.nbytes for b in made) < 2 << 20
