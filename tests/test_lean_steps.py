@@ -19,6 +19,14 @@ def test_an_ids_cost_follows_the_length_of_its_text(spark):
     assert got.replace("-", "") == f"{h:032x}"
 
 
+def test_contradictions_keep_only_what_they_judge(spark, monkeypatch):
+    written, kept = [], relations.kept
+    monkeypatch.setattr(relations, "kept", lambda df, **how: written.append(df.columns) or kept(df, **how))
+    facts = spark.createDataFrame([("a.md", 0, "X", "is", "red", "id1"), ("b.md", 0, "y", "is", "blue", "id2")], "path string, ordinal int, subject string, predicate string, object string, id string")
+    assert relations.contradictions(facts, spark.createDataFrame([("x", "y")], "a string, b string")).count() == 2
+    assert any("said" in c for c in written) and not any("id" in c for c in written)
+
+
 def test_lines_in_pieces_are_written_once_and_without_their_neighbours(spark, monkeypatch):
     written, kept = [], parse.kept
     monkeypatch.setattr(parse, "kept", lambda df, **how: written.append(df.columns) or kept(df, **how))
