@@ -12,9 +12,13 @@ side may still hold).
 Entries of a segment that more than ``crowd`` entries share are keyed anew by
 nearly all of the line: of ``PARTS`` even parts at most tau are touched, so two
 entries within reach agree on everything but one pair of parts, one or two
-stretches that hold the edits. A crowded key of that kind is refined again
-within its stretches, level by level, until they are no longer than the edits
-they may hold. Entries that share a key of this kind are a pair only if their
+stretches that hold the edits. A crowded key of one stretch is refined again
+within it, half by half, until it is no longer than the edits it may hold; the
+ways to do so do not overlap, so an entry has no more keys at a level than
+places where others differ from it. At a crowded key of two stretches with an
+edit each, the distinct stretches of either side meet first, and entries only
+through those that are an edit apart on both sides (``both_differ``).
+Entries that share a key of this kind are a pair only if their
 stretches are within the edits that they may hold, so candidates stay close to
 the true links however large a group of variants is, and an entry is compared
 with no more others at a key than a crowd has.
@@ -34,6 +38,8 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,21 +151,24 @@ def whole(entries: DataFrame, moves: bool) -> DataFrame:
     return out
 
 
-def ways_of(rows: DataFrame, ways: list[tuple[int, ...]]) -> DataFrame:
+def ways_of(rows: DataFrame, ways: list[tuple[int, ...]], fits: str | None = None) -> DataFrame:
+    """Rows times ways w (p, q, move); those that do not fit a row are not made."""
     each = ", ".join(f"struct({', '.join(map(str, w))})" for w in ways)
-    return rows.withColumn("w", F.explode(F.expr(f"cast(array({each}) as array<struct<p: int, q: int, move: int>>)"))).select(*rows.columns, "w.*")
+    each = f"cast(array({each}) as array<struct<p: int, q: int, move: int>>)"
+    return rows.withColumn("w", F.explode(F.expr(f"filter({each}, w -> {fits})" if fits else each))).select(*rows.columns, "w.*")
 
 
-def sides(rows: DataFrame, ways: list[tuple[int, ...]]) -> DataFrame:
+def sides(rows: DataFrame, ways: list[tuple[int, ...]], fits: str | None = None) -> DataFrame:
     """Rows of two edits times ways (p, q, move), with places and sizes of the two parts."""
     (sp, zp), (sq, zq) = segment("xn", "p", PARTS[2]), segment("xn", "q", PARTS[2])
-    return ways_of(rows.where("xe = 2"), ways).selectExpr("*", f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"cast({zq} as int) AS zq", "length(x) - xn AS more")
+    return ways_of(rows.where("xe = 2"), ways, fits).selectExpr("*", f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"cast({zq} as int) AS zq", "length(x) - xn AS more")
 
 
 def apart(rows: DataFrame, moves: tuple[int, ...]) -> DataFrame:
-    """Stretches of two edits cut to two parts apart, with one edit each, and the text between them moved."""
-    ways = [(p, q, s) for p in range(PARTS[2]) for q in range(p + 2, PARTS[2]) for s in moves]
-    return sides(rows, ways).where("abs(more - move) <= 1 AND zp + move >= 0 AND zq + more - move >= 0").selectExpr(
+    """Stretches of two edits cut to a part of each half, with one edit each, and the text between them moved."""
+    half = PARTS[2] // 2
+    ways = [(p, q, s) for p in range(half) for q in range(half, PARTS[2]) for s in moves]
+    return sides(rows, ways, "abs(length(x) - xn - w.move) <= 1").where("zp + move >= 0 AND zq + more - move >= 0").selectExpr(
         "xxhash64(key, p, q, left(x, sp - 1), substring(x, sp + zp + move, sq - sp - zp), right(x, xn - sq - zq + 1)) AS key",
         "id", "id2", "substring(x, sp, zp + move) AS x", "zp AS xn", "1 AS xe", "substring(x, sq + move, zq + more - move) AS y", "zq AS yn", "1 AS ye",
     )
@@ -168,17 +177,19 @@ def apart(rows: DataFrame, moves: tuple[int, ...]) -> DataFrame:
 def narrowed(rows: DataFrame, moves: tuple[int, ...] = (0,)) -> DataFrame:
     """Rows (key, id, id2, x, xn, xe, y, yn, ye) with shorter stretches, and keys that also hold all that is left out of them.
 
-    A stretch with two edits gives two neighbouring parts with both, or two
-    parts apart with one each, where probes try how far the text between has
-    moved (``moves``); a stretch with one edit gives the part that holds it.
+    A stretch with two edits gives each half with both, or a part of each half
+    with one each, where probes try how far the text between has moved
+    (``moves``); a stretch with one edit gives the part that holds it. Nothing
+    overlaps: two entries whose edits lie at one place share one key a level,
+    not one for each way to get there.
     """
-    near = sides(rows, [(p, p + 1, 0) for p in range(PARTS[2] - 1)]).where("zp + zq + more >= 0").selectExpr(
+    near = sides(rows, [(p, p + 1, 0) for p in range(0, PARTS[2], 2)]).where("zp + zq + more >= 0").selectExpr(
         "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sq - zq + 1)) AS key", "id", "id2", "substring(x, sp, zp + zq + more) AS x", "zp + zq AS xn", "2 AS xe", "'' AS y", "0 AS yn", "0 AS ye"
     )
     far = apart(rows, moves)
     few = PARTS[1]
     (sp, zp), (sq, zq) = segment("xn", "p", few), segment("yn", "q", few)
-    one = ways_of(rows.where("xe = 1"), [(p, q, 0) for p in range(few) for q in range(few)]).where("ye = 1 OR q = 0")
+    one = ways_of(rows.where("xe = 1"), [(p, q, 0) for p in range(few) for q in range(few)], "ye = 1 OR w.q = 0")
     one = one.selectExpr("*", f"cast({sp} as int) AS sp", f"cast({zp} as int) AS zp", f"cast({sq} as int) AS sq", f"IF(ye = 0, 0, cast({zq} as int)) AS zq", "length(x) - xn AS more", "length(y) - yn AS also")
     one = one.where("zp + more >= 0 AND zq + also >= 0").selectExpr(
         "xxhash64(key, p, q, left(x, sp - 1), right(x, xn - sp - zp + 1), IF(ye = 0, '', left(y, sq - 1)), IF(ye = 0, '', right(y, yn - sq - zq + 1))) AS key",
@@ -200,66 +211,109 @@ WITHIN = """(ye_a = 0 OR (x_a <> x_b AND y_a <> y_b))
 
 def candidates(entries: DataFrame, crowd: int = CROWD, crowd_apart: int = CROWD_APART) -> DataFrame:
     """Pairs a < b of entries that share a key, each once; a written table."""
-    index, probe, final = written(index_rows(entries), "index"), probe_rows(entries), F.lit(False)
-    found: list[DataFrame] = []
-    held = [index]
+    index, probe = written(index_rows(entries), "index"), probe_rows(entries)
+    crowded = index.groupBy("key").agg(F.count("*").alias("n"), F.min("length").alias("length")).where(F.col("n") > crowd)
+    crowded = written(crowded.select("key", "length"), "crowded")
+    few = small(crowded).select("key")
+    a, b = left_over(index, few).select(F.col("key").alias("own"), F.col("id").alias("a")), probe.select("key", "id2")
+    found = [written(a.join(b, F.expr(f"own = key AND {ONCE}")).selectExpr(*PAIR).distinct(), "pairs")]
+    if crowded.isEmpty():
+        drop(index, crowded)
+        return found[0]
+    # Only lines about as long as those behind a crowded key can have one.
     most = max(tau for _, tau in STEPS)
+    sizes = crowded.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.col("length") + k)).alias("n")).distinct()
+    sizes = written(sizes, "sizes")
+    alike = written(entries.select("id", "line").join(small(sizes), F.length("line") == F.col("n"), "left_semi"), "alike", compression="zstd")
+    ids = (index.join(few, "key", "left_semi").select("id"), probe_rows(alike).join(few, "key", "left_semi").selectExpr("shiftright(id2, 1) AS id"))
+    own = [written(i.distinct(), "crowd") for i in ids]
+    both = small(own[0].withColumn("indexed", F.lit(True)))
+    more = [alike.join(small(own[0]), "id", "left_semi"), alike.join(small(own[1]), "id", "left_semi").join(both, "id", "left").withColumn("indexed", F.col("indexed").isNotNull())]
+    more = [written(m, "crowd") for m in more]
+    drop(*own, sizes, alike, index, crowded)
+    found += refined(*(whole(t, moves) for t, moves in zip(more, (False, True), strict=True)), crowd, crowd_apart)
+    drop(*more)
+    every = written(union(found).distinct(), "pairs")
+    drop(*found)
+    return every
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+#: SQL: two entries of one length find each other both ways: the larger one's find counts; and the pair.
+ONCE = "a <> shiftright(id2, 1) AND (id2 % 2 = 0 OR a < shiftright(id2, 1))"
+PAIR = ("least(a, shiftright(id2, 1)) AS a", "greatest(a, shiftright(id2, 1)) AS b")
+
+
+def left_over(index: DataFrame, few: DataFrame) -> DataFrame:
+    """What is left of the index has no crowded key, so its hash table in a task follows the task's rows."""
+    return index.join(few, "key", "left_anti").hint("shuffle_hash")
+
+
+def refined(index: DataFrame, probe: DataFrame, crowd: int, crowd_apart: int) -> list[DataFrame]:
+    """Written tables of pairs a < b of entries that share a key and are within its edits; crowded keys are narrowed until none is left."""
+    found: list[DataFrame] = []
+    aside: list[list[DataFrame]] = []
+    old: list[DataFrame] = []
     while True:
-        size = F.min("length").alias("length") if not found else F.lit(0).alias("length")
-        most_here = F.when(F.max("ye") == 1, crowd_apart).otherwise(crowd) if found else F.lit(crowd)
-        crowded = index.where(~final).groupBy("key").agg(F.count("*").alias("n"), size, most_here.alias("most")).where(F.col("n") > F.col("most"))
-        crowded = written(crowded.select("key", "length"), "crowded")
-        few = small(crowded).select("key")
-        # What is left of the index has no crowded key, so its hash table in a task follows the task's rows.
-        kept = index.join(few, "key", "left_anti").hint("shuffle_hash")
-        # Two entries of one length find each other both ways: the larger one's find counts.
-        once = F.expr("a <> shiftright(id2, 1) AND (id2 % 2 = 0 OR a < shiftright(id2, 1))")
-        columns = ("least(a, shiftright(id2, 1)) AS a", "greatest(a, shiftright(id2, 1)) AS b")
-        if not found:
-            a, b = kept.select(F.col("key").alias("own"), F.col("id").alias("a")), probe.select("key", "id2")
-            pairs = a.join(b, F.expr("own = key") & once).selectExpr(*columns)
-        else:
-            a = stretches(kept.select("key", F.col("id").alias("a"), "x", "y", "xe", "ye"), "a").withColumnRenamed("key", "own")
-            b = stretches(probe.select("key", "id2", "x", "y", "xe", "ye"), "b")
-            within = F.expr(WITHIN)
-            pairs = a.join(b, F.expr("own = key") & once & within).selectExpr(*columns)
-            # Lines of one length, the text between their edits not moved.
-            c = stretches(kept.select("key", F.col("id").alias("b"), "x", "y", "xe", "ye"), "b")
-            pairs = pairs.unionByName(a.join(c, F.expr("own = key AND a < b") & within).select("a", "b"))
-        found.append(written(pairs.distinct(), f"pairs{len(found)}"))
-        if crowded.isEmpty():
-            break
-        if len(found) == 1:
-            # Only lines about as long as those behind a crowded key can have one.
-            sizes = crowded.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.col("length") + k)).alias("n")).distinct()
-            sizes = written(sizes, "sizes")
-            alike = written(entries.select("id", "line").join(small(sizes), F.length("line") == F.col("n"), "left_semi"), "alike", compression="zstd")
-            ids = (index.join(few, "key", "left_semi").select("id"), probe_rows(alike).join(few, "key", "left_semi").selectExpr("shiftright(id2, 1) AS id"))
-            own = [written(i.distinct(), "crowd") for i in ids]
-            both = small(own[0].withColumn("indexed", F.lit(True)))
-            more = [alike.join(small(own[0]), "id", "left_semi"), alike.join(small(own[1]), "id", "left_semi").join(both, "id", "left").withColumn("indexed", F.col("indexed").isNotNull())]
-            more = [written(m, "crowd") for m in more]
-            drop(*own, sizes, alike)
-            index, probe = (whole(t, moves) for t, moves in zip(more, (False, True), strict=True))
-        else:
-            more = [written(r.join(few, "key", "left_semi"), "crowd") for r in (index, probe)]
-            index, probe = more
-        drop(*held, crowded)
         # Lines of one length probe each other only where the text between two edits has moved. Both tables are read more than
         # once and are written, so that each row is made once.
         index, probe = written(narrowed(index), "index"), written(narrowed(probe, (-1, 0, 1)).unionByName(apart(index, (-1, 1))), "probe", compression="zstd")
-        drop(*more)
-        held = [index, probe]
-        final = (F.col("xn") <= F.col("xe")) & (F.col("yn") <= F.col("ye"))
-    drop(*held, crowded)
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    every = written(every.distinct(), "pairs")
-    drop(*found)
-    return every
+        crowded = index.where("xn > xe OR yn > ye").groupBy("key").agg(F.count("*").alias("n"), F.max("ye").alias("ye"))
+        crowded = written(crowded.where(F.col("n") > F.when(F.col("ye") == 1, crowd_apart).otherwise(crowd)).select("key", "ye"), "crowded")
+        few = small(crowded).select("key")
+        kept = left_over(index, few)
+        a = stretches(kept.select("key", F.col("id").alias("a"), "x", "y", "xe", "ye"), "a").withColumnRenamed("key", "own")
+        b = stretches(probe.select("key", "id2", "x", "y", "xe", "ye"), "b")
+        pairs = a.join(b, F.expr(f"own = key AND {ONCE} AND {WITHIN}")).selectExpr(*PAIR)
+        # Lines of one length, the text between their edits not moved.
+        c = stretches(kept.select("key", F.col("id").alias("b"), "x", "y", "xe", "ye"), "b")
+        pairs = pairs.unionByName(a.join(c, F.expr(f"own = key AND a < b AND {WITHIN}")).select("a", "b"))
+        found.append(written(pairs.distinct(), f"pairs{len(found)}"))
+        more = [written(r.join(few, "key", "left_semi"), "crowd") for r in (index, probe)]
+        kinds = {r.ye for r in crowded.select("ye").distinct().collect()}
+        drop(index, probe, crowded)
+        if 1 in kinds:
+            aside.append([m.where("ye = 1") for m in more])
+        old += more
+        if 0 not in kinds:
+            break
+        index, probe = (m.where("ye = 0") for m in more)
+    if aside:
+        found.append(both_differ(*map(union, zip(*aside, strict=True)), crowd, crowd_apart))
+    drop(*old)
+    return found
+
+
+def both_differ(index: DataFrame, probe: DataFrame, crowd: int, crowd_apart: int) -> DataFrame:
+    """Pairs a < b of entries that share a key and whose two stretches differ by an edit each; a written table.
+
+    A crowd holds few stretches on one side for each that differs on the other.
+    So not entries meet but the distinct stretches of a side, by the place of
+    their one edit, and entries meet through pairs of these on both sides.
+    """
+    rows = index.selectExpr("key", "id * 2 + 1 AS id2", "x", "y", "true AS indexed").unionByName(probe.selectExpr("key", "id2", "x", "y", "false AS indexed"))
+    values = union([rows.selectExpr("key", f"{side} AS side", f"{c} AS s") for side, c in enumerate("xy")]).distinct()
+    values = written(values.select(F.monotonically_increasing_id().alias("id"), "key", "side", "s"), "values", compression="zstd")
+    own, shorter = (
+        values.selectExpr(f"xxhash64(key, side, length(s) - {less}) AS key", "id", "id * 2 AS id2", "s AS x", f"length(s) - {less} AS xn", "1 AS xe", "'' AS y", "0 AS yn", "0 AS ye").where("xn >= 0")
+        for less in (0, 1)
+    )
+    met = refined(own, shorter, crowd, crowd_apart)
+    near = written(union(met).select(F.explode(F.expr("array(struct(a AS v, b AS w), struct(b AS v, a AS w))")).alias("p")).select("p.*").distinct(), "near")
+    some = near.select("v").distinct()
+    for side, c in enumerate("xy"):
+        value = values.where(f"side = {side}").join(small(some), F.col("id") == F.col("v"), "left_semi").select("key", F.col("s").alias(c), F.col("id").alias(f"{c}v"))
+        rows = rows.join(value, ["key", c])
+    rows = written(rows.select("id2", "xv", "yv", "indexed"), "rows")
+    a = rows.where("indexed").selectExpr("shiftright(id2, 1) AS a", "xv AS xa", "yv AS ya")
+    pairs = a.join(near.selectExpr("v AS xa", "w AS xv"), "xa").join(rows.select("id2", "xv", "yv"), "xv").where(ONCE)
+    pairs = pairs.join(near.selectExpr("v AS ya", "w AS yv"), ["ya", "yv"], "left_semi")
+    pairs = written(pairs.selectExpr(*PAIR).distinct(), "pairs")
+    drop(*met, values, near, rows)
+    return pairs
 
 
 def banded_distance(a: str, b: str, tau: int) -> str:

@@ -48,3 +48,15 @@ def test_a_crowds_narrowed_rows_are_made_once(spark, monkeypatch):
     entries = written(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), "lines")
     assert line_dedup.candidates(entries).count() == len(lines) * (len(lines) - 1) // 2
     assert wanted and made.value == sum(wanted)
+
+
+def test_edits_at_one_place_share_one_key_a_level(spark):
+    base = "".join(random.Random(3).choices("abcdefgh", k=256))
+    at = 100
+    lines = [base[:at] + x + base[at + 2 :] for x in ("qr", "st")]
+    rows = line_dedup.whole(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), False)
+    for _ in range(5):
+        rows = written(line_dedup.narrowed(rows), "rows")
+        shared = rows.where("ye = 0").groupBy("key").count().where("count > 1")
+        assert shared.count() == 1
+        rows = rows.join(shared.select("key"), "key", "left_semi")
