@@ -8,7 +8,10 @@ probability of a bit mixes all depths by these weights. Trained once, the model
 gives each (depth+1)-gram of bytes one log probability, so texts are scored by
 looking up their grams.
 
-Documents are taken in blocks of about ``block_bytes``. A block sends each
+Documents are taken in blocks of about ``block_bytes``. A block is one row that
+holds its texts packed; a task unpacks one block at a time and goes through it
+by slices of about ``SLICE`` bytes of whole texts, so that Python objects are
+made for one slice only. A block sends each
 distinct gram and word once, with its training count, packed; a shard sums the
 counts by key and weights the tree from the deepest contexts upwards, and what
 a block asked for returns to it. With more than ``FAN`` blocks the way to the
@@ -35,10 +38,10 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,10 @@ from quirelake.llm.common import Table, crc32_text, mapped, written
 EDGE = 0xFF
 #: Parts that a unit is dealt to in a round, and pairs of bytes that are dealt out by a third one.
 FAN, HEAVY = 128, 256
+#: Bytes of text that are Python objects at a time, and keys that wait until they are summed.
+SLICE, WAITING = 1 << 20, 1 << 19
+#: Tables of large rows: a reader holds a row group in memory, so each has one row.
+ROW_BY_ROW = {"parquet.block.row.count.limit": "1"}
 END = b""
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -67,21 +74,25 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows of about ``block_bytes`` of text: block, doc_ids, texts."""
+    """Rows of about ``block_bytes`` of text: block, doc_ids, sizes (bytes of each text), n_bytes, texts (packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
         base, made, ids, texts, size = TaskContext.get().partitionId() << 20, 0, [], [], 0
+        pack = zstandard.ZstdCompressor(level=1)
 
         def row() -> pa.RecordBatch:
-            cols = [pa.array([base + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "doc_ids", "texts"])
+            data = b"".join(texts)
+            longs = pa.list_(pa.int64())
+            cols = [pa.array([base + made], pa.int64()), pa.array([ids], longs), pa.array([[len(t) for t in texts]], longs), pa.array([len(data)], pa.int64())]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([pack.compress(data)], pa.binary())], names=["block", "doc_ids", "sizes", "n_bytes", "texts"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 ids.append(doc_id)
-                texts.append(text.as_py() or "")
+                texts.append(text.as_py() or b"")
                 size += len(texts[-1]) + 1
                 if size >= block_bytes:
                     yield row()
@@ -89,7 +100,26 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         if ids:
             yield row()
 
-    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "block long, doc_ids array<long>, texts array<string>")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "block long, doc_ids array<long>, sizes array<long>, n_bytes long, texts binary")
+
+
+class Block:
+    """The texts of a block, as one string of bytes."""
+
+    def __init__(self, sizes: pa.ListScalar, texts: pa.BinaryScalar) -> None:
+        import zstandard
+
+        self.data = zstandard.ZstdDecompressor().decompress(texts.as_py(), max_output_size=1 << 31)
+        self.ends = np.cumsum(sizes.values.to_numpy())
+
+    def slices(self) -> Iterator[tuple[int, list[bytes]]]:
+        """Successive texts of about ``SLICE`` bytes, or one that is longer, and the number of the first."""
+        first, at = 0, 0
+        while first < len(self.ends):
+            last = max(first + 1, int(np.searchsorted(self.ends, at + SLICE, side="right")))
+            ends = self.ends[first:last].tolist()
+            yield first, [self.data[a:b] for a, b in zip([at, *ends], ends, strict=False)]
+            first, at = last, ends[-1]
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
@@ -99,19 +129,17 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(w) for w in words]), dtype=">i8").astype(np.int64)
 
 
-def tokens(text: str) -> list[bytes]:
-    own = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII only, both
+def tokens(text: bytes) -> list[bytes]:
+    own = text.lower().split()  # ASCII only, both
     own.append(END)
     return own
 
 
-def gram_stream(texts: list[str], depth: int, piece: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def gram_stream(texts: list[bytes], depth: int, piece: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Grams of all texts, each with its end, and the text of each gram; about ``piece`` at a time."""
     pad = bytes([EDGE]) * depth
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(pad + b"".join(r + bytes([EDGE]) + pad for r in raw), dtype=np.uint8)
-    n = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
-    del raw
+    data = np.frombuffer(pad + b"".join(t + bytes([EDGE]) + pad for t in texts), dtype=np.uint8)
+    n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     starts = np.cumsum(n + depth) - n
     for lo in range(depth, len(data), piece):
         hi = min(len(data), lo + piece)
@@ -136,23 +164,60 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values)))
 
 
-def gram_counts(texts: list[str], depth: int, train: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of all texts and how often the training texts hold them."""
-    keys, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for grams, text in gram_stream(texts, depth):
-        seen = np.zeros(len(grams), dtype=bool) if train is None else train[text]
-        key, n = runs(grams[seen])
-        other, _ = runs(grams[~seen])
-        keys += [key, other]
-        times += [n, np.zeros(len(other), np.int64)]
-    every = np.concatenate(keys)
-    if train is None:
-        key, _ = runs(every)
-        return key, np.zeros(len(key), np.int64)
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their summed counts."""
+    every, times = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(every)
     every = every[order]
-    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-    return every[first], np.add.reduceat(np.concatenate(times)[order], first) if len(first) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    return every[first], np.add.reduceat(times[order], first)
+
+
+def gathered(pieces: Iterable[tuple], joined: Callable[[list[tuple]], tuple]) -> tuple:
+    """``joined`` of all pieces, of which no more than about twice the result waits at a time."""
+    held, size, most = [], 0, WAITING
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece[0])
+        if size > most:
+            held = [joined(held)]
+            size = len(held[0][0])
+            most = size + max(WAITING, size)
+    return joined(held)
+
+
+def gram_counts(own: Block, depth: int, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a block, sorted, and how often the training texts hold them."""
+
+    def pieces() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for first, texts in own.slices():
+            for grams, text in gram_stream(texts, depth):
+                seen = train[first + text]
+                yield runs(grams[seen])
+                other, _ = runs(grams[~seen])
+                yield other, np.zeros(len(other), np.int64)
+
+    return gathered(pieces(), summed)
+
+
+def distinct_grams(own: Block, depth: int) -> np.ndarray:
+    """Distinct grams of a block, sorted."""
+    every = ((runs(grams)[0],) for _, texts in own.slices() for grams, _ in gram_stream(texts, depth))
+    return gathered(every, lambda held: (runs(np.concatenate([x for x, in held]))[0],))[0]
+
+
+def word_counts(own: Block, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of a block, as sorted keys, and how often the training texts hold them."""
+
+    def pieces() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for first, texts in own.slices():
+            seen: Counter[bytes] = Counter()
+            for text, t in zip(texts, train[first : first + len(texts)].tolist(), strict=True):
+                words = tokens(text)
+                seen.update(words) if t else seen.update(dict.fromkeys(words, 0))
+            yield word_keys(list(seen)).view(np.uint64), np.fromiter(seen.values(), np.int64, len(seen))
+
+    return gathered(pieces(), summed)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -204,16 +269,6 @@ class Deal:
         return np.searchsorted(shard, base + inner * np.arange(self.fans[done] + 1))
 
 
-def dealt_keys(words: list[bytes], grams: np.ndarray, deal: Deal) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys by (shard, key), each given word's place among them, grams by (shard, key), and their order."""
-    w, back = np.unique(word_keys(words).view(np.uint64), return_inverse=True)
-    worder = deal.order(w, False)
-    place = np.empty_like(worder)
-    place[worder] = np.arange(len(worder))
-    gorder = deal.order(grams, True)
-    return w[worder], place[back], grams[gorder], gorder
-
-
 PART = "digit int, wk binary, wn binary, gk binary, gn binary"
 
 
@@ -233,22 +288,36 @@ def count_blocks(made: DataFrame, depth: int, mod: int, rest: int, deal: Deal) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                block, ids, texts = (batch.column(k)[row].as_py() for k in range(3))
-                train = np.array([crc32_text(d) % mod != rest for d in ids], dtype=bool)
-                seen: Counter[bytes] = Counter()
-                for text, t in zip(texts, train.tolist(), strict=True):
-                    own = tokens(text)
-                    seen.update(own) if t else seen.update(dict.fromkeys(own, 0))
-                grams, gn = gram_counts(texts, depth, train)
-                wk, place, gk, gorder = dealt_keys(list(seen), grams, deal)
-                wn = np.bincount(place, weights=np.array(list(seen.values()), float), minlength=len(wk)).astype(np.int64)
-                own = parts_of(wk, wn, gk, gn[gorder], deal, 0)
+            for block, ids, sizes, texts in zip(*(batch.column(k) for k in range(4)), strict=True):
+                train = np.array([crc32_text(d) % mod != rest for d in ids.as_py()], dtype=bool)
+                all_of = Block(sizes, texts)
+                wk, wn = word_counts(all_of, train)
+                gk, gn = gram_counts(all_of, depth, train)
+                del all_of
+                worder, gorder = deal.order(wk, False), deal.order(gk, True)
+                own = parts_of(wk[worder], wn[worder], gk[gorder], gn[gorder], deal, 0)
                 kinds = {"digit": pa.int32(), **dict.fromkeys(("wk", "wn", "gk", "gn"), pa.binary())}
-                cols = [pa.array([block] * len(own), pa.int64()), *(pa.array([p[c] for p in own], t) for c, t in kinds.items())]
+                cols = [pa.array([block.as_py()] * len(own), pa.int64()), *(pa.array([p[c] for p in own], t) for c, t in kinds.items())]
                 yield pa.RecordBatch.from_arrays(cols, names=["unit", *kinds])
 
-    return mapped(made, run, f"unit long, {PART}")
+    return mapped(made.select("block", "doc_ids", "sizes", "texts"), run, f"unit long, {PART}")
+
+
+def token_slices(own: Block) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The tokens of a block's texts, by slices."""
+    for first, texts in own.slices():
+        yield first, [tokens(t) for t in texts]
+
+
+def named(split: list[list[bytes]]) -> list[bytes]:
+    """Distinct tokens, in order of their first place."""
+    return list(dict.fromkeys(chain.from_iterable(split)))
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch, of which one is a Python object at a time."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
 
 
 def merged_units(rows: DataFrame, deal: Deal, done: int) -> DataFrame:
@@ -256,7 +325,7 @@ def merged_units(rows: DataFrame, deal: Deal, done: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 parts, fields, places = row["parts"], [], []
                 for keys, counts, grams in (("wk", "wn", False), ("gk", "gn", True)):
                     key, n, of, sizes = merged(parts, keys, counts)
@@ -283,7 +352,7 @@ def returned(level: DataFrame, answers: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 wv = np.concatenate([unpacked(x["wv"], np.int64) for x in row["got"]])
                 gv = np.concatenate([unpacked(x["gv"], np.int32) for x in row["got"]])
                 back = [(c["unit"], packed(wv[unpacked(c["wi"], np.int64)]), packed(gv[unpacked(c["gi"], np.int64)])) for c in row["children"]]
@@ -445,18 +514,18 @@ def shard_values(shards: DataFrame, depth: int, heavy: np.ndarray, top: list) ->
     return mapped(shards.select("digit", "parts"), run, "unit long, digit int, wv binary, gv binary")
 
 
-def heavy_pairs(made: DataFrame, look: int = 1) -> np.ndarray:
-    """The HEAVY pairs of bytes with the most different grams in ``look`` blocks; they only say how work is dealt out."""
+def heavy_pairs(block: DataFrame) -> np.ndarray:
+    """The HEAVY pairs of bytes with the most different grams in a block; they only say how work is dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in batch.column(0):
-                grams, _ = gram_counts(texts.as_py(), 5)
+            for sizes, texts in zip(batch.column(0), batch.column(1), strict=True):
+                grams = distinct_grams(Block(sizes, texts), 5)
                 n = np.bincount(context_pair(grams).astype(np.int64), minlength=1 << 16)
                 pair = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n[pair])], names=["pair", "n"])
 
-    seen = mapped(made.select("texts").limit(look), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    seen = mapped(block.select("sizes", "texts"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     return np.array(sorted(r["pair"] for r in seen.orderBy(F.desc("n"), "pair").limit(HEAVY).collect()), dtype=np.int64)  # at most HEAVY rows
 
 
@@ -467,24 +536,24 @@ def score_documents(docs: DataFrame, depth: int = 5, mod: int = 7, rest: int = 2
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth is 2 to 7 bytes")
-    made = written(blocks(docs, block_bytes), "blocks", compression="zstd")
-    count = made.agg(F.count("*"), F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)))).first()
+    made = written(blocks(docs, block_bytes), "blocks", compression="zstd", **ROW_BY_ROW)
+    count = made.agg(F.count("*"), F.sum("n_bytes"), F.min("block")).first()
     shards = max(1, -(-(count[1] or 0) // shard_bytes))
     fans = []
     while FAN ** (len(fans) + 1) < count[0]:
         fans.append(FAN)
     fans.append(max(1, min(FAN, -(-shards // math.prod(fans)))))
-    deal = Deal(fans, heavy_pairs(made) if depth > 2 else np.zeros(0, np.int64))
+    deal = Deal(fans, heavy_pairs(made.where(F.col("block") == count[2])) if depth > 2 and count[0] else np.zeros(0, np.int64))
     parts, levels, path = count_blocks(made, depth, mod, rest, deal), [], F.lit(0).cast("long")
     for done in range(1, len(fans) + 1):
         # Places of units in their path, dealt by a hash: lots of about FAN.
         lots = max(1, -(-count[0] // FAN**done))
         rows = parts.withColumn("path", path if done == 1 else F.col("path")).withColumn("lot", F.pmod(F.xxhash64("unit"), F.lit(lots)))
         rows = rows.groupBy("path", "digit", "lot").agg(F.collect_list(F.struct("unit", "wk", "wn", "gk", "gn")).alias("parts"))
-        rows = written(rows.withColumn("path", F.col("path") * FAN + F.col("digit")), f"units{done}")
+        rows = written(rows.withColumn("path", F.col("path") * FAN + F.col("digit")), f"units{done}", **ROW_BY_ROW)
         if done < len(fans):
             rows = rows.withColumn("unit", F.col("path") * lots + F.col("lot"))
-            levels.append(written(merged_units(rows, deal, done), f"level{done}"))
+            levels.append(written(merged_units(rows, deal, done), f"level{done}", **ROW_BY_ROW))
             parts = levels[-1].select("unit", "path", F.explode("next").alias("p")).select("unit", "path", "p.*")
     totals = shard_totals(rows, depth, deal.heavy).toArrow()  # at most 65,536 nodes, 255 for each heavy pair, and one row
     node, zeros, ones, children = (totals[c].to_numpy() for c in ("node", "zeros", "ones", "children"))
@@ -494,27 +563,32 @@ def score_documents(docs: DataFrame, depth: int = 5, mod: int = 7, rest: int = 2
     for level in reversed(levels):
         answers = written(returned(level, answers), "answers")
 
-    def run(own: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        back = back.sort_values("digit")
+    def run(own: pa.Table, back: pa.Table) -> pa.Table:
+        (ids,), (sizes,), (texts,) = own["doc_ids"].to_pylist(), own["sizes"], own["texts"]  # a unit is one block
+        back, all_of, rows = back.sort_by("digit"), Block(sizes, texts), []
+        asked = [word_keys(named(split)).view(np.uint64) for _, split in token_slices(all_of)]
+        words = np.unique(np.concatenate(asked))
+        count = np.empty(len(words), np.int64)
+        count[deal.order(words, False)] = np.concatenate([unpacked(x.as_py(), np.int64) for x in back["wv"]])
         scale = math.log10(train_tokens + distinct + 1)
-        rows = []
-        for ids, texts in zip(own["doc_ids"], own["texts"], strict=True):
-            split = [tokens(t) for t in texts]
-            names = list(set().union(*split))
-            _, place, gk, _ = dealt_keys(names, gram_counts(texts, depth)[0], deal)
-            count = np.concatenate([unpacked(x, np.int64) for x in back["wv"]])[place]
-            base = dict(zip(names, (np.log10(count + 1) - scale).tolist(), strict=True))
-            unknown = {w for w, k in zip(names, (count > 0).tolist(), strict=True) if not k}
-            table = Table(gk, np.concatenate([unpacked(x, np.int32) for x in back["gv"]]).view(np.float32).astype(float))
-            score = np.zeros(len(ids))
-            for grams, text in gram_stream(texts, depth):
-                score += np.bincount(text, weights=table.get(grams), minlength=len(ids))
-            for d, w, t, s in zip(ids, split, texts, score.tolist(), strict=True):
-                n = len(t.encode("utf-8", "surrogatepass")) + 1
-                lost = sum(x in unknown for x in w) if unknown else 0
-                d = None if d is None or d != d else int(d)
-                rows.append((d, crc32_text(d) % mod == rest, len(w), len(w) - lost, train_tokens, math.fsum(map(base.__getitem__, w)), s, -s * math.log2(10) / n))
-        frame = pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")])
-        return frame.astype({"doc_id": "Int64"})
-
-    return made.withColumnRenamed("block", "unit").groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(run, RESULT)
+        for (first, split), keys in zip(token_slices(all_of), asked, strict=True):
+            names, times = named(split), count[np.searchsorted(words, keys)]
+            base = dict(zip(names, (np.log10(times + 1) - scale).tolist(), strict=True))
+            unknown = {w for w, k in zip(names, (times > 0).tolist(), strict=True) if not k}
+            for d, w in zip(ids[first : first + len(split)], split, strict=True):
+                lost = sum(map(unknown.__contains__, w)) if unknown else 0
+                rows.append((d, crc32_text(d) % mod == rest, len(w), len(w) - lost, train_tokens, math.fsum(map(base.__getitem__, w))))
+        grams = distinct_grams(all_of, depth)
+        table = Table(grams[deal.order(grams, True)], np.concatenate([unpacked(x.as_py(), np.int32) for x in back["gv"]]).view(np.float32))
+        for first, split in all_of.slices():
+            score = np.zeros(len(split))
+            for grams, text in gram_stream(split, depth):
+                score += np.bincount(text, weights=table.get(grams), minlength=len(split))
+            for at, (t, s) in enumerate(zip(split, score.tolist(), strict=True), first):
+                rows[at] += (s, -s * math.log2(10) / (len(t) + 1))
+        kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+        fields = [f.split() for f in RESULT.split(", ")]
+        return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f for f, _ in fields])
+
+    texts = made.select(F.col("block").alias("unit"), "doc_ids", "sizes", "texts")
+    return texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(run, RESULT)
