@@ -133,7 +133,16 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], salts: int = 8) ->
     """
     left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], "left").drop("_salt")
+    return shuffled(left, right, [*on, "_salt"], "left").drop("_salt")
+
+
+def shuffled(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join whose right side grows with the input.
+
+    It is never sent to all tasks by way of the driver: Spark goes by the size
+    of compressed files, and does not count the rows that ``explode`` adds.
+    """
+    return left.join(right.hint("merge"), on, how)
 
 
 #: Tables of two longs a row are sent to all tasks up to so many rows.

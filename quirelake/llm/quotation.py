@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import lookup, written
+from quirelake.llm.common import lookup, shuffled, written
 
 MARKS = r"^(?:[ \t]*>)+"
 ANNOUNCES = r"(?i)(wrote|writes|said|says|schrieb|a écrit|escribió)\s*:\s*$"
@@ -81,7 +81,7 @@ def spans(messages: DataFrame) -> DataFrame:
     ahead = F.slice("all", F.greatest(F.lit(0), F.col("start") + n - RUN) + 1, F.lit(RUN))
     ways = F.when(n >= RUN, F.array("words")).otherwise(F.concat(F.array(after, ahead), F.when(n >= 3, F.array("words")).otherwise(F.expr("array()"))))
     text = F.array_join("words", " ")
-    out = rows.join(whole, ["id", "quote"]).select(*KEY, "level", F.xxhash64(text, F.length(text)).alias("passage"), F.posexplode(ways).alias("nth", "span"))
+    out = shuffled(rows, whole, ["id", "quote"]).select(*KEY, "level", F.xxhash64(text, F.length(text)).alias("passage"), F.posexplode(ways).alias("nth", "span"))
     return out.select(*KEY, "level", "passage", "nth", F.size("span").alias("n"), F.array_join("span", " ").alias("span"), F.array_join(F.slice("span", 1, RUN), " ").alias("head"))
 
 
@@ -98,13 +98,13 @@ def holders(messages: DataFrame, asked: DataFrame) -> DataFrame:
     short = places.groupBy("conv_id", F.col("head").alias("span")).agg(F.min("turn").alias("origin"))
     longer = asked.where(F.col("n") > RUN).groupBy("conv_id", "head").agg(F.collect_set("n").alias("lengths"))  # at most the lengths of a line
     met = lookup(places.where(F.col("w") == RUN).drop("w"), longer, ["conv_id", "head"]).select("id", "p", F.explode("lengths").alias("n"))
-    run = met.join(own.select("id", *KEY, "words"), "id").where("p + n <= size(words)").select(*KEY, F.expr("array_join(slice(words, p + 1, n), ' ')").alias("span"))
+    run = shuffled(met, own.select("id", *KEY, "words"), ["id"]).where("p + n <= size(words)").select(*KEY, F.expr("array_join(slice(words, p + 1, n), ' ')").alias("span"))
     return short.unionByName(run.groupBy("conv_id", "span").agg(F.min("turn").alias("origin")))
 
 
 def further_origins(messages: DataFrame, asked: DataFrame) -> DataFrame:
     """conv_id, turn, level, passage, held: the earlier turn whose words hold a quoted line."""
-    spans_held = holders(messages, asked).join(asked.select("conv_id", "span").distinct(), ["conv_id", "span"], "left_semi")
+    spans_held = shuffled(holders(messages, asked), asked.select("conv_id", "span").distinct(), ["conv_id", "span"], "left_semi")
     found = lookup(asked.select(*KEY, "level", "passage", "nth", "span"), written(spans_held, "held"), ["conv_id", "span"]).where("origin < turn")
     return found.groupBy(*KEY, "level", "passage").agg(F.min(F.struct("nth", "origin")).alias("held")).select(*KEY, "level", "passage", F.col("held.origin").alias("held"))
 
@@ -118,14 +118,14 @@ def reply_links(messages: DataFrame) -> DataFrame:
     if not quoted.isEmpty():
         found = written(found, "found")
         lost = found.where("origin IS NULL").select(*KEY, "level", "passage")
-        asked = written(spans(messages).join(lost, [*KEY, "level", "passage"], "left_semi"), "spans")
+        asked = written(shuffled(spans(messages), lost, [*KEY, "level", "passage"], "left_semi"), "spans")
         found = lookup(found, written(further_origins(messages, asked), "further"), [*KEY, "level", "passage"]).withColumn("origin", F.coalesce("origin", "held"))
     votes = found.groupBy(*KEY, "origin").agg(F.sum(F.when(F.col("level") == 1, F.col("n")).otherwise(0)).alias("votes"), F.sum("n").alias("n"))
     real = F.when(F.col("origin").isNotNull() & (F.col("votes") > 0), F.struct("votes", "origin"))
     best = votes.groupBy(*KEY).agg(F.max(real).alias("best"), F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("origin").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"))
     turns = messages.select(*KEY).distinct()
     earlier = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
-    out = turns.join(earlier, KEY, "left").join(best, KEY, "left")
+    out = shuffled(shuffled(turns, earlier, KEY, "left"), best, KEY, "left")
     return out.select(*KEY, F.coalesce("best.origin", "previous").alias("parent_turn"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
 
 
@@ -156,7 +156,7 @@ def threads(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError("reply links did not settle")
     found = done.select("conv_id", F.col("turn").alias("head"), "root_turn", F.col("depth").alias("above"))
-    return links.join(found, ["conv_id", "head"]).withColumn("depth", F.col("above") + F.col("turn") - F.col("head")).drop("head", "above")
+    return shuffled(links, found, ["conv_id", "head"]).withColumn("depth", F.col("above") + F.col("turn") - F.col("head")).drop("head", "above")
 
 
 def reply_ordered(conversations: DataFrame) -> DataFrame:
